@@ -174,9 +174,9 @@ def induction_state(events: DataFrame) -> DataFrame:
     acts = events.filter(F.col("action").isin("start", "complete"))
     done = F.col("action") == "complete"
     folded = acts.groupBy("employee_id").agg(
-        F.max_by("action", F.struct("at", "event_id")).alias("_last"),
+        F.max_by("action", F.struct("happened_at", "event_id")).alias("_last"),
         F.bool_or(done).alias("declaration_accepted"),
-        F.max(F.when(done, F.col("at"))).alias("completed_at"),
+        F.max(F.when(done, F.col("happened_at"))).alias("completed_at"),
     )
     last_done = F.col("_last") == "complete"
     return folded.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inductra.functions.labels import date_label, new_role, old_role, role_label, short_date, status_label
@@ -17,7 +17,6 @@ from inductra.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-RUN_TS = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
 PROFILE_TYPES = {"full_name": "string", "phone": "string", "age": "int", "position": "string", "department": "string"}
 QUERIES: dict[str, Query] = {}
 
@@ -27,6 +26,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def run_ts() -> Column:
+    """The one clock of these runs, so that results repeat."""
+    return F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+
+
 # Progress ------------------------------------------------------------------------
 
 
@@ -192,7 +196,7 @@ def profile_edit_rejects(spark, sf):
 @query
 def profile_current(spark, sf):
     edits, employees = _edits(spark, sf)
-    return people.apply_profile_edits(employees, edits.accepted, RUN_TS).select(
+    return people.apply_profile_edits(employees, edits.accepted, run_ts()).select(
         "id", *PROFILE_TYPES, "start_date", "induction_date", "updated_at"
     )
 
@@ -201,11 +205,11 @@ def profile_current(spark, sf):
 def snapshot_merge(spark, sf):
     """Updates and inserts into the employees table; start dates offered by the change are ignored."""
     employees = fixture(spark, sf, "fx_employees").select("id", "full_name", "department", "start_date", "updated_at")
-    changes = fixture(spark, sf, "fx_onboarding").groupBy((F.col("request_id") % 5000).alias("id")).agg(
+    changes = fixture(spark, sf, "fx_onboarding").groupBy(F.col("request_id").alias("id")).agg(
         F.min("full_name").alias("full_name"),
         F.lit("2030-01-01").cast("date").alias("start_date"),
     )
-    return tables.merge_snapshot(employees, changes, "id", RUN_TS)
+    return tables.merge_snapshot(employees, changes, "id", run_ts())
 
 
 @query
@@ -413,7 +417,7 @@ def onboarding_new_rows(spark, sf):
         {
             "role": F.lit("employee"), "work_location": F.lit("Main site"),
             "completion_status": F.lit("pending"), "progress_pct": F.lit(0),
-            "start_date": RUN_TS.cast("date"), "created_at": RUN_TS, "full_name": F.lit("unused"),
+            "start_date": run_ts().cast("date"), "created_at": run_ts(), "full_name": F.lit("unused"),
         },
     )
 

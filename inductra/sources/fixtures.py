@@ -60,7 +60,8 @@ FROM {orders}""",
     "fx_links": """
 SELECT c.c_custkey AS employee_id,
        CASE WHEN c.c_custkey % 13 = 0 THEN 'nobody' || CAST(c.c_custkey AS STRING) || '@example.com'
-            WHEN c.c_custkey % 19 = 1 THEN lower(replace(c.c_name, '#', '.')) || 'x@example.com'
+            WHEN c.c_custkey % 19 = 1
+            THEN 'customer.' || lpad(CAST(c.c_custkey - c.c_custkey % 100 AS STRING), 9, '0') || '@example.com'
             ELSE ' ' || lower(replace(c.c_name, '#', '.')) || '@Example.com ' END AS email
 FROM {customer} c""",
     "fx_profile_edits": """
@@ -80,7 +81,7 @@ FROM {events}""",
     "fx_induction_events": """
 SELECT event_id, user_id AS employee_id,
        CASE WHEN event_type = 'purchase' AND value > 200 THEN 'complete'
-            WHEN event_type = 'signup' THEN 'start' ELSE 'open' END AS action, ts AS at
+            WHEN event_type = 'signup' THEN 'start' ELSE 'open' END AS action, ts AS happened_at
 FROM {events}""",
     "fx_viewers": """
 SELECT id AS viewer_auth_id FROM fx_users""",
