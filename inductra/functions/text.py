@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 # Fixed value: the characters a browser's trim() removes.
 WHITESPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
-# Fixed value: the accepted photo data URL.
-DATA_URL = r"^data:(image/[a-zA-Z0-9.+-]+);base64,(.+)\z"
+# Fixed value: the start of an accepted photo data URL. The rest is one line of any length.
+DATA_URL_HEAD = r"^data:(image/[a-zA-Z0-9.+-]+);base64,."
+LINE_BREAK = r"[\n\r\u2028\u2029]"
 
 
 def _col(value: Column | str) -> Column:
@@ -63,11 +64,15 @@ def strip_fences(value: Column | str) -> Column:
 
 def data_url_mime(value: Column | str) -> Column:
     """Mime type of a photo data URL, NULL when the text is not one."""
-    return F.nullif(F.regexp_extract(_col(value), DATA_URL, 1), F.lit(""))
+    value = _col(value)
+    mime = F.nullif(F.regexp_extract(value, DATA_URL_HEAD, 1), F.lit(""))
+    return F.when(~value.rlike(LINE_BREAK), mime)
 
 
 def data_url_payload(value: Column | str) -> Column:
-    return F.nullif(F.regexp_extract(_col(value), DATA_URL, 2), F.lit(""))
+    """The base64 text: what follows the head, cut out without a match over all of it."""
+    value = _col(value)
+    return F.when(data_url_mime(value).isNotNull(), F.substr(value, F.instr(value, "base64,") + 7))
 
 
 def bare_content_type(value: Column | str) -> Column:

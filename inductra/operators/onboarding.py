@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inductra.functions.text import email_key, padded_number
@@ -74,7 +74,8 @@ def assign_codes(
 
     Free codes and requests are each put in a seeded, repeatable shuffle order and
     matched by position, so no code is tried twice. The code space is finite: requests
-    beyond the last free code are rejected.
+    beyond the last free code are rejected. The window over all free codes is bounded by
+    that space, 900,000 short rows whatever the size of the tables.
     """
     codes = employees.sparkSession.range(FIRST_CODE, LAST_CODE + 1).select(
         F.concat(F.lit(CODE_PREFIX), padded_number(F.col("id"), 6)).alias("employee_code")
@@ -82,7 +83,8 @@ def assign_codes(
     free = codes.join(employees.select("employee_code").distinct(), "employee_code", "left_anti")
     free = free.withColumn("_mix", F.md5(F.concat("employee_code", F.lit(seed))))
     asked = requests.withColumn("_mix", F.md5(F.concat(F.col("request_id").cast("string"), F.lit(seed))))
-    free = number_all(free, ["_mix", "employee_code"], "_place", hot_rows).select("_place", "employee_code")
+    place = F.row_number().over(Window.orderBy("_mix", "employee_code")).cast("bigint")
+    free = free.select(place.alias("_place"), "employee_code")
     asked = number_all(asked, ["_mix", "request_id"], "_place", hot_rows).drop("_mix")
     placed = asked.join(free, "_place", "left").drop("_place")
     rejected = placed.filter(F.col("employee_code").isNull()).withColumn("reason", F.lit(NO_CODE))

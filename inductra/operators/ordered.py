@@ -18,6 +18,7 @@ from inductra.session import cut_lineage
 SLICE = "_slice"
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 10_000
+MAX_SLICES = 20_000
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -43,6 +44,7 @@ def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[list, int]
 def _range_slices(df: DataFrame, keys: list[str], order: list[str], rows: int, hot_rows: int) -> DataFrame:
     spark = df.sparkSession
     wanted = max(math.ceil(rows / hot_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = min(wanted, MAX_SLICES)
     sliced = df.repartitionByRange(wanted, *keys, *order).withColumn(SLICE, F.spark_partition_id())
     return cut_lineage(sliced)
 
@@ -65,7 +67,8 @@ def previous_value(
 ) -> DataFrame:
     """Add ``name``: the struct ``columns`` of the row before, per key; NULL on the first row.
 
-    ``order`` must be unique within a key.
+    ``order`` must be unique within a key, and ``columns`` short values: the last row of
+    each slice of a hot key is broadcast.
     """
     def lagged(rows: DataFrame, by: list[str]) -> DataFrame:
         window = Window.partitionBy(*by).orderBy(*order)
@@ -82,7 +85,7 @@ def previous_value(
         F.lag("_tail").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_carried"),
     )
     inner = lagged(busy, [*keys, SLICE])
-    # One row per (hot key, slice): never more than slices + hot keys.
+    # One row per (hot key, slice): at most MAX_SLICES + MAX_HOT_KEYS rows.
     joined = inner.join(
         F.broadcast(carried), _same_key(inner, carried, keys) & (inner[SLICE] == carried["_to"]), "left"
     )
@@ -91,14 +94,24 @@ def previous_value(
 
 
 def number_within(
-    df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], name: str, several: str | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add ``name``: the 1-based position of each row within its key."""
+    """Add ``name``: the 1-based position of each row within its key.
+
+    ``several``, if named, tells whether the key has more than one row.
+    """
     ordinary, busy = _split_hot(df, keys, order, hot_rows)
-    out = ordinary.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    window = Window.partitionBy(*keys).orderBy(*order)
+    out = ordinary.withColumn(name, F.row_number().over(window).cast("bigint"))
+    if several:
+        follows = F.lead(F.lit(True)).over(window)
+        out = out.withColumn(several, (F.col(name) > 1) | follows.isNotNull())
     if busy is None:
         return out
-    return out.unionByName(_number_slices(busy, keys, order, name).select(*out.columns))
+    numbered = _number_slices(busy, keys, order, name)
+    if several:
+        numbered = numbered.withColumn(several, F.lit(True))
+    return out.unionByName(numbered.select(*out.columns))
 
 
 def number_all(df: DataFrame, order: list[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:

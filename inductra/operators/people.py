@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inductra.functions.text import blank_to_null, trim_all
-from inductra.operators.access import has_role, identities, viewer_identity
+from inductra.operators.access import has_role, viewer_identity
 from inductra.operators.audit import to_json_object
 from inductra.operators.ordered import HOT_ROWS, previous_value
 from inductra.operators.tables import merge_snapshot
@@ -27,38 +25,31 @@ DONE_MODULE = "Completed"
 START_PROGRESS = 10
 
 
-@dataclass(frozen=True)
-class ProfileEdits:
-    """Results of one batch of edits."""
-
-    accepted: DataFrame
-    rejected: DataFrame
+def judge_edits(edits: DataFrame, employees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Only system administrators may edit, and only existing employees; (allowed, rejected).
 
-
-def judge_edits(edits: DataFrame, employees: DataFrame) -> ProfileEdits:
-    """Only system administrators may edit, and only existing employees."""
-    known = employees.select(F.col("id").alias("emp_id"), F.lit(True).alias("_known"))
+    ``allowed`` still holds edits of unknown employees, which the operators below drop in
+    a join they need anyway; a join here would meet a hot employee before it is split.
+    """
+    known = employees.select(F.col("id").alias("emp_id"))
     who = viewer_identity(edits.withColumnRenamed("actor_auth_id", "viewer_auth_id"), employees)
-    reason = F.when(~has_role(F.col("viewer_role"), (ADMIN_ROLE,)), DENIED)
-    refused = who.withColumn("reason", reason)
-    denied = refused.filter(F.col("reason").isNotNull())
-    open_ = refused.filter(F.col("reason").isNull())
-    checked = open_.join(known, "emp_id", "left").withColumn(
-        "reason", F.when(F.col("_known").isNull(), F.lit("emp_id:foreign_key"))
-    ).drop("_known")
-    accepted = checked.filter(F.col("reason").isNull()).drop("reason")
-    rejected = denied.unionByName(checked.filter(F.col("reason").isNotNull()))
-    return ProfileEdits(accepted, rejected)
+    may = has_role(F.col("viewer_role"), (ADMIN_ROLE,))
+    allowed, denied = who.filter(may), who.filter(~may)
+    unknown = allowed.join(known, "emp_id", "left_anti")
+    rejected = denied.withColumn("reason", F.lit(DENIED)).unionByName(
+        unknown.withColumn("reason", F.lit("emp_id:foreign_key"))
+    )
+    return allowed, rejected
 
 
-def edit_audit(accepted: DataFrame, employees: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """An audit entry per accepted edit with the profile before and after.
+def edit_audit(allowed: DataFrame, employees: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """An audit entry per edit with the profile before and after.
 
     The profile before the first edit is the stored one, before later edits the edit
     before. One employee may own most edits; ``previous_value`` keeps that parallel.
     """
     fields = list(PROFILE_FIELDS)
-    chained = previous_value(accepted, ["emp_id"], ["edited_at", "edit_id"], fields, "_before", hot_rows)
+    chained = previous_value(allowed, ["emp_id"], ["edited_at", "edit_id"], fields, "_before", hot_rows)
     stored = employees.select(F.col("id").alias("emp_id"), F.struct(*fields).alias("_stored"))
     joined = chained.join(stored, "emp_id")
     return joined.select(
@@ -75,98 +66,77 @@ def edit_audit(accepted: DataFrame, employees: DataFrame, hot_rows: int = HOT_RO
     )
 
 
-def last_edits(accepted: DataFrame) -> DataFrame:
+def last_edits(allowed: DataFrame) -> DataFrame:
     """The five profile fields as the last edit of each employee leaves them."""
-    order = F.struct("edited_at", "edit_id")
-    last = accepted.groupBy(F.col("emp_id").alias("id")).agg(
-        F.max_by(F.struct(*PROFILE_FIELDS), order).alias("_last")
-    )
-    return last.select("id", "_last.*")
+    last = F.max(F.struct("edited_at", "edit_id", *PROFILE_FIELDS)).alias("_last")
+    folded = allowed.groupBy(F.col("emp_id").alias("id")).agg(last)
+    return folded.select("id", *[F.col(f"_last.{f}") for f in PROFILE_FIELDS])
 
 
-def apply_profile_edits(employees: DataFrame, accepted: DataFrame, run_ts: Column) -> DataFrame:
-    return merge_snapshot(employees, last_edits(accepted), "id", run_ts, insert=False)
+def apply_profile_edits(employees: DataFrame, allowed: DataFrame, run_ts: Column) -> DataFrame:
+    return merge_snapshot(employees, last_edits(allowed), "id", run_ts, insert=False)
 
 
-@dataclass(frozen=True)
 class Deletion:
-    """What is left of each table, plus the entries the deletion adds to the log."""
-
-    employees: DataFrame
-    progress: DataFrame
-    users: DataFrame
-    audit: DataFrame
-    entries: DataFrame
-    rejected: DataFrame
-
-
-def delete_employees(
-    deletions: DataFrame,
-    employees: DataFrame,
-    progress: DataFrame,
-    users: DataFrame,
-    audit: DataFrame,
-    actor_read: str = "before",
-) -> Deletion:
-    """Delete employees with everything that hangs on them.
-
-    Progress rows and the linked account go, log entries lose their reference, and each
-    deletion is logged by name. With ``actor_read='after'`` an administrator who deletes
-    their own row leaves no entry, as the actor is gone by then; with ``'before'`` the
-    entry keeps name and role but no actor id.
+    """A batch of employee deletions (deletion_id, emp_id, actor_auth_id, deleted_at).
+
+    Progress rows and the linked account go with the employee, log entries lose their
+    reference, and each deletion is logged by name. Only system administrators may delete.
     """
-    who = viewer_identity(deletions.withColumnRenamed("actor_auth_id", "viewer_auth_id"), employees)
-    may = has_role(F.col("viewer_role"), (ADMIN_ROLE,))
-    rejected = who.filter(~may).withColumn("reason", F.lit(DENIED))
-    first = F.struct("deleted_at", "deletion_id")
-    wanted = (
-        who.filter(may)
-        .groupBy("emp_id")
-        .agg(
-            F.min_by(F.struct("viewer_id", "viewer_name", "viewer_role"), first).alias("_actor"),
-            F.min("deleted_at").alias("created_at"),
-        )
-    )
-    gone = wanted.select(F.col("emp_id").alias("id"))
-    gone_accounts = employees.join(gone, "id", "left_semi").select(F.col("auth_id").alias("id")).filter("id IS NOT NULL")
-
-    names = employees.select(F.col("id").alias("emp_id"), "full_name")
-    actor_gone = gone.select(F.col("id").alias("_gone_actor"))
-    entries = (
-        wanted.join(names, "emp_id", "left")
-        .join(actor_gone, F.col("_actor.viewer_id") == F.col("_gone_actor"), "left")
-        .select(
-            F.when(F.col("_gone_actor").isNull(), F.col("_actor.viewer_id")).alias("actor_id"),
-            F.col("_actor.viewer_name").alias("actor_name"),
-            F.col("_actor.viewer_role").alias("actor_role"),
+
+    def __init__(self, deletions: DataFrame, employees: DataFrame):
+        self.employees = employees
+        who = viewer_identity(deletions.withColumnRenamed("actor_auth_id", "viewer_auth_id"), employees)
+        may = has_role(F.col("viewer_role"), (ADMIN_ROLE,))
+        self.rejected = who.filter(~may).withColumn("reason", F.lit(DENIED))
+        first = F.struct("deleted_at", "deletion_id", "viewer_id", "viewer_name", "viewer_role")
+        self.wanted = who.filter(may).groupBy("emp_id").agg(F.min(first).alias("_first"))
+        self.gone = self.wanted.select(F.col("emp_id").alias("id"))
+
+    def remaining_employees(self) -> DataFrame:
+        return self.employees.join(self.gone, "id", "left_anti")
+
+    def remaining_progress(self, progress: DataFrame) -> DataFrame:
+        return progress.join(self.gone.withColumnRenamed("id", "employee_id"), "employee_id", "left_anti")
+
+    def remaining_users(self, users: DataFrame) -> DataFrame:
+        accounts = self.employees.join(self.gone, "id", "left_semi").select(F.col("auth_id").alias("id"))
+        return users.join(accounts.filter("id IS NOT NULL"), "id", "left_anti")
+
+    def without_references(self, audit: DataFrame) -> DataFrame:
+        """Existing log entries, with deleted actors and targets set to NULL."""
+        out = audit
+        for column in ("actor_id", "target_id"):
+            ids = self.gone.select(F.col("id").alias("_gone"))
+            out = out.join(ids, F.col(column) == F.col("_gone"), "left")
+            out = out.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone")
+        return out.select(*audit.columns)
+
+    def entries(self, actor_read: str = "before") -> DataFrame:
+        """One new log entry per deleted id; an unknown id leaves a NULL detail.
+
+        With ``actor_read='after'`` an administrator who deletes their own row leaves no
+        entry, as the actor is gone by then; with ``'before'`` the entry keeps name and
+        role but no actor id.
+        """
+        names = self.employees.select(F.col("id").alias("emp_id"), "full_name")
+        gone_actors = self.gone.select(F.col("id").alias("_gone"))
+        actor = F.col("_first.viewer_id")
+        wanted = self.wanted
+        if actor_read == "after":
+            wanted = wanted.filter(F.col("emp_id") != actor)
+        joined = wanted.join(names, "emp_id", "left").join(gone_actors, actor == F.col("_gone"), "left")
+        return joined.select(
+            F.when(F.col("_gone").isNull(), actor).alias("actor_id"),
+            F.col("_first.viewer_name").alias("actor_name"),
+            F.col("_first.viewer_role").alias("actor_role"),
             F.lit(None).cast("bigint").alias("target_id"),
             F.lit(DELETE_ACTION).alias("action"),
             F.concat(F.lit(DELETE_DETAIL), "full_name").alias("detail"),
             F.lit(None).cast("string").alias("old_value"),
             F.lit(None).cast("string").alias("new_value"),
-            "created_at",
-            (F.col("emp_id") == F.col("_actor.viewer_id")).alias("_self"),
+            F.col("_first.deleted_at").alias("created_at"),
         )
-    )
-    if actor_read == "after":
-        entries = entries.filter(~F.col("_self"))
-    return Deletion(
-        employees=employees.join(gone, "id", "left_anti"),
-        progress=progress.join(gone.select(F.col("id").alias("employee_id")), "employee_id", "left_anti"),
-        users=users.join(gone_accounts, "id", "left_anti"),
-        audit=_without_references(audit, gone),
-        entries=entries.drop("_self"),
-        rejected=rejected,
-    )
-
-
-def _without_references(audit: DataFrame, gone: DataFrame) -> DataFrame:
-    out = audit
-    for column in ("actor_id", "target_id"):
-        ids = gone.select(F.col("id").alias(f"_{column}"))
-        out = out.join(ids, F.col(column) == F.col(f"_{column}"), "left")
-        out = out.withColumn(column, F.when(F.col(f"_{column}").isNull(), F.col(column))).drop(f"_{column}")
-    return out.select(*audit.columns)
 
 
 def induction_state(events: DataFrame) -> DataFrame:

@@ -10,45 +10,56 @@ from inductra.schemas import MODULES
 KEY = ("employee_id", "module_id")
 
 
-def complete_submissions(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split off submissions that lack a required value."""
-    required = ("employee_id", "module_id", "answers", "completed")
-    reason = F.lit(None).cast("string")
+REQUIRED = (*KEY, "answers", "completed")
+
+
+def complete_submissions(submissions: DataFrame, required: tuple[str, ...] = REQUIRED) -> tuple[DataFrame, DataFrame]:
+    """Split off submissions that lack a required value.
+
+    The accepted side is a plain conjunction of null tests, which the scan can use.
+    """
+    accepted, reason, lacking = submissions, F.lit(None).cast("string"), F.lit(False)
     for column in reversed(required):
+        accepted = accepted.filter(F.col(column).isNotNull())
         reason = F.when(F.col(column).isNull(), F.lit(f"{column}:not_null")).otherwise(reason)
-    marked = submissions.withColumn("reason", reason)
-    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
+        lacking = lacking | F.col(column).isNull()
+    return accepted, submissions.filter(lacking).withColumn("reason", reason)
 
 
-def module_progress(submissions: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+def module_progress(
+    submissions: DataFrame, snapshot: DataFrame | None = None, with_answers: bool = True
+) -> DataFrame:
     """Net effect of saving every submission, one row per (employee, module).
 
     The last submission decides answers and completed; the first completion stays as
     ``completed_at`` even if a later submission takes the completion back. The fold does
     not depend on arrival order, and a stored result can be passed back as ``snapshot``.
-    Aggregates are partial before the shuffle, so a busy employee is combined map-side;
-    answers and flag are separate aggregates so that unused ones are pruned from the scan.
+    Aggregates are partial before the shuffle, so a busy employee is combined map-side.
+    The last row is one struct maximum, which sorts each row once; without ``answers``
+    their wide text is not read at all.
     """
+    carried = ["completed", "answers"] if with_answers else ["completed"]
     rows = submissions.select(
-        *KEY, "answers", "completed", "submitted_at", "submission_id",
+        *KEY, *carried, "submitted_at", "submission_id",
         F.when(F.col("completed"), F.col("submitted_at")).alias("completed_at"),
         F.col("submitted_at").alias("created_at"),
     )
     if snapshot is not None:
         rows = rows.unionByName(
             snapshot.select(
-                *KEY, "answers", "completed", F.col("updated_at").alias("submitted_at"),
+                *KEY, *carried, F.col("updated_at").alias("submitted_at"),
                 F.col("last_submission_id").alias("submission_id"), "completed_at", "created_at",
             )
         )
-    last = F.struct("submitted_at", "submission_id")
-    return rows.groupBy(*KEY).agg(
-        F.max_by("answers", last).alias("answers"),
-        F.max_by("completed", last).alias("completed"),
+    folded = rows.groupBy(*KEY).agg(
+        F.max(F.struct("submitted_at", "submission_id", *carried)).alias("_last"),
         F.min("completed_at").alias("completed_at"),
         F.min("created_at").alias("created_at"),
-        F.max("submitted_at").alias("updated_at"),
-        F.max_by("submission_id", last).alias("last_submission_id"),
+    )
+    return folded.select(
+        *KEY, *[F.col(f"_last.{c}") for c in reversed(carried)], "completed_at", "created_at",
+        F.col("_last.submitted_at").alias("updated_at"),
+        F.col("_last.submission_id").alias("last_submission_id"),
     )
 
 
@@ -90,6 +101,7 @@ def progress_pct(progress: DataFrame, employees: DataFrame, total: int = len(MOD
 
     Employees without any progress row keep their stored percentage: nothing was saved
     that would have made it change. Every completed module id counts, listed or not.
+    Progress of unknown employees drops out here; ``known_employees_only`` reports it.
     """
     done = progress.groupBy("employee_id").agg(F.count_if("completed").alias("done"))
     kept = employees.select("id", "completion_status", F.col("progress_pct").alias("_stored"))

@@ -40,9 +40,13 @@ def _progress(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _status(spark: SparkSession, sf: str, rule: str) -> DataFrame:
+    """Status needs no answers, so they are neither read nor shuffled."""
     employees = fixture(spark, sf, "fx_employees")
-    known, _ = progress.known_employees_only(_progress(spark, sf), employees)
-    fine, _ = progress.in_range(progress.progress_pct(known, employees))
+    accepted, _ = progress.complete_submissions(
+        fixture(spark, sf, "fx_submissions"), (*progress.KEY, "completed")
+    )
+    saved = progress.module_progress(accepted, with_answers=False)
+    fine, _ = progress.in_range(progress.progress_pct(saved, employees))
     return progress.completion_status(fine, rule)
 
 
@@ -174,12 +178,13 @@ def labels(spark, sf):
 
 def _edits(spark, sf):
     employees = fixture(spark, sf, "fx_employees")
-    return people.judge_edits(fixture(spark, sf, "fx_profile_edits"), employees), employees
+    allowed, rejected = people.judge_edits(fixture(spark, sf, "fx_profile_edits"), employees)
+    return allowed, rejected, employees
 
 
 def _audit(spark, sf) -> DataFrame:
-    edits, employees = _edits(spark, sf)
-    return people.edit_audit(edits.accepted, employees)
+    allowed, _, employees = _edits(spark, sf)
+    return people.edit_audit(allowed, employees)
 
 
 @query
@@ -189,14 +194,14 @@ def profile_edit_audit(spark, sf):
 
 @query
 def profile_edit_rejects(spark, sf):
-    edits, _ = _edits(spark, sf)
-    return edits.rejected.select("edit_id", "emp_id", "viewer_auth_id", "reason")
+    _, rejected, _ = _edits(spark, sf)
+    return rejected.select("edit_id", "emp_id", "viewer_auth_id", "reason")
 
 
 @query
 def profile_current(spark, sf):
-    edits, employees = _edits(spark, sf)
-    return people.apply_profile_edits(employees, edits.accepted, run_ts()).select(
+    allowed, _, employees = _edits(spark, sf)
+    return people.apply_profile_edits(employees, allowed, run_ts()).select(
         "id", *PROFILE_TYPES, "start_date", "induction_date", "updated_at"
     )
 
@@ -240,33 +245,32 @@ def _deletion(spark, sf) -> people.Deletion:
         F.col("action_id").alias("deletion_id"), "emp_id", F.lit(100000).cast("bigint").alias("actor_auth_id"),
         F.col("acted_at").alias("deleted_at"),
     )
-    return people.delete_employees(
-        deletions, fixture(spark, sf, "fx_employees"), _progress(spark, sf),
-        fixture(spark, sf, "fx_users"), _audit(spark, sf),
-    )
+    return people.Deletion(deletions, fixture(spark, sf, "fx_employees"))
 
 
 @query
 def delete_employees(spark, sf):
-    return _deletion(spark, sf).employees.select("id", "employee_code", "full_name")
+    return _deletion(spark, sf).remaining_employees().select("id", "employee_code", "full_name")
 
 
 @query
 def delete_progress(spark, sf):
-    return _deletion(spark, sf).progress.select("employee_id", "module_id", "completed")
+    left = _deletion(spark, sf).remaining_progress(_progress(spark, sf))
+    return left.select("employee_id", "module_id", "completed")
 
 
 @query
 def delete_users(spark, sf):
-    return _deletion(spark, sf).users.select("id", "email")
+    return _deletion(spark, sf).remaining_users(fixture(spark, sf, "fx_users")).select("id", "email")
 
 
 @query
 def delete_audit(spark, sf):
     """The log after the deletion: old entries without dead references, plus the new ones."""
-    result = _deletion(spark, sf)
+    deletion = _deletion(spark, sf)
     columns = ["actor_id", "actor_name", "actor_role", "target_id", "action", "detail", "created_at"]
-    return result.audit.select(*columns).unionByName(result.entries.select(*columns))
+    old = deletion.without_references(_audit(spark, sf))
+    return old.select(*columns).unionByName(deletion.entries().select(*columns))
 
 
 # Older portal --------------------------------------------------------------------
