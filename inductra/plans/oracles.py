@@ -185,12 +185,20 @@ FROM fx_actions a LEFT JOIN fx_employees e ON e.auth_id = 100000 + a.emp_id * 7"
 
 # Deletion ------------------------------------------------------------------------
 
-GONE = "gone AS (SELECT emp_id AS id, min(acted_at) AS gone_at FROM fx_actions WHERE action = 'delete' GROUP BY emp_id)"
+GONE = """
+gone AS (
+  SELECT emp_id AS id, min(acted_at) AS gone_at FROM fx_actions
+  WHERE action = 'delete' AND actor_auth_id IN (SELECT auth_id FROM fx_employees WHERE role = 'sysAdmin')
+  GROUP BY emp_id)"""
 oracle("delete_employees", "fx_actions fx_employees", """
 SELECT id, employee_code, full_name FROM fx_employees WHERE id NOT IN (SELECT id FROM gone)""", GONE)
-oracle("delete_progress", "fx_actions fx_submissions", """
+oracle("delete_progress", "fx_actions fx_employees fx_submissions", """
 SELECT employee_id, module_id, completed FROM progress WHERE employee_id NOT IN (SELECT id FROM gone)""",
        GONE + "," + PROGRESS)
+oracle("delete_rejects", "fx_actions fx_employees", """
+SELECT action_id AS deletion_id, emp_id, 'Permission denied' AS reason FROM fx_actions
+WHERE action = 'delete' AND action_id NOT IN (
+  SELECT a.action_id FROM fx_actions a JOIN fx_employees e ON e.auth_id = a.actor_auth_id WHERE e.role = 'sysAdmin')""")
 oracle("delete_users", "fx_actions fx_employees fx_users", """
 SELECT id, email FROM fx_users u
 WHERE NOT EXISTS (SELECT 1 FROM fx_employees e JOIN gone g ON g.id = e.id WHERE e.auth_id = u.id)""", GONE)

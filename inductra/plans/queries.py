@@ -242,8 +242,7 @@ def audit_write(spark, sf):
 
 def _deletion(spark, sf) -> people.Deletion:
     deletions = fixture(spark, sf, "fx_actions").filter(F.col("action") == "delete").select(
-        F.col("action_id").alias("deletion_id"), "emp_id", F.lit(100000).cast("bigint").alias("actor_auth_id"),
-        F.col("acted_at").alias("deleted_at"),
+        F.col("action_id").alias("deletion_id"), "emp_id", "actor_auth_id", F.col("acted_at").alias("deleted_at"),
     )
     return people.Deletion(deletions, fixture(spark, sf, "fx_employees"))
 
@@ -253,6 +252,11 @@ def delete_employees(spark, sf):
     return _deletion(spark, sf).remaining_employees().select("id", "employee_code", "full_name")
 
 
+@query
+def delete_rejects(spark, sf):
+    return _deletion(spark, sf).rejected.select("deletion_id", "emp_id", "reason")
+
+
 @query
 def delete_progress(spark, sf):
     left = _deletion(spark, sf).remaining_progress(_progress(spark, sf))

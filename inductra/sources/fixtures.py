@@ -76,6 +76,7 @@ FROM {orders}""",
 SELECT event_id AS action_id, user_id AS emp_id,
        CASE WHEN event_type = 'error' AND value > 200 THEN 'delete'
             WHEN event_type IN ('click', 'signup') THEN 'activate' ELSE 'inactive' END AS action,
+       CASE WHEN value > 220 THEN 100000 WHEN value > 210 THEN -1 ELSE 100050 END AS actor_auth_id,
        ts AS acted_at
 FROM {events}""",
     "fx_induction_events": """
