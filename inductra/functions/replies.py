@@ -58,7 +58,8 @@ def _type_of(value: Column) -> Column:
 
 
 def is_number(value: Column) -> Column:
-    return _type_of(value).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\))\z")
+    kind = _type_of(value)
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL(")
 
 
 def number_or_null(value: Column) -> Column:

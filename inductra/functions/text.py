@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters a browser's trim() removes.
+# Fixed value: the characters a browser's trim() removes, once as a list, once as a pattern.
+SPACES = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 WHITESPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
-# Fixed value: the start of an accepted photo data URL. The rest is one line of any length.
-DATA_URL_HEAD = r"^data:(image/[a-zA-Z0-9.+-]+);base64,."
-LINE_BREAK = r"[\n\r\u2028\u2029]"
+# What comes before the comma of an accepted photo data URL, and the line
+# breaks its payload must not contain.
+DATA_URL_HEAD = r"^data:(image/[a-zA-Z0-9.+-]+);base64\z"
+LINE_BREAKS = ("\n", "\r", "\u2028", "\u2029")
 
 
 def _col(value: Column | str) -> Column:
@@ -19,7 +24,7 @@ def _col(value: Column | str) -> Column:
 
 def trim_all(value: Column | str) -> Column:
     """Strip every kind of outer whitespace; SQL ``trim`` strips spaces only."""
-    return F.regexp_replace(_col(value), f"^{WHITESPACE}+|{WHITESPACE}+\\z", "")
+    return F.trim(_col(value), F.lit(SPACES))
 
 
 def code_key(value: Column | str) -> Column:
@@ -55,24 +60,32 @@ def escape_html(value: Column | str, apostrophe: str = "&#039;") -> Column:
 
 def strip_fences(value: Column | str) -> Column:
     """Drop the Markdown fence a model may put around its JSON."""
-    out = trim_all(F.coalesce(_col(value), F.lit("")))
-    out = F.regexp_replace(out, f"(?i)^```json{WHITESPACE}*", "")
+    plain = trim_all(F.coalesce(_col(value), F.lit("")))
+    out = F.regexp_replace(plain, f"(?i)^```json{WHITESPACE}*", "")
     out = F.regexp_replace(out, f"^```{WHITESPACE}*", "")
     out = F.regexp_replace(out, f"```{WHITESPACE}*\\z", "")
-    return trim_all(out)
+    return F.when(plain.contains("```"), trim_all(out)).otherwise(plain)
 
 
 def data_url_mime(value: Column | str) -> Column:
-    """Mime type of a photo data URL, NULL when the text is not one."""
+    """Mime type of a photo data URL, NULL when the text is not one.
+
+    Only the short head meets a regular expression; the payload may be megabytes.
+    """
     value = _col(value)
-    mime = F.nullif(F.regexp_extract(value, DATA_URL_HEAD, 1), F.lit(""))
-    return F.when(~value.rlike(LINE_BREAK), mime)
+    head = F.substring_index(value, ",", 1)
+    mime = F.nullif(F.regexp_extract(head, DATA_URL_HEAD, 1), F.lit(""))
+    fine = F.octet_length(value) > F.octet_length(head) + 1
+    for line_break in LINE_BREAKS:
+        fine = fine & ~value.contains(line_break)
+    return F.when(fine, mime)
 
 
 def data_url_payload(value: Column | str) -> Column:
-    """The base64 text: what follows the head, cut out without a match over all of it."""
+    """The base64 text after the head; NULL when the text is not a photo data URL."""
     value = _col(value)
-    return F.when(data_url_mime(value).isNotNull(), F.substr(value, F.instr(value, "base64,") + 7))
+    rest = F.substr(value, F.length(F.substring_index(value, ",", 1)) + 2)
+    return F.when(data_url_mime(value).isNotNull(), rest)
 
 
 def bare_content_type(value: Column | str) -> Column:

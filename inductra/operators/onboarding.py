@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inductra.functions.text import email_key, padded_number
 from inductra.operators.access import has_role, viewer_identity
 from inductra.operators.links import users_by_email
-from inductra.operators.ordered import HOT_ROWS, number_all
+from inductra.operators.ordered import number_all
 from inductra.operators.people import DENIED
 from inductra.schemas import ADMIN_ROLE, CODE_PREFIX, FIRST_CODE, LAST_CODE, MIN_PASSWORD_LENGTH
 
@@ -67,9 +67,7 @@ def _judge_by_email(judged: DataFrame, users: DataFrame, employees: DataFrame, m
     return joined.withColumn("reason", F.coalesce("_early", late))
 
 
-def assign_codes(
-    requests: DataFrame, employees: DataFrame, seed: str = "codes", hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame]:
+def assign_codes(requests: DataFrame, employees: DataFrame, seed: str = "codes") -> tuple[DataFrame, DataFrame]:
     """Give each request an unused employee code; (with code, rejected).
 
     Free codes and requests are each put in a seeded, repeatable shuffle order and
@@ -85,16 +83,14 @@ def assign_codes(
     asked = requests.withColumn("_mix", F.md5(F.concat(F.col("request_id").cast("string"), F.lit(seed))))
     place = F.row_number().over(Window.orderBy("_mix", "employee_code")).cast("bigint")
     free = free.select(place.alias("_place"), "employee_code")
-    asked = number_all(asked, ["_mix", "request_id"], "_place", hot_rows).drop("_mix")
+    asked = number_all(asked, ["_mix", "request_id"], "_place").drop("_mix")
     placed = asked.join(free, "_place", "left").drop("_place")
     rejected = placed.filter(F.col("employee_code").isNull()).withColumn("reason", F.lit(NO_CODE))
     return placed.filter(F.col("employee_code").isNotNull()), rejected
 
 
-def sequential_ids(
-    df: DataFrame, order: list[str], prefix: str, width: int = 6, start: int = 1, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def sequential_ids(df: DataFrame, order: list[str], prefix: str, width: int = 6, start: int = 1) -> DataFrame:
     """Add ``employee_id``: prefix and padded running number in ``order``."""
-    numbered = number_all(df, order, "_n", hot_rows)
+    numbered = number_all(df, order, "_n")
     number = F.col("_n") + F.lit(start - 1)
     return numbered.withColumn("employee_id", F.concat(F.lit(prefix), padded_number(number, width))).drop("_n")

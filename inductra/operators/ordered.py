@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from inductra.session import cut_lineage
 
 SLICE = "_slice"
+
+# A key with more rows than this is split; the session may set another number.
+HOT_ROWS_SETTING = "spark.inductra.hotRows"
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 10_000
 MAX_SLICES = 20_000
@@ -41,16 +44,19 @@ def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[list, int]
     return found, sum(row["_rows"] for row in found)
 
 
-def _range_slices(df: DataFrame, keys: list[str], order: list[str], rows: int, hot_rows: int) -> DataFrame:
-    spark = df.sparkSession
-    wanted = max(math.ceil(rows / hot_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wanted = min(wanted, MAX_SLICES)
+def _range_slices(df: DataFrame, keys: list[str], order: list[str], at_least: int = 1) -> DataFrame:
+    """Rows with the number of their slice, stored so that the numbers never change."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(max(at_least, partitions), MAX_SLICES)
     sliced = df.repartitionByRange(wanted, *keys, *order).withColumn(SLICE, F.spark_partition_id())
     return cut_lineage(sliced)
 
 
-def _split_hot(df: DataFrame, keys: list[str], order: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+def _split_hot(
+    df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None
+) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, sliced rows of hot keys or None)."""
+    hot_rows = hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
     found, rows = _hot_keys(df, keys, hot_rows)
     if not found:
         return df, None
@@ -59,11 +65,11 @@ def _split_hot(df: DataFrame, keys: list[str], order: list[str], hot_rows: int)
     hot = F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) for r in found], schema))
     ordinary = df.join(hot, _same_key(df, hot, keys), "left_anti")
     busy = df.join(hot, _same_key(df, hot, keys), "left_semi")
-    return ordinary, _range_slices(busy, keys, order, rows, hot_rows)
+    return ordinary, _range_slices(busy, keys, order, math.ceil(rows / hot_rows))
 
 
 def previous_value(
-    df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str, hot_rows: int | None = None
 ) -> DataFrame:
     """Add ``name``: the struct ``columns`` of the row before, per key; NULL on the first row.
 
@@ -94,7 +100,7 @@ def previous_value(
 
 
 def number_within(
-    df: DataFrame, keys: list[str], order: list[str], name: str, several: str | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], name: str, several: str | None = None, hot_rows: int | None = None
 ) -> DataFrame:
     """Add ``name``: the 1-based position of each row within its key.
 
@@ -114,10 +120,12 @@ def number_within(
     return out.unionByName(numbered.select(*out.columns))
 
 
-def number_all(df: DataFrame, order: list[str], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``name``: 1, 2, 3, ... over the whole table in ``order``, without one big task."""
-    sliced = _range_slices(df, [], order, df.count(), hot_rows)
-    return _number_slices(sliced, [], order, name).select(*df.columns, name)
+def number_all(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add ``name``: 1, 2, 3, ... over the whole table in ``order``, without one big task.
+
+    The table is cut into as many slices as the session has shuffle partitions.
+    """
+    return _number_slices(_range_slices(df, [], order), [], order, name).select(*df.columns, name)
 
 
 def _number_slices(sliced: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:

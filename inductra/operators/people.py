@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inductra.functions.text import blank_to_null, trim_all
 from inductra.operators.access import has_role, viewer_identity
 from inductra.operators.audit import to_json_object
-from inductra.operators.ordered import HOT_ROWS, previous_value
+from inductra.operators.ordered import previous_value
 from inductra.operators.tables import merge_snapshot
 from inductra.schemas import ADMIN_ROLE, PROFILE_FIELDS
 
@@ -42,7 +42,7 @@ def judge_edits(edits: DataFrame, employees: DataFrame) -> tuple[DataFrame, Data
     return allowed, rejected
 
 
-def edit_audit(allowed: DataFrame, employees: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def edit_audit(allowed: DataFrame, employees: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """An audit entry per edit with the profile before and after.
 
     The profile before the first edit is the stored one, before later edits the edit

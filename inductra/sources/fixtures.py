@@ -8,8 +8,10 @@ drops rows to make a query cheaper.
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 FIXTURES: dict[str, str] = {
     "fx_catalogue": """
@@ -202,26 +204,39 @@ def _needed(names: tuple[str, ...]) -> list[str]:
     return [name for name in FIXTURES if name in wanted]
 
 
-def _render(sql: str, base: str, ntz: str, b64: tuple[str, str]) -> str:
-    for table in BASE_TABLES:
-        sql = sql.replace("{" + table + "}", base.format(table=table))
+def _render(sql: str, names: dict[str, str], ntz: str, b64: tuple[str, str]) -> str:
+    for table, name in names.items():
+        sql = sql.replace("{" + table + "}", name)
     return sql.replace("{ntz}", ntz).replace("{b64_open}", b64[0]).replace("{b64_close}", b64[1])
 
 
 def duckdb_ctes(*names: str) -> str:
     """``name AS (...)`` items for a DuckDB ``WITH`` clause."""
-    return ",\n".join(
-        f"{n} AS ({_render(FIXTURES[n], '{table}', 'TIMESTAMP', ('to_base64(encode(', '))'))})"
-        for n in _needed(names)
-    )
+    plain = {table: table for table in BASE_TABLES}
+    b64 = ("to_base64(encode(", "))")
+    return ",\n".join(f"{n} AS ({_render(FIXTURES[n], plain, 'TIMESTAMP', b64)})" for n in _needed(names))
+
+
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
+def _base_view(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """A temporary view of a base table; its schema is inferred once per application."""
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    name = f"fx_base_{table}_{zlib.crc32(path.encode()):08x}"
+    spark.read.schema(_schemas[key]).parquet(path).createOrReplaceTempView(name)
+    return name
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named fixture over the parquet tables in ``sf_dir``."""
-    base = "parquet.`" + sf_dir.rstrip("/") + "/{table}.parquet`"
+    needed = _needed((name,))
+    text = "\n".join(FIXTURES[n] for n in needed)
+    views = {t: _base_view(spark, sf_dir, t) for t in BASE_TABLES if "{" + t + "}" in text}
     # Spark breaks base64 text into lines; the fixture wants one line.
-    b64 = ("translate(base64(encode(", ", 'UTF-8')), concat(chr(13), chr(10)), '')")
-    ctes = ",\n".join(
-        f"{n} AS ({_render(FIXTURES[n], base, 'TIMESTAMP_NTZ', b64)})" for n in _needed((name,))
-    )
+    b64 = ("replace(base64(encode(", ", 'UTF-8')), concat(chr(13), chr(10)), '')")
+    ctes = ",\n".join(f"{n} AS ({_render(FIXTURES[n], views, 'TIMESTAMP_NTZ', b64)})" for n in needed)
     return spark.sql(f"WITH {ctes}\nSELECT * FROM {name}")

@@ -227,11 +227,11 @@ def test_found_user_is_carried(spark, employees, users):
 def test_codes_are_new_unique_and_repeatable(spark):
     asked = spark.range(500).withColumnRenamed("id", "request_id")
     used = spark.range(100_000, 400_000).selectExpr("concat('EMP', id) AS employee_code")
-    coded, rejected = onboarding.assign_codes(asked, used, hot_rows=100)
+    coded, rejected = onboarding.assign_codes(asked, used)
     codes = {r.request_id: r.employee_code for r in coded.collect()}
     assert len(set(codes.values())) == 500 and rejected.count() == 0
     assert all(len(c) == 9 and 400_000 <= int(c[3:]) <= 999_999 for c in codes.values())
-    again, _ = onboarding.assign_codes(asked, used, hot_rows=7)
+    again, _ = onboarding.assign_codes(asked.repartition(3), used)
     assert {r.request_id: r.employee_code for r in again.collect()} == codes
 
 

@@ -61,7 +61,7 @@ def test_hot_key_is_spread_over_slices(spark):
 
 def test_number_all(spark):
     data, df = skewed(spark, 9)
-    out = ordered.number_all(df, ["at", "id"], "n", hot_rows=30)
+    out = ordered.number_all(df, ["at", "id"], "n")
     want = {d[0]: n for n, d in enumerate(sorted(data, key=lambda d: (d[2], d[0])), 1)}
     assert {r.id: r.n for r in out.collect()} == want
     assert out.columns == ["id", "key", "at", "value", "n"]
