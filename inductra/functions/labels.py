@@ -43,9 +43,13 @@ def status_label(value: Column | str) -> Column:
     return F.replace(or_default(value, "not_started"), F.lit("_"), F.lit(" "))
 
 
-def date_label(value: Column | str, missing: str = "Not set") -> Column:
-    """``5 Mar 2024``; the time of day is not shown."""
-    return F.coalesce(F.date_format(_col(value), "d MMM yyyy"), F.lit(missing))
+def date_label(value: Column | str, missing: str = "Not set", with_time: bool = False) -> Column:
+    """``5 Mar 2024``, or ``5 Mar 2024, 2:05 pm`` for values that carry a time."""
+    value = _col(value)
+    label = F.date_format(value, "d MMM yyyy")
+    if with_time:
+        label = F.concat(label, F.lit(", "), F.lower(F.date_format(value, "h:mm a")))
+    return F.coalesce(label, F.lit(missing))
 
 
 def short_date(value: Column | str, missing: str = "—") -> Column:

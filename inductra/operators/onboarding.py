@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inductra.functions.text import email_key, padded_number
-from inductra.operators.access import has_role, viewer_identity
+from inductra.operators.access import administrators
 from inductra.operators.links import users_by_email
 from inductra.operators.ordered import number_all
 from inductra.operators.people import DENIED
-from inductra.schemas import ADMIN_ROLE, CODE_PREFIX, FIRST_CODE, LAST_CODE, MIN_PASSWORD_LENGTH
+from inductra.schemas import CODE_PREFIX, FIRST_CODE, LAST_CODE, MIN_PASSWORD_LENGTH
 
 # Refusal messages, in the order they are tested.
 NO_EMAIL = "Email is required"
@@ -38,8 +38,9 @@ def onboard(
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    who = viewer_identity(requests.withColumnRenamed("actor_auth_id", "viewer_auth_id"), employees)
-    early = F.when(~has_role(F.col("viewer_role"), (ADMIN_ROLE,)), DENIED)
+    by_actor = requests.withColumnRenamed("actor_auth_id", "viewer_auth_id")
+    who = by_actor.join(administrators(employees), "viewer_auth_id", "left")
+    early = F.when(F.col("viewer_id").isNull(), DENIED)
     key = email_key("email")
     if mode == "find_or_create":
         short = F.col("password_length").isNull() | (F.col("password_length") < MIN_PASSWORD_LENGTH)

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inductra.functions.text import blank_to_null, trim_all
-from inductra.operators.access import has_role, viewer_identity
+from inductra.operators.access import administrators, has_role
 from inductra.operators.audit import to_json_object
 from inductra.operators.ordered import previous_value
 from inductra.operators.tables import merge_snapshot
-from inductra.schemas import ADMIN_ROLE, PROFILE_FIELDS
+from inductra.schemas import PROFILE_FIELDS
 
 # Audit texts.
 EDIT_ACTION = "profile_edited"
@@ -32,8 +32,9 @@ def judge_edits(edits: DataFrame, employees: DataFrame) -> tuple[DataFrame, Data
     a join they need anyway; a join here would meet a hot employee before it is split.
     """
     known = employees.select(F.col("id").alias("emp_id"))
-    who = viewer_identity(edits.withColumnRenamed("actor_auth_id", "viewer_auth_id"), employees)
-    may = has_role(F.col("viewer_role"), (ADMIN_ROLE,))
+    by_actor = edits.withColumnRenamed("actor_auth_id", "viewer_auth_id")
+    who = by_actor.join(administrators(employees), "viewer_auth_id", "left")
+    may = F.col("viewer_id").isNotNull()
     allowed, denied = who.filter(may), who.filter(~may)
     unknown = allowed.join(known, "emp_id", "left_anti")
     rejected = denied.withColumn("reason", F.lit(DENIED)).unionByName(
@@ -86,8 +87,9 @@ class Deletion:
 
     def __init__(self, deletions: DataFrame, employees: DataFrame):
         self.employees = employees
-        who = viewer_identity(deletions.withColumnRenamed("actor_auth_id", "viewer_auth_id"), employees)
-        may = has_role(F.col("viewer_role"), (ADMIN_ROLE,))
+        by_actor = deletions.withColumnRenamed("actor_auth_id", "viewer_auth_id")
+        who = by_actor.join(administrators(employees), "viewer_auth_id", "left")
+        may = F.col("viewer_id").isNotNull()
         self.rejected = who.filter(~may).withColumn("reason", F.lit(DENIED))
         first = F.struct("deleted_at", "deletion_id", "viewer_id", "viewer_name", "viewer_role")
         self.wanted = who.filter(may).groupBy("emp_id").agg(F.min(first).alias("_first"))

@@ -116,6 +116,7 @@ SELECT id, role,
                  ELSE 'Employee' END AS role_label,
        replace(completion_status, '_', ' ') AS status_label,
        coalesce(strftime(completion_date, '%-d %b %Y'), 'Not set') AS completion_label,
+       strftime(created_at, '%-d %b %Y, %-I:%M ') || lower(strftime(created_at, '%p')) AS created_label,
        coalesce(strftime(start_date, '%d/%m/%Y'), '—') AS start_label,
        full_name || ' &lt;&amp;&#039;&quot;&gt;' AS name_html
 FROM fx_employees""")

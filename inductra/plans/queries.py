@@ -168,6 +168,7 @@ def labels(spark, sf):
         role_label(old_role("role")).alias("role_label"),
         status_label("completion_status").alias("status_label"),
         date_label("completion_date").alias("completion_label"),
+        date_label("created_at", with_time=True).alias("created_label"),
         short_date("start_date").alias("start_label"),
         escape_html(F.concat("full_name", F.lit(" <&'\">"))).alias("name_html"),
     )

@@ -59,6 +59,8 @@ def test_labels(spark):
     day = "timestamp_ntz"
     from datetime import datetime
     assert apply(spark, labels.date_label, datetime(2024, 3, 5, 14), None, kind=day) == ["5 Mar 2024", "Not set"]
+    with_time = lambda c: labels.date_label(c, with_time=True)
+    assert apply(spark, with_time, datetime(2024, 3, 5, 14, 5), kind=day) == ["5 Mar 2024, 2:05 pm"]
     assert apply(spark, labels.short_date, datetime(2024, 3, 5), None, kind=day) == ["05/03/2024", "—"]
 
 

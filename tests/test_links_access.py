@@ -153,6 +153,12 @@ def test_write_policies_fail_closed(spark, employees, table, action, expected):
     assert refused == {"rejected" if action == "insert" else "no_rows"}
 
 
+def test_broadcast_only_below_the_bound(spark):
+    df = spark.range(11)
+    hint = lambda d: "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
+    assert hint(access.broadcast_if_small(df, 11)) and not hint(access.broadcast_if_small(df, 10))
+
+
 # Rules ---------------------------------------------------------------------------
 
 
