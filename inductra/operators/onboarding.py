@@ -20,6 +20,9 @@ LINKED = "This email is already linked to an employee record."
 REPEATED = "Email repeated in this batch"
 NO_CODE = "No employee code left"
 
+# A prime that does not divide the size of the code space, so the walk meets every code.
+CODE_STRIDE = 611_953
+
 MODES = ("find_or_create", "must_exist", "create_always")
 
 
@@ -68,24 +71,25 @@ def _judge_by_email(judged: DataFrame, users: DataFrame, employees: DataFrame, m
     return joined.withColumn("reason", F.coalesce("_early", late))
 
 
-def assign_codes(requests: DataFrame, employees: DataFrame, seed: str = "codes") -> tuple[DataFrame, DataFrame]:
+def assign_codes(requests: DataFrame, employees: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Give each request an unused employee code; (with code, rejected).
 
-    Free codes and requests are each put in a seeded, repeatable shuffle order and
-    matched by position, so no code is tried twice. The code space is finite: requests
-    beyond the last free code are rejected. The window over all free codes is bounded by
-    that space, 900,000 short rows whatever the size of the tables.
+    The code space is walked in steps that visit every code once and look random; the
+    n-th request gets the n-th free code of the walk. No code is tried twice, and a run
+    can be repeated. Requests beyond the last free code are rejected. The window over all
+    free codes is bounded by the code space, 900,000 numbers whatever the tables' size.
     """
-    codes = employees.sparkSession.range(FIRST_CODE, LAST_CODE + 1).select(
-        F.concat(F.lit(CODE_PREFIX), padded_number(F.col("id"), 6)).alias("employee_code")
+    size = LAST_CODE - FIRST_CODE + 1
+    walk = employees.sparkSession.range(size).select(
+        F.col("id").alias("_step"),
+        F.concat(
+            F.lit(CODE_PREFIX), (F.lit(FIRST_CODE) + (F.col("id") * CODE_STRIDE + seed) % size).cast("string")
+        ).alias("employee_code"),
     )
-    free = codes.join(employees.select("employee_code").distinct(), "employee_code", "left_anti")
-    free = free.withColumn("_mix", F.md5(F.concat("employee_code", F.lit(seed))))
-    asked = requests.withColumn("_mix", F.md5(F.concat(F.col("request_id").cast("string"), F.lit(seed))))
-    place = F.row_number().over(Window.orderBy("_mix", "employee_code")).cast("bigint")
+    free = walk.join(employees.select("employee_code").distinct(), "employee_code", "left_anti")
+    place = F.row_number().over(Window.orderBy("_step")).cast("bigint")
     free = free.select(place.alias("_place"), "employee_code")
-    asked = number_all(asked, ["_mix", "request_id"], "_place").drop("_mix")
-    placed = asked.join(free, "_place", "left").drop("_place")
+    placed = number_all(requests, ["request_id"], "_place").join(free, "_place", "left").drop("_place")
     rejected = placed.filter(F.col("employee_code").isNull()).withColumn("reason", F.lit(NO_CODE))
     return placed.filter(F.col("employee_code").isNotNull()), rejected
 

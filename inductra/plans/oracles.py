@@ -54,6 +54,17 @@ oracle("progress_rejects", "fx_dirty_progress fx_employees", """
 SELECT employee_id, module_id, max(id) AS last_submission_id, 'employee_id:foreign_key' AS reason
 FROM fx_dirty_progress WHERE employee_id NOT IN (SELECT id FROM fx_employees) GROUP BY employee_id, module_id""")
 
+oracle("submission_rejects", "fx_raw_submissions", """
+SELECT submission_id,
+       CASE WHEN employee_id IS NULL THEN 'employee_id' WHEN module_id IS NULL THEN 'module_id'
+            WHEN answers IS NULL THEN 'answers' ELSE 'completed' END || ':not_null' AS reason
+FROM fx_raw_submissions
+WHERE employee_id IS NULL OR module_id IS NULL OR answers IS NULL OR completed IS NULL""")
+oracle("progress_out_of_range", "fx_submissions fx_employees", """
+SELECT employee_id, count(*) AS done, CAST(count(*) * 25 AS INT) AS progress_pct, 'progress_pct:range' AS reason
+FROM progress WHERE completed AND employee_id IN (SELECT id FROM fx_employees)
+GROUP BY employee_id HAVING count(*) > 4""", PROGRESS)
+
 # Reads ---------------------------------------------------------------------------
 
 oracle("email_by_code", "fx_code_lookups fx_employees fx_users", """
@@ -184,6 +195,17 @@ SELECT a.action_id, a.emp_id AS target_id, a.action, a.acted_at AS created_at,
        e.id AS actor_id, e.full_name AS actor_name, e.role AS actor_role
 FROM fx_actions a LEFT JOIN fx_employees e ON e.auth_id = 100000 + a.emp_id * 7""")
 
+oracle("audit_append", "fx_employees fx_actions", """
+SELECT a.action_id AS id, e.id AS actor_id, a.emp_id AS target_id, a.action, CAST(a.acted_at AS DATE) AS audit_date
+FROM fx_actions a LEFT JOIN fx_employees e ON e.auth_id = a.actor_auth_id""")
+oracle("snapshot_swap", "fx_profile_edits fx_employees", """
+SELECT e.id, CASE WHEN g.edit_id IS NULL THEN e.full_name ELSE g.full_name END AS full_name,
+       CASE WHEN g.edit_id IS NULL THEN e.department ELSE g.department END AS department, e.start_date,
+       CASE WHEN g.edit_id IS NULL THEN e.updated_at ELSE TIMESTAMP '2026-01-02 00:00:00' END AS updated_at
+FROM fx_employees e LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY emp_id ORDER BY edited_at DESC, edit_id DESC) AS rn FROM good_edits) g
+ON g.emp_id = e.id AND g.rn = 1""", EDITS)
+
 # Deletion ------------------------------------------------------------------------
 
 GONE = """
@@ -282,6 +304,25 @@ SELECT x.edit_id, e.role AS viewer_role, coalesce(e.role IN ({_MANAGERS}) OR e.i
 FROM fx_profile_edits x LEFT JOIN fx_employees e
 ON e.auth_id = CASE WHEN x.edit_id % 2 = 0 THEN x.actor_auth_id ELSE x.emp_id + 100000 END""")
 
+_POLICIES = {
+    "employees:insert": "role = 'sysAdmin'",
+    "employees:update": f"role IN ({_MANAGERS}) OR id = emp_id",
+    "employees:delete": "role = 'sysAdmin'",
+    "module_progress:insert": "id = emp_id",
+    "module_progress:update": "id = emp_id",
+    "module_progress:delete": "id = emp_id",
+    "audit_logs:insert": "viewer IS NOT NULL",
+    "audit_logs:update": "false",
+    "audit_logs:delete": "false",
+}
+oracle("write_policies", "fx_profile_edits fx_employees", "\nUNION ALL\n".join(
+    f"""SELECT '{policy}' AS policy, edit_id, coalesce({rule}, false) AS allowed,
+       CASE WHEN {rule} THEN 'applied' ELSE '{"rejected" if policy.endswith("insert") else "no_rows"}' END AS outcome
+FROM callers""" for policy, rule in _POLICIES.items()), """
+callers AS (
+  SELECT x.edit_id, x.emp_id, 100000 + x.emp_id - x.edit_id % 2 AS viewer, e.id, e.role
+  FROM fx_profile_edits x LEFT JOIN fx_employees e ON e.auth_id = 100000 + x.emp_id - x.edit_id % 2)""")
+
 # Quality rules -------------------------------------------------------------------
 
 oracle("rule_violations", "fx_dirty_employees fx_dirty_progress fx_users", """
@@ -345,12 +386,12 @@ SELECT user_id AS auth_id, request_id, full_name, department, position, 'employe
        'Main site' AS work_location, 'pending' AS completion_status, 0 AS progress_pct,
        DATE '2026-01-01' AS start_date, TIMESTAMP '2026-01-01 00:00:00' AS created_at
 FROM decided WHERE reason IS NULL""", _onboarding("find_or_create"))
-oracle("new_codes", "fx_onboarding fx_employees fx_users", """
+oracle("new_codes", "fx_onboarding fx_employees fx_users", f"""
 SELECT q.request_id, c.employee_code
-FROM (SELECT request_id, row_number() OVER (ORDER BY md5(CAST(request_id AS VARCHAR) || 'codes'), request_id) AS place
-      FROM decided WHERE reason IS NULL) q
-JOIN (SELECT employee_code, row_number() OVER (ORDER BY md5(employee_code || 'codes'), employee_code) AS place
-      FROM (SELECT 'EMP' || CAST(range AS VARCHAR) AS employee_code FROM range(100000, 1000000))
+FROM (SELECT request_id, row_number() OVER (ORDER BY request_id) AS place FROM decided WHERE reason IS NULL) q
+JOIN (SELECT employee_code, row_number() OVER (ORDER BY step) AS place
+      FROM (SELECT range AS step, 'EMP' || CAST(100000 + (range * {onboarding.CODE_STRIDE}) % 900000 AS VARCHAR) AS employee_code
+            FROM range(900000))
       WHERE employee_code NOT IN (SELECT employee_code FROM fx_employees)) c
 ON c.place = q.place""", _onboarding("find_or_create"))
 oracle("sequential_ids", "fx_employees", """
@@ -418,6 +459,7 @@ FROM (
     UNION ALL SELECT request_id, 2, p2 FROM bodies WHERE has_list AND p2.name <> ''
     UNION ALL SELECT request_id, 3, p3 FROM bodies WHERE p3.name <> '') l ON l.request_id = r.request_id) b
 GROUP BY b.request_id""", BODIES)
+ORACLES["product_context_json"] = ORACLES["product_context"]
 oracle("product_blocks", "fx_product_requests fx_products", f"""
 SELECT request_id, position, product_id,
        CASE WHEN n > 1 THEN '--- Product ' || position || ': ' || p.name || ' ---' ELSE '--- Product: ' || p.name || ' ---' END
@@ -480,6 +522,12 @@ oracle("photo_prompt_rejects", "fx_check_requests fx_reference_photos", f"""
 SELECT request_id, {_quoted(checks.NO_REFERENCE)} AS reason FROM joined WHERE versus AND g_url IS NULL""",
        PROMPTS.format(description="'clean'"))
 
+oracle("reply_texts", "fx_attempts", "SELECT request_id, attempt_rank, trim(reply_text) AS reply_text FROM fx_attempts")
+ORACLES["attempt_problems"] = """
+SELECT l_orderkey AS request_id, CAST(l_linenumber - 1 AS BIGINT) AS attempt_rank, count(*) AS n_rows,
+       CASE WHEN l_linenumber > 5 THEN 'attempt_rank:range' ELSE 'request_id+attempt_rank:unique' END AS reason
+FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 OR l_linenumber > 5"""
+
 _FENCELESS = r"""trim(regexp_replace(regexp_replace(regexp_replace(trim(reply_text), '^```json\s*', '', 'i'), '^```\s*', ''), '```\s*$', ''))"""
 _NUMERIC = "('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT')"
 VERDICTS = f"""

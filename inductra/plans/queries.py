@@ -12,6 +12,7 @@ from inductra.functions.text import escape_html
 from inductra.operators import access, audit, checks, links, onboarding, people, progress, rules, tables
 from inductra.schemas import MODULES, ROLES, ROSTER_COLUMNS
 from inductra.session import run_folder
+from inductra.sources import tables as sources
 from inductra.sources.fixtures import fixture
 from inductra.streaming import streams
 
@@ -86,6 +87,21 @@ def progress_rejects(spark, sf):
     return unknown.select("employee_id", "module_id", "last_submission_id", "reason")
 
 
+@query
+def submission_rejects(spark, sf):
+    """Submissions that lack a required value, each with the first one missing."""
+    _, rejected = progress.complete_submissions(fixture(spark, sf, "fx_raw_submissions"))
+    return rejected.select("submission_id", "reason")
+
+
+@query
+def progress_out_of_range(spark, sf):
+    """With a catalogue of four modules most percentages pass 100 and are refused."""
+    saved = progress.module_progress(fixture(spark, sf, "fx_submissions"), with_answers=False)
+    _, refused = progress.in_range(progress.progress_pct(saved, fixture(spark, sf, "fx_employees"), total=4))
+    return refused.select("employee_id", "done", "progress_pct", "reason")
+
+
 # Reads ---------------------------------------------------------------------------
 
 
@@ -238,6 +254,32 @@ def audit_write(spark, sf):
     return audit.write_audit(entries, fixture(spark, sf, "fx_employees"))
 
 
+@query
+def audit_append(spark, sf):
+    """Two appends to a log on disk, read back with the day each entry is filed under."""
+    path = run_folder(spark, "audit-log")
+    actions = fixture(spark, sf, "fx_actions").withColumnsRenamed(
+        {"action_id": "id", "emp_id": "target_id", "acted_at": "created_at"}
+    )
+    entries = audit.write_audit(actions, fixture(spark, sf, "fx_employees"))
+    sources.append_audit(entries.filter(F.col("action") == "activate"), path)
+    sources.append_audit(entries.filter(F.col("action") != "activate"), path)
+    log = spark.read.parquet(path)
+    return log.select("id", "actor_id", "target_id", "action", F.col("audit_date").cast("date").alias("audit_date"))
+
+
+@query
+def snapshot_swap(spark, sf):
+    """Two versions of the employees table on disk; the reader follows the pointer to the second."""
+    root = run_folder(spark, "employees")
+    allowed, _, employees = _edits(spark, sf)
+    sources.write_snapshot(employees, root, "first", run_ts())
+    stored = sources.read_snapshot(spark, root)
+    later = run_ts() + F.expr("INTERVAL '1' DAY")
+    sources.write_snapshot(people.apply_profile_edits(stored, allowed, later), root, "second", later)
+    return sources.read_snapshot(spark, root).select("id", "full_name", "department", "start_date", "updated_at")
+
+
 # Deletion ------------------------------------------------------------------------
 
 
@@ -365,6 +407,21 @@ def write_authorised(spark, sf):
     )
 
 
+@query
+def write_policies(spark, sf):
+    """Every write policy against the same callers and owners."""
+    edits = fixture(spark, sf, "fx_profile_edits").select(
+        "edit_id", "emp_id", (100000 + F.col("emp_id") - F.col("edit_id") % 2).alias("viewer_auth_id")
+    )
+    employees = fixture(spark, sf, "fx_employees")
+    out = None
+    for table, action in access.WRITE_POLICIES:
+        judged = access.authorised(edits, employees, table, action, "emp_id")
+        part = judged.select(F.lit(f"{table}:{action}").alias("policy"), "edit_id", "allowed", "outcome")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # Quality rules -------------------------------------------------------------------
 
 
@@ -458,7 +515,7 @@ def check_request_decisions(spark, sf):
 @query
 def photo_decode(spark, sf):
     return checks.decode_photos(fixture(spark, sf, "fx_check_requests")).select(
-        "request_id", "mime_type", F.octet_length("photo").alias("n_bytes"), F.md5("photo").alias("md5")
+        "request_id", "mime_type", F.octet_length("photo").cast("bigint").alias("n_bytes"), F.md5("photo").alias("md5")
     )
 
 
@@ -484,6 +541,14 @@ def product_context(spark, sf):
     return checks.product_context(_bodies(spark, sf)).select("request_id", "context")
 
 
+@query
+def product_context_json(spark, sf):
+    """The same requests written as JSON bodies and read back."""
+    path = run_folder(spark, "bodies")
+    _bodies(spark, sf).write.json(path)
+    return checks.product_context(sources.read_requests(spark, path)).select("request_id", "context")
+
+
 @query
 def product_blocks(spark, sf):
     return checks.product_blocks(fixture(spark, sf, "fx_product_requests"), fixture(spark, sf, "fx_products"))
@@ -529,6 +594,24 @@ def photo_prompt_rejects(spark, sf):
     return rejected.select("request_id", "reason")
 
 
+@query
+def reply_texts(spark, sf):
+    """Reply texts taken out of raw response bodies."""
+    part = F.struct(F.array(F.struct(F.col("reply_text").alias("text"))).alias("parts"))
+    body = F.to_json(F.struct(F.array(F.struct(part.alias("content"))).alias("candidates")))
+    raw = fixture(spark, sf, "fx_attempts").select("request_id", "attempt_rank", body.alias("body"))
+    return sources.with_reply_text(raw).drop("body")
+
+
+@query
+def attempt_problems(spark, sf):
+    """Order lines read as attempts: line numbers past the model list, and repeated ones."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("request_id"), (F.col("l_linenumber") - 1).cast("bigint").alias("attempt_rank")
+    )
+    return checks.attempt_problems(lines)
+
+
 @query
 def verdicts(spark, sf):
     return checks.normalise_verdicts(fixture(spark, sf, "fx_attempts")).select(

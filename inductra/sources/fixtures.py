@@ -23,6 +23,12 @@ SELECT * FROM (VALUES
 SELECT e.event_id AS submission_id, e.user_id AS employee_id, m.module_id,
        e.props AS answers, e.event_type = 'purchase' AS completed, e.ts AS submitted_at
 FROM {events} e JOIN fx_catalogue m ON m.idx = CAST(FLOOR(hour(e.ts) / 2.0) AS INT)""",
+    "fx_raw_submissions": """
+SELECT submission_id, CASE WHEN submission_id % 31 = 0 THEN NULL ELSE employee_id END AS employee_id,
+       CASE WHEN submission_id % 37 = 0 THEN NULL ELSE module_id END AS module_id,
+       CASE WHEN submission_id % 41 = 0 THEN NULL ELSE answers END AS answers,
+       CASE WHEN submission_id % 43 = 0 THEN NULL ELSE completed END AS completed, submitted_at
+FROM fx_submissions""",
     "fx_employees": """
 SELECT c.c_custkey AS id,
        CASE WHEN c.c_acctbal >= 0 OR c.c_custkey % 50 = 0 THEN c.c_custkey + 100000 END AS auth_id,
