@@ -131,20 +131,32 @@ def own_rows(df: DataFrame, viewers: DataFrame, employees: DataFrame, table: str
     return df.join(mine, df[owner] == mine["viewer_id"]).drop("viewer_id")
 
 
-def authorised(changes: DataFrame, employees: DataFrame, table: str, action: str, owner: str) -> DataFrame:
-    """``changes`` with ``allowed`` and ``outcome``.
+def write_test(table: str, action: str, owner: str) -> tuple[Column, Column]:
+    """(allowed, outcome) for changes joined with their caller's identity.
 
-    ``changes`` carries ``viewer_auth_id``. A refused insert is an error; a refused
-    update or delete touches no row.
+    A refused insert is an error; a refused update or delete touches no row.
     """
     roles, own = WRITE_POLICIES[(table, action)]
-    who = viewer_identity(changes, employees)
-    mine = F.coalesce(F.col("viewer_id") == F.col(owner), F.lit(False)) if own else F.lit(False)
     if roles == ANYONE:
         allowed = F.col("viewer_auth_id").isNotNull()
     else:
+        mine = F.coalesce(F.col("viewer_id") == F.col(owner), F.lit(False)) if own else F.lit(False)
         allowed = has_role(F.col("viewer_role"), roles) | mine
     refused = "rejected" if action == "insert" else "no_rows"
-    return who.withColumn("allowed", allowed).withColumn(
-        "outcome", F.when(F.col("allowed"), "applied").otherwise(refused)
-    )
+    return allowed, F.when(allowed, "applied").otherwise(refused)
+
+
+def authorised(changes: DataFrame, employees: DataFrame, table: str, action: str, owner: str) -> DataFrame:
+    """``changes`` (with ``viewer_auth_id``) plus ``allowed`` and ``outcome``."""
+    allowed, outcome = write_test(table, action, owner)
+    return viewer_identity(changes, employees).withColumns({"allowed": allowed, "outcome": outcome})
+
+
+def authorised_each(changes: DataFrame, employees: DataFrame, owner: str) -> DataFrame:
+    """``changes`` under every write policy, one row per policy, after a single join."""
+    tests = []
+    for table, action in WRITE_POLICIES:
+        allowed, outcome = write_test(table, action, owner)
+        tests.append(F.struct(F.lit(f"{table}:{action}").alias("policy"), allowed.alias("allowed"), outcome.alias("outcome")))
+    who = viewer_identity(changes, employees).withColumn("_test", F.explode(F.array(*tests)))
+    return who.select(*changes.columns, "_test.*")

@@ -26,15 +26,16 @@ CODE_STRIDE = 611_953
 MODES = ("find_or_create", "must_exist", "create_always")
 
 
-def onboard(
+def judge_requests(
     requests: DataFrame, users: DataFrame, employees: DataFrame, mode: str = "find_or_create"
-) -> tuple[DataFrame, DataFrame]:
-    """Judge a batch of requests for new employees; (accepted, rejected).
+) -> DataFrame:
+    """Requests for new employees with ``email_key``, ``user_id`` and ``reason``.
 
     ``find_or_create`` takes the user with the e-mail or makes one, ``must_exist`` needs
     one, ``create_always`` makes one without looking. A user has one employee: a request
     for a linked user is refused, and of several requests with one e-mail the smallest
-    request id wins. Accepted rows carry ``user_id``, NULL where a user is to be made.
+    request id wins. ``reason`` is NULL for accepted rows; their ``user_id`` is NULL where
+    a user is to be made.
 
     All that depends on the e-mail sits in one lookup with a row per e-mail, so requests
     are joined once, and an e-mail repeated many times is never gathered in one group.
@@ -53,8 +54,15 @@ def onboard(
         judged = judged.withColumns({"reason": F.col("_early"), "user_id": F.lit(None).cast("bigint")})
     else:
         judged = _judge_by_email(judged, users, employees, mode)
-    kept = [*requests.columns, "email_key", "user_id", "reason"]
-    judged = judged.withColumnRenamed("viewer_auth_id", "actor_auth_id").select(*kept)
+    judged = judged.withColumnRenamed("viewer_auth_id", "actor_auth_id")
+    return judged.select(*requests.columns, "email_key", "user_id", "reason")
+
+
+def onboard(
+    requests: DataFrame, users: DataFrame, employees: DataFrame, mode: str = "find_or_create"
+) -> tuple[DataFrame, DataFrame]:
+    """``judge_requests`` split into (accepted, rejected)."""
+    judged = judge_requests(requests, users, employees, mode)
     return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
 
 

@@ -31,16 +31,13 @@ def judge_edits(edits: DataFrame, employees: DataFrame) -> tuple[DataFrame, Data
     ``allowed`` still holds edits of unknown employees, which the operators below drop in
     a join they need anyway; a join here would meet a hot employee before it is split.
     """
-    known = employees.select(F.col("id").alias("emp_id"))
+    known = employees.select(F.col("id").alias("emp_id"), F.lit(True).alias("_known"))
     by_actor = edits.withColumnRenamed("actor_auth_id", "viewer_auth_id")
     who = by_actor.join(administrators(employees), "viewer_auth_id", "left")
     may = F.col("viewer_id").isNotNull()
-    allowed, denied = who.filter(may), who.filter(~may)
-    unknown = allowed.join(known, "emp_id", "left_anti")
-    rejected = denied.withColumn("reason", F.lit(DENIED)).unionByName(
-        unknown.withColumn("reason", F.lit("emp_id:foreign_key"))
-    )
-    return allowed, rejected
+    reason = F.when(~may, DENIED).when(F.col("_known").isNull(), "emp_id:foreign_key")
+    rejected = who.join(known, "emp_id", "left").withColumn("reason", reason).drop("_known")
+    return who.filter(may), rejected.filter(F.col("reason").isNotNull())
 
 
 def edit_audit(allowed: DataFrame, employees: DataFrame, hot_rows: int | None = None) -> DataFrame:

@@ -413,13 +413,8 @@ def write_policies(spark, sf):
     edits = fixture(spark, sf, "fx_profile_edits").select(
         "edit_id", "emp_id", (100000 + F.col("emp_id") - F.col("edit_id") % 2).alias("viewer_auth_id")
     )
-    employees = fixture(spark, sf, "fx_employees")
-    out = None
-    for table, action in access.WRITE_POLICIES:
-        judged = access.authorised(edits, employees, table, action, "emp_id")
-        part = judged.select(F.lit(f"{table}:{action}").alias("policy"), "edit_id", "allowed", "outcome")
-        out = part if out is None else out.unionByName(part)
-    return out
+    judged = access.authorised_each(edits, fixture(spark, sf, "fx_employees"), "emp_id")
+    return judged.select("policy", "edit_id", "allowed", "outcome")
 
 
 # Quality rules -------------------------------------------------------------------
@@ -452,10 +447,10 @@ def _onboard(spark, sf, mode):
 
 
 def _decisions(spark, sf, mode):
-    accepted, rejected = _onboard(spark, sf, mode)
-    columns = ["request_id", "email_key", "user_id", "reason"]
-    none = F.lit(None).cast("string").alias("reason")
-    return accepted.select(*columns[:3], none).unionByName(rejected.select(*columns))
+    judged = onboarding.judge_requests(
+        fixture(spark, sf, "fx_onboarding"), fixture(spark, sf, "fx_users"), fixture(spark, sf, "fx_employees"), mode
+    )
+    return judged.select("request_id", "email_key", "user_id", "reason")
 
 
 @query
