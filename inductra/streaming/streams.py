@@ -37,8 +37,10 @@ def progress_stream(submissions: DataFrame, path: str, checkpoint: str, **trigge
     """Keep module progress up to date from a stream of submissions.
 
     Same fold as the batch operator, so the result does not depend on arrival order.
-    State is one row per (employee, module). Each micro-batch writes only the rows it
-    changed, into a folder named by its id: a replayed batch replaces its own folder.
+    State is one row per (employee, module), kept without a watermark as any of them may
+    change again; a cluster with much staff sets the RocksDB state store. Each micro-batch
+    writes only the rows it changed, into a folder named by its id: a replayed batch
+    replaces its own folder.
     """
     def write_changes(changes: DataFrame, batch_id: int) -> None:
         changes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -47,12 +49,20 @@ def progress_stream(submissions: DataFrame, path: str, checkpoint: str, **trigge
     return query.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def current_progress(spark: SparkSession, path: str) -> DataFrame:
-    """The progress table from the change folders: per key, the row of the last batch."""
-    changes = spark.read.parquet(path)
+def current_progress(
+    spark: SparkSession, path: str, snapshot: DataFrame | None = None, after: int = -1
+) -> DataFrame:
+    """The progress table from the change folders: per key, the row of the last batch.
+
+    Change rows are complete, so a stored result of all batches up to ``after`` can stand
+    in for their folders; only later folders are read then.
+    """
+    changes = spark.read.parquet(path).filter(F.col("batch") > after)
     kept = [c for c in changes.columns if c not in (*KEY, "batch")]
-    last = changes.groupBy(*KEY).agg(F.max_by(F.struct(*kept), "batch").alias("_row"))
-    return last.select(*KEY, "_row.*")
+    if snapshot is not None:
+        changes = changes.unionByName(snapshot.withColumn("batch", F.lit(after)))
+    last = changes.groupBy(*KEY).agg(F.max(F.struct("batch", *kept)).alias("_row"))
+    return last.select(*KEY, *[F.col(f"_row.{c}") for c in kept])
 
 
 def audit_stream(entries: DataFrame, path: str, checkpoint: str, late: str = "1 hour", **trigger) -> StreamingQuery:

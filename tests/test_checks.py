@@ -1,6 +1,7 @@
 import base64
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,34 @@ def test_json_kind_agrees_with_a_strict_parser(spark):
     assert got == want
 
 
+def strict_kind(value):
+    def refuse(_):
+        raise ValueError
+
+    try:
+        parsed = json.loads(value, parse_constant=refuse)
+    except ValueError:
+        return "invalid"
+    return "null" if parsed is None else "object" if isinstance(parsed, dict) else "other"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_json_kind_on_damaged_replies(spark, seed):
+    rng = random.Random(seed)
+    values = []
+    for _ in range(1500):
+        value = rng.choice([*VALID, '{"verdict":"pass","confidence":0.25,"explanation":"a, {b} [c]"}']).strip()
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(value) + 1)
+            piece = rng.choice(["", "", *'{}[],:"\'\\01.e-+ ntf', "null", "\\u00", '"a":'])
+            value = value[:i] + piece + value[i + rng.randrange(2):]
+        values.append(value.strip())
+    kind = lambda c: replies.json_kind(c, replies.parse_fields(c, "verdict", "a"))
+    got = apply(spark, kind, *values)
+    wrong = [(v, g, strict_kind(v)) for v, g in zip(values, got) if g != strict_kind(v)]
+    assert not wrong, wrong[:10]
+
+
 def test_reply_text_of_a_response_body(spark):
     body = json.dumps({"candidates": [{"content": {"parts": [{"text": " hi "}]}}]})
     assert apply(spark, replies.reply_text, body, "{}", None) == [" hi ", None, None]

@@ -111,6 +111,26 @@ def test_progress_stream_equals_the_batch_in_any_arrival_order(spark, run_dir):
     assert rows_of(got.select(batch.columns)) == rows_of(batch)
 
 
+def test_progress_stream_goes_on_after_a_stop(spark, run_dir):
+    start = datetime(2024, 3, 1)
+    rows = [(i, start + timedelta(minutes=37 * i), i % 3, "purchase" if i % 4 else "view", 1.0, f"a{i}") for i in range(60)]
+    def run():
+        stream = streams.submissions_of(streams.event_stream(spark, run_dir, files_per_batch=1))
+        streams.progress_stream(stream, run_dir + "/out", run_dir + "/ck").awaitTermination()
+
+    write_events(spark, rows[30:], run_dir, 2)
+    run()
+    early = streams.current_progress(spark, run_dir + "/out")
+    sources.write_snapshot(early, run_dir + "/snap", "one", F.lit("2024-01-01").cast("timestamp_ntz"))
+    last = spark.read.parquet(run_dir + "/out").agg(F.max("batch")).first()[0]
+    write_events(spark, rows[:30], run_dir, 2)
+    run()
+    batch = progress.module_progress(streams.submissions_of(spark.read.parquet(run_dir + "/events.parquet")))
+    assert rows_of(streams.current_progress(spark, run_dir + "/out").select(batch.columns)) == rows_of(batch)
+    rolled = streams.current_progress(spark, run_dir + "/out", sources.read_snapshot(spark, run_dir + "/snap"), last)
+    assert rows_of(rolled.select(batch.columns)) == rows_of(batch)
+
+
 def test_audit_stream_writes_each_id_once(spark, run_dir):
     start = datetime(2024, 3, 1, 23, 30)
     rows = [(i % 20, start + timedelta(minutes=2 * (i % 20)), 1, "view", 1.0, "{}") for i in range(40)]
