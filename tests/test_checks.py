@@ -2,6 +2,7 @@ import base64
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,6 +241,51 @@ def test_verdicts(spark):
     assert out[99].reply_status == "failed"
 
 
+def plain_verdict(value):
+    """One reply, read step by step without Spark."""
+    raw = value.strip()
+    raw = re.sub(r"\A```json\s*", "", raw, flags=re.I)
+    raw = re.sub(r"\A```\s*", "", raw)
+    raw = re.sub(r"```\s*\Z", "", raw).strip()
+    kind = strict_kind(raw)
+    if kind == "null":
+        return ("failed", None, None, None)
+    if kind == "invalid":
+        verdict = re.search(r'"verdict"\s*:\s*"(pass|fail|uncertain)"', raw, re.I)
+        reason = re.search(r'"explanation"\s*:\s*"([^"]+)"', raw)
+        if not verdict:
+            return ("failed", None, None, None)
+        return ("salvaged", verdict[1].lower(), None, reason[1] if reason else "")
+    fields = json.loads(raw) if kind == "object" else {}
+    verdict, confidence, reason = (fields.get(k) for k in ("verdict", "confidence", "explanation"))
+    number = isinstance(confidence, (int, float)) and not isinstance(confidence, bool)
+    return (
+        "parsed",
+        verdict if verdict in ("pass", "fail", "uncertain") else "uncertain",
+        max(0.0, min(1.0, float(confidence))) if number else None,
+        reason if isinstance(reason, str) else "",
+    )
+
+
+def damaged(rng, texts, pieces):
+    value = rng.choice(texts)
+    for _ in range(rng.randrange(4)):
+        i = rng.randrange(len(value) + 1)
+        value = value[:i] + rng.choice(pieces) + value[i + rng.randrange(2):]
+    return value
+
+
+def test_verdicts_of_damaged_replies(spark):
+    rng = random.Random(11)
+    pieces = ["", "", *'{}",: \n1.-', "```", "```json ", '"verdict":"fail"', '"explanation": "why"', "null", '"confidence":2']
+    values = [damaged(rng, list(CASES), pieces) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, reply_text string")
+    out = by(checks.normalise_verdicts(df), "i")
+    got = [(out[i].reply_status, out[i].verdict, out[i].confidence, out[i].explanation) for i in range(len(values))]
+    wrong = [(v, g, plain_verdict(v)) for v, g in zip(values, got) if g != plain_verdict(v)]
+    assert not wrong, wrong[:5]
+
+
 MATCHES = {
     '{"match":true,"index":1,"confidence":0.9}': ("parsed", 11, 0.9),
     '{"match":true,"index":2,"confidence":0.35}': ("parsed", 12, 0.35),
