@@ -25,10 +25,14 @@ def reply_text(body: Column | str) -> Column:
 
 
 def _is_one_value(raw: Column) -> Column:
-    """No text after the value: a stray ``]`` breaks the first wrapper, a stray ``}`` the second."""
-    in_list = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]")))
-    in_object = F.json_array_length(F.concat(F.lit('[{"v":'), raw, F.lit("}]")))
-    return F.coalesce((in_list == 1) & (in_object == 1), F.lit(False))
+    """No text after the value.
+
+    Between brackets the text must be a list of one; a stray ``]`` could close that list
+    early, so text with a ``]`` must also pass inside an object, where it would break.
+    """
+    in_list = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1
+    in_object = F.json_array_length(F.concat(F.lit('[{"v":'), raw, F.lit("}]"))) == 1
+    return F.coalesce(in_list & (~raw.contains("]") | in_object), F.lit(False))
 
 
 def parse_fields(raw: Column | str, *fields: str) -> Column:

@@ -7,9 +7,10 @@ unequal; that accident is not kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from inductra.operators.tables import roster
 from inductra.schemas import ADMIN_ROLE, MANAGER_ROLES
 
 ANYONE = ("*",)
@@ -76,6 +77,12 @@ def viewer_identity(viewers: DataFrame, employees: DataFrame) -> DataFrame:
     return viewers.join(identities(employees), "viewer_auth_id", "left")
 
 
+def _lookup_viewer(employees: DataFrame, viewer_auth_id) -> Row | None:
+    """Id and role behind one account: at most one row comes to the driver."""
+    mine = employees.filter(F.col("auth_id") == F.lit(viewer_auth_id)).orderBy("id").select("id", "role").limit(1)
+    return mine.first()
+
+
 def visible(df: DataFrame, employees: DataFrame, viewer_auth_id, table: str) -> DataFrame:
     """The rows one viewer may read.
 
@@ -83,17 +90,23 @@ def visible(df: DataFrame, employees: DataFrame, viewer_auth_id, table: str) ->
     that is pushed into the scan.
     """
     all_roles, own = READ_POLICIES[table]
-    me = (
-        employees.filter(F.col("auth_id") == F.lit(viewer_auth_id)).orderBy("id").select("id", "role").limit(1).collect()
-    )
-    if me and me[0]["role"] in all_roles:
+    me = _lookup_viewer(employees, viewer_auth_id)
+    if me and me["role"] in all_roles:
         return df
     owner = "id" if table == "employees" else "employee_id"
     if me and own:
-        return df.filter(F.col(owner) == F.lit(me[0]["id"]))
+        return df.filter(F.col(owner) == F.lit(me["id"]))
     return df.filter(F.lit(False))
 
 
+def dashboard(employees: DataFrame, viewer_auth_id) -> DataFrame:
+    """The roster for one viewer, who has to be a manager; others are refused, not filtered."""
+    me = _lookup_viewer(employees, viewer_auth_id)
+    if not me or me["role"] not in MANAGER_ROLES:
+        raise PermissionError("Permission denied")
+    return roster(employees)
+
+
 def read_scopes(viewers: DataFrame, employees: DataFrame, table: str) -> DataFrame:
     """Per viewer: ``all``, ``own`` or ``none``."""
     all_roles, own = READ_POLICIES[table]
@@ -157,6 +170,7 @@ def authorised_each(changes: DataFrame, employees: DataFrame, owner: str) -> Dat
     tests = []
     for table, action in WRITE_POLICIES:
         allowed, outcome = write_test(table, action, owner)
-        tests.append(F.struct(F.lit(f"{table}:{action}").alias("policy"), allowed.alias("allowed"), outcome.alias("outcome")))
+        policy = F.lit(f"{table}:{action}")
+        tests.append(F.struct(policy.alias("policy"), allowed.alias("allowed"), outcome.alias("outcome")))
     who = viewer_identity(changes, employees).withColumn("_test", F.explode(F.array(*tests)))
     return who.select(*changes.columns, "_test.*")

@@ -27,7 +27,8 @@ def in_domain(column: str, values: tuple[str, ...]) -> tuple[str, Column]:
 def row_violations(df: DataFrame, key: str, rules: list[tuple[str, Column]]) -> DataFrame:
     """All row rules in one narrow pass."""
     broken = F.array_compact(F.array(*[F.when(failed, F.lit(name)) for name, failed in rules]))
-    return df.select(F.explode(broken).alias("rule"), F.col(key).cast("string").alias("row_key"), F.lit(1).cast("bigint").alias("n_rows"))
+    one = F.lit(1).cast("bigint")
+    return df.select(F.explode(broken).alias("rule"), F.col(key).cast("string").alias("row_key"), one.alias("n_rows"))
 
 
 def _key_text(keys: list[str]) -> Column:

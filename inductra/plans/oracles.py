@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inductra.operators import checks, onboarding, people
+from inductra.operators import checks, onboarding
 from inductra.sources.fixtures import duckdb_ctes
 
 ORACLES: dict[str, str] = {}
@@ -39,8 +39,11 @@ for name in ("module_progress_upsert", "module_progress_merge", "progress_stream
     oracle(name, "fx_submissions", "SELECT * FROM progress", PROGRESS)
 
 for name, rule in {
-    "progress_status": "WHEN p.pct = 0 THEN 'pending' WHEN e.completion_status = 'completed' THEN 'completed' ELSE 'in_progress'",
-    "progress_status_regressing": "WHEN p.pct = 0 THEN 'pending' WHEN p.pct = 100 AND e.completion_status = 'completed' THEN 'completed' WHEN p.pct > 0 THEN 'in_progress' ELSE 'pending'",
+    "progress_status": """
+            WHEN p.pct = 0 THEN 'pending' WHEN e.completion_status = 'completed' THEN 'completed' ELSE 'in_progress'""",
+    "progress_status_regressing": """
+            WHEN p.pct = 0 THEN 'pending' WHEN p.pct = 100 AND e.completion_status = 'completed' THEN 'completed'
+            WHEN p.pct > 0 THEN 'in_progress' ELSE 'pending'""",
 }.items():
     oracle(name, "fx_submissions fx_employees", f"""
 SELECT e.id AS employee_id, coalesce(p.done, 0) AS done, coalesce(p.pct, e.progress_pct) AS progress_pct,
@@ -91,6 +94,9 @@ _ROSTER = """id, employee_code, full_name, phone, age, work_location, department
        start_date, induction_date, completion_status, completion_date, progress_pct,
        employee_signature, supervisor_name, supervisor_signature"""
 oracle("dashboard_roster", "fx_employees", f"SELECT {_ROSTER} FROM fx_employees ORDER BY created_at DESC, id")
+oracle("dashboard_for_manager", "fx_employees", f"""
+SELECT {_ROSTER} FROM fx_employees
+WHERE EXISTS (SELECT 1 FROM fx_employees m WHERE m.auth_id = 100050 AND m.role IN ('locationManager', 'sysAdmin'))""")
 oracle("dashboard_json", "fx_employees", f"""
 SELECT r.id, CAST(to_json(r) AS VARCHAR) AS value FROM (SELECT {_ROSTER} FROM fx_employees) r""")
 oracle("roster_by_role", "fx_employees", """

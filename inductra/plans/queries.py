@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inductra.functions.labels import date_label, new_role, old_role, role_label, short_date, status_label
 from inductra.functions.text import escape_html
 from inductra.operators import access, audit, checks, links, onboarding, people, progress, rules, tables
-from inductra.schemas import MODULES, ROLES, ROSTER_COLUMNS
+from inductra.schemas import MODULES, ROLES
 from inductra.session import run_folder
 from inductra.sources import tables as sources
 from inductra.sources.fixtures import fixture
@@ -132,6 +132,12 @@ def dashboard_roster(spark, sf):
     return tables.roster(fixture(spark, sf, "fx_employees"))
 
 
+@query
+def dashboard_for_manager(spark, sf):
+    """The roster as one location manager asks for it."""
+    return access.dashboard(fixture(spark, sf, "fx_employees"), 100050)
+
+
 @query
 def dashboard_json(spark, sf):
     return tables.roster_json(fixture(spark, sf, "fx_employees"))
@@ -400,7 +406,10 @@ def progress_seen_by_manager(spark, sf):
 @query
 def write_authorised(spark, sf):
     edits = fixture(spark, sf, "fx_profile_edits").select(
-        "edit_id", "emp_id", F.when(F.col("edit_id") % 2 == 0, F.col("actor_auth_id")).otherwise(F.col("emp_id") + 100000).alias("viewer_auth_id")
+        "edit_id", "emp_id",
+        F.when(F.col("edit_id") % 2 == 0, F.col("actor_auth_id"))
+        .otherwise(F.col("emp_id") + 100000)
+        .alias("viewer_auth_id"),
     )
     return access.authorised(edits, fixture(spark, sf, "fx_employees"), "employees", "update", "emp_id").select(
         "edit_id", "viewer_role", "allowed", "outcome"

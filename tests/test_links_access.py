@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inductra.operators import access, links, onboarding, rules, tables
-from inductra.schemas import MODULES, ROLES
+from inductra.schemas import MODULES, ROLES, ROSTER_COLUMNS
 
 from conftest import by
 
@@ -122,6 +122,16 @@ def test_rows_of_one_viewer(spark, employees, viewer, ids):
     assert sorted(by(access.visible(employees, employees, viewer, "employees"), "id")) == ids
 
 
+def test_dashboard_is_for_managers(spark, users):
+    from inductra.sources.fixtures import fixture
+
+    staff = fixture(spark, "/root/testdata/sf0.001", "fx_employees")
+    assert access.dashboard(staff, 100050).columns == list(ROSTER_COLUMNS)
+    for viewer in (100001, -5, None):
+        with pytest.raises(PermissionError):
+            access.dashboard(staff, viewer)
+
+
 def test_own_rows_leave_managers_out(spark, employees):
     progress = frame(spark, [(1, "a"), (3, "b"), (4, "a")], "employee_id bigint, module_id string")
     out = access.own_rows(progress, viewers(spark), employees, "module_progress", "employee_id")
