@@ -21,9 +21,22 @@ SLICE = "_slice"
 HOT_ROWS_SETTING = "spark.inductra.hotRows"
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 10_000
+
+# More than the number of different 64-bit ids, so ids never reach into the time.
+ID_SPAN = 2 * 10**19
 MAX_SLICES = 20_000
 
 
+def order_number(at: str, row_id: str) -> Column:
+    """One decimal that orders rows by time, then by a 64-bit id.
+
+    An aggregate over it has a fixed-width buffer and stays a hash aggregate, where a
+    maximum over a (time, id) struct would sort all rows first.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp")).cast("decimal(38,0)")
+    return (micros * F.expr(f"{ID_SPAN}BD") + F.col(row_id)).cast("decimal(38,0)")
+
+
 def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Key equality in which NULL matches NULL."""
     condition = F.lit(True)

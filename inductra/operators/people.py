@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inductra.functions.text import blank_to_null, trim_all
 from inductra.operators.access import administrators, has_role
 from inductra.operators.audit import to_json_object
-from inductra.operators.ordered import previous_value
+from inductra.operators.ordered import order_number, previous_value
 from inductra.operators.tables import merge_snapshot
 from inductra.schemas import PROFILE_FIELDS
 
@@ -142,12 +142,14 @@ def induction_state(events: DataFrame) -> DataFrame:
     """Older portal: each employee's induction record after all start and complete events."""
     acts = events.filter(F.col("action").isin("start", "complete"))
     done = F.col("action") == "complete"
+    order = order_number("happened_at", "event_id")
     folded = acts.groupBy("employee_id").agg(
-        F.max_by("action", F.struct("happened_at", "event_id")).alias("_last"),
+        F.max(order).alias("_last"),
+        F.max(F.when(done, order)).alias("_last_done"),
         F.bool_or(done).alias("declaration_accepted"),
         F.max(F.when(done, F.col("happened_at"))).alias("completed_at"),
     )
-    last_done = F.col("_last") == "complete"
+    last_done = F.coalesce(F.col("_last") == F.col("_last_done"), F.lit(False))
     return folded.select(
         "employee_id",
         F.when(last_done, "completed").otherwise("in_progress").alias("status"),
@@ -161,15 +163,20 @@ def induction_state(events: DataFrame) -> DataFrame:
 
 def employee_actions(employees: DataFrame, actions: DataFrame, default_status: str = "invited") -> DataFrame:
     """Older portal: activate, set inactive, delete. A deletion is final."""
-    status = F.when(F.col("action") == "activate", "active").otherwise("inactive")
-    deleted = F.col("action") == "delete"
+    order = order_number("acted_at", "action_id")
     folded = actions.groupBy(F.col("emp_id").alias("id")).agg(
-        F.bool_or(deleted).alias("_deleted"),
-        F.max_by(status, F.struct("acted_at", "action_id")).alias("_status"),
+        F.bool_or(F.col("action") == "delete").alias("_deleted"),
+        F.max(order).alias("_last"),
+        F.max(F.when(F.col("action") == "activate", order)).alias("_last_active"),
     )
     joined = employees.join(folded, "id", "left")
     left = joined.filter(~F.coalesce("_deleted", F.lit(False)))
-    return left.withColumn("status", F.coalesce("_status", F.lit(default_status))).drop("_deleted", "_status")
+    status = (
+        F.when(F.col("_last").isNull(), default_status)
+        .when(F.col("_last") == F.col("_last_active"), "active")
+        .otherwise("inactive")
+    )
+    return left.withColumn("status", status).drop("_deleted", "_last", "_last_active")
 
 
 def create_from_forms(forms: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inductra.operators.ordered import order_number
 from inductra.schemas import MODULES
 
 KEY = ("employee_id", "module_id")
@@ -26,19 +27,16 @@ def complete_submissions(submissions: DataFrame, required: tuple[str, ...] = REQ
     return accepted, submissions.filter(lacking).withColumn("reason", reason)
 
 
-def module_progress(
-    submissions: DataFrame, snapshot: DataFrame | None = None, with_answers: bool = True
-) -> DataFrame:
+def module_progress(submissions: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     """Net effect of saving every submission, one row per (employee, module).
 
     The last submission decides answers and completed; the first completion stays as
     ``completed_at`` even if a later submission takes the completion back. The fold does
     not depend on arrival order, and a stored result can be passed back as ``snapshot``.
     Aggregates are partial before the shuffle, so a busy employee is combined map-side.
-    The last row is one struct maximum, which sorts each row once; without ``answers``
-    their wide text is not read at all.
+    The last row is one struct maximum, so each row is sorted once.
     """
-    carried = ["completed", "answers"] if with_answers else ["completed"]
+    carried = ["completed", "answers"]
     rows = submissions.select(
         *KEY, *carried, "submitted_at", "submission_id",
         F.when(F.col("completed"), F.col("submitted_at")).alias("completed_at"),
@@ -57,12 +55,25 @@ def module_progress(
         F.min("created_at").alias("created_at"),
     )
     return folded.select(
-        *KEY, *[F.col(f"_last.{c}") for c in reversed(carried)], "completed_at", "created_at",
+        *KEY, "_last.answers", "_last.completed", "completed_at", "created_at",
         F.col("_last.submitted_at").alias("updated_at"),
         F.col("_last.submission_id").alias("last_submission_id"),
     )
 
 
+def completion_flags(submissions: DataFrame) -> DataFrame:
+    """Only whether each (employee, module) is completed, as the last submission says.
+
+    Answers are not read, and the buffers have fixed width, so this is a hash aggregate.
+    """
+    order = order_number("submitted_at", "submission_id")
+    rows = submissions.select(*KEY, "completed", order.alias("_order"))
+    folded = rows.groupBy(*KEY).agg(
+        F.max("_order").alias("_last"), F.max(F.when(F.col("completed"), F.col("_order"))).alias("_last_done")
+    )
+    return folded.select(*KEY, F.coalesce(F.col("_last") == F.col("_last_done"), F.lit(False)).alias("completed"))
+
+
 def known_employees_only(progress: DataFrame, employees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split progress rows by whether their employee exists.
 

@@ -40,14 +40,17 @@ def _progress(spark: SparkSession, sf: str) -> DataFrame:
     return progress.module_progress(accepted)
 
 
-def _status(spark: SparkSession, sf: str, rule: str) -> DataFrame:
-    """Status needs no answers, so they are neither read nor shuffled."""
-    employees = fixture(spark, sf, "fx_employees")
+def _flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Completion per (employee, module), without reading the answers."""
     accepted, _ = progress.complete_submissions(
         fixture(spark, sf, "fx_submissions"), (*progress.KEY, "completed")
     )
-    saved = progress.module_progress(accepted, with_answers=False)
-    fine, _ = progress.in_range(progress.progress_pct(saved, employees))
+    return progress.completion_flags(accepted)
+
+
+def _status(spark: SparkSession, sf: str, rule: str) -> DataFrame:
+    employees = fixture(spark, sf, "fx_employees")
+    fine, _ = progress.in_range(progress.progress_pct(_flags(spark, sf), employees))
     return progress.completion_status(fine, rule)
 
 
@@ -97,8 +100,7 @@ def submission_rejects(spark, sf):
 @query
 def progress_out_of_range(spark, sf):
     """With a catalogue of four modules most percentages pass 100 and are refused."""
-    saved = progress.module_progress(fixture(spark, sf, "fx_submissions"), with_answers=False)
-    _, refused = progress.in_range(progress.progress_pct(saved, fixture(spark, sf, "fx_employees"), total=4))
+    _, refused = progress.in_range(progress.progress_pct(_flags(spark, sf), fixture(spark, sf, "fx_employees"), total=4))
     return refused.select("employee_id", "done", "progress_pct", "reason")
 
 
@@ -308,7 +310,7 @@ def delete_rejects(spark, sf):
 
 @query
 def delete_progress(spark, sf):
-    left = _deletion(spark, sf).remaining_progress(_progress(spark, sf))
+    left = _deletion(spark, sf).remaining_progress(_flags(spark, sf))
     return left.select("employee_id", "module_id", "completed")
 
 
@@ -377,7 +379,7 @@ def visible_employees(spark, sf):
 def visible_progress(spark, sf):
     employees = fixture(spark, sf, "fx_employees")
     return access.visible_counts(
-        _progress(spark, sf), fixture(spark, sf, "fx_viewers"), employees, "module_progress", "employee_id"
+        _flags(spark, sf), fixture(spark, sf, "fx_viewers"), employees, "module_progress", "employee_id"
     )
 
 
@@ -392,14 +394,14 @@ def visible_audit(spark, sf):
 @query
 def own_progress_rows(spark, sf):
     employees = fixture(spark, sf, "fx_employees")
-    rows = _progress(spark, sf).select("employee_id", "module_id", "completed")
+    rows = _flags(spark, sf)
     return access.own_rows(rows, fixture(spark, sf, "fx_viewers"), employees, "module_progress", "employee_id")
 
 
 @query
 def progress_seen_by_manager(spark, sf):
     """Everything one location manager may read."""
-    rows = _progress(spark, sf).select("employee_id", "module_id", "completed")
+    rows = _flags(spark, sf)
     return access.visible(rows, fixture(spark, sf, "fx_employees"), 100050, "module_progress")
 
 

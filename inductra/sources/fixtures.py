@@ -22,7 +22,7 @@ SELECT * FROM (VALUES
     "fx_submissions": """
 SELECT e.event_id AS submission_id, e.user_id AS employee_id, m.module_id,
        e.props AS answers, e.event_type = 'purchase' AS completed, e.ts AS submitted_at
-FROM {events} e JOIN fx_catalogue m ON m.idx = CAST(FLOOR(hour(e.ts) / 2.0) AS INT)""",
+FROM {events} e JOIN fx_catalogue m ON m.idx = CAST((hour(e.ts) - hour(e.ts) % 2) / 2 AS INT)""",
     "fx_raw_submissions": """
 SELECT submission_id, CASE WHEN submission_id % 31 = 0 THEN NULL ELSE employee_id END AS employee_id,
        CASE WHEN submission_id % 37 = 0 THEN NULL ELSE module_id END AS module_id,
@@ -121,7 +121,7 @@ FROM fx_employees""",
     "fx_dirty_progress": """
 SELECT event_id AS id, CASE WHEN event_type = 'error' AND value > 150 THEN -user_id - 1 ELSE user_id END AS employee_id,
        CASE WHEN value > 250 THEN 'unlisted' ELSE m.module_id END AS module_id
-FROM {events} e JOIN fx_catalogue m ON m.idx = CAST(FLOOR(hour(e.ts) / 2.0) AS INT)""",
+FROM {events} e JOIN fx_catalogue m ON m.idx = CAST((hour(e.ts) - hour(e.ts) % 2) / 2 AS INT)""",
     "fx_products": """
 SELECT p_partkey AS id, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_name END AS name,
        CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END AS category, p_brand AS description,
@@ -140,7 +140,7 @@ SELECT p_partkey AS request_id,
        CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE lower(p_name) END AS single_name
 FROM {part}""",
     "fx_attempts": """
-SELECT CAST(FLOOR(event_id / 5.0) AS BIGINT) AS request_id, event_id % 5 AS attempt_rank,
+SELECT CAST((event_id - event_id % 5) / 5 AS BIGINT) AS request_id, event_id % 5 AS attempt_rank,
        'model-' || CAST(event_id % 5 AS STRING) AS model,
        event_type <> 'error' AND event_id % 4 <> 0 AS ok,
        CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 4 = 0 THEN 429 ELSE 200 END AS status,

@@ -64,6 +64,16 @@ def append_audit(entries: DataFrame, path: str) -> None:
     dated.hint("rebalance", "audit_date").write.mode("append").partitionBy("audit_date").parquet(path)
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
+    """Store a table in buckets of ``key``, at ``path``.
+
+    Employees and their progress, bucketed alike by employee, are joined and folded
+    without a shuffle; choose ``buckets`` so that one bucket fits a task.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(table)
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     """Write a one-column JSON table as text; ordered input keeps its order across files."""
     df.select("value").write.mode("errorifexists").text(path)

@@ -120,11 +120,20 @@ def test_untouched_employees_keep_percentage_and_status(spark, employees):
     assert len(out) == 5
 
 
-def test_without_answers_the_scan_leaves_them_out(spark, run_dir):
-    submissions(spark, [(1, 3, "ppe", "{}", True, at(1))]).write.parquet(run_dir + "/s")
+def test_flags_equal_the_full_fold_and_skip_the_answers(spark, run_dir):
+    rng = random.Random(8)
+    rows = [
+        (rng.choice([1, -1]) * rng.randrange(2**62, 2**63) + i, rng.randrange(4), rng.choice(MODULES[:4]), "{}",
+         rng.random() < 0.5, at(rng.randrange(4)))
+        for i in range(300)
+    ]
+    submissions(spark, rows).write.parquet(run_dir + "/s")
     stored = spark.read.schema(SUBMISSIONS).parquet(run_dir + "/s")
-    plan = progress.module_progress(stored, with_answers=False)._jdf.queryExecution().executedPlan().toString()
+    flags = progress.completion_flags(stored)
+    assert table(flags) == table(progress.module_progress(stored).select(*flags.columns))
+    plan = flags._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "answers#" not in plan
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def test_unused_modules_still_count(spark, employees):

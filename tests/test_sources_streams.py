@@ -58,6 +58,25 @@ def test_audit_log_is_appended_by_day(spark, run_dir):
     assert "PartitionFilters: [isnotnull(audit_date" in plan
 
 
+def test_tables_in_the_same_buckets_join_without_a_shuffle(spark, run_dir):
+    employees = fixture(spark, SF, "fx_employees").select("id", "completion_status", "progress_pct")
+    flags = progress.completion_flags(fixture(spark, SF, "fx_submissions")).withColumnRenamed("employee_id", "id")
+    sources.save_bucketed(employees, "b_employees", run_dir + "/employees", "id", 4)
+    sources.save_bucketed(flags, "b_progress", run_dir + "/progress", "id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        saved = spark.table("b_progress").withColumnRenamed("id", "employee_id")
+        out = progress.progress_pct(saved, spark.table("b_employees"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        want = progress.progress_pct(flags.withColumnRenamed("id", "employee_id"), employees)
+        assert rows_of(out) == rows_of(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE b_employees")
+        spark.sql("DROP TABLE b_progress")
+
+
 def test_snapshot_versions(spark, run_dir):
     root = run_dir + "/employees"
     clock = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp_ntz")
