@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from inductra.session import cut_lineage
 
@@ -22,19 +23,34 @@ HOT_ROWS_SETTING = "spark.inductra.hotRows"
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 10_000
 
+UTC_NAMES = ("UTC", "ETC/UTC", "Z", "GMT")
+
 # More than the number of different 64-bit ids, so ids never reach into the time.
 ID_SPAN = 2 * 10**19
 MAX_SLICES = 20_000
 
 
-def order_number(at: str, row_id: str) -> Column:
-    """One decimal that orders rows by time, then by a 64-bit id.
+def _micros(df: DataFrame, at: str) -> Column:
+    """Microseconds of a time column as a decimal, in the column's own order.
+
+    A zone-less time is not cast in a zone with clock changes: that would swap times
+    around the missing hour.
+    """
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    if isinstance(df.schema[at].dataType, TimestampNTZType) and zone.upper() not in UTC_NAMES:
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        seconds = (F.col(at) - epoch).cast("interval second").cast("decimal(18,6)")
+        return (seconds * 1_000_000).cast("decimal(38,0)")
+    return F.unix_micros(F.col(at).cast("timestamp")).cast("decimal(38,0)")
+
+
+def order_number(df: DataFrame, at: str, row_id: str) -> Column:
+    """One decimal that orders the rows of ``df`` by time, then by a 64-bit id.
 
     An aggregate over it has a fixed-width buffer and stays a hash aggregate, where a
     maximum over a (time, id) struct would sort all rows first.
     """
-    micros = F.unix_micros(F.col(at).cast("timestamp")).cast("decimal(38,0)")
-    return (micros * F.expr(f"{ID_SPAN}BD") + F.col(row_id)).cast("decimal(38,0)")
+    return (_micros(df, at) * F.expr(f"{ID_SPAN}BD") + F.col(row_id)).cast("decimal(38,0)")
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

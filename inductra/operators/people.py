@@ -11,6 +11,7 @@ from inductra.operators.audit import to_json_object
 from inductra.operators.ordered import order_number, previous_value
 from inductra.operators.tables import merge_snapshot
 from inductra.schemas import PROFILE_FIELDS
+from inductra.session import cut_lineage
 
 # Audit texts.
 EDIT_ACTION = "profile_edited"
@@ -89,7 +90,8 @@ class Deletion:
         may = F.col("viewer_id").isNotNull()
         self.rejected = who.filter(~may).withColumn("reason", F.lit(DENIED))
         first = F.struct("deleted_at", "deletion_id", "viewer_id", "viewer_name", "viewer_role")
-        self.wanted = who.filter(may).groupBy("emp_id").agg(F.min(first).alias("_first"))
+        # One row per deleted employee, stored once: every method below reads it again.
+        self.wanted = cut_lineage(who.filter(may).groupBy("emp_id").agg(F.min(first).alias("_first")))
         self.gone = self.wanted.select(F.col("emp_id").alias("id"))
 
     def remaining_employees(self) -> DataFrame:
@@ -142,7 +144,7 @@ def induction_state(events: DataFrame) -> DataFrame:
     """Older portal: each employee's induction record after all start and complete events."""
     acts = events.filter(F.col("action").isin("start", "complete"))
     done = F.col("action") == "complete"
-    order = order_number("happened_at", "event_id")
+    order = order_number(events, "happened_at", "event_id")
     folded = acts.groupBy("employee_id").agg(
         F.max(order).alias("_last"),
         F.max(F.when(done, order)).alias("_last_done"),
@@ -163,7 +165,7 @@ def induction_state(events: DataFrame) -> DataFrame:
 
 def employee_actions(employees: DataFrame, actions: DataFrame, default_status: str = "invited") -> DataFrame:
     """Older portal: activate, set inactive, delete. A deletion is final."""
-    order = order_number("acted_at", "action_id")
+    order = order_number(actions, "acted_at", "action_id")
     folded = actions.groupBy(F.col("emp_id").alias("id")).agg(
         F.bool_or(F.col("action") == "delete").alias("_deleted"),
         F.max(order).alias("_last"),

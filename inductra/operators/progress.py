@@ -66,7 +66,7 @@ def completion_flags(submissions: DataFrame) -> DataFrame:
 
     Answers are not read, and the buffers have fixed width, so this is a hash aggregate.
     """
-    order = order_number("submitted_at", "submission_id")
+    order = order_number(submissions, "submitted_at", "submission_id")
     rows = submissions.select(*KEY, "completed", order.alias("_order"))
     folded = rows.groupBy(*KEY).agg(
         F.max("_order").alias("_last"), F.max(F.when(F.col("completed"), F.col("_order"))).alias("_last_done")

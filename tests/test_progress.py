@@ -136,6 +136,22 @@ def test_flags_equal_the_full_fold_and_skip_the_answers(spark, run_dir):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+def test_order_holds_in_a_zone_with_clock_changes(spark):
+    """02:30 does not exist on this day in New York, and still comes before 03:15."""
+    times = [datetime(2024, 3, 10, 2, 30), datetime(2024, 3, 10, 3, 15), datetime(2024, 11, 3, 1, 30), datetime(1960, 1, 1)]
+    rows = [(i, 3, "ppe", "{}", i == 1, t) for i, t in enumerate(times[:2])]
+    rows += [(i, 4, "ppe", "{}", i == 2, t) for i, t in enumerate(times[2:], 2)]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = submissions(spark, rows)
+        assert {i: r.completed for i, r in by(progress.completion_flags(df), "employee_id").items()} == {3: True, 4: True}
+        assert table(progress.completion_flags(df)) == table(
+            progress.module_progress(df).select("employee_id", "module_id", "completed")
+        )
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_unused_modules_still_count(spark, employees):
     rows = [(1, 4, "not in the catalogue", "{}", True, at(1))]
     saved = progress.module_progress(submissions(spark, rows))
