@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,10 +91,17 @@ class Deletion:
         who = by_actor.join(administrators(employees), "viewer_auth_id", "left")
         may = F.col("viewer_id").isNotNull()
         self.rejected = who.filter(~may).withColumn("reason", F.lit(DENIED))
+        self.allowed = who.filter(may)
+
+    @cached_property
+    def wanted(self) -> DataFrame:
+        """One row per deleted employee, stored once: every method below reads it again."""
         first = F.struct("deleted_at", "deletion_id", "viewer_id", "viewer_name", "viewer_role")
-        # One row per deleted employee, stored once: every method below reads it again.
-        self.wanted = cut_lineage(who.filter(may).groupBy("emp_id").agg(F.min(first).alias("_first")))
-        self.gone = self.wanted.select(F.col("emp_id").alias("id"))
+        return cut_lineage(self.allowed.groupBy("emp_id").agg(F.min(first).alias("_first")))
+
+    @property
+    def gone(self) -> DataFrame:
+        return self.wanted.select(F.col("emp_id").alias("id"))
 
     def remaining_employees(self) -> DataFrame:
         return self.employees.join(self.gone, "id", "left_anti")
