@@ -270,8 +270,8 @@ def audit_append(spark, sf):
         {"action_id": "id", "emp_id": "target_id", "acted_at": "created_at"}
     )
     entries = audit.write_audit(actions, fixture(spark, sf, "fx_employees"))
-    sources.append_audit(entries.filter(F.col("action") == "activate"), path)
-    sources.append_audit(entries.filter(F.col("action") != "activate"), path)
+    sources.append_audit(entries.filter(F.col("action") == "activate"), path, "first")
+    sources.append_audit(entries.filter(F.col("action") != "activate"), path, "second")
     log = spark.read.parquet(path)
     return log.select("id", "actor_id", "target_id", "action", F.col("audit_date").cast("date").alias("audit_date"))
 

@@ -55,13 +55,16 @@ def with_reply_text(responses: DataFrame, body: str = "body") -> DataFrame:
     return responses.withColumn("reply_text", trim_all(F.coalesce(reply_text(body), F.lit(""))))
 
 
-def append_audit(entries: DataFrame, path: str) -> None:
-    """Append to the log, one folder per day.
+def append_audit(entries: DataFrame, path: str, run_id: str) -> None:
+    """Append to the log, one folder per day and run.
 
-    The rebalance hint lets AQE size the files and split a day that holds most entries.
+    A run that is repeated after a failure replaces its own folders and adds nothing
+    twice. The rebalance hint lets AQE size the files and split a day that holds most
+    entries.
     """
-    dated = entries.withColumn("audit_date", F.to_date("created_at"))
-    dated.hint("rebalance", "audit_date").write.mode("append").partitionBy("audit_date").parquet(path)
+    dated = entries.withColumns({"audit_date": F.to_date("created_at"), "run_id": F.lit(run_id)})
+    writer = dated.hint("rebalance", "audit_date").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("audit_date", "run_id").parquet(path)
 
 
 def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:

@@ -1,6 +1,7 @@
 import json
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,16 @@ def test_shared_folder_is_the_sessions_setting(spark):
     assert run_folder(spark, "x") != run_folder(spark, "x")
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return default
+
+    cluster = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+
+
 def test_catalogue(spark):
     assert [r.module_id for r in sources.catalogue(spark).orderBy("idx").collect()] == list(MODULES)
 
@@ -50,10 +61,11 @@ def test_reply_bodies(spark):
 
 def test_audit_log_is_appended_by_day(spark, run_dir):
     entries = spark.range(10).select("id", F.lit("x").alias("action"), F.timestamp_seconds(F.col("id") * 30_000).alias("created_at"))
-    sources.append_audit(entries, run_dir + "/log")
-    sources.append_audit(entries.withColumn("id", F.col("id") + 10), run_dir + "/log")
+    sources.append_audit(entries, run_dir + "/log", "one")
+    for _ in range(2):
+        sources.append_audit(entries.withColumn("id", F.col("id") + 10), run_dir + "/log", "two")
     log = spark.read.parquet(run_dir + "/log")
-    assert log.count() == 20
+    assert sorted(r.id for r in log.collect()) == list(range(20))
     plan = log.filter("audit_date = DATE '1970-01-02'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(audit_date" in plan
 
