@@ -8,6 +8,7 @@ multiplied with the matrix.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,7 +109,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
         data = [sums[n].tobytes() for n in names]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], ["lang", "n"])
 
-    def add(key, batches):
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for value in batch.column("n"):
