@@ -21,14 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to a fresh folder below the shared one and read it back.
 
     Cuts the lineage: what follows reads files that survive lost executors.
     """
     spark = df.sparkSession
     folder = run_folder(spark, label)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -8,12 +8,46 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inductra.llm import decontaminate, language, pieces, token_counts
+from inductra.llm import (
+    decontaminate,
+    fingerprints,
+    jaccard_join,
+    language,
+    lm_score,
+    pieces,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    url_filters,
+)
 from inductra.llm.common import crc_of_id, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 512
+SHARDS = 24
+
+URL_RULES = [
+    url_filters.Rule("com", "/", "allow"),
+    url_filters.Rule("example.com", "/en/", "block"),
+    url_filters.Rule("www.example.com", "/en/", "allow"),
+    url_filters.Rule("net", "/es/", "block"),
+    url_filters.Rule("net", "/fr/", "block"),
+]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards of near-equal bytes, equal texts together."""
+    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +75,50 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of an edited form, and how alike they are."""
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every text under a model of four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 1
+    model = lm_score.fit(docs.where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), lm_score.score(F.col("text"), model).alias("s"))
+    return scored.select(
+        "doc_id",
+        "held_out",
+        "s.n_tokens",
+        "s.n_known",
+        F.lit(model.train_tokens).cast("bigint").alias("train_tokens"),
+        "s.base_score",
+        "s.score",
+    )
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the url of every page."""
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without passages of earlier documents."""
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-duplicates of every document."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every text and of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,8 +143,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_url_filters": op6_url_filters,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
 }
