@@ -14,6 +14,9 @@ from inductra.session import run_folder
 #: Characters a task works on at once, whatever the size of the Arrow batch it got.
 SLICE_CHARS = 1 << 21
 
+#: Words hashed in one go.
+WORDS_AT_ONCE = 1 << 13
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,6 +54,17 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[
         yield start, run
 
 
+def row_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, last) row of runs of texts of about ``limit`` bytes, at least one row each."""
+    _, offsets = utf8(texts)
+    start = 0
+    while start < len(texts):
+        end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
+        end = min(max(end, start + 1), len(texts))
+        yield start, end
+        start = end
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and its n + 1 offsets; null is an empty text."""
     array = array.cast(pa.large_string()).fill_null("")
@@ -109,16 +123,24 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, by an odd-base polynomial and a final mix."""
-    if len(start) == 0:
-        return np.zeros(0, np.uint64)
+    """64-bit hashes of byte ranges, by an odd-base polynomial and a final mix.
+
+    Ranges are hashed in groups that stay in the processor's cache.
+    """
+    out = np.zeros(len(start), np.uint64)
     length = end - start
-    at = ragged(start, length)
-    place = at - np.repeat(start, length)
+    if len(start) == 0:
+        return out
     powers = np.cumprod(np.full(int(length.max()), GOLDEN, np.uint64), dtype=np.uint64)
-    terms = (raw[at].astype(np.uint64) + np.uint64(1)) * powers[place]
-    sums = np.add.reduceat(terms, np.cumsum(length) - length)
-    return mix(sums + length.astype(np.uint64))
+    for i in range(0, len(start), WORDS_AT_ONCE):
+        sizes = length[i : i + WORDS_AT_ONCE]
+        begins = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum()), dtype=np.int64) - np.repeat(begins, sizes)
+        terms = raw[place + np.repeat(start[i : i + WORDS_AT_ONCE], sizes)].astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= powers[place]
+        out[i : i + WORDS_AT_ONCE] = np.add.reduceat(terms, begins) + sizes.astype(np.uint64)
+    return mix(out)
 
 
 def list_array(values: pa.Array, lengths: np.ndarray) -> pa.Array:

@@ -11,14 +11,16 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from inductra.llm.common import list_array, ragged, slices
+from inductra.llm.common import list_array, ragged, row_slices
 from inductra.llm.merging import Rules, merge
 
 SPACE = "▁"  # stands for a blank inside pieces; a fixed value of the format
@@ -29,9 +31,10 @@ REMEMBERED = 500_000
 #: Longer chunks are merged one by one with a heap, shorter ones side by side in arrays.
 SHORT = 64
 
-ENCODED = (
-    "struct<ids: array<int>, starts: array<int>, ends: array<int>, decoded: string>"
-)
+#: Bytes of text encoded at once, whatever the size of the Arrow batch it came in.
+SLICE_BYTES = 1 << 21
+
+ENCODED = "ids array<int>, starts array<int>, ends array<int>, decoded string"
 
 
 class CharacterMap:
@@ -356,7 +359,7 @@ class Model:
         coded, decoded, counts, froms, tos = [], [], [], [], []
         normal = [self.normalise(text) for text in texts]
         cut = [self.chunks(out) for out, _, _ in normal]
-        self.add(list({c for chunks in cut for c in chunks if c not in self.number}))
+        self.add(list(set().union(*cut).difference(self.number)))
         sizes, lengths, flat, chars = self.sizes, self.lengths, self.flat, self.chars
         self.starts = starts = np.cumsum(sizes) - sizes
         for chunks in cut:
@@ -406,20 +409,26 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def encode(text: Column, path: str) -> Column:
-    """A struct (ids, starts, ends, decoded) of a text under the model file at ``path``.
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "encoded", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``df`` (default: all) and ``out``, a struct (ids, starts, ends, decoded).
 
-    ``starts`` and ``ends`` are byte offsets into the original UTF-8 text. Null and empty
-    texts have no ids and decode to the empty text. Row by row: repeated rows and other
-    columns do not matter, and texts of any length are encoded whole.
+    ``path`` names the model file. ``starts`` and ``ends`` are byte offsets into the original
+    UTF-8 text. Null and empty texts have no ids and decode to the empty text. Row by row:
+    repeated rows do not matter, and texts of any length are encoded whole. Other columns stay,
+    but for one that is called ``out``.
     """
-
-    @F.arrow_udf(ENCODED)
-    def encoded(texts: pa.Array) -> pa.Array:
-        found = [model(path).encode(run) for _, run in slices(texts.to_pylist())]
-        return pa.concat_arrays(found) if found else model(path).encode([])
-
-    return encoded(text)
+    kept = [c for c in (df.columns if keep is None else keep) if c != out]
+    rows = df.select(F.col(text).alias("__text"), *kept)
+    schema = StructType([*rows.schema.fields[1:], StructField(out, StructType.fromDDL(ENCODED))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in row_slices(batch.column(0), SLICE_BYTES):
+                part = batch.slice(start, end - start)
+                found = model(path).encode([t or "" for t in part.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], found], [*kept, out])
+
+    return rows.mapInArrow(run, schema)
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -121,8 +121,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every text and of what they decode to."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.select("doc_id", pieces.encode(F.col("text"), PIECE_BPE).alias("e"))
+    coded = pieces.encode(table(spark, sf_dir, "documents"), PIECE_BPE, out="e", keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("e.ids").cast("bigint").alias("n_tokens"),
