@@ -57,19 +57,26 @@ def identities(employees: DataFrame) -> DataFrame:
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count, stopped at the bound, shows it is small."""
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
+def identities_with(employees: DataFrame, roles: tuple[str, ...], max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Identities that have one of some privileged roles.
 
+    Changes are checked against these few rows, so a batch in which one administrator made
+    most changes is not shuffled by actor. The role is filtered at the scan, and only accounts
+    left by that are folded. A count of the filtered rows, stopped at the bound, allows the
+    broadcast; beyond the bound it is an ordinary join.
+    """
+    holders = employees.filter(F.col("role").isin(*roles) & F.col("auth_id").isNotNull())
+    fits = holders.select("id").limit(max_rows + 1).count() <= max_rows
+    accounts = holders.select(F.col("auth_id").alias("_account")).distinct()
+    accounts = F.broadcast(accounts) if fits else accounts
+    folded = identities(employees.join(accounts, F.col("auth_id") == F.col("_account"), "left_semi"))
+    found = folded.filter(F.col("viewer_role").isin(*roles))
+    return F.broadcast(found) if fits else found
 
-def administrators(employees: DataFrame) -> DataFrame:
-    """Identities of the system administrators.
 
-    Changes are checked against these few rows, so a batch in which one administrator
-    made most changes is not shuffled by actor. Beyond the bound it is an ordinary join.
-    """
-    return broadcast_if_small(identities(employees).filter(F.col("viewer_role") == ADMIN_ROLE))
+def administrators(employees: DataFrame) -> DataFrame:
+    """Identities of the system administrators."""
+    return identities_with(employees, (ADMIN_ROLE,))
 
 
 def viewer_identity(viewers: DataFrame, employees: DataFrame) -> DataFrame:
@@ -144,24 +151,35 @@ def own_rows(df: DataFrame, viewers: DataFrame, employees: DataFrame, table: str
     return df.join(mine, df[owner] == mine["viewer_id"]).drop("viewer_id")
 
 
-def write_test(table: str, action: str, owner: str) -> tuple[Column, Column]:
+def write_test(table: str, action: str, owner: str, new_owner: str | None = None) -> tuple[Column, Column]:
     """(allowed, outcome) for changes joined with their caller's identity.
 
-    A refused insert is an error; a refused update or delete touches no row.
+    A refused insert is an error; a refused update or delete touches no row. The update
+    policies have no test of their own for the row as it will be, so theirs holds for it as
+    well: with ``new_owner``, moving a row to somebody else is an error unless the caller
+    could change that one too.
     """
     roles, own = WRITE_POLICIES[(table, action)]
-    if roles == ANYONE:
-        allowed = F.col("viewer_auth_id").isNotNull()
-    else:
-        mine = F.coalesce(F.col("viewer_id") == F.col(owner), F.lit(False)) if own else F.lit(False)
-        allowed = has_role(F.col("viewer_role"), roles) | mine
-    refused = "rejected" if action == "insert" else "no_rows"
+
+    def test(column: str) -> Column:
+        if roles == ANYONE:
+            return F.col("viewer_auth_id").isNotNull()
+        mine = F.coalesce(F.col("viewer_id") == F.col(column), F.lit(False)) if own else F.lit(False)
+        return has_role(F.col("viewer_role"), roles) | mine
+
+    allowed = test(owner)
+    refused = F.lit("rejected" if action == "insert" else "no_rows")
+    if new_owner and action == "update":
+        refused = F.when(allowed, "rejected").otherwise(refused)
+        allowed = allowed & test(new_owner)
     return allowed, F.when(allowed, "applied").otherwise(refused)
 
 
-def authorised(changes: DataFrame, employees: DataFrame, table: str, action: str, owner: str) -> DataFrame:
+def authorised(
+    changes: DataFrame, employees: DataFrame, table: str, action: str, owner: str, new_owner: str | None = None
+) -> DataFrame:
     """``changes`` (with ``viewer_auth_id``) plus ``allowed`` and ``outcome``."""
-    allowed, outcome = write_test(table, action, owner)
+    allowed, outcome = write_test(table, action, owner, new_owner)
     return viewer_identity(changes, employees).withColumns({"allowed": allowed, "outcome": outcome})
 
 

@@ -128,6 +128,28 @@ def previous_value(
     return out.unionByName(joined)
 
 
+def lowest_running_sum(
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str, hot_rows: int | None = None
+) -> DataFrame:
+    """(keys, ``name``): the smallest running sum of ``value`` after any row, per key."""
+    ordinary, busy = _split_hot(df, keys, order, hot_rows)
+
+    def running(rows: DataFrame, by: list[str]) -> DataFrame:
+        window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("_sum", F.sum(value).over(window))
+
+    out = running(ordinary, keys).groupBy(*keys).agg(F.min("_sum").alias(name))
+    if busy is None:
+        return out
+    # One row per (hot key, slice).
+    slices = running(busy, [*keys, SLICE]).groupBy(*keys, SLICE).agg(
+        F.min("_sum").alias("_low"), F.sum(value).alias("_total")
+    )
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    low = F.col("_low") + F.coalesce(F.sum("_total").over(before), F.lit(0))
+    return out.unionByName(slices.withColumn("_low", low).groupBy(*keys).agg(F.min("_low").alias(name)))
+
+
 def number_within(
     df: DataFrame, keys: list[str], order: list[str], name: str, several: str | None = None, hot_rows: int | None = None
 ) -> DataFrame:

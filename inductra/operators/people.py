@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inductra.functions.text import blank_to_null, trim_all
-from inductra.operators.access import administrators, has_role
+from inductra.operators.access import administrators, has_role, identities_with
 from inductra.operators.audit import to_json_object
 from inductra.operators.ordered import order_number, previous_value
 from inductra.operators.tables import merge_snapshot
-from inductra.schemas import PROFILE_FIELDS
+from inductra.schemas import ADMIN_ROLE, MANAGER_ROLES, PROFILE_FIELDS
 from inductra.session import cut_lineage
 
 # Audit texts.
@@ -172,6 +172,18 @@ def induction_state(events: DataFrame) -> DataFrame:
     )
 
 
+def judge_actions(actions: DataFrame, employees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Older portal: managers activate and set inactive, system administrators also delete; (allowed, rejected)."""
+    by_actor = actions.withColumnRenamed("actor_auth_id", "viewer_auth_id")
+    who = by_actor.join(identities_with(employees, MANAGER_ROLES), "viewer_auth_id", "left")
+    role = F.col("viewer_role")
+    may = has_role(role, (ADMIN_ROLE,)) | ((F.col("action") != "delete") & has_role(role, MANAGER_ROLES))
+    may = F.coalesce(may, F.lit(False))
+    judged = who.withColumnRenamed("viewer_auth_id", "actor_auth_id")
+    rejected = judged.filter(~may).withColumn("reason", F.lit(DENIED))
+    return judged.filter(may).select(*actions.columns), rejected.select(*actions.columns, "reason")
+
+
 def employee_actions(employees: DataFrame, actions: DataFrame, default_status: str = "invited") -> DataFrame:
     """Older portal: activate, set inactive, delete. A deletion is final."""
     order = order_number(actions, "acted_at", "action_id")

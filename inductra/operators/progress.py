@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inductra.operators.ordered import order_number
+from inductra.operators.ordered import lowest_running_sum, order_number, previous_value
 from inductra.schemas import MODULES
 
 KEY = ("employee_id", "module_id")
 
 
-REQUIRED = (*KEY, "answers", "completed")
+REQUIRED = (*KEY, "answers", "completed", "submitted_at", "submission_id")
 
 
 def complete_submissions(submissions: DataFrame, required: tuple[str, ...] = REQUIRED) -> tuple[DataFrame, DataFrame]:
@@ -84,16 +84,21 @@ def known_employees_only(progress: DataFrame, employees: DataFrame) -> tuple[Dat
     return progress.join(ids, "employee_id", "left_semi"), unknown
 
 
-def sticky_status(pct: Column, prior: Column) -> Column:
-    """Current rule: once completed, an employee stays so while any module is done."""
-    return F.when(pct == 0, "pending").when(prior == "completed", "completed").otherwise("in_progress")
+def sticky_status(pct: Column, prior: Column, lowest: Column) -> Column:
+    """Current rule: once completed, an employee stays so while any module is done.
 
+    ``lowest`` is the smallest percentage after any of the saves: at 0 the status was lost.
+    """
+    return (
+        F.when(pct == 0, "pending").when((prior == "completed") & (lowest > 0), "completed").otherwise("in_progress")
+    )
 
-def regressing_status(pct: Column, prior: Column) -> Column:
-    """Older rule: below 100 % a completed employee falls back."""
+
+def regressing_status(pct: Column, prior: Column, lowest: Column) -> Column:
+    """Older rule: below 100 % a completed employee falls back, and stays there."""
     return (
         F.when(pct == 0, "pending")
-        .when((pct == 100) & (prior == "completed"), "completed")
+        .when((pct == 100) & (prior == "completed") & (lowest == 100), "completed")
         .when(pct > 0, "in_progress")
         .otherwise("pending")
     )
@@ -102,6 +107,38 @@ def regressing_status(pct: Column, prior: Column) -> Column:
 STATUS_RULES = {"sticky": sticky_status, "regressing": regressing_status}
 
 
+def lowest_done(
+    submissions: DataFrame, employees: DataFrame, stored: DataFrame | None = None, hot_rows: int | None = None
+) -> DataFrame:
+    """(employee_id, lowest): the fewest done modules after any save, of completed employees.
+
+    Every save sets the status anew, so a status that was lost on the way does not come back;
+    only employees stored as completed have one to lose. ``stored`` is the progress before the
+    batch. Rows of a busy employee are worked on in slices of their order.
+    """
+    done_before = employees.where("completion_status = 'completed'").select(F.col("id").alias("employee_id"))
+    rows = submissions.select(*KEY, "completed", "submitted_at", "submission_id").join(
+        done_before, "employee_id", "left_semi"
+    )
+    order = ["submitted_at", "submission_id"]
+    steps = previous_value(rows, list(KEY), order, ["completed"], "_before", hot_rows)
+    before = F.col("_before.completed")
+    start = F.lit(0)
+    if stored is not None:
+        first = stored.select(*KEY, F.col("completed").alias("_stored"))
+        steps = steps.join(first, list(KEY), "left")
+        before = F.coalesce(before, F.col("_stored"))
+        counts = stored.groupBy("employee_id").agg(F.count_if("completed").alias("_start"))
+        start = F.coalesce("_start", F.lit(0))
+    change = F.col("completed").cast("int") - F.coalesce(before, F.lit(False)).cast("int")
+    lowest = lowest_running_sum(
+        steps.select("employee_id", *order, change.alias("_change")), ["employee_id"], order, "_change", "_low", hot_rows
+    )
+    if stored is not None:
+        lowest = lowest.join(counts, "employee_id", "left")
+    return lowest.select("employee_id", (F.col("_low") + start).alias("lowest"))
+
+
 def percentage(done: Column, total: int) -> Column:
     """Rounded half away from zero, as an exact decimal."""
     return F.round(done.cast("decimal(20,0)") / F.lit(total) * 100).cast("int")
@@ -126,8 +163,18 @@ def progress_pct(progress: DataFrame, employees: DataFrame, total: int = len(MOD
     )
 
 
-def completion_status(with_pct: DataFrame, rule: str = "sticky") -> DataFrame:
-    status = STATUS_RULES[rule](F.col("progress_pct"), F.col("prior_status"))
+def completion_status(
+    with_pct: DataFrame, rule: str = "sticky", lowest: DataFrame | None = None, total: int = len(MODULES)
+) -> DataFrame:
+    """Status after a batch of saves; ``lowest`` as ``lowest_done`` gives it.
+
+    Without ``lowest`` the batch counts as one save: only its final state is judged.
+    """
+    low = F.col("progress_pct")
+    if lowest is not None:
+        with_pct = with_pct.join(lowest, "employee_id", "left")
+        low = F.coalesce(percentage(F.col("lowest"), total), low)
+    status = STATUS_RULES[rule](F.col("progress_pct"), F.col("prior_status"), low)
     return with_pct.select(
         "employee_id", "done", "progress_pct",
         F.when(F.col("touched"), status).otherwise(F.col("prior_status")).alias("completion_status"),
@@ -135,6 +182,44 @@ def completion_status(with_pct: DataFrame, rule: str = "sticky") -> DataFrame:
 
 
 def in_range(with_pct: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split off percentages outside 0..100, which the table's check refuses."""
-    fine = F.col("progress_pct").between(0, 100)
+    """Split off percentages outside 0..100, which the table's check refuses; a missing one passes."""
+    fine = F.coalesce(F.col("progress_pct").between(0, 100), F.lit(True))
     return with_pct.filter(fine), with_pct.filter(~fine).withColumn("reason", F.lit("progress_pct:range"))
+
+
+def save_progress(
+    submissions: DataFrame, progress: DataFrame, employees: DataFrame, rule: str = "sticky", total: int = len(MODULES)
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole save: (progress rows, employees, rejected submissions and percentages).
+
+    ``progress`` is what was stored before. Submissions that lack a value or whose employee is
+    unknown are rejected, as is every submission of an employee whose percentage would leave
+    its range; the stored rows of such an employee stay. Employees without an accepted
+    submission are returned as they were; for the others percentage and status follow.
+    """
+    accepted, lacking = complete_submissions(submissions)
+    known, unknown = known_employees_only(accepted, employees)
+    merged = module_progress(known, progress)
+    flags = merged.select(*KEY, "completed")
+    touched = known.select("employee_id").distinct()
+    pct = progress_pct(flags.join(touched, "employee_id", "left_semi"), employees, total)
+    fine, refused = in_range(pct)
+    refused_ids = refused.where("touched").select("employee_id")
+    status = completion_status(fine, rule, lowest_done(known, employees, progress), total)
+    new = status.select(
+        F.col("employee_id").alias("id"),
+        F.col("progress_pct").alias("_pct"),
+        F.col("completion_status").alias("_status"),
+    )
+    columns = [
+        F.coalesce("_pct", "progress_pct").alias("progress_pct") if c == "progress_pct"
+        else F.coalesce("_status", "completion_status").alias("completion_status") if c == "completion_status"
+        else F.col(c)
+        for c in employees.columns
+    ]
+    saved_employees = employees.join(new, "id", "left").select(*columns)
+    kept = merged.join(refused_ids, "employee_id", "left_anti")
+    old = progress.join(refused_ids, "employee_id", "left_semi")
+    over = known.join(refused_ids, "employee_id", "left_semi").withColumn("reason", F.lit("progress_pct:range"))
+    rejects = lacking.unionByName(unknown).unionByName(over)
+    return kept.unionByName(old.select(*kept.columns)), saved_employees, rejects

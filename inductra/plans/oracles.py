@@ -38,12 +38,26 @@ progress AS (
 for name in ("module_progress_upsert", "module_progress_merge", "progress_stream"):
     oracle(name, "fx_submissions", "SELECT * FROM progress", PROGRESS)
 
+# The number of done modules after every submission, and its minimum per employee.
+REPLAY = """
+steps AS (
+  SELECT employee_id, submitted_at, submission_id,
+         CAST(completed AS INT) - CAST(coalesce(lag(completed) OVER (
+           PARTITION BY employee_id, module_id ORDER BY submitted_at, submission_id), false) AS INT) AS change
+  FROM fx_submissions),
+runs AS (
+  SELECT employee_id, submitted_at, sum(change) OVER (
+           PARTITION BY employee_id ORDER BY submitted_at, submission_id ROWS UNBOUNDED PRECEDING) AS done
+  FROM steps),
+low AS (SELECT employee_id, min(done) AS done FROM runs GROUP BY employee_id)"""
+
 for name, rule in {
     "progress_status": """
-            WHEN p.pct = 0 THEN 'pending' WHEN e.completion_status = 'completed' THEN 'completed' ELSE 'in_progress'""",
+            WHEN p.done = 0 THEN 'pending' WHEN e.completion_status = 'completed' AND w.done > 0 THEN 'completed'
+            ELSE 'in_progress'""",
     "progress_status_regressing": """
-            WHEN p.pct = 0 THEN 'pending' WHEN p.pct = 100 AND e.completion_status = 'completed' THEN 'completed'
-            WHEN p.pct > 0 THEN 'in_progress' ELSE 'pending'""",
+            WHEN p.done = 0 THEN 'pending' WHEN e.completion_status = 'completed' AND w.done = 12 THEN 'completed'
+            ELSE 'in_progress'""",
 }.items():
     oracle(name, "fx_submissions fx_employees", f"""
 SELECT e.id AS employee_id, coalesce(p.done, 0) AS done, coalesce(p.pct, e.progress_pct) AS progress_pct,
@@ -51,7 +65,38 @@ SELECT e.id AS employee_id, coalesce(p.done, 0) AS done, coalesce(p.pct, e.progr
 FROM fx_employees e LEFT JOIN (
   SELECT employee_id, count(*) FILTER (WHERE completed) AS done,
          CAST(round(CAST(count(*) FILTER (WHERE completed) AS DOUBLE) / 12 * 100) AS INT) AS pct
-  FROM progress GROUP BY employee_id) p ON p.employee_id = e.id""", PROGRESS)
+  FROM progress GROUP BY employee_id) p ON p.employee_id = e.id
+LEFT JOIN low w ON w.employee_id = e.id""", PROGRESS + "," + REPLAY)
+
+_LATE = "TIMESTAMP '2024-01-15 00:00:00'"
+SAVE = f"""
+staff AS (SELECT * FROM fx_employees WHERE id % 7 <> 3),
+late AS (SELECT * FROM fx_raw_submissions WHERE submitted_at IS NULL OR submitted_at >= {_LATE}),
+good AS (
+  SELECT * FROM fx_raw_submissions
+  WHERE employee_id IN (SELECT id FROM staff) AND module_id IS NOT NULL AND answers IS NOT NULL
+    AND completed IS NOT NULL AND submitted_at IS NOT NULL),
+"""
+_OF_GOOD = (PROGRESS + "," + REPLAY).replace("fx_submissions", "good")
+oracle("save_progress_rows", "fx_submissions fx_raw_submissions fx_employees", "SELECT * FROM progress", SAVE + _OF_GOOD)
+oracle("save_progress_employees", "fx_submissions fx_raw_submissions fx_employees", f"""
+SELECT e.id, coalesce(p.pct, e.progress_pct) AS progress_pct,
+       CASE WHEN p.pct IS NULL THEN e.completion_status WHEN p.pct = 0 THEN 'pending'
+            WHEN e.completion_status = 'completed' AND w.done > 0 THEN 'completed' ELSE 'in_progress' END AS completion_status
+FROM staff e LEFT JOIN (
+  SELECT employee_id, CAST(round(count(*) FILTER (WHERE completed) / 12.0 * 100) AS INT) AS pct
+  FROM progress WHERE employee_id IN (SELECT employee_id FROM good WHERE submitted_at >= {_LATE})
+  GROUP BY employee_id) p ON p.employee_id = e.id
+LEFT JOIN (SELECT employee_id, min(done) AS done FROM runs WHERE submitted_at >= {_LATE} GROUP BY employee_id) w
+ON w.employee_id = e.id""", SAVE + _OF_GOOD)
+oracle("save_progress_rejects", "fx_submissions fx_raw_submissions fx_employees", """
+SELECT * FROM (
+  SELECT submission_id,
+         CASE WHEN employee_id IS NULL THEN 'employee_id:not_null' WHEN module_id IS NULL THEN 'module_id:not_null'
+              WHEN answers IS NULL THEN 'answers:not_null' WHEN completed IS NULL THEN 'completed:not_null'
+              WHEN submitted_at IS NULL THEN 'submitted_at:not_null'
+              WHEN employee_id NOT IN (SELECT id FROM staff) THEN 'employee_id:foreign_key' END AS reason
+  FROM late) WHERE reason IS NOT NULL""", SAVE + _OF_GOOD)
 
 oracle("progress_rejects", "fx_dirty_progress fx_employees", """
 SELECT employee_id, module_id, max(id) AS last_submission_id, 'employee_id:foreign_key' AS reason
@@ -60,9 +105,10 @@ FROM fx_dirty_progress WHERE employee_id NOT IN (SELECT id FROM fx_employees) GR
 oracle("submission_rejects", "fx_raw_submissions", """
 SELECT submission_id,
        CASE WHEN employee_id IS NULL THEN 'employee_id' WHEN module_id IS NULL THEN 'module_id'
-            WHEN answers IS NULL THEN 'answers' ELSE 'completed' END || ':not_null' AS reason
+            WHEN answers IS NULL THEN 'answers' WHEN completed IS NULL THEN 'completed'
+            ELSE 'submitted_at' END || ':not_null' AS reason
 FROM fx_raw_submissions
-WHERE employee_id IS NULL OR module_id IS NULL OR answers IS NULL OR completed IS NULL""")
+WHERE employee_id IS NULL OR module_id IS NULL OR answers IS NULL OR completed IS NULL OR submitted_at IS NULL""")
 oracle("progress_out_of_range", "fx_submissions fx_employees", """
 SELECT employee_id, count(*) AS done, CAST(count(*) * 25 AS INT) AS progress_pct, 'progress_pct:range' AS reason
 FROM progress WHERE completed AND employee_id IN (SELECT id FROM fx_employees)
@@ -264,9 +310,15 @@ SELECT e.id, e.full_name,
        CASE e.role WHEN 'sysAdmin' THEN 'sys_admin' WHEN 'locationManager' THEN 'location_manager' ELSE e.role END AS role,
        CASE arg_max(a.action, row(a.acted_at, a.action_id)) WHEN 'activate' THEN 'active' WHEN 'inactive' THEN 'inactive'
             ELSE 'invited' END AS status
-FROM fx_employees e LEFT JOIN fx_actions a ON a.emp_id = e.id
+FROM fx_employees e LEFT JOIN (
+  SELECT a.* FROM fx_actions a JOIN fx_employees m ON m.auth_id = a.actor_auth_id
+  WHERE m.role = 'sysAdmin' OR (m.role = 'locationManager' AND a.action <> 'delete')) a ON a.emp_id = e.id
 GROUP BY e.id, e.full_name, e.role
 HAVING NOT coalesce(bool_or(a.action = 'delete'), false)""")
+oracle("employee_actions_rejects", "fx_employees fx_actions", """
+SELECT a.action_id, a.action, 'Permission denied' AS reason
+FROM fx_actions a LEFT JOIN fx_employees m ON m.auth_id = a.actor_auth_id
+WHERE NOT coalesce(m.role = 'sysAdmin' OR (m.role = 'locationManager' AND a.action <> 'delete'), false)""")
 oracle("create_v1", "fx_forms", """
 SELECT form_id, trim(full_name) AS full_name, trim(email) AS email, nullif(trim(phone), '') AS phone,
        trim(department) AS department, trim(position) AS position,
@@ -310,6 +362,13 @@ SELECT x.edit_id, e.role AS viewer_role, coalesce(e.role IN ({_MANAGERS}) OR e.i
 FROM fx_profile_edits x LEFT JOIN fx_employees e
 ON e.auth_id = CASE WHEN x.edit_id % 2 = 0 THEN x.actor_auth_id ELSE x.emp_id + 100000 END""")
 
+oracle("write_moves", "fx_profile_edits fx_employees", """
+SELECT edit_id, coalesce(old_row AND new_row, false) AS allowed,
+       CASE WHEN old_row AND new_row THEN 'applied' WHEN old_row THEN 'rejected' ELSE 'no_rows' END AS outcome
+FROM (
+  SELECT x.edit_id, e.id = x.emp_id AS old_row, e.id = x.emp_id + x.edit_id % 3 - 1 AS new_row
+  FROM fx_profile_edits x LEFT JOIN fx_employees e ON e.auth_id = 100000 + x.emp_id - x.edit_id % 2)""")
+
 _POLICIES = {
     "employees:insert": "role = 'sysAdmin'",
     "employees:update": f"role IN ({_MANAGERS}) OR id = emp_id",
@@ -477,15 +536,21 @@ FROM (
 
 _LINE = "{n} || '. ' || coalesce({p}.name, '') || CASE WHEN coalesce({p}.category, '') <> '' THEN ' (' || {p}.category || ')' ELSE '' END"
 oracle("candidate_list", "fx_bodies", f"""
-SELECT request_id, {_LINE.format(n="1", p="p1")} || chr(10) || {_LINE.format(n="2", p="p2")} || chr(10) ||
-       {_LINE.format(n="3", p="p3")} AS candidate_text
-FROM bodies WHERE has_list""", BODIES)
+SELECT request_id,
+       CASE WHEN has_list THEN {_LINE.format(n="1", p="p1")} || chr(10) || {_LINE.format(n="2", p="p2")} || chr(10) ||
+       {_LINE.format(n="3", p="p3")} END AS candidate_text,
+       CASE WHEN NOT has_list THEN 'No candidate products provided.' END AS reason
+FROM bodies""", BODIES)
 
 CANDIDATES = f"""
 candidates AS (
   SELECT r.request_id, r.position, r.product_id, p.name, {_LINE.format(n="r.position", p="p")} AS line
-  FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY product_id) AS position FROM fx_product_requests) r
+  FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY product_id) AS position FROM fx_product_requests
+        WHERE product_id IN (SELECT id FROM fx_products)) r
   JOIN fx_products p ON p.id = r.product_id)"""
+oracle("candidate_rejects", "fx_product_requests fx_products", """
+SELECT request_id, product_id, 'product_id:foreign_key' AS reason
+FROM fx_product_requests WHERE product_id NOT IN (SELECT id FROM fx_products)""")
 oracle("candidate_lines", "fx_product_requests fx_products",
        "SELECT request_id, position, product_id, line FROM candidates", CANDIDATES)
 
@@ -564,7 +629,8 @@ SELECT g.request_id, g.n_attempts, s.attempt_rank IS NOT NULL AS succeeded, s.at
        CASE WHEN s.attempt_rank IS NULL THEN 'AI service unavailable. Details: ' || array_to_string(g.errors[1:3], ' | ') END AS error
 FROM (
   SELECT request_id, count(*) AS n_attempts,
-         list(model || ': ' || CASE WHEN NOT ok THEN status || ' ' || coalesce(error_message, '')
+         list(model || ': ' || CASE WHEN NOT ok AND error_message IS NULL THEN CAST(status AS VARCHAR)
+                                    WHEN NOT ok THEN status || ' ' || error_message
                                     WHEN raw = 'null' THEN 'reply is null'
                                     ELSE 'JSON parse failed — ' || substring(raw, 1, 80) END
               ORDER BY attempt_rank) FILTER (WHERE NOT ok OR reply_status = 'failed') AS errors

@@ -41,17 +41,26 @@ def _progress(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Completion per (employee, module), without reading the answers."""
-    accepted, _ = progress.complete_submissions(
-        fixture(spark, sf, "fx_submissions"), (*progress.KEY, "completed")
-    )
+    """Completion per (employee, module); of the answers only whether they are there is read."""
+    accepted, _ = progress.complete_submissions(fixture(spark, sf, "fx_submissions"))
     return progress.completion_flags(accepted)
 
 
 def _status(spark: SparkSession, sf: str, rule: str) -> DataFrame:
     employees = fixture(spark, sf, "fx_employees")
+    accepted, _ = progress.complete_submissions(fixture(spark, sf, "fx_submissions"))
     fine, _ = progress.in_range(progress.progress_pct(_flags(spark, sf), employees))
-    return progress.completion_status(fine, rule)
+    return progress.completion_status(fine, rule, progress.lowest_done(accepted, employees))
+
+
+def _save(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Submissions from the 15th on, saved over the progress that the earlier ones made."""
+    rows = fixture(spark, sf, "fx_raw_submissions")
+    early = F.coalesce(F.col("submitted_at") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), F.lit(False))
+    stored, _ = progress.complete_submissions(rows.filter(early))
+    employees = fixture(spark, sf, "fx_employees").where("id % 7 <> 3")
+    before, _ = progress.known_employees_only(progress.module_progress(stored), employees)
+    return progress.save_progress(rows.filter(~early), before, employees)
 
 
 @query
@@ -63,7 +72,7 @@ def module_progress_upsert(spark, sf):
 def module_progress_merge(spark, sf):
     """Half the submissions become a snapshot, the rest are merged into it."""
     rows = fixture(spark, sf, "fx_submissions")
-    early = F.col("submitted_at") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    early = F.coalesce(F.col("submitted_at") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), F.lit(False))
     snapshot = progress.module_progress(rows.filter(early))
     return progress.module_progress(rows.filter(~early), snapshot)
 
@@ -78,6 +87,24 @@ def progress_status_regressing(spark, sf):
     return _status(spark, sf, "regressing")
 
 
+@query
+def save_progress_rows(spark, sf):
+    """The progress table after the whole save."""
+    return _save(spark, sf)[0]
+
+
+@query
+def save_progress_employees(spark, sf):
+    """The employees after the whole save."""
+    return _save(spark, sf)[1].select("id", "progress_pct", "completion_status")
+
+
+@query
+def save_progress_rejects(spark, sf):
+    """What the whole save refused, and why."""
+    return _save(spark, sf)[2].select("submission_id", "reason")
+
+
 @query
 def progress_rejects(spark, sf):
     """Progress rows of unknown employees, after the fold."""
@@ -347,10 +374,19 @@ def induction_ensure(spark, sf):
 
 @query
 def employee_actions_v1(spark, sf):
-    left = people.employee_actions(fixture(spark, sf, "fx_employees"), fixture(spark, sf, "fx_actions"))
+    employees = fixture(spark, sf, "fx_employees")
+    allowed, _ = people.judge_actions(fixture(spark, sf, "fx_actions"), employees)
+    left = people.employee_actions(employees, allowed)
     return left.select("id", "full_name", old_role("role").alias("role"), "status").orderBy("id")
 
 
+@query
+def employee_actions_rejects(spark, sf):
+    """Actions of the older portal whose actor may not take them."""
+    _, rejected = people.judge_actions(fixture(spark, sf, "fx_actions"), fixture(spark, sf, "fx_employees"))
+    return rejected.select("action_id", "action", "reason")
+
+
 @query
 def create_v1(spark, sf):
     return people.create_from_forms(fixture(spark, sf, "fx_forms"))[0]
@@ -418,6 +454,18 @@ def write_authorised(spark, sf):
     )
 
 
+@query
+def write_moves(spark, sf):
+    """Updates that move a progress row to another employee, judged on the old and the new row."""
+    edits = fixture(spark, sf, "fx_profile_edits").select(
+        "edit_id", "emp_id", (F.col("emp_id") + F.col("edit_id") % 3 - 1).alias("new_emp_id"),
+        (100000 + F.col("emp_id") - F.col("edit_id") % 2).alias("viewer_auth_id"),
+    )
+    employees = fixture(spark, sf, "fx_employees")
+    judged = access.authorised(edits, employees, "module_progress", "update", "emp_id", "new_emp_id")
+    return judged.select("edit_id", "allowed", "outcome")
+
+
 @query
 def write_policies(spark, sf):
     """Every write policy against the same callers and owners."""
@@ -562,8 +610,10 @@ def product_blocks(spark, sf):
 
 @query
 def candidate_list(spark, sf):
-    rows = _bodies(spark, sf).filter("products IS NOT NULL").withColumn("candidates", F.col("products"))
-    return checks.candidate_list(rows).select("request_id", "candidate_text")
+    """The list shown to the model for every body; a body without one has the reason instead."""
+    rows = _bodies(spark, sf).withColumn("candidates", F.col("products"))
+    reason = F.when(F.coalesce(F.size("candidates"), F.lit(0)) <= 0, checks.NO_CANDIDATES)
+    return checks.candidate_list(rows).select("request_id", "candidate_text", reason.alias("reason"))
 
 
 def _candidates(spark, sf):
@@ -577,6 +627,12 @@ def candidate_lines(spark, sf):
     return _candidates(spark, sf).select("request_id", "position", "product_id", "line")
 
 
+@query
+def candidate_rejects(spark, sf):
+    """Pairs whose product is unknown."""
+    return checks.unknown_candidates(fixture(spark, sf, "fx_product_requests"), fixture(spark, sf, "fx_products"))
+
+
 @query
 def photo_prompt_parts(spark, sf):
     none = F.lit(None).cast("string")
@@ -627,7 +683,8 @@ def verdicts(spark, sf):
 
 @query
 def product_matches(spark, sf):
-    return checks.match_products(fixture(spark, sf, "fx_match_replies"), _candidates(spark, sf)).drop("reply_text")
+    replies, pairs = fixture(spark, sf, "fx_match_replies"), fixture(spark, sf, "fx_product_requests")
+    return checks.match_pairs(replies, pairs, fixture(spark, sf, "fx_products")).drop("reply_text")
 
 
 @query
@@ -653,8 +710,13 @@ def progress_stream(spark, sf):
 
 @query
 def audit_stream(spark, sf):
+    """The events in files by falling time, and a seventh of them delivered again, two files a batch."""
     root = run_folder(spark, "audit-stream")
-    entries = streams.audit_entries_of(streams.event_stream(spark, sf))
+    events = spark.read.schema(streams.EVENTS).parquet(f"{sf}/events.parquet")
+    again = events.where("event_id % 7 = 0").repartition(2)
+    delivered = events.repartitionByRange(6, F.desc("ts")).unionByName(again)
+    delivered.write.parquet(f"{root}/in/events.parquet")
+    entries = streams.audit_entries_of(streams.event_stream(spark, f"{root}/in", files_per_batch=2))
     streams.audit_stream(entries, f"{root}/log", f"{root}/checkpoint").awaitTermination()
     log = spark.read.parquet(f"{root}/log")
     return log.select("id", "target_id", "action", "detail", F.col("audit_date").cast("date").alias("audit_date"))

@@ -27,7 +27,8 @@ FROM {events} e JOIN fx_catalogue m ON m.idx = CAST((hour(e.ts) - hour(e.ts) % 2
 SELECT submission_id, CASE WHEN submission_id % 31 = 0 THEN NULL ELSE employee_id END AS employee_id,
        CASE WHEN submission_id % 37 = 0 THEN NULL ELSE module_id END AS module_id,
        CASE WHEN submission_id % 41 = 0 THEN NULL ELSE answers END AS answers,
-       CASE WHEN submission_id % 43 = 0 THEN NULL ELSE completed END AS completed, submitted_at
+       CASE WHEN submission_id % 43 = 0 THEN NULL ELSE completed END AS completed,
+       CASE WHEN submission_id % 47 = 0 THEN NULL ELSE submitted_at END AS submitted_at
 FROM fx_submissions""",
     "fx_employees": """
 SELECT c.c_custkey AS id,
@@ -84,7 +85,7 @@ FROM {orders}""",
 SELECT event_id AS action_id, user_id AS emp_id,
        CASE WHEN event_type = 'error' AND value > 200 THEN 'delete'
             WHEN event_type IN ('click', 'signup') THEN 'activate' ELSE 'inactive' END AS action,
-       CASE WHEN value > 220 THEN 100000 WHEN value > 210 THEN -1 ELSE 100050 END AS actor_auth_id,
+       CASE WHEN value > 220 THEN 100500 WHEN value > 210 THEN -1 ELSE 100050 END AS actor_auth_id,
        ts AS acted_at
 FROM {events}""",
     "fx_induction_events": """
@@ -129,7 +130,9 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_name END AS
        CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE lower(p_type) END AS keywords
 FROM {part}""",
     "fx_product_requests": """
-SELECT DISTINCT l_orderkey AS request_id, l_partkey AS product_id FROM {lineitem}""",
+SELECT DISTINCT l_orderkey AS request_id,
+       CASE WHEN (l_orderkey + l_partkey) % 29 = 0 THEN -l_partkey ELSE l_partkey END AS product_id
+FROM {lineitem}""",
     "fx_bodies": """
 SELECT p_partkey AS request_id,
        CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_name END AS name_1,
@@ -140,7 +143,8 @@ SELECT p_partkey AS request_id,
        CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE lower(p_name) END AS single_name
 FROM {part}""",
     "fx_attempts": """
-SELECT CAST((event_id - event_id % 5) / 5 AS BIGINT) AS request_id, event_id % 5 AS attempt_rank,
+SELECT CAST((event_id - event_id % 5) / 5 AS BIGINT) AS request_id,
+       CASE WHEN event_id % 10 = 4 THEN 7 WHEN event_id % 10 = 8 THEN 12 ELSE event_id % 5 END AS attempt_rank,
        'model-' || CAST(event_id % 5 AS STRING) AS model,
        event_type <> 'error' AND event_id % 4 <> 0 AS ok,
        CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 4 = 0 THEN 429 ELSE 200 END AS status,

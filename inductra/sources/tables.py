@@ -56,15 +56,15 @@ def with_reply_text(responses: DataFrame, body: str = "body") -> DataFrame:
 
 
 def append_audit(entries: DataFrame, path: str, run_id: str) -> None:
-    """Append to the log, one folder per day and run.
+    """Append to the log, one folder per run and in it one per day.
 
-    A run that is repeated after a failure replaces its own folders and adds nothing
-    twice. The rebalance hint lets AQE size the files and split a day that holds most
-    entries.
+    A run that is repeated after a failure replaces its own folder as a whole, so days it no
+    longer has do not stay behind and nothing is added twice. The rebalance hint lets AQE
+    size the files and split a day that holds most entries.
     """
-    dated = entries.withColumns({"audit_date": F.to_date("created_at"), "run_id": F.lit(run_id)})
-    writer = dated.hint("rebalance", "audit_date").write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("audit_date", "run_id").parquet(path)
+    dated = entries.withColumn("audit_date", F.to_date("created_at"))
+    writer = dated.hint("rebalance", "audit_date").write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy("audit_date").parquet(f"{path}/run_id={run_id}")
 
 
 def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
@@ -82,19 +82,28 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.select("value").write.mode("errorifexists").text(path)
 
 
+POINTER = "version bigint, run_id string, written_at timestamp_ntz"
+
+
 def write_snapshot(df: DataFrame, root: str, run_id: str, run_ts: Column) -> None:
     """Write a new version of a table, then point at it.
 
     Files are never changed in place, so ``df`` may read the version it replaces. The
-    pointer row is appended only after all data is written.
+    pointer row is appended only after all data is written; its version number is one above
+    the last, so versions of one clock keep their order.
     """
+    spark = df.sparkSession
+    spark.createDataFrame([], POINTER).coalesce(1).write.mode("append").json(f"{root}/pointer")
+    last = spark.read.schema(POINTER).json(f"{root}/pointer").agg(F.max("version")).first()[0]
     df.write.mode("errorifexists").parquet(f"{root}/version={run_id}")
-    pointer = df.sparkSession.range(1).select(F.lit(run_id).alias("run_id"), run_ts.alias("written_at"))
+    pointer = spark.range(1).select(
+        F.lit((last or 0) + 1).cast("bigint").alias("version"), F.lit(run_id).alias("run_id"), run_ts.alias("written_at")
+    )
     pointer.coalesce(1).write.mode("append").json(f"{root}/pointer")
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The version named by the newest pointer row."""
-    pointers = spark.read.schema("run_id string, written_at timestamp_ntz").json(f"{root}/pointer")
-    newest = pointers.agg(F.max_by("run_id", F.struct("written_at", "run_id")).alias("run_id")).first()
+    pointers = spark.read.schema(POINTER).json(f"{root}/pointer")
+    newest = pointers.agg(F.max_by("run_id", F.struct("version", "written_at", "run_id")).alias("run_id")).first()
     return spark.read.parquet(f"{root}/version={newest['run_id']}")

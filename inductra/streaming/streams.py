@@ -65,21 +65,34 @@ def current_progress(
     return last.select(*KEY, *[F.col(f"_row.{c}") for c in kept])
 
 
-def audit_stream(entries: DataFrame, path: str, checkpoint: str, late: str = "1 hour", **trigger) -> StreamingQuery:
+def audit_stream(entries: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append audit entries to a log with one folder per day, each entry id once.
 
-    ``entries`` has a ``timestamp`` column ``created_at``. Repeats are recognised for as
-    long as the watermark allows; state is dropped after that.
+    Every entry is written, however late it arrives. A repeat carries the day of the first
+    delivery; it is recognised by an anti-join of the batch with the days of the log that the
+    batch touches, so a batch that is replayed after its write adds nothing.
     """
-    once = entries.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
-    dated = once.withColumn("audit_date", F.to_date("created_at"))
-    writer = dated.writeStream.outputMode("append").format("parquet").partitionBy("audit_date")
-    writer = writer.option("checkpointLocation", checkpoint).option("path", path)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    spark = entries.sparkSession
+    dated = entries.withColumn("audit_date", F.to_date("created_at"))
+    spark.createDataFrame([], dated.schema).write.mode("append").partitionBy("audit_date").parquet(path)
+
+    def write_new(batch: DataFrame, batch_id: int) -> None:
+        first, last = batch.agg(F.min("audit_date"), F.max("audit_date")).first()
+        log = batch.sparkSession.read.schema(dated.schema).parquet(path)
+        known = log.where(F.col("audit_date").between(F.lit(first), F.lit(last))).select("id", "audit_date")
+        # A missing day has a folder of its own, outside any range.
+        undated = log.where("audit_date IS NULL").select("id", "audit_date")
+        known = known.unionByName(undated).withColumnsRenamed({"id": "_id", "audit_date": "_day"})
+        same = (F.col("id") == F.col("_id")) & F.col("audit_date").eqNullSafe(F.col("_day"))
+        fresh = batch.dropDuplicates(["id", "audit_date"]).join(known, same, "left_anti")
+        fresh.write.mode("append").partitionBy("audit_date").parquet(path)
+
+    query = dated.writeStream.foreachBatch(write_new).option("checkpointLocation", checkpoint)
+    return query.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def audit_entries_of(events: DataFrame) -> DataFrame:
-    """Events as audit entries; a watermark needs the zoned timestamp type."""
+    """Events as audit entries."""
     return events.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("target_id"),

@@ -340,7 +340,7 @@ def test_first_success_in_model_order(spark):
     out = by(checks.first_success(spark.createDataFrame(rows, ATTEMPTS)), "request_id")
     assert (out[1].succeeded, out[1].attempt_rank, out[1].model, out[1].verdict, out[1].error) == (True, 1, "b", "pass", None)
     assert out[2].error == (
-        "AI service unavailable. Details: a: 500  | b: JSON parse failed — " + "x" * 80 + " | c: reply is null"
+        "AI service unavailable. Details: a: 500 | b: JSON parse failed — " + "x" * 80 + " | c: reply is null"
     )
     assert (out[2].succeeded, out[2].verdict, out[2].n_attempts) == (False, None, 4)
 
@@ -352,6 +352,29 @@ def test_first_answer_lists_every_error(spark):
     assert out[2].answer == "yes"
 
 
+def test_any_rank_counts_and_no_request_is_lost(spark):
+    rows = [(1, 7, "h", True, 200, None, PASS), (2, 9, "z", False, 500, None, ""), (2, 6, "g", False, 429, "quota", ""),
+            (3, None, "n", True, 200, None, FAIL), (3, 40, "m", False, 500, "x", ""), (4, None, "n", False, 500, "y", "")]
+    attempts = spark.createDataFrame(rows, ATTEMPTS)
+    out = by(checks.first_success(attempts), "request_id")
+    assert set(out) == {1, 2, 3, 4}
+    assert (out[1].attempt_rank, out[1].verdict) == (7, "pass")
+    assert out[2].error == "AI service unavailable. Details: g: 429 quota | z: 500"
+    assert (out[3].succeeded, out[3].attempt_rank, out[3].verdict) == (True, None, "fail")
+    assert out[4].error == "AI service unavailable. Details: n: 500 y"
+    asked = by(checks.first_success(attempts, "question"), "request_id")
+    assert asked[2].error == "AI service unavailable. Tried: g: 429 quota | z: 500 "
+
+
+def test_several_errors_of_one_rank_are_all_listed(spark):
+    rows = [(1, 0, m, False, 500, m, "") for m in ("b", "a")] + [(2, i, "m", False, 500, "e", "") for i in range(60)]
+    attempts = spark.createDataFrame(rows, ATTEMPTS)
+    assert by(checks.first_success(attempts), "request_id")[1].error.endswith("a: 500 a | b: 500 b")
+    assert by(checks.first_success(attempts, "question"), "request_id")[2].error.endswith(" | and 10 more")
+    lines = checks.error_lines(attempts, "question").where("request_id = 2").collect()
+    assert sorted(r.position for r in lines) == list(range(1, 61))
+
+
 def test_attempts_outside_the_model_list_are_reported(spark):
     rows = [(1, 0, "a", True, 200, None, PASS), (1, 0, "a", True, 200, None, PASS), (2, 5, "f", True, 200, None, PASS), (3, 1, "b", True, 200, None, PASS)]
     out = by(checks.attempt_problems(spark.createDataFrame(rows, ATTEMPTS)), "request_id")

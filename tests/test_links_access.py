@@ -163,10 +163,11 @@ def test_write_policies_fail_closed(spark, employees, table, action, expected):
     assert refused == {"rejected" if action == "insert" else "no_rows"}
 
 
-def test_broadcast_only_below_the_bound(spark):
-    df = spark.range(11)
+def test_broadcast_only_below_the_bound(spark, employees):
     hint = lambda d: "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
-    assert hint(access.broadcast_if_small(df, 11)) and not hint(access.broadcast_if_small(df, 10))
+    assert hint(access.identities_with(employees, ("employee",), 2))
+    assert not hint(access.identities_with(employees, ("employee",), 1))
+
 
 
 # Rules ---------------------------------------------------------------------------
@@ -256,3 +257,23 @@ def test_requests_beyond_the_last_code_are_rejected(spark):
     coded, rejected = onboarding.assign_codes(spark.range(5).withColumnRenamed("id", "request_id"), used)
     assert sorted(r.employee_code for r in coded.collect()) == ["EMP999998", "EMP999999"]
     assert {r.reason for r in rejected.collect()} == {onboarding.NO_CODE} and rejected.count() == 3
+
+
+def test_an_update_is_judged_on_the_new_row_as_well(spark, employees):
+    moves = spark.createDataFrame(
+        [(1, 3, 3, 103), (2, 3, 4, 103), (3, 4, 3, 103), (4, 3, 4, 102), (5, 3, None, 103)],
+        "edit_id int, emp_id bigint, new_emp_id bigint, viewer_auth_id bigint",
+    )
+    judged = access.authorised(moves, employees, "module_progress", "update", "emp_id", "new_emp_id")
+    assert {r.edit_id: r.outcome for r in judged.collect()} == {
+        1: "applied", 2: "rejected", 3: "no_rows", 4: "no_rows", 5: "rejected"
+    }
+    staff = access.authorised(moves, employees, "employees", "update", "emp_id", "new_emp_id")
+    assert {r.edit_id: r.outcome for r in staff.collect()}[4] == "applied"
+
+
+def test_privileged_identities_follow_the_smallest_id(spark, employees):
+    second = employees.where("id = 1").selectExpr("50 AS id", *[c for c in employees.columns if c != "id"])
+    two = employees.unionByName(second.withColumn("auth_id", F.lit(103).cast("bigint")))
+    assert [r.viewer_id for r in access.administrators(two).collect()] == [1]
+    assert access.identities_with(two, ("sysAdmin",), max_rows=0).count() == 1

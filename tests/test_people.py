@@ -192,3 +192,15 @@ def test_defaults_fill_missing_columns_not_nulls(spark):
     df = spark.createDataFrame([(None,)], "role string")
     row = tables.with_defaults(df, {"role": F.lit("employee"), "progress_pct": F.lit(0)}).first()
     assert (row.role, row.progress_pct) == (None, 0)
+
+
+def test_older_portal_actions_need_their_role(spark, employees):
+    rows = [(1, 3, "delete", 101), (2, 3, "delete", 102), (3, 4, "activate", 102), (4, 4, "inactive", 103),
+            (5, 4, "activate", 999), (6, 4, "delete", None)]
+    acts = spark.createDataFrame(
+        [(i, e, a, who, datetime(2024, 1, 1)) for i, e, a, who in rows],
+        "action_id bigint, emp_id bigint, action string, actor_auth_id bigint, acted_at timestamp_ntz",
+    )
+    allowed, rejected = people.judge_actions(acts, employees)
+    assert sorted(r.action_id for r in allowed.collect()) == [1, 3]
+    assert {r.action_id: r.reason for r in rejected.collect()} == {i: "Permission denied" for i in (2, 4, 5, 6)}

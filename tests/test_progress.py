@@ -157,3 +157,71 @@ def test_unused_modules_still_count(spark, employees):
     saved = progress.module_progress(submissions(spark, rows))
     assert by(progress.progress_pct(saved, employees), "employee_id")[4].progress_pct == 8
     assert saved.filter(F.col("module_id").isin(*MODULES)).count() == 0
+
+
+def replayed(spark, employees, rows, rule, stored=(), hot_rows=None):
+    saved = progress.module_progress(submissions(spark, list(rows)), progress.module_progress(submissions(spark, list(stored))))
+    before = progress.module_progress(submissions(spark, list(stored)))
+    low = progress.lowest_done(submissions(spark, list(rows)), employees, before, hot_rows)
+    pct = progress.progress_pct(saved, employees)
+    return {i: r.completion_status for i, r in by(progress.completion_status(pct, rule, low), "employee_id").items()}
+
+
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_a_status_lost_on_the_way_does_not_come_back(spark, employees, hot_rows):
+    off_and_on = [(i, e, "ppe", "{}", i % 2 == 0, at(i)) for e in (3,) for i in (1, 2)]
+    stored = [(0, 3, "ppe", "{}", True, at(0))]
+    assert replayed(spark, employees, off_and_on, "sticky", stored, hot_rows)[3] == "in_progress"
+    more = [*stored, (-1, 3, MODULES[5], "{}", True, at(0))]
+    assert replayed(spark, employees, off_and_on, "sticky", more, hot_rows)[3] == "completed"
+    full = [(-n, 3, m, "{}", True, at(0)) for n, m in enumerate(MODULES)]
+    one = [(1, 3, MODULES[2], "{}", False, at(1)), (2, 3, MODULES[2], "{}", True, at(2))]
+    assert replayed(spark, employees, one, "regressing", full, hot_rows)[3] == "in_progress"
+    assert replayed(spark, employees, one[1:], "regressing", full, hot_rows)[3] == "completed"
+    assert replayed(spark, employees, [(1, 3, "ppe", "{}", True, at(1))], "sticky", (), hot_rows)[3] == "completed"
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_status_equals_one_save_after_another(spark, employees, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([1, 3, 4]), rng.choice(MODULES[:2]), "{}", rng.random() < 0.6, at(i // 2)) for i in range(25)]
+    prior = {r.id: r.completion_status for r in employees.collect()}
+    done, want = {}, {}
+    for _, e, module, _, completed, _ in rows:
+        done.setdefault(e, {})[module] = completed
+        n = sum(done[e].values())
+        now = want.get(e, prior[e])
+        want[e] = "pending" if n == 0 else "completed" if now == "completed" else "in_progress"
+    got = replayed(spark, employees, rows, "sticky", (), 4 if seed else None)
+    assert {e: got[e] for e in want} == want
+
+
+def test_a_missing_percentage_stays(spark):
+    out = spark.createDataFrame([(1, None), (2, 100), (3, 108)], "employee_id bigint, progress_pct int")
+    fine, refused = progress.in_range(out)
+    assert sorted(r.employee_id for r in fine.collect()) == [1, 2]
+    assert [r.employee_id for r in refused.collect()] == [3]
+
+
+def test_a_submission_without_time_is_refused(spark):
+    rows = [(1, 3, "ppe", "{}", True, None), (None, 3, "ppe", "{}", True, at(1)), (2, 3, "ppe", "{}", True, at(2))]
+    fine, refused = progress.complete_submissions(submissions(spark, rows))
+    assert [r.submission_id for r in fine.collect()] == [2]
+    assert sorted(r.reason for r in refused.collect()) == ["submission_id:not_null", "submitted_at:not_null"]
+
+
+def test_the_whole_save_accounts_for_every_submission(spark, employees):
+    rows = [(1, 3, "ppe", "{}", False, at(1)), (2, 99, "ppe", "{}", True, at(2)), (3, 4, "ppe", None, True, at(3)),
+            (4, 4, "ppe", "{}", True, at(4)), (5, 1, "extra", "{}", True, at(5))]
+    stored = [(-n, 1, m, "{}", True, at(0)) for n, m in enumerate(MODULES)]
+    before = progress.module_progress(submissions(spark, stored))
+    saved, staff, rejects = progress.save_progress(submissions(spark, rows), before, employees)
+    reasons = {r.submission_id: r.reason for r in rejects.collect()}
+    assert reasons == {2: "employee_id:foreign_key", 3: "answers:not_null", 5: "progress_pct:range"}
+    assert sorted((r.employee_id, r.module_id) for r in saved.collect() if r.employee_id != 1) == [(3, "ppe"), (4, "ppe")]
+    assert saved.where("employee_id = 1").count() == len(MODULES)
+    after = by(staff, "id")
+    assert (after[3].progress_pct, after[3].completion_status) == (0, "pending")
+    assert (after[4].progress_pct, after[4].completion_status) == (8, "in_progress")
+    assert (after[1].progress_pct, after[1].completion_status) == (100, "completed")
+    assert staff.columns == employees.columns

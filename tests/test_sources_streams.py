@@ -171,3 +171,33 @@ def test_audit_stream_writes_each_id_once(spark, run_dir):
     log = spark.read.parquet(run_dir + "/log")
     assert sorted(r.id for r in log.collect()) == list(range(20))
     assert log.select("audit_date").distinct().count() == 2
+
+
+def test_audit_stream_writes_late_entries(spark, run_dir):
+    """Four files of five ids each, days 10, 11, 9 and 8, one file per batch."""
+    start = datetime(2024, 3, 1)
+    rows = [(5 * k + i, start + timedelta(days=day, minutes=i), 1, "view", 1.0, "{}")
+            for i in range(5) for k, day in enumerate((10, 11, 9, 8))]
+    write_events(spark, rows, run_dir, 4)
+    entries = streams.audit_entries_of(streams.event_stream(spark, run_dir, files_per_batch=1))
+    streams.audit_stream(entries, run_dir + "/log", run_dir + "/ck").awaitTermination()
+    streams.audit_stream(entries, run_dir + "/log", run_dir + "/ck2").awaitTermination()
+    log = spark.read.parquet(run_dir + "/log")
+    assert sorted(r.id for r in log.collect()) == list(range(20))
+
+
+def test_versions_of_one_clock_keep_their_order(spark, run_dir):
+    root = run_dir + "/table"
+    clock = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    for n, run_id in enumerate(("run-b", "run-a", "run-c")):
+        sources.write_snapshot(spark.range(n + 1), root, run_id, clock)
+        assert sources.read_snapshot(spark, root).count() == n + 1
+
+
+def test_a_repeated_append_leaves_no_days_behind(spark, run_dir):
+    entries = spark.createDataFrame([(1, datetime(2024, 1, 1)), (2, datetime(2024, 1, 2))], "id bigint, created_at timestamp_ntz")
+    other = spark.createDataFrame([(3, datetime(2024, 1, 1))], entries.schema)
+    sources.append_audit(other, run_dir + "/log", "zero")
+    sources.append_audit(entries, run_dir + "/log", "one")
+    sources.append_audit(entries.where("id = 1"), run_dir + "/log", "one")
+    assert sorted(r.id for r in spark.read.parquet(run_dir + "/log").collect()) == [1, 3]
