@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inductra.functions.text import email_key, padded_number
@@ -10,6 +10,7 @@ from inductra.operators.access import administrators
 from inductra.operators.links import users_by_email
 from inductra.operators.ordered import number_all
 from inductra.operators.people import DENIED
+from inductra.operators.tables import with_defaults
 from inductra.schemas import CODE_PREFIX, FIRST_CODE, LAST_CODE, MIN_PASSWORD_LENGTH
 
 # Refusal messages, in the order they are tested.
@@ -102,6 +103,38 @@ def assign_codes(requests: DataFrame, employees: DataFrame, seed: int = 0) -> tu
     return placed.filter(F.col("employee_code").isNotNull()), rejected
 
 
+def create_employees(
+    requests: DataFrame, users: DataFrame, employees: DataFrame, run_ts: Column, work_location: str, seed: int = 0
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Onboarding from request to rows: (new users, new employees, rejected requests).
+
+    An accepted request gets the user with its e-mail or a new one, an unused code, and an
+    employee row that links the three. New ids run on from the largest stored ones, in the
+    order of request ids. Every request is in the employees or in the rejects, once.
+    """
+    accepted, refused = onboard(requests, users, employees)
+    coded, no_code = assign_codes(accepted, employees, seed)
+    top_user = users.agg(F.max("id")).first()[0] or 0
+    top_employee = employees.agg(F.max("id")).first()[0] or 0
+    numbered = number_all(coded, ["request_id"], "_n")
+    numbered = numbered.withColumn("id", F.col("_n") + F.lit(top_employee)).drop("_n")
+    needed = number_all(numbered.where("user_id IS NULL").select("request_id", "email_key"), ["request_id"], "_n")
+    made = needed.select("request_id", "email_key", (F.col("_n") + F.lit(top_user)).alias("_user"))
+    new_users = made.select(F.col("_user").alias("id"), F.col("email_key").alias("email"), run_ts.alias("email_confirmed_at"))
+    linked = numbered.join(made.select("request_id", "_user"), "request_id", "left")
+    rows = linked.select(
+        "id", "request_id", F.coalesce("user_id", "_user").alias("auth_id"), "employee_code", "full_name", "department", "position"
+    )
+    rows = with_defaults(
+        rows,
+        {
+            "role": F.lit("employee"), "work_location": F.lit(work_location), "completion_status": F.lit("pending"),
+            "progress_pct": F.lit(0), "start_date": run_ts.cast("date"), "created_at": run_ts,
+        },
+    )
+    return new_users, rows, refused.unionByName(no_code.select(*refused.columns))
+
+
 def sequential_ids(df: DataFrame, order: list[str], prefix: str, width: int = 6, start: int = 1) -> DataFrame:
     """Add ``employee_id``: prefix and padded running number in ``order``."""
     numbered = number_all(df, order, "_n")

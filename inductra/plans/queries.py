@@ -542,6 +542,31 @@ def onboarding_new_rows(spark, sf):
     )
 
 
+def _created(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return onboarding.create_employees(
+        fixture(spark, sf, "fx_onboarding"), fixture(spark, sf, "fx_users"), fixture(spark, sf, "fx_employees"),
+        run_ts(), "Main site",
+    )
+
+
+@query
+def onboarding_users(spark, sf):
+    """The user rows that onboarding makes."""
+    return _created(spark, sf)[0]
+
+
+@query
+def onboarding_employees(spark, sf):
+    """The employee rows that onboarding makes, with code and link."""
+    return _created(spark, sf)[1]
+
+
+@query
+def onboarding_rejects(spark, sf):
+    """The requests that onboarding refuses."""
+    return _created(spark, sf)[2].select("request_id", "reason")
+
+
 @query
 def new_codes(spark, sf):
     accepted, _ = _onboard(spark, sf, "find_or_create")

@@ -201,11 +201,11 @@ def test_prompt_parts(spark):
     out = {i: r.parts for i, r in by(prepared, "request_id").items()}
     assert {i: len(p) for i, p in out.items()} == {1: 2, 2: 2, 3: 5, 4: 7, 5: 5}
     assert [r.request_id for r in rejected.collect()] == [6]
-    assert out[1][0].text.startswith("You are the Depot Quality Assistant. A warehouse staff member")
+    assert out[1][0].text.startswith("You check product quality for Depot. The photo shows one batch.")
     assert (out[1][1].mime_type, out[1][1].text) == ("image/png", None)
     assert [p.data for p in out[4] if p.data] == ["R09PRA==", "QkFE", PHOTO.split(",")[1]]
     assert [p.mime_type for p in out[4] if p.data] == ["image/webp", "image/jpeg", "image/png"]
-    assert out[4][1].text == "REFERENCE — GOOD/ACCEPTABLE example of Kiwi:" and out[4][5].text == checks.STAFF_CAPTION
+    assert out[4][1].text == "Example of an acceptable batch of Kiwi:" and out[4][5].text == checks.STAFF_CAPTION
     assert "Reject criteria (FAILS standard): not recorded" in out[4][0].text
 
 
