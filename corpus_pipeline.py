@@ -1,12 +1,100 @@
-"""A training corpus from raw documents, in stages that each apply one operator."""
+"""A training corpus from raw documents, in stages that each apply one operator.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written and read again as the next one's ``docs``. All but the last
+return the columns of ``docs``. Rows are told apart by ``doc_id``; rows without one are kept
+where a stage cannot compare them. Empty tables pass through all stages.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inductra.llm import decontaminate, jaccard_join, language, pieces, suffix_dedup
+from inductra.llm.common import store, table
+from inductra.llm.queries import PIECE_BPE
+
+#: Posterior probability of a language below which a document is rejected.
+LEAST_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language learned from the labelled ones.
+
+    Texts that are missing or have no letter go, and those whose language is open.
+    """
+    model = language.fit(docs)
+    judged = docs.withColumn("__found", language.predict(model, F.col("text"), docs))
+    fine = (F.col("__found.lang_pred") != language.UNKNOWN) & (F.col("__found.score") >= LEAST_SCORE)
+    return judged.where(fine).drop("__found")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each component of near-duplicates, once.
+
+    Documents without an id stay.
+    """
+    found = jaccard_join.near_duplicates(docs)
+    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+    copies = Window.partitionBy("doc_id", "__text").orderBy(F.lit(0))
+    once = kept.withColumn("__text", F.xxhash64("text")).withColumn("__copy", F.row_number().over(copies))
+    return once.where("__copy = 1").drop("__text", "__copy").unionByName(docs.where("doc_id IS NULL"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that an earlier document holds; documents with nothing else go.
+
+    A character of which only a part was cut is cut whole. ``n_chars`` follows the text.
+    """
+    found = suffix_dedup.remove_repeats(docs)
+    cut = found.select(
+        F.col("doc_id").alias("__id"),
+        F.col("text_crc32").alias("__crc"),
+        suffix_dedup.whole_characters(F.col("kept")).alias("__kept"),
+    ).dropDuplicates(["__id", "__crc"])
+    marked = docs.withColumn("__of", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).drop("text")
+    joined = marked.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__crc")))
+    shorter = joined.withColumns({"text": F.col("__kept"), "n_chars": F.char_length("__kept").cast("bigint")})
+    return shorter.where(F.trim("text") != "").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a full benchmark window; cut shorter hits out of the others."""
+    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), out="__hits")
+    clean = found.where(F.col("__hits.longest") < decontaminate.WINDOW)
+    text = F.when(F.col("__hits.n_hit") > 0, decontaminate.without_spans(F.col("text"), F.col("__hits.spans")))
+    cut = clean.withColumn("text", F.coalesce(text, "text"))
+    return cut.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, and whether these decode to the text itself."""
+    coded = pieces.encode(docs, PIECE_BPE, out="__coded")
+    return coded.select(
+        *docs.columns,
+        F.col("__coded.ids").alias("ids"),
+        F.size("__coded.ids").cast("bigint").alias("n_tokens"),
+        (F.col("__coded.decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
+STAGES = [
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("repeated_passages", without_repeats),
+    ("benchmark", without_benchmark),
+    ("encoding", encoded),
+]
 
-STAGES: list = []
+#: Models and encoders are not SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage over the table ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

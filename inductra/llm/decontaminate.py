@@ -92,31 +92,51 @@ class Windows:
         return hit, items
 
 
-HITS = "struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: bigint, end: bigint>>>"
+HITS = (
+    "struct<n_words: bigint, n_hit: bigint, longest: bigint, items: array<string>,"
+    " spans: array<struct<start: bigint, end: bigint>>>"
+)
+
+
+def hit_runs(hit: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the hit words, run by run."""
+    at = np.flatnonzero(hit)
+    return [r for r in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(r)]
 
 
-def spans_of(text: str, hit: np.ndarray) -> list[dict]:
-    """Character spans of the runs of hit words, for cutting them out."""
+def spans_of(text: str, runs: list[np.ndarray]) -> list[dict]:
+    """Character spans of runs of words, for cutting them out."""
     inside = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_KEEP), np.uint8) != 32
     edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    runs = np.split(np.flatnonzero(hit), np.flatnonzero(np.diff(np.flatnonzero(hit)) > 1) + 1)
     raw = text.encode("utf-8", "surrogatepass")
     before = lambda at: len(raw[:at].decode("utf-8", "surrogatepass"))
-    return [{"start": before(start[r[0]]), "end": before(end[r[-1]])} for r in runs if len(r)]
+    return [{"start": before(start[r[0]]), "end": before(end[r[-1]])} for r in runs]
 
 
 def judge(windows: Windows, text: str | None) -> dict:
     document = split_words(text)
     hit, items = windows.scan(document)
-    spans = spans_of(text, hit) if items else []
-    return {"n_words": len(document), "n_hit": int(hit.sum()), "items": sorted(map(str, items)), "spans": spans}
+    runs = hit_runs(hit)
+    return {
+        "n_words": len(document),
+        "n_hit": int(hit.sum()),
+        "longest": max(map(len, runs), default=0),
+        "items": sorted(map(str, items)),
+        "spans": spans_of(text, runs) if runs else [],
+    }
 
 
 def judged_type() -> pa.DataType:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     return pa.struct(
-        [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(span))]
+        [
+            ("n_words", pa.int64()),
+            ("n_hit", pa.int64()),
+            ("longest", pa.int64()),
+            ("items", pa.list_(pa.string())),
+            ("spans", pa.list_(span)),
+        ]
     )
 
 
@@ -124,7 +144,7 @@ def find_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
               item_text: str = "text", out: str = "hits", bound: int = BROADCAST_WORDS) -> DataFrame:
     """``df`` with a column ``out``: words, hit words, items found and spans to remove.
 
-    ``n_words`` and ``n_hit`` count words; ``items`` are the ids of items found, sorted as
+    ``n_words`` and ``n_hit`` count words, ``longest`` those of the longest hit run; ``items`` are the ids of items found, sorted as
     strings; ``spans`` are character ranges. Null texts have no words; items without words are
     never found; repeated items count once by id. Other columns stay as they are.
     """
@@ -191,7 +211,7 @@ def _joined(df: DataFrame, bench: DataFrame, text: str, out: str) -> DataFrame:
     hits = texts.join(found, "key", "left").select("key", verified("t", "items").alias("__hits"))
     keyed = df.withColumn("__key", F.sha2(F.col(text), 256))
     joined = keyed.join(hits.withColumnRenamed("key", "__key"), "__key", "left")
-    nothing = F.expr(f"CAST(named_struct('n_words', 0, 'n_hit', 0, 'items', array(), 'spans', array()) AS {HITS})")
+    nothing = F.expr(f"CAST(named_struct('n_words', 0, 'n_hit', 0, 'longest', 0, 'items', array(), 'spans', array()) AS {HITS})")
     return joined.withColumn(out, F.coalesce("__hits", nothing)).drop("__key", "__hits")
 
 

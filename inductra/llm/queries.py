@@ -21,6 +21,9 @@ from inductra.llm import (
     url_filters,
 )
 from inductra.llm.common import crc_of_id, table
+from inductra.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -153,5 +156,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
 }
-
-ORACLES: dict[str, str] = {}

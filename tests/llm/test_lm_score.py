@@ -1,0 +1,109 @@
+"""Scores against the formula written out over plain counts."""
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from inductra.llm import lm_score
+from inductra.llm.queries import op5_lm_scoring
+
+
+def tokens(text):
+    return [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if w] + ["end"]
+
+
+def counts(texts, order):
+    grams = Counter()
+    for text in texts:
+        w = ["start"] * (order - 1) + tokens(text)
+        grams.update(tuple(w[i - order + 1 : i + 1]) for i in range(order - 1, len(w)))
+    levels = {}
+    for level in range(order, 0, -1):
+        often = Counter(grams.values())
+        after = defaultdict(list)
+        for g, c in grams.items():
+            after[g[:-1]].append(c)
+        levels[level] = grams, after, lm_score.discounts(*[float(often[i]) for i in (1, 2, 3, 4)])
+        lower = Counter()
+        for g in grams:
+            lower[g[1:]] += 1
+        grams = lower
+    return levels
+
+
+def probability(levels, gram):
+    grams, after, off = levels[len(gram)]
+    low = 1 / (len(grams) + 1) if len(gram) == 1 else probability(levels, gram[1:])
+    found = after.get(gram[:-1])
+    if not found:
+        return low
+    c = grams.get(gram, 0)
+    taken = off[min(c, 3) - 1] if c else 0
+    return (c - taken) / sum(found) + sum(off[min(x, 3) - 1] for x in found) / sum(found) * low
+
+
+ROWS = [(60, None), (61, ""), (62, " A  a\tB "), (5, "w1 w1"), (None, "w2 new"), (63, "w1 W2 " * 2000)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores(texts, clashing, monkeypatch, order):
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 500)
+    monkeypatch.setattr(lm_score, "SLICE_BYTES", 700)
+    rng = random.Random(order)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(words[: rng.randint(1, 30)]) for _ in range(rng.randint(0, 40)))) for i in range(50)]
+    rows += ROWS
+    df = clashing(texts(rows, 4))
+    train = [t for i, t in rows if i is None or i % 5 != 1]
+    model = lm_score.fit(df.where("doc_id IS NULL OR doc_id % 5 <> 1"), order=order)
+    levels = counts(train, order)
+    known = Counter(w for t in train for w in tokens(t))
+    n, v = sum(known.values()), len(known)
+    assert (model.train_tokens, model.vocabulary) == (n, v)
+    want = []
+    for i, t in rows:
+        w = tokens(t)
+        full = ["start"] * (order - 1) + w
+        score = sum(math.log10(probability(levels, tuple(full[k : k + order]))) for k in range(len(w)))
+        base = sum(math.log10((known[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        want.append((str(i), len(w), sum(known[x] > 0 for x in w), round(base, 6), round(score, 6)))
+    got = [
+        (str(r.doc_id), r.s.n_tokens, r.s.n_known, round(r.s.base_score, 6), round(r.s.score, 6))
+        for r in df.withColumn("s", lm_score.score(F.col("text"), model)).collect()
+    ]
+    assert sorted(got) == sorted(want)
+
+
+def test_probabilities_sum_to_one(texts):
+    rows = [(i, "a b c a b d") for i in range(4)] + [(9, "b a e f")]
+    levels = counts([t for _, t in rows], 2)
+    words = [g[0] for g in levels[1][0]]
+    total = sum(probability(levels, (b"a", w)) for w in words) + probability(levels, (b"a", "never"))
+    assert abs(total - 1) < 1e-9
+    assert lm_score.fit(texts(rows)).vocabulary == len(words)
+
+
+def test_empty_tables(texts):
+    model = lm_score.fit(texts([]))
+    assert model.train_tokens == 0
+    out = texts([(1, "a b")]).withColumn("s", lm_score.score(F.col("text"), model)).first().s
+    assert tuple(out) == (3, 0, 0.0, 0.0)
+    assert texts([]).withColumn("s", lm_score.score(F.col("text"), model)).collect() == []
+
+
+def test_folder_has_to_be_mounted():
+    assert lm_score.mounted("file:///a/b") == lm_score.mounted("/a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        lm_score.mounted("hdfs://x/a")
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    out = op5_lm_scoring(spark, "/root/testdata/sf0.01")
+    held = out.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert held.s > held.b
+    assert out.where("NOT held_out AND n_known <> n_tokens").count() == 0
+    assert out.select("train_tokens").distinct().count() == 1
