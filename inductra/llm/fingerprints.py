@@ -17,10 +17,11 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of an anchor, of its inner strings, and inner strings of an anchor.
-K = 24
-S = 8
-INNER = K - S + 1
+#: Bytes of an anchor and of its inner strings; an anchor has 2 ** LEVELS of these.
+LEVELS = 4
+S = 9
+INNER = 1 << LEVELS
+K = S + INNER - 1
 
 #: Anchors a fingerprint keeps.
 KEPT = 64
@@ -28,50 +29,67 @@ KEPT = 64
 #: Bytes by which the shift of a match may differ from the median shift.
 SLACK = 64
 
-WINDOW = 2048
+WINDOW = 8192
 
 #: Bytes of text in one slice of the order of ids, and the most slices there can be.
 SLICE_BYTES = 16 << 20
 MAX_SLICES = 1 << 16
 
-ANCHORS = "array<struct<h: bigint, p: int>>"
+#: An anchor is one number: 32 bits of its hash, then 31 bits of its position.
+PLACE = (1 << 31) - 1
 
 
 def anchors(raw: str, offset: str = "0") -> Column:
-    """All anchors of a binary column as (32-bit hash, position) structs, in order of position."""
+    """All anchors of a binary column, in order of position.
+
+    The minima over the inner strings come from pairwise minima over 2, 4, 8, ... of them.
+    """
     starts = f"CASE WHEN length({raw}) < {K} THEN array() ELSE sequence(0, length({raw}) - {K}, {WINDOW}) END"
     piece = f"substring({raw}, o + 1, {WINDOW + K - 1})"
     hashes = f"transform(sequence(1, length(b) - {S - 1}), i -> xxhash64(substring(b, i, {S})))"
-    chosen = (
-        f"filter(sequence(0, length(b) - {K}), "
-        f"i -> array_min(slice(m, i + 1, {INNER})) IN (m[i], m[i + {INNER - 1}]))"
-    )
-    anchor = f"i -> struct(xxhash64(substring(b, i + 1, {K})) & 4294967295 AS h, CAST(o + i + {offset} AS INT) AS p)"
-    return F.expr(
-        f"""CAST(flatten(transform({starts}, o ->
-            flatten(transform(array({piece}), b ->
-                flatten(transform(array({hashes}), m ->
-                    transform({chosen}, {anchor}))))))) AS {ANCHORS})"""
-    )
+    packed = f"shiftleft(xxhash64(substring(b, i + 1, {K})) & 4294967295, 31) | (o + i + {offset})"
+    edge = f"v = m0[i] OR v = m0[i + {INNER - 1}]"
+    found = f"filter(transform(m{LEVELS}, (v, i) -> CASE WHEN {edge} THEN {packed} END), x -> x IS NOT NULL)"
+    for level in range(LEVELS, 0, -1):
+        below, step = f"m{level - 1}", 1 << (level - 1)
+        size = f"size({below}) - {step}"
+        pairs = f"zip_with(slice({below}, 1, {size}), slice({below}, {step + 1}, {size}), (x, y) -> least(x, y))"
+        found = f"flatten(transform(array({pairs}), m{level} -> {found}))"
+    in_piece = f"flatten(transform(array({hashes}), m0 -> {found}))"
+    return F.expr(f"flatten(transform({starts}, o -> flatten(transform(array({piece}), b -> {in_piece}))))")
 
 
-def smallest(found: str, kept: int = KEPT) -> Column:
-    """The anchors with the smallest hashes, each hash once at its first position."""
-    return F.expr(
-        f"""flatten(transform(array(array_sort({found})), a ->
-            slice(filter(a, (x, i) -> i = 0 OR x.h <> a[greatest(i - 1, 0)].h), 1, {kept})))"""
-    )
+def _bind(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _first_of_each(ranked: Column) -> Column:
+    """Of anchors in order, each hash once at its first position, and as many as are kept."""
+    fresh = lambda x, i: (i == 0) | (F.shiftright(x, 31) != F.shiftright(F.get(ranked, i - 1), 31))
+    return F.slice(F.filter(ranked, fresh), 1, KEPT)
+
+
+def smallest(found: Column) -> Column:
+    """The anchors with the smallest hashes."""
+    return _bind(F.sort_array(found), _first_of_each)
 
 
 def or_whole(found: Column, raw: Column) -> Column:
     """A text too short for an anchor is one itself; an empty text has none."""
-    whole = F.array(F.struct(F.xxhash64(raw).bitwiseAND(4294967295).alias("h"), F.lit(0).alias("p"))).cast(ANCHORS)
+    whole = F.array(F.shiftleft(F.xxhash64(raw).bitwiseAND(4294967295), 31))
     return F.when((F.size(found) == 0) & (F.length(raw) > 0), whole).otherwise(found)
 
 
+def smallest_of(raw: str) -> Column:
+    """The fingerprint of a binary column as an array."""
+    return _bind(smallest(anchors(raw)), lambda a: or_whole(a, F.col(raw)))
+
+
 def written(found: str) -> Column:
     """A fingerprint as text: hash in hex, colon, position, joined by commas."""
-    return F.expr(f"array_join(transform({found}, x -> concat(lower(lpad(hex(x.h), 8, '0')), ':', x.p)), ',')")
+    anchor = f"concat(lower(lpad(hex(shiftright(x, 31)), 8, '0')), ':', x & {PLACE})"
+    return F.expr(f"array_join(transform({found}, x -> {anchor}), ',')")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -79,15 +97,20 @@ def likeness(a: str, b: str) -> Column:
 
     Two empty fingerprints are alike.
     """
+
+    def hashes(c: str) -> str:
+        return f"transform({c}, x -> shiftright(x, 31))"
+
+    shift = f"(x & {PLACE}) - ({b}[CAST(array_position(hb, shiftright(x, 31)) - 1 AS INT)] & {PLACE})"
+    near = f"abs(x - array_sort(d)[CAST(size(d) DIV 2 AS INT)]) <= {SLACK}"
     return F.expr(
         f"""CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1.0D ELSE
-        aggregate(transform(array(struct(
-            slice(array_sort(array_union({a}.h, {b}.h)), 1, {KEPT}) AS u)), z -> struct(size(z.u) AS n,
-            transform(filter({a}, x -> x.h <= element_at(z.u, -1) AND array_contains({b}.h, x.h)),
-                x -> x.p - element_at({b}.p, CAST(array_position({b}.h, x.h) AS INT))) AS d)),
-            0.0D, (total, z) -> total +
-            size(filter(z.d, x -> abs(x - array_sort(z.d)[CAST(size(z.d) DIV 2 AS INT)]) <= {SLACK})) / CAST(z.n AS DOUBLE))
-        END"""
+        element_at(transform(array({hashes(b)}), hb ->
+            element_at(transform(array(slice(array_sort(array_union({hashes(a)}, hb)), 1, {KEPT})), u ->
+                element_at(transform(array(
+                    transform(filter({a}, x -> shiftright(x, 31) <= element_at(u, -1)
+                                              AND array_contains(hb, shiftright(x, 31))), x -> {shift})),
+                    d -> size(filter(d, x -> {near})) / CAST(size(u) AS DOUBLE)), 1)), 1)), 1) END"""
     )
 
 
@@ -98,21 +121,6 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return found.withColumn(out, written("__found")).drop("__raw", "__found")
 
 
-def smallest_of(raw: str) -> Column:
-    bound = anchors(raw)
-    one = F.transform(F.array(bound), lambda a: or_whole(_smallest_lambda(a), F.col(raw)))
-    return F.element_at(one, 1)
-
-
-def _smallest_lambda(a: Column) -> Column:
-    ordered = F.array_sort(a)
-    one = F.transform(
-        F.array(ordered),
-        lambda s: F.slice(F.filter(s, lambda x, i: (i == 0) | (x["h"] != F.get(s, i - 1)["h"])), 1, KEPT),
-    )
-    return F.element_at(one, 1)
-
-
 def _slice_bounds(rows: DataFrame) -> tuple[list[int], int]:
     """Ids that start a slice after the first, falling, and the largest id."""
     sizes = rows.agg(F.sum("n_bytes").alias("bytes"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).first()
@@ -185,14 +193,15 @@ def compare_with_edits(df: DataFrame, text: str = "text", row_id: str = "doc_id"
     rows = rows.withColumn("moved", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("kept", F.octet_length(F.expr("left(text, CAST(n_chars AS INT) - moved)")))
     rows = rows.withColumn("raw", F.col("text").cast("binary"))
-    both = F.transform(
-        F.array(anchors("raw")),
+    before_cut = lambda a: F.filter(a, lambda x: x.bitwiseAND(PLACE) <= F.col("kept") - K)
+    both = _bind(
+        F.sort_array(anchors("raw")),
         lambda a: F.struct(
-            or_whole(_smallest_lambda(a), F.col("raw")).alias("own"),
-            _smallest_lambda(F.filter(a, lambda x: x["p"] <= F.col("kept") - K)).alias("start"),
+            or_whole(_first_of_each(a), F.col("raw")).alias("own"),
+            _bind(before_cut(a), _first_of_each).alias("start"),
         ),
     )
-    rows = rows.withColumn("found", F.element_at(both, 1)).drop("raw")
+    rows = rows.withColumn("found", both).drop("raw")
     rows = rows.withColumns({"own": F.col("found.own"), "start": F.col("found.start")}).drop("found")
     linked = with_next(rows, ["text", "own"])
     edited = linked.withColumn(
@@ -200,11 +209,8 @@ def compare_with_edits(df: DataFrame, text: str = "text", row_id: str = "doc_id"
     )
     edited = edited.withColumn("fresh_from", F.greatest(F.lit(0), F.col("kept") - (K - 1)))
     edited = edited.withColumn("fresh", F.expr("substring(edited, fresh_from + 1, length(edited))"))
-    fresh = F.transform(F.array(anchors("fresh", "fresh_from")), lambda a: F.concat(F.col("start"), a))
-    edited = edited.withColumn(
-        "other",
-        F.element_at(F.transform(fresh, lambda a: or_whole(_smallest_lambda(a), F.col("edited"))), 1),
-    )
+    other = smallest(F.concat("start", anchors("fresh", "fresh_from")))
+    edited = edited.withColumn("other", _bind(other, lambda a: or_whole(a, F.col("edited"))))
     return edited.select(
         F.col("row_id").alias(row_id),
         "n_chars",
