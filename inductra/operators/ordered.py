@@ -21,13 +21,15 @@ SLICE = "_slice"
 # A key with more rows than this is split; the session may set another number.
 HOT_ROWS_SETTING = "spark.inductra.hotRows"
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 10_000
+
+# Up to so many hot keys, and rows of one per (key, slice), are broadcast; more are joined.
+BROADCAST_KEYS = 10_000
+BROADCAST_SLICES = 30_000
 
 UTC_NAMES = ("UTC", "ETC/UTC", "Z", "GMT")
 
 # More than the number of different 64-bit ids, so ids never reach into the time.
 ID_SPAN = 2 * 10**19
-MAX_SLICES = 20_000
 
 
 def _micros(df: DataFrame, at: str) -> Column:
@@ -61,40 +63,41 @@ def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return condition
 
 
-def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[list, int]:
-    """The keys with the most rows above ``hot_rows``, and the rows they hold together.
+def _hinted(df: DataFrame, fits: bool) -> DataFrame:
+    return F.broadcast(df) if fits else df
 
-    The list is no longer than ``MAX_HOT_KEYS``. A key left off it has fewer rows than
-    each one on it, so less than 1 / ``MAX_HOT_KEYS`` of the table; results do not depend
-    on the choice.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
-    found = counts.orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).collect()
-    return found, sum(row["_rows"] for row in found)
+
+def _wanted_slices(df: DataFrame, at_least: int = 1) -> int:
+    return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _range_slices(df: DataFrame, keys: list[str], order: list[str], at_least: int = 1) -> DataFrame:
     """Rows with the number of their slice, stored so that the numbers never change."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(max(at_least, partitions), MAX_SLICES)
+    wanted = _wanted_slices(df, at_least)
     sliced = df.repartitionByRange(wanted, *keys, *order).withColumn(SLICE, F.spark_partition_id())
     return cut_lineage(sliced)
 
 
 def _split_hot(
     df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None
-) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, sliced rows of hot keys or None)."""
+) -> tuple[DataFrame, DataFrame | None, bool]:
+    """(rows of ordinary keys, sliced rows of hot keys or None, whether slices are few).
+
+    Every key with more than ``hot_rows`` rows is hot, however many there are. Their list is a
+    stored table; only its size decides how it is joined.
+    """
     hot_rows = hot_rows or int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
-    found, rows = _hot_keys(df, keys, hot_rows)
-    if not found:
-        return df, None
-    spark = df.sparkSession
-    schema = df.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]).schema
-    hot = F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) for r in found], schema))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows)
+    n_keys, rows = counts.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    if not n_keys:
+        return df, None, True
+    hot = cut_lineage(counts.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    hot = _hinted(hot, n_keys <= BROADCAST_KEYS)
     ordinary = df.join(hot, _same_key(df, hot, keys), "left_anti")
     busy = df.join(hot, _same_key(df, hot, keys), "left_semi")
-    return ordinary, _range_slices(busy, keys, order, math.ceil(rows / hot_rows))
+    slices = math.ceil(rows / hot_rows)
+    few = n_keys + _wanted_slices(df, slices) <= BROADCAST_SLICES
+    return ordinary, _range_slices(busy, keys, order, slices), few
 
 
 def previous_value(
@@ -103,13 +106,13 @@ def previous_value(
     """Add ``name``: the struct ``columns`` of the row before, per key; NULL on the first row.
 
     ``order`` must be unique within a key, and ``columns`` short values: the last row of
-    each slice of a hot key is broadcast.
+    each slice of a hot key is broadcast, or joined if there are very many.
     """
     def lagged(rows: DataFrame, by: list[str]) -> DataFrame:
         window = Window.partitionBy(*by).orderBy(*order)
         return rows.withColumn(name, F.lag(F.struct(*columns)).over(window))
 
-    ordinary, busy = _split_hot(df, keys, order, hot_rows)
+    ordinary, busy, few = _split_hot(df, keys, order, hot_rows)
     out = lagged(ordinary, keys)
     if busy is None:
         return out
@@ -120,9 +123,9 @@ def previous_value(
         F.lag("_tail").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_carried"),
     )
     inner = lagged(busy, [*keys, SLICE])
-    # One row per (hot key, slice): at most MAX_SLICES + MAX_HOT_KEYS rows.
+    # One row per (hot key, slice).
     joined = inner.join(
-        F.broadcast(carried), _same_key(inner, carried, keys) & (inner[SLICE] == carried["_to"]), "left"
+        _hinted(carried, few), _same_key(inner, carried, keys) & (inner[SLICE] == carried["_to"]), "left"
     )
     joined = joined.withColumn(name, F.coalesce(name, "_carried")).select(*out.columns)
     return out.unionByName(joined)
@@ -132,7 +135,7 @@ def lowest_running_sum(
     df: DataFrame, keys: list[str], order: list[str], value: str, name: str, hot_rows: int | None = None
 ) -> DataFrame:
     """(keys, ``name``): the smallest running sum of ``value`` after any row, per key."""
-    ordinary, busy = _split_hot(df, keys, order, hot_rows)
+    ordinary, busy, few = _split_hot(df, keys, order, hot_rows)
 
     def running(rows: DataFrame, by: list[str]) -> DataFrame:
         window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -157,7 +160,7 @@ def number_within(
 
     ``several``, if named, tells whether the key has more than one row.
     """
-    ordinary, busy = _split_hot(df, keys, order, hot_rows)
+    ordinary, busy, few = _split_hot(df, keys, order, hot_rows)
     window = Window.partitionBy(*keys).orderBy(*order)
     out = ordinary.withColumn(name, F.row_number().over(window).cast("bigint"))
     if several:
@@ -165,7 +168,7 @@ def number_within(
         out = out.withColumn(several, (F.col(name) > 1) | follows.isNotNull())
     if busy is None:
         return out
-    numbered = _number_slices(busy, keys, order, name)
+    numbered = _number_slices(busy, keys, order, name, few)
     if several:
         numbered = numbered.withColumn(several, F.lit(True))
     return out.unionByName(numbered.select(*out.columns))
@@ -176,10 +179,11 @@ def number_all(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
     The table is cut into as many slices as the session has shuffle partitions.
     """
-    return _number_slices(_range_slices(df, [], order), [], order, name).select(*df.columns, name)
+    few = _wanted_slices(df) <= BROADCAST_SLICES
+    return _number_slices(_range_slices(df, [], order), [], order, name, few).select(*df.columns, name)
 
 
-def _number_slices(sliced: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def _number_slices(sliced: DataFrame, keys: list[str], order: list[str], name: str, few: bool) -> DataFrame:
     counts = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_rows"))
     # One row per (key, slice), so this window is small even without a key.
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -189,5 +193,5 @@ def _number_slices(sliced: DataFrame, keys: list[str], order: list[str], name: s
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
     )
     local = sliced.withColumn(name, F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order)))
-    joined = local.join(F.broadcast(offsets), _same_key(local, offsets, keys) & (local[SLICE] == offsets["_to"]))
+    joined = local.join(_hinted(offsets, few), _same_key(local, offsets, keys) & (local[SLICE] == offsets["_to"]))
     return joined.withColumn(name, F.col(name) + F.col("_offset"))
