@@ -11,10 +11,12 @@ removed where its document is not the first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from inductra.llm.chunks import (
     NO_ID,
@@ -23,10 +25,12 @@ from inductra.llm.chunks import (
     chunk_table,
     each_answered,
     is_in,
+    packed,
     shard_bits,
     shared_flags,
     shared_hashes,
     split_by_shard,
+    unpacked,
 )
 from inductra.llm.common import GOLDEN, mix, ragged, store
 from inductra.llm.lyndon import suffix_order
@@ -42,8 +46,13 @@ LONG = 1 << 14
 #: Times that is tried.
 SPLITS = 6
 
-#: Bits of a position in a chunk; the rest of the 64 are the leading bits of a hash.
-PLACE_BITS = np.uint64(30)
+#: Windows worked on at once, for the processor's cache.
+PIECE = 1 << 16
+
+#: The bits of a k-mer's rank that hold its place in a piece; the others lead its hash.
+PLACES = np.uint64((1 << 18) - 1)
+
+MIXER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def words_at(raw: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
@@ -55,36 +64,61 @@ def words_at(raw: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
 def runs(raw: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: (first window, windows, anchor hash, text index).
 
-    ``seed`` picks the order of anchors. Windows never cross texts.
+    ``seed`` picks the order of anchors. Windows never cross texts. Bytes are worked on in
+    pieces that stay in the processor's cache; a run that goes on in the next piece is one.
     """
     empty = np.zeros(0, np.int64)
-    size = len(raw)
-    if size < WINDOW:
+    size = len(raw) - WINDOW + 1
+    lengths = np.diff(offsets)
+    held = lengths >= WINDOW
+    if size < 1 or not held.any():
         return empty, empty, empty.astype(np.uint64), empty
+    edges = np.zeros(size + 1, np.int8)
+    edges[offsets[:-1][held]] += 1
+    edges[offsets[1:][held] - WINDOW + 1] -= 1
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-    hashes = words_at(padded, slice(0, size - ANCHOR + 1)) * GOLDEN
-    hashes = mix(hashes ^ words_at(padded, slice(8, size - ANCHOR + 9)) + np.uint64(seed))
-    ranked = (hashes >> PLACE_BITS << PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
-    span, low = 1, ranked
-    wanted = WINDOW - ANCHOR + 1
+    found, before, inside = [], -1, False
+    for start in range(0, size, PIECE):
+        end = min(size, start + PIECE)
+        anchor, hashes = anchors(padded[start : end + WINDOW + 7], seed)
+        anchor += start
+        valid = np.cumsum(edges[start:end], dtype=np.int8) + np.int8(inside) > 0
+        changed = np.empty(end - start, bool)
+        changed[0] = anchor[0] != before or not inside
+        changed[1:] = (anchor[1:] != anchor[:-1]) | ~valid[:-1]
+        first = np.flatnonzero(changed & valid)
+        # The smallest hashes crowd at the low end; mixed again they spread over all shards.
+        found.append((first + start, mix(hashes[anchor[first] - start])))
+        before, inside = anchor[-1], bool(valid[-1])
+    first = np.concatenate([f for f, _ in found])
+    of = np.searchsorted(offsets, first, side="right") - 1
+    stop = offsets[of + 1] - WINDOW + 1
+    count = np.minimum(np.append(first[1:], size), stop) - first
+    return first, count, np.concatenate([h for _, h in found]), of
+
+
+def anchors(padded: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each window's anchor, and the hash of every inner k-mer.
+
+    The leftmost k-mer with the smallest leading bits wins; ``padded`` has 8 spare bytes.
+    """
+    grams = len(padded) - 8 - ANCHOR + 1
+    hashes = words_at(padded, slice(0, grams)) * GOLDEN
+    hashes ^= words_at(padded, slice(8, grams + 8)) * MIXER
+    hashes += np.uint64(seed)
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= MIXER
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= GOLDEN
+    low = hashes & ~PLACES
+    low |= np.arange(grams, dtype=np.uint64)
+    span, wanted = 1, WINDOW - ANCHOR + 1
     while span * 2 <= wanted:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < wanted:
         low = np.minimum(low[: -(wanted - span)], low[wanted - span :])
-    anchor = (low & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
-    lengths = np.diff(offsets)
-    inner = np.zeros(size + 1, np.int8)
-    held = lengths >= WINDOW
-    inner[offsets[:-1][held]] += 1
-    inner[offsets[1:][held] - WINDOW + 1] -= 1
-    valid = np.cumsum(inner[: len(anchor)], dtype=np.int8) > 0
-    fresh = valid.copy()
-    fresh[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
-    after = valid.copy()
-    after[:-1] &= (anchor[1:] != anchor[:-1]) | ~valid[1:]
-    first, last = np.flatnonzero(fresh), np.flatnonzero(after)
-    return first, last - first + 1, hashes[anchor[first]], np.searchsorted(offsets, first, side="right") - 1
+    return (low & PLACES).astype(np.int64), hashes
 
 
 def first_owners(raw: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, owners: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -115,8 +149,10 @@ def first_owners(raw: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, owne
         first, count, inner, of = runs(text, offsets, seed + 1)
         both = mix(inner ^ anchors[at][of] * GOLDEN)
         out[places] = _owners_of_runs(text, first, count, both, owners[at][of], seed + 1)
+    # A single string is its own order: all its windows have its owner, as ``out`` says already.
+    several = np.diff(np.append(head, len(order))) > 1
     by_size = np.argsort(bytes_of, kind="stable")
-    by_size = by_size[~long[by_size]]
+    by_size = by_size[(several & ~long)[by_size]]
     batch = np.cumsum(bytes_of[by_size]) // BATCH
     cuts = np.flatnonzero(np.diff(batch)) + 1
     lane_start = np.append(head, len(order))
@@ -214,29 +250,32 @@ def find_repeats(chunks: DataFrame, bits: int) -> DataFrame:
         first, count, hashes, _, _, distinct, smallest = shared_runs(chunk, bits, answers)
         order = np.argsort(hashes[distinct], kind="stable")
         places, least = distinct[order], smallest[order]
-        lengths, anchors = count[places] + WINDOW - 1, hashes[places]
+        lengths = count[places] + WINDOW - 1
         rows = []
-        for shard, at in split_by_shard(anchors, bits):
+        for shard, at in split_by_shard(hashes[places], bits):
             text = raw[ragged(first[places[at]], lengths[at])]
-            rows.append((shard, order[at].astype(np.int32), anchors[at], least[at], lengths[at].astype(np.int16), text))
+            sent = (least[at], lengths[at].astype(np.uint8), text)
+            rows.append((shard, at.stop - at.start, len(text), order[at].astype(np.int32).tobytes(), *map(packed, sent)))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([chunk[0]] * len(rows), pa.int64()),
-                pa.array([r[0] for r in rows], pa.int32()),
-                *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(1, 6)),
+                *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)),
             ],
-            ["chunk", "shard", "number", "anchors", "owners", "lengths", "strings"],
+            ["chunk", "shard", "size", "n_bytes", "number", "owners", "lengths", "strings"],
         )
 
     def answer(shard: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        def column(name: str, kind) -> list[np.ndarray]:
-            return [np.frombuffer(v.as_py(), kind) for v in rows.column(name)]
-
-        lengths = column("lengths", np.int16)
-        sizes = list(map(len, lengths))
-        lengths = np.concatenate(lengths).astype(np.int64)
-        anchors, owners = np.concatenate(column("anchors", np.uint64)), np.concatenate(column("owners", np.int64))
-        raw = np.concatenate(column("strings", np.uint8))
+        sizes = rows.column("size").to_pylist()
+
+        def column(name: str, kind, sizes: list[int]) -> np.ndarray:
+            return np.concatenate([unpacked(v.as_py(), n, kind) for v, n in zip(rows.column(name), sizes)])
+
+        lengths = column("lengths", np.uint8, sizes).astype(np.int64)
+        owners = column("owners", np.int64, sizes)
+        raw = column("strings", np.uint8, rows.column("n_bytes").to_pylist())
+        # A string is one run, so these are the anchors it was sent for.
+        _, _, anchors, _ = runs(raw, np.concatenate([[0], np.cumsum(lengths)]))
         first = np.cumsum(lengths) - lengths
         windows = lengths - WINDOW + 1
         found = _owners_of_runs(raw, first, windows, anchors, owners, 0)
@@ -261,7 +300,7 @@ def find_repeats(chunks: DataFrame, bits: int) -> DataFrame:
         chunks,
         flags,
         ask,
-        "chunk bigint, shard int, number binary, anchors binary, owners binary, lengths binary, strings binary",
+        "chunk bigint, shard int, size int, n_bytes int, number binary, owners binary, lengths binary, strings binary",
     )
     found = by_shard(asked, answer, "chunk bigint, shard int, number binary, owners binary")
     return flags.join(found, ["chunk", "shard"], "left")
@@ -280,11 +319,11 @@ def unpack_runs(data: bytes) -> np.ndarray:
     return np.repeat(pairs[1], pairs[0])
 
 
-REMOVED = "row_id bigint, kept binary, n_bytes bigint, n_spans bigint"
+REMOVED = "row_id bigint, text_crc32 bigint, kept binary, n_bytes bigint, n_spans bigint"
 
 
 def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """(row id, kept, n_bytes, n_spans): the bytes of every text that stay.
+    """(row id, text_crc32, kept, n_bytes, n_spans): the bytes of every text that stay.
 
     Goes byte by byte: removed is each byte covered by ``WINDOW`` bytes that also start in a
     document with a smaller id, as the input stands. ``kept`` are the other bytes, which may
@@ -324,12 +363,23 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id") ->
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64(), mask=ids == NO_ID),
+                pa.array([crc32(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.int64()),
                 pa.array([kept[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary()),
                 pa.array(np.diff(offsets), pa.int64()),
                 pa.array(np.diff(spans[offsets]), pa.int64()),
             ],
-            ["row_id", "kept", "n_bytes", "n_spans"],
+            ["row_id", "text_crc32", "kept", "n_bytes", "n_spans"],
         )
 
     out = each_answered(chunks, answers, cut, REMOVED)
     return out.withColumnRenamed("row_id", row_id)
+
+
+def whole_characters(kept: Column) -> Column:
+    """Kept bytes as text, without the bytes of characters that were cut in two."""
+
+    @F.arrow_udf("string")
+    def read(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else v.decode("utf-8", "ignore") for v in values.to_pylist()], pa.string())
+
+    return read(kept)
