@@ -38,3 +38,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 pairs.select("b", "b").distinct()
             )
         seen = tuple(sums)
+
+
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) once ``links`` (a, b) are added to components known before.
+
+    Only the components that the links touch are worked on, as single nodes.
+    """
+    of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    between = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    between = between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = components(between).withColumnsRenamed({"node": "from", "root": "to"})
+    kept = roots.join(moved, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = moved.join(roots, F.col("from") == F.col("node"), "left_anti")
+    return kept.union(fresh.select("from", "to"))

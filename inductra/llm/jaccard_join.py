@@ -1,19 +1,20 @@
 """Exact Jaccard join of word shingles, by vertical partitioning.
 
-The global order of shingles is that of their hashes. It is cut into ``FRAGMENTS`` ranges;
-for each candidate pair the overlap is counted in every fragment by itself and summed per
-pair. Equal sets are one class. Only documents most of whose shingles occur elsewhere can
+The global order of shingles puts those that few classes hold first, by hash, then the
+frequent ones by how frequent they are. It is cut into fragments, ``FRAGMENTS`` ranges of hashes
+and the frequent ones; for each candidate pair the overlap is counted in every fragment by
+itself and summed per pair. Equal sets are one class. Only documents most of whose shingles occur elsewhere can
 have a link; they are found first, by bits that shards of the hash space send back to chunks
 of documents. Candidates share one of the first shingles that a link cannot do without.
 
-Components are wanted, not all pairs. So rounds of candidates go from few to all: first each
-class with the neighbour it shares most first shingles with, then all neighbours in the
-order by size, then every remaining pair; each round leaves out pairs already connected.
+Components are wanted, not all pairs. So candidates go from few to all: in quick rounds each
+class is compared with the neighbour, in the order by size, that it shares most first shingles
+with; then every remaining pair is. Each round leaves out pairs that are already connected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -32,7 +33,7 @@ from inductra.llm.chunks import (
     shared_hashes,
 )
 from inductra.llm.common import GOLDEN, list_array, lower_ascii, mix, store, word_hashes, words
-from inductra.llm.components import components
+from inductra.llm.components import components, joined_roots
 from inductra.operators.ordered import previous_value
 
 #: Words of a shingle.
@@ -40,8 +41,17 @@ SHINGLE = 5
 #: A link needs 100 * shared >= THRESHOLD * united shingles.
 THRESHOLD = 75
 
-#: Ranges of the global order, a power of two.
-FRAGMENTS = 8
+#: Ranges of the hashes of infrequent shingles, a power of two, and the hashes that part them.
+FRAGMENTS = 4
+CUTS = np.arange(1 - FRAGMENTS // 2, FRAGMENTS // 2, dtype=np.int64) << np.int64(65 - FRAGMENTS.bit_length())
+
+#: Classes that hold a shingle from which on it may count as frequent, and the most shingles
+#: that do; they are broadcast. The choice only orders shingles, it drops none.
+FREQUENT = 32
+MOST_FREQUENT = 1 << 18
+
+#: Rounds in which each class is compared with its best neighbour only.
+QUICK_ROUNDS = 2
 
 
 def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,8 +97,7 @@ ROWS = "row_id bigint, chunk bigint, n_shingles bigint, class string, shared arr
 def sets_of(df: DataFrame, text: str, row_id: str) -> DataFrame:
     """Stored rows (row_id, chunk, n_shingles, class, shared).
 
-    ``shared`` holds, in the global order, the shingles that may occur in another class; it is
-    null where they are too few for any link, and on all but the first row of a class in its
+    ``shared`` holds, by hash, the shingles that may occur in another class; it is null where they are too few for any link, and on all but the first row of a class in its
     chunk. ``class`` is null for texts without words.
     """
     chunks = chunk_table(df, text, row_id)
@@ -129,85 +138,155 @@ def sets_of(df: DataFrame, text: str, row_id: str) -> DataFrame:
     return store(each_answered(chunks, flags, keep, ROWS), "shingle-sets")
 
 
-def _fragments(sets: DataFrame) -> DataFrame:
-    """(class, fragment, part): the shared shingles of each class by range of the global order."""
-    shift = 64 - (FRAGMENTS.bit_length() - 1)
-    parts = F.transform(
-        F.sequence(F.lit(-FRAGMENTS // 2), F.lit(FRAGMENTS // 2 - 1)),
-        lambda f: F.struct(f.alias("fragment"), F.filter("shared", lambda x: F.shiftright(x, shift) == f).alias("part")),
-    )
-    return sets.select("class", F.explode(parts).alias("p")).select("class", "p.fragment", "p.part").where("size(part) > 0")
+def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar enough, by overlaps summed over fragments."""
+    of_a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
+    of_b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
+    joined = pairs.select("a", "b").join(of_a, "a").join(of_b, "b")
+    partial = F.zip_with("shared_a", "shared_b", lambda x, y: F.size(F.array_intersect(x, y)))
+    both = F.aggregate(partial, F.lit(0), lambda total, x: total + x)
+    counted = joined.select("a", "b", "n_a", "n_b", both.alias("both"))
+    return counted.where(100 * F.col("both") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough, by overlaps summed over fragments."""
-    parts = _fragments(sets)
-    of_a = parts.select(F.col("class").alias("a"), "fragment", F.col("part").alias("part_a"))
-    of_b = parts.select(F.col("class").alias("b"), "fragment", F.col("part").alias("part_b"))
-    counted = (
-        pairs.select("a", "b", "n_a", "n_b")
-        .join(of_a, "a")
-        .join(of_b, ["b", "fragment"])
-        .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("both"))
-    )
-    summed = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
-    return summed.where(100 * F.col("both") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and the binary logarithm of how many classes hold each.
+
+    The bound rises by powers of two until no more than ``MOST_FREQUENT`` are left.
+    """
+    counts = sets.select(F.explode("shared").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    level = F.floor(F.log2("n")).cast("int")
+    counts = store(counts.where(F.col("n") >= FREQUENT).select("token", level.alias("level")), "frequent-shingles")
+    sizes = sorted((r["level"], r["count"]) for r in counts.groupBy("level").count().collect())
+    while sum(n for _, n in sizes) > MOST_FREQUENT:
+        sizes.pop(0)
+    if not sizes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = counts.where(F.col("level") >= sizes[0][0]).collect()
+    tokens, levels = np.array([r["token"] for r in rows], np.int64), np.array([r["level"] for r in rows], np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], levels[order]
+
 
+ORDERED = "node bigint, n bigint, shared array<array<bigint>>, first array<bigint>, last struct<level: bigint, token: bigint>, rest bigint"
 
-def _first_shingles(sets: DataFrame) -> DataFrame:
-    """(token, class, n, after): the shingles of a class one of which any link must share.
 
-    A link of a class with n shingles shares at least THRESHOLD % of n; so it shares one of
-    the first m - that + 1 of its m shared ones. ``after`` counts those from the token on.
+def in_global_order(sets: DataFrame) -> DataFrame:
+    """Stored rows (node, n, shared, first, last, rest): shingles by fragment, and the first ones.
+
+    A link of a node with n shingles shares at least THRESHOLD % of n; so it shares one of the
+    ``first`` m - that + 1 of its m shared ones. ``last`` is the place of the last of these in
+    the order, ``rest`` counts the shingles behind it.
     """
-    needed = F.ceil(F.col("n") * THRESHOLD / 100.0)
-    first = F.expr("slice(shared, 1, CAST(m - needed + 1 AS INT))")
-    sized = sets.withColumn("m", F.size("shared")).withColumn("needed", needed)
-    at = sized.select("class", "n", "m", F.posexplode(first).alias("at", "token"))
-    return at.select("token", "class", "n", (F.col("m") - F.col("at")).alias("after"))
+    frequent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
+
+    def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, levels = frequent.value
+        for batch in batches:
+            nodes, sizes, lists = (batch.column(c) for c in ("node", "n", "shared"))
+            values, lengths, firsts, lasts, rests = [], [], [], [], []
+            for n, found in zip(sizes.to_pylist(), lists):
+                run = found.values.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(tokens, run), max(len(tokens) - 1, 0))
+                often = tokens[at] == run if len(tokens) else np.zeros(len(run), bool)
+                level = levels[at] * often if len(tokens) else np.zeros(len(run), np.int64)
+                ranked = np.lexsort((run, level))
+                run, level = run[ranked], level[ranked]
+                rare = int((~often).sum())
+                cuts = np.concatenate([[0], np.searchsorted(run[:rare], CUTS), [rare, len(run)]])
+                needed = -(-THRESHOLD * n // 100)
+                upto = len(run) - needed + 1
+                values.append(run)
+                lengths.extend(np.diff(cuts).tolist())
+                firsts.append(run[:upto])
+                lasts.append({"level": int(level[upto - 1]), "token": int(run[upto - 1])})
+                rests.append(needed - 1)
+            flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64())
+            parts = list_array(flat, np.array(lengths, np.int64))
+            prefix = pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64), pa.int64())
+            place = pa.struct([("level", pa.int64()), ("token", pa.int64())])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    nodes,
+                    sizes,
+                    list_array(parts, np.full(len(batch), FRAGMENTS + 1)),
+                    list_array(prefix, np.array(list(map(len, firsts)), np.int64)),
+                    pa.array(lasts, place),
+                    pa.array(rests, pa.int64()),
+                ],
+                ["node", "n", "shared", "first", "last", "rest"],
+            )
+
+    return store(sets.select("node", "n", "shared").mapInArrow(order, ORDERED), "ordered-classes")
 
 
 def _long_enough(smaller: str, larger: str):
     return 100 * F.col(smaller) >= THRESHOLD * F.col(larger)
 
 
-def class_roots(rows: DataFrame) -> DataFrame:
-    """(class, root) of the classes with a link to another class."""
-    some = rows.where("shared IS NOT NULL").select("class", "chunk", F.col("n_shingles").alias("n"), "shared")
+def node_of(column: str = "class"):
+    """A class as a number."""
+    return F.xxhash64(column)
+
+
+def node_roots(rows: DataFrame) -> DataFrame:
+    """(node, root) of the classes with a link to another class."""
+    some = rows.where("shared IS NOT NULL").select(
+        node_of().alias("node"), "chunk", F.col("n_shingles").alias("n"), "shared"
+    )
     # A class has its shingles once per chunk at most.
-    least = some.groupBy("class").agg(F.min("chunk").alias("chunk"))
-    sets = store(some.join(least, ["class", "chunk"]).drop("chunk"), "shingle-classes")
-    tokens = store(_first_shingles(sets), "first-shingles")
-    neighbours = previous_value(tokens, ["token"], ["n", "class"], ["class", "n"], "before")
+    least = some.groupBy("node").agg(F.min("chunk").alias("chunk"))
+    sets = in_global_order(store(some.join(least, ["node", "chunk"]).drop("chunk"), "shingle-classes"))
+    size = (F.col("rest") + F.size("first")).alias("m")
+    tokens = sets.select("node", "n", "last", "rest", size, F.posexplode("first").alias("at", "token"))
+    tokens = store(tokens, "first-shingles")
+    neighbours = previous_value(tokens.select("token", "node", "n"), ["token"], ["n", "node"], ["node", "n"], "before")
     chain = neighbours.where("before IS NOT NULL").select(
-        F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("before.class").alias("a"), F.col("before.n").alias("n_a")
+        F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("before.node").alias("a"), F.col("before.n").alias("n_a")
     )
-    chain = chain.where(_long_enough("n_a", "n_b")).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("votes"))
+    chain = chain.where(_long_enough("n_a", "n_b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
     chain = store(chain, "neighbours")
-    best = chain.groupBy("b").agg(F.max(F.struct("votes", "a", "n_a", "n_b")).alias("best"))
-    links = store(links_among(best.select("b", "best.a", "best.n_a", "best.n_b"), sets), "links")
 
-    roots = components(links)
-    rest = _apart(chain, roots).join(best.select("b", F.col("best.a").alias("a")), ["a", "b"], "left_anti")
-    links = links.union(store(links_among(rest, sets), "links"))
+    tried, roots = None, None
+    for _ in range(QUICK_ROUNDS):
+        some = chain if roots is None else _apart(chain, roots).join(tried, ["a", "b"], "left_anti")
+        best = some.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select("best.a", "b")
+        best = store(best, "candidates")
+        found = store(links_among(best, sets), "links")
+        tried = best if tried is None else tried.union(best)
+        roots = store(components(found) if roots is None else joined_roots(roots, found), "roots")
 
-    roots = store(components(links), "roots")
-    placed = tokens.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "class"))
+    rest = _open_pairs(tokens, sets, roots).join(tried, ["a", "b"], "left_anti")
+    found = store(links_among(store(rest, "candidates"), sets), "links")
+    return store(joined_roots(roots, found), "roots")
+
+
+def _open_pairs(tokens: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes not connected yet that share enough first shingles, each once.
+
+    A shingle they share bounds the overlap: what both have before it, and from it on. Of two
+    nodes take the one whose first shingles end first: all it shares up to there is counted
+    here, and it cannot share more than its rest behind that.
+    """
+    placed = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     placed = placed.join(mixed.where("low <> high").select("token"), "token", "left_semi")
-    placed = store(placed, "open-shingles")
-    one = placed.select("token", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "after", "root")])
-    two = placed.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "after", "root")])
-    # At the first shingle a pair shares, what is left of both must hold the whole overlap.
-    overlap = THRESHOLD * (F.col("n_a") + F.col("n_b")) <= (100 + THRESHOLD) * F.least("after_a", "after_b")
-    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b")))
-    same = one["token"] == two["token"]
-    met = one.join(two, same & order & (F.col("root_a") != F.col("root_b")) & overlap & _long_enough("n_a", "n_b"))
-    met = met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b").distinct()
-    met = met.join(chain.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(store(links_among(met, sets), "links"))
-    return store(components(links), "roots")
+    placed = store(placed.join(sets.select("node", "first"), "node"), "open-shingles")
+    columns = ("node", "n", "last", "rest", "m", "at", "root", "first")
+    one = placed.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = placed.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    apart = F.col("root_a") != F.col("root_b")
+    most = F.least("at_a", "at_b") + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
+    possible = (100 + THRESHOLD) * most >= THRESHOLD * (F.col("n_a") + F.col("n_b"))
+    rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    shared = F.array_intersect("first_a", "first_b")
+    enough = (100 + THRESHOLD) * (F.size(shared) + rest) >= THRESHOLD * (F.col("n_a") + F.col("n_b"))
+    # A pair meets at every first shingle it shares; it is taken at the smallest only.
+    once = F.array_min(shared) == F.col("token")
+    same = F.col("token") == F.col("token_b")
+    met = one.join(two, same & order & apart & possible & _long_enough("n_a", "n_b") & enough & once)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -225,15 +304,15 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id") -
     100 * shared >= ``THRESHOLD`` * united. The component is named by its smallest row id. Rows
     without words (missing, empty or blank texts) link with nothing. Rows of equal text always
     link; a row that is there twice is returned twice. A missing id is never the smallest
-    unless all of its component are missing. Sets are compared by 64-bit hashes of shingles,
-    classes by 128-bit digests. An empty table gives no rows.
+    unless all of its component are missing. Shingles are compared by 64-bit hashes; equal sets
+    are told by 128-bit digests, and in links by 64 bits of these. An empty table gives no rows.
     """
     rows = sets_of(df, text, row_id)
-    roots = class_roots(rows)
+    roots = node_roots(rows)
     known = rows.select("row_id", "n_shingles", "class")
     least = known.where("class IS NOT NULL").groupBy("class").agg(F.min("row_id").alias("least"))
-    placed = least.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "class"))
+    placed = least.withColumn("node", node_of()).join(roots, "node", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "node"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(names, "root").select("class", "component_id")
     joined = known.join(named, "class", "left")

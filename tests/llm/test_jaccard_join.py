@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
-from inductra.llm.components import components
+import pytest
+from inductra.llm import jaccard_join
+from inductra.llm.components import components, joined_roots
 from inductra.llm.jaccard_join import near_duplicates
 from inductra.llm.queries import op8_jaccard_join
 
@@ -39,7 +41,9 @@ def found(df):
     return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_duplicates(df).collect())
 
 
-def test_odd_tables(texts, clashing, small_chunks):
+@pytest.mark.parametrize("frequent", [32, 3])
+def test_odd_tables(texts, clashing, small_chunks, monkeypatch, frequent):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     say = lambda n: [rng.choice(words) for _ in range(n)]
@@ -77,6 +81,17 @@ def test_empty_table(texts):
     assert found(texts([])) == []
 
 
+def test_frequent_shingles_are_bounded(spark, monkeypatch):
+    rows = [(i, i, list(range(100)) + [1000 + i // 2]) for i in range(80)] + [(i, i, [1000 + i // 2]) for i in range(80, 120)]
+    sets = spark.createDataFrame(rows, "node bigint, n bigint, shared array<bigint>")
+    tokens, levels = jaccard_join.frequent_shingles(sets)
+    assert tokens.tolist() == list(range(100)) and set(levels.tolist()) == {6}
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    assert len(jaccard_join.frequent_shingles(sets)[0]) == 160
+    monkeypatch.setattr(jaccard_join, "MOST_FREQUENT", 120)
+    assert jaccard_join.frequent_shingles(sets)[0].tolist() == list(range(100))
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(f"{a:03}", f"{a + 1:03}") for a in range(100)] + [("900", f"9{k:02}") for k in range(1, 40)]
@@ -86,6 +101,10 @@ def test_components(spark):
     want = {f"{a:03}": "000" for a in range(101)} | {f"9{k:02}": "900" for k in range(40)} | {"600": "600", "700": "600"}
     assert got == want
     assert components(spark.createDataFrame([], "a string, b string")).collect() == []
+    more = [("050", "600"), ("920", "999"), ("010", "011"), ("111", "222")]
+    both = components(spark.createDataFrame(links + more, "a string, b string"))
+    after = joined_roots(components(spark.createDataFrame(links, "a string, b string")), spark.createDataFrame(more, "a string, b string"))
+    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, both.collect()))
 
 
 def test_query(spark, documents, sf_dir):
