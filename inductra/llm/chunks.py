@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inductra.llm.common import store, utf8
+from inductra.llm.common import store, tidy, utf8
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -62,6 +62,7 @@ def chunk_table(df: DataFrame, text: str, row_id: str) -> DataFrame:
                 )
                 number += 1
                 start = end
+            tidy()
 
     rows = df.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     schema = "chunk bigint, n_bytes bigint, ids array<bigint>, lengths array<bigint>, data binary"
@@ -96,6 +97,7 @@ def each_chunk(chunks: DataFrame, work: Callable[[Chunk], Iterable[pa.RecordBatc
         for batch in batches:
             for row in range(len(batch)):
                 yield from work(open_chunk(batch, row))
+                tidy()
 
     return chunks.mapInArrow(run, schema)
 
@@ -116,6 +118,7 @@ def each_answered(
             for row in range(len(batch)):
                 found = batch.column("answers")[row].as_py() or []
                 yield from work(open_chunk(batch, row), {a["shard"]: tuple(a[c] for c in columns) for a in found})
+                tidy()
 
     return joined.mapInArrow(run, schema)
 
@@ -127,6 +130,7 @@ def by_shard(
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(key[0].as_py(), pa.Table.from_batches(list(batches)))
+        tidy()
 
     return asked.groupBy("shard").applyInArrow(run, schema)
 

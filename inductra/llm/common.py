@@ -45,6 +45,12 @@ def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def tidy() -> None:
+    """Give memory that a Python worker no longer uses back; workers live on through later stages."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def crc_of_id(id_col: Column) -> Column:
     """crc32 of an id written as text; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))

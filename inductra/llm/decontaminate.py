@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inductra.llm.common import GOLDEN, list_array, mix
+from inductra.llm.common import GOLDEN, list_array, mix, tidy
 
 WINDOW = 10
 #: Benchmark words up to which the windows are broadcast (about 100 bytes each).
@@ -157,7 +157,9 @@ def find_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
 
         @F.arrow_udf(HITS)
         def scanned(texts: pa.Array) -> pa.Array:
-            return pa.array([judge(shared.value, t.as_py()) for t in texts], judged_type())
+            found = pa.array([judge(shared.value, t.as_py()) for t in texts], judged_type())
+            tidy()
+            return found
 
         return df.withColumn(out, scanned(F.col(text)))
     return _joined(df, bench, text, out)

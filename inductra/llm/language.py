@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inductra.llm.common import GOLDEN, mix
+from inductra.llm.common import GOLDEN, mix, tidy
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -146,6 +146,7 @@ def predict(model: LanguageModel, text: Column, df: DataFrame) -> Column:
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def judged(texts: pa.Array) -> pa.Array:
         found = [judge(shared.value, t.as_py()) for t in texts]
+        tidy()
         return pa.StructArray.from_arrays(
             [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
             ["lang_pred", "score"],

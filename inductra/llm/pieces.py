@@ -20,19 +20,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from inductra.llm.common import list_array, ragged, row_slices
+from inductra.llm.common import list_array, ragged, row_slices, tidy
 from inductra.llm.merging import Rules, merge
 
 SPACE = "▁"  # stands for a blank inside pieces; a fixed value of the format
 
 #: Distinct chunks whose pieces one Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 #: Longer chunks are merged one by one with a heap, shorter ones side by side in arrays.
 SHORT = 64
 
 #: Bytes of text encoded at once, whatever the size of the Arrow batch it came in.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 ENCODED = "ids array<int>, starts array<int>, ends array<int>, decoded string"
 
@@ -152,9 +152,12 @@ class Model:
         return Rules(pairs)
 
     def _forget(self) -> None:
-        """Chunk table: number of each chunk, its decoded text, and its pieces in flat arrays."""
+        """Chunk table: number of each chunk, and its pieces in flat arrays.
+
+        ``odd`` has the decoded text of chunks that do not decode to themselves.
+        """
         self.number: dict[str, int] = {}
-        self.decoded: list[str] = []
+        self.odd: dict[str, str] = {}
         self.flat = np.zeros(0, np.int32)
         self.chars = np.zeros(0, np.int64)  # characters of the chunk up to the end of a piece
         self.sizes = np.zeros(0, np.int64)
@@ -276,7 +279,6 @@ class Model:
         ends = np.cumsum(np.where(unknown, 1, self.piece_chars[np.where(unknown, 0, symbols)]))
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends -= np.repeat(np.cumsum(lengths) - lengths, left)
-        texts = [c.replace(SPACE, " ") for c in chunks]
         if unknown.any():
             owner = np.repeat(np.arange(len(chunks)), left)
             if self.bytes:
@@ -293,11 +295,12 @@ class Model:
             left = np.add.reduceat(times, np.cumsum(left) - left)
             starts = np.cumsum(left) - left
             for i in np.unique(owner[unknown]).tolist():
-                texts[i] = self._inner(ids[starts[i] : starts[i] + left[i]].tolist())
+                text = self._inner(ids[starts[i] : starts[i] + left[i]].tolist())
+                if text != chunks[i].replace(SPACE, " "):
+                    self.odd[chunks[i]] = text
             symbols = ids
         for chunk in chunks:
             self.number[chunk] = len(self.number)
-        self.decoded.extend(texts)
         self.flat = np.concatenate([self.flat, symbols.astype(np.int32)])
         self.chars = np.concatenate([self.chars, ends])
         self.sizes = np.concatenate([self.sizes, left])
@@ -365,7 +368,7 @@ class Model:
         for chunks in cut:
             numbers = list(map(self.number.__getitem__, chunks))
             coded.append(np.array(numbers, np.int64))
-            decoded.append(self._decoded(numbers))
+            decoded.append(self._decoded(numbers, chunks))
         ids = []
         for numbers, (_, start, end) in zip(coded, normal):
             at = ragged(starts[numbers], sizes[numbers])
@@ -381,13 +384,16 @@ class Model:
         ]
         return pa.StructArray.from_arrays([*lists, pa.array(decoded, pa.string())], ["ids", "starts", "ends", "decoded"])
 
-    def _decoded(self, numbers: list[int]) -> str:
+    def _decoded(self, numbers: list[int], chunks: list[str]) -> str:
         if not numbers:
             return ""
         if len(numbers) == 1:
             n = numbers[0]
             return self.decode(self.flat[self.starts[n] : self.starts[n] + self.sizes[n]].tolist())
-        text = "".join(map(self.decoded.__getitem__, numbers))
+        if self.odd:
+            text = "".join(self.odd.get(c) or c.replace(SPACE, " ") for c in chunks)
+        else:
+            text = "".join(chunks).replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -427,6 +433,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "encoded", k
                 part = batch.slice(start, end - start)
                 found = model(path).encode([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], found], [*kept, out])
+            tidy()
 
     return rows.mapInArrow(run, schema)
 
