@@ -27,10 +27,10 @@ from inductra.llm.common import GOLDEN, lower_ascii, mix, utf8, word_hashes, wor
 from inductra.session import run_folder
 
 #: Words of the longest n-gram.
-ORDER = 2
+ORDER = 3
 
 #: Bytes of text a task counts or scores at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 #: Bytes of training text for each shard of an order.
 SHARD_BYTES = 4 << 20
@@ -147,11 +147,11 @@ def merged(ws: list[np.ndarray], *counts: np.ndarray) -> tuple[list[np.ndarray],
     return [w[head] for w in ws], [np.add.reduceat(c[order], head) for c in counts]
 
 
-def blobs(level: int, bits: int, ws: list[np.ndarray], seen: np.ndarray, raw: np.ndarray) -> list[dict]:
-    """Rows for the shards of n-grams."""
+def blobs(level: int, bits: int, ws: list[np.ndarray], seen: np.ndarray, raw: np.ndarray | None = None) -> list[dict]:
+    """Rows for the shards of n-grams; without ``raw``, raw counts are those seen."""
     context = context_hash(ws)
     order = np.argsort(context >> np.uint64(64 - bits), kind="stable")
-    ws, seen, raw = [w[order] for w in ws], seen[order], raw[order]
+    ws, seen, raw = [w[order] for w in ws], seen[order], None if raw is None else raw[order]
     return [
         {
             "shard": shard,
@@ -159,7 +159,7 @@ def blobs(level: int, bits: int, ws: list[np.ndarray], seen: np.ndarray, raw: np
             "size": at.stop - at.start,
             "words": [packed(w[at]) for w in ws],
             "seen": packed(seen[at].astype(np.int64)),
-            "raw": packed(raw[at].astype(np.int64)),
+            "raw": None if raw is None else packed(raw[at].astype(np.int64)),
             "sums": None,
         }
         for shard, at in split_by_shard(context[order], bits)
@@ -177,20 +177,26 @@ def slices_of(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         start = end
 
 
-# Files: two numbers, then hashes, counts, raw counts, contexts and their sums.
+# Files: the numbers of n-grams, contexts and large counts, then hashes of n-grams and contexts, large counts, and
+# counts: n-grams seen, raw counts at level 1, sums and kinds of contexts. A count is a byte; ``LARGE`` means that the
+# large counts have it, behind its place in the row of all counts.
+
+LARGE = 255
 
 
 def file_of(folder: str, level: int, shard: int) -> str:
     return os.path.join(folder, f"{level}-{shard:05d}.grams")
 
 
-def write_file(path: str, arrays: list[np.ndarray], n_grams: int, n_contexts: int) -> None:
+def write_file(path: str, grams: np.ndarray, contexts: np.ndarray, counts: list[np.ndarray]) -> None:
     """Write a file under another name and move it in place: a repeated task ends the same way."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
+    listed = np.concatenate(counts).astype(np.int64)
+    large = np.flatnonzero(listed >= LARGE)
     part = f"{path}.{os.getpid()}.part"
     with open(part, "wb") as file:
-        file.write(np.array([n_grams, n_contexts], np.int64).tobytes())
-        for a in arrays:
+        file.write(np.array([len(grams), len(contexts), len(large)], np.int64).tobytes())
+        for a in (grams, contexts, large, listed[large], np.minimum(listed, LARGE).astype(np.uint8)):
             file.write(a.tobytes())
     os.replace(part, path)
 
@@ -200,14 +206,19 @@ class Part:
 
     def __init__(self, path: str, level: int):
         self.data = np.memmap(path, np.uint8, "r")
-        self.at = 16
-        n, k = self.data[:16].view(np.int64).tolist()
+        self.at = 24
+        n, k, m = self.data[:24].view(np.int64).tolist()
         self.hashes = self._next(n, np.uint64)
-        self.raw = self._next(n, np.uint64) if level == 1 else None
         self.contexts = self._next(k, np.uint64)
-        self.totals = self._next(k, np.uint64)
-        self.seen = self._next(n, np.uint32)
-        self.kinds = self._next(3 * k, np.uint32).reshape(3, k)
+        self.large, self.large_counts = self._next(m, np.int64), self._next(m, np.int64)
+        self.counts = self._next(n * (2 if level == 1 else 1) + 4 * k, np.uint8)
+
+    def count(self, place: np.ndarray) -> np.ndarray:
+        """The counts at places in the row of all counts."""
+        out = self.counts[place].astype(np.int64)
+        at = np.flatnonzero(out == LARGE)
+        out[at] = self.large_counts[np.searchsorted(self.large, place[at])]
+        return out
 
     def _next(self, n: int, kind) -> np.ndarray:
         size = n * np.dtype(kind).itemsize
@@ -225,27 +236,24 @@ def build_shard(level: int, shard: int, folder: str, bits: int, order: int, rows
 
     listed = rows.column("words").to_pylist()
     ws = [column([row[i] for row in listed], np.uint64) for i in range(level)]
-    seen, raw = (column(rows.column(c).to_pylist(), np.int64) for c in ("seen", "raw"))
+    seen = column(rows.column("seen").to_pylist(), np.int64)
+    listed = rows.column("raw").to_pylist()
+    raw = seen if listed[0] is None else column(listed, np.int64)
     ws, (seen, raw) = merged(ws, seen, raw)
     context = context_hash(ws)
     hashes = gram_hash(context, ws[-1]) if level > 1 else ws[0]
     order_ = np.argsort(hashes, kind="stable")
-    arrays = [hashes[order_]]
+    counts = [seen[order_]]
     if level == 1:
-        arrays.append(raw[order_].astype(np.uint64))
+        counts.append(raw[order_])
         contexts = np.zeros(0, np.uint64)
-        totals, kinds = np.zeros(0, np.uint64), np.zeros((3, 0), np.uint32)
     else:
         by = np.argsort(context, kind="stable")
         ranked = context[by]
         head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         contexts, c = ranked[head], seen[by]
-        totals = np.add.reduceat(c, head).astype(np.uint64)
-        kinds = np.stack(
-            [np.add.reduceat(k.astype(np.int64), head) for k in (c == 1, c == 2, c > 2)]
-        ).astype(np.uint32)
-    clipped = np.minimum(seen[order_], np.iinfo(np.uint32).max).astype(np.uint32)
-    write_file(file_of(folder, level, shard), [*arrays, contexts, totals, clipped, kinds], len(hashes), len(contexts))
+        counts.extend(np.add.reduceat(k.astype(np.int64), head) for k in (c, c == 1, c == 2, c > 2))
+    write_file(file_of(folder, level, shard), hashes[order_], contexts, counts)
     sums = [float((seen == i).sum()) for i in range(1, 5)] + [float(seen.sum()), float(len(seen)), float(raw.sum())]
     out = [{"shard": -1, "level": level, "size": 0, "words": None, "seen": None, "raw": None, "sums": sums}]
     if level > 1:
@@ -275,7 +283,7 @@ def fit(df: DataFrame, text: str = "text", order: int = ORDER) -> Model:
                 ws = grams(*tokens(raw, offsets, order), order, order)
                 ones = np.ones(len(ws[0]), np.int64)
                 ws, (seen,) = merged(ws, ones)
-                yield batch_of(blobs(order, bits, ws, seen, seen))
+                yield batch_of(blobs(order, bits, ws, seen))
 
     rows = df.select(F.col(text).alias("text")).mapInArrow(count, BLOB)
     for level in range(order, 0, -1):
@@ -331,13 +339,12 @@ def find(model: Model, level: int, hashes: np.ndarray, kind: str) -> list[np.nda
         hit = known[place] == wanted
         place, to = place[hit], np.arange(at.start, at.stop)[hit]
         if kind == "gram":
-            out[0][to] = part.seen[place]
-            if part.raw is not None:
-                out[1][to] = part.raw[place]
+            out[0][to] = part.count(place)
+            if level == 1:
+                out[1][to] = part.count(place + len(known))
         else:
-            out[0][to] = part.totals[place]
-            for i in range(3):
-                out[1 + i][to] = part.kinds[i][place]
+            for i in range(4):
+                out[i][to] = part.count(len(part.hashes) + i * len(known) + place)
     return out
 
 

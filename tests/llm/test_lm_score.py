@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,26 @@ def test_held_out_texts_score_above_the_base(spark):
     assert held.s > held.b
     assert out.where("NOT held_out AND n_known <> n_tokens").count() == 0
     assert out.select("train_tokens").distinct().count() == 1
+
+
+def test_the_query_counts_longer_phrases_than_word_pairs(spark, tmp_path):
+    """After "b c" only the word before tells whether x or z follows."""
+    rows = [(i, f"a b c x d b e y f b c z {i % 3}") for i in range(60)] + [(60, "only once")]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in op5_lm_scoring(spark, folder).collect()}
+    train = [t for i, t in rows if not got[i].held_out]
+    assert lm_score.ORDER >= 3
+    levels = counts(train, lm_score.ORDER)
+    for i, t in rows:
+        full = ["start"] * (lm_score.ORDER - 1) + tokens(t)
+        grams = [tuple(full[k : k + lm_score.ORDER]) for k in range(len(tokens(t)))]
+        assert abs(got[i].score - sum(math.log10(probability(levels, g)) for g in grams)) < 1e-6
+
+
+def test_counts_of_any_size_are_read_back(tmp_path):
+    seen, raw = [1, 254, 255, 256, 1 << 33], [7, 255, 1, 1 << 40, 2]
+    path = str(tmp_path / "1-00000.grams")
+    lm_score.write_file(path, np.arange(5, dtype=np.uint64), np.zeros(0, np.uint64), [np.array(seen), np.array(raw)])
+    part = lm_score.Part(path, 1)
+    assert part.count(np.array([4, 0, 1, 2, 3, 9, 8, 7, 6, 5])).tolist() == [seen[4], *seen[:4], *raw[::-1]]
