@@ -10,19 +10,18 @@ over all hosts, reaches ``REJECT_AT``. Urls without a rule get the verdict of th
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inductra.llm.common import store
 
 #: Levels of the tree; deeper segments do not tell templates apart.
 DEPTH = 3
-#: A segment stays literal with at least this share of its parent's urls ...
-MIN_SHARE = 0.05
-#: ... and at least so many of them.
+#: A segment stays literal with at least so many urls, however many its parent has.
 MIN_URLS = 3
-#: Siblings differ if their block rates are this many standard errors apart.
+#: Siblings differ if their block rates are this many standard errors from what they have in common.
 DIFFERENT = 1.96
 #: Weight of the parent's rate, in labelled urls.
 WEIGHT = 2.0
@@ -63,6 +62,48 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
+def _branches(counts: DataFrame) -> DataFrame:
+    """(host, template, segment, name): labelled siblings by branch, ``name`` the branch's smallest segment.
+
+    All siblings start as one branch. A branch gives off those that lie significantly above or
+    below its pooled block rate, for its number of siblings; without such ones it splits at that
+    rate if the rates of all differ more than chance lets them. What remains whole is a branch.
+    Rounds are sums per branch, so a parent can have any number of segments.
+    """
+    keys = ["host", "template", "branch"]
+    rows = counts.select("host", "template", "segment", "labelled", "blocked", F.lit("").alias("branch"))
+    done = []
+    while True:
+        pools = rows.groupBy(*keys).agg(
+            F.sum("blocked").alias("b"), F.sum("labelled").alias("n"), F.count(F.lit(1)).alias("siblings")
+        )
+        p = (F.col("b") + 1) / (F.col("n") + 2)
+        pools = pools.select(*keys, "siblings", p.alias("p"), (p * (1 - p)).alias("pq"))
+        spread = F.col("labelled") * F.col("pq")
+        off = F.col("blocked") - F.col("labelled") * F.col("p")
+        far = (F.abs(off) - 0.5) / F.sqrt(spread) > F.sqrt(F.lit(DIFFERENT**2) + 2 * F.log("siblings"))
+        rows = rows.join(pools, keys).withColumns({"off": off, "far": far & (F.col("siblings") > 1)})
+        sums = rows.groupBy(*keys).agg(
+            F.max("far").alias("any_far"),
+            F.sum(F.col("off") * F.col("off") / spread).alias("chi"),
+            F.sum(2 + (1 - 6 * F.col("pq")) / spread).alias("variance"),
+            F.count(F.lit(1)).alias("k"),
+        )
+        error = F.sqrt(F.greatest("variance", 2 * (F.col("k") - 1)))
+        mixed = (F.col("k") > 1) & ~F.col("any_far") & (F.col("chi") - (F.col("k") - 1) > DIFFERENT * error)
+        side = F.when(F.col("off") > 0, "h").otherwise("l")
+        part = F.when(F.col("any_far"), F.when(F.col("far"), side).otherwise("m")).when(F.col("mixed"), side)
+        judged = rows.join(sums.select(*keys, "any_far", mixed.alias("mixed")), keys)
+        rows = judged.select("host", "template", "segment", "labelled", "blocked", "branch", part.alias("part"))
+        rows = store(rows, "url-branches")
+        whole = rows.where("part IS NULL").drop("part")
+        first = F.min("segment").alias("name")
+        done.append(whole.join(whole.groupBy(*keys).agg(first), keys).select("host", "template", "segment", "name"))
+        rows = rows.where("part IS NOT NULL").withColumn("branch", F.concat("branch", "part")).drop("part")
+        if rows.isEmpty():
+            return store(reduce(DataFrame.unionByName, done), "url-names")
+
+
 def _level(paths: DataFrame, level: int) -> DataFrame:
     """Extend ``template`` of every distinct path by one segment, literal, merged or wildcard.
 
@@ -73,25 +114,9 @@ def _level(paths: DataFrame, level: int) -> DataFrame:
     paths = paths.withColumn("segment", segment)
     sums = [F.sum(c).alias(c) for c in ("urls", "labelled", "blocked")]
     counts = paths.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
-    parents = counts.groupBy("host", "template").agg(F.sum("urls").alias("all_urls"))
-    literal = counts.join(parents, ["host", "template"]).where(
-        (F.col("urls") >= MIN_URLS) & (F.col("urls") >= MIN_SHARE * F.col("all_urls"))
-    )
-    # At most 1 / MIN_SHARE literal siblings below a parent.
-    rate = F.col("blocked") / F.col("labelled")
-    known = F.col("labelled") > 0
-    siblings = Window.partitionBy("host", "template", "known").orderBy("rate", "segment")
-    before = lambda c: F.lag(c).over(siblings)
-    pooled = (F.col("blocked") + before("blocked") + 1) / (F.col("labelled") + before("labelled") + 2)
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / before("labelled")))
-    differs = F.when(known & (F.col("rate") - before("rate") <= DIFFERENT * error), 0).otherwise(1)
-    branches = (
-        literal.withColumns({"known": known, "rate": F.when(known, rate)})
-        .withColumn("differs", differs)
-        .withColumn("branch", F.sum("differs").over(siblings))
-    )
-    name = F.min("segment").over(Window.partitionBy("host", "template", "known", "branch"))
-    names = branches.select("host", "template", "segment", name.alias("name"))
+    literal = store(counts.where(F.col("urls") >= MIN_URLS), "url-literals")
+    alone = literal.where("labelled = 0").select("host", "template", "segment", F.col("segment").alias("name"))
+    names = alone.unionByName(_branches(literal.where("labelled > 0")))
     named = paths.join(names, ["host", "template", "segment"], "left")
     step = F.when(F.col("segment").isNull(), F.lit("")).otherwise(
         F.concat(F.lit("/"), F.coalesce("name", F.lit("*")))

@@ -72,6 +72,32 @@ def test_similar_branches_merge(spark):
     assert names == {"p": "p", "q": "p", "r": "r"}
 
 
+def test_many_equal_sections_keep_their_own_verdict(spark):
+    """Each of 40 sections has a 40th of the host's urls; half of them are blocked wherever labelled."""
+    rule = type(URL_RULES[0])
+    rules = [rule("a.org", f"/s{k:02}/x", "block" if k % 2 else "allow") for k in range(40)]
+    urls = [f"http://a.org/s{k:02}/{kind}{k}-{i}" for k in range(40) for kind in "xy" for i in range(4)]
+    for r in judge_urls(pages(spark, urls), rules).collect():
+        k = int(r.path[2:4])
+        assert r.verdict == ("block" if k % 2 else "allow")
+        assert r.template == f"/s{k % 2:02}/*"
+
+
+def test_weak_siblings_do_not_link_opposite_ones(spark):
+    """Rates between 0 and 1 in small steps, on few labels, beside two large and pure sections."""
+    rule = type(URL_RULES[0])
+    labels = {"clean": "a" * 60, "dirty": "b" * 60, "p": "aaa", "q": "aab", "r": "abb", "s": "bbb"}
+    rules = [
+        rule("a.org", f"/{name}/{verdict}", long)
+        for name in labels for verdict, long in (("a", "allow"), ("b", "block"))
+    ]
+    urls = [f"http://a.org/{name}/{v}{i}" for name, given in labels.items() for i, v in enumerate(given)]
+    urls += [f"http://a.org/{name}/z{i}" for name in labels for i in range(3)]
+    got = [r for r in judge_urls(pages(spark, urls), rules).collect() if r.rule is None]
+    verdicts = {r.path.split("/")[1]: r.verdict for r in got}
+    assert (verdicts["clean"], verdicts["dirty"]) == ("allow", "block")
+
+
 def test_empty_table(spark):
     assert judged(pages(spark, [])) == {}
 
