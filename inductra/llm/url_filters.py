@@ -2,7 +2,8 @@
 
 Rules label the urls they fit. For each host the distinct paths form a tree: level by level,
 segments with little support become wildcards, and literal siblings whose labelled block
-rates do not differ significantly become one branch. A template is rejected when its block
+rates do not differ significantly become one branch. The tree grows until no branch can split:
+its paths go on alike, or it has too few urls for a literal segment. A template is rejected when its block
 rate, smoothed towards its parent's and at the top towards that of the same first segment
 over all hosts, reaches ``REJECT_AT``. Urls without a rule get the verdict of their template.
 """
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 
 from inductra.llm.common import store
 
-#: Levels of the tree; deeper segments do not tell templates apart.
-DEPTH = 3
 #: A segment stays literal with at least so many urls, however many its parent has.
 MIN_URLS = 3
 #: Siblings differ if their block rates are this many standard errors from what they have in common.
@@ -104,13 +103,13 @@ def _branches(counts: DataFrame) -> DataFrame:
             return store(reduce(DataFrame.unionByName, done), "url-names")
 
 
-def _level(paths: DataFrame, level: int) -> DataFrame:
-    """Extend ``template`` of every distinct path by one segment, literal, merged or wildcard.
+def _level(paths: DataFrame) -> DataFrame:
+    """Move one segment of every distinct path from ``rest`` to ``template``, literal, merged or wildcard.
 
     A level ends where the path ends. Counting comes before any shuffle of paths, so a host
     with most of the urls is combined on the map side; the join's hot keys can be split.
     """
-    segment = F.when(F.size("segments") >= level, F.element_at("segments", level))
+    segment = F.when(F.size("rest") > 0, F.element_at("rest", 1))
     paths = paths.withColumn("segment", segment)
     sums = [F.sum(c).alias(c) for c in ("urls", "labelled", "blocked")]
     counts = paths.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
@@ -121,7 +120,35 @@ def _level(paths: DataFrame, level: int) -> DataFrame:
     step = F.when(F.col("segment").isNull(), F.lit("")).otherwise(
         F.concat(F.lit("/"), F.coalesce("name", F.lit("*")))
     )
-    return named.withColumn("template", F.concat("template", step)).drop("segment", "name")
+    named = named.withColumns({"template": F.concat("template", step), "rest": F.expr("slice(rest, 2, size(rest))")})
+    return named.drop("segment", "name")
+
+
+def _rated(paths: DataFrame) -> DataFrame:
+    """Paths with the rate of their branch, smoothed towards ``rate``, and whether it is ``open``.
+
+    The segments with which all paths of a branch go on become part of its template at once. A
+    branch is open if its paths differ behind them and one segment may have enough urls.
+    """
+    keys = ["host", "template"]
+    branches = paths.groupBy(*keys).agg(
+        F.sum("urls").alias("n_urls"),
+        ((F.sum("blocked") + WEIGHT * F.max("rate")) / (F.sum("labelled") + WEIGHT)).alias("rate"),
+        F.min("rest").alias("low"),
+        F.max("rest").alias("high"),
+    )
+    # What the smallest and the largest list begin with, all lists between begin with.
+    differ = "filter(zip_with(low, high, (x, y) -> NOT x <=> y), x -> x)"
+    alike = F.expr(
+        f"CASE WHEN n_urls < {MIN_URLS} THEN 0 WHEN size({differ}) = 0 THEN size(low)"
+        " ELSE array_position(zip_with(low, high, (x, y) -> NOT x <=> y), true) - 1 END"
+    ).cast("int")
+    is_open = (F.col("n_urls") >= MIN_URLS) & (F.col("low") != F.col("high"))
+    branches = branches.select(*keys, "rate", is_open.alias("open"), alike.alias("alike"))
+    joined = paths.drop("rate").join(branches, keys)
+    more = F.expr("array_join(transform(slice(rest, 1, alike), x -> concat('/', x)), '')")
+    rest = F.expr("slice(rest, alike + 1, size(rest))")
+    return joined.withColumns({"template": F.concat("template", more), "rest": rest}).drop("alike")
 
 
 def templates(labelled: DataFrame) -> DataFrame:
@@ -134,30 +161,22 @@ def templates(labelled: DataFrame) -> DataFrame:
     )
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     paths = paths.select(
-        "host", "path", segments.alias("segments"), F.lit("").alias("template"),
+        "host", "path", segments.alias("rest"), F.lit("").alias("template"),
         "urls", "labelled", F.coalesce("blocked", F.lit(0)).alias("blocked"),
     )
-    grown = paths
-    for level in range(1, DEPTH + 1):
-        grown = _level(grown.withColumn(f"t{level - 1}", F.col("template")), level)
-    grown = store(grown.withColumn(f"t{DEPTH}", F.col("template")), "url-templates")
-
+    grown = store(_level(paths), "url-templates")
     overall = grown.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).first()
     prior = ((overall["b"] or 0) + 1) / ((overall["n"] or 0) + 2)
-    first = grown.groupBy("t1").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n"))
-    top = first.select("t1", ((F.col("b") + F.lit(WEIGHT * prior)) / (F.col("n") + WEIGHT)).alias("rate"))
-    rates = grown.groupBy("host", *[f"t{i}" for i in range(1, DEPTH + 1)]).agg(
-        F.sum("blocked").alias("b"), F.sum("labelled").alias("n")
-    )
-    rates = rates.join(top, "t1")
-    for level in range(1, DEPTH + 1):
-        keys = ["host", *[f"t{i}" for i in range(1, level + 1)]]
-        sums = grown.groupBy(*keys).agg(F.sum("blocked").alias("lb"), F.sum("labelled").alias("ln"))
-        rates = rates.join(sums, keys).withColumn(
-            "rate", (F.col("lb") + WEIGHT * F.col("rate")) / (F.col("ln") + WEIGHT)
-        ).drop("lb", "ln")
-    rates = rates.select("host", F.col(f"t{DEPTH}").alias("template"), "rate")
-    return grown.select("host", "path", "template").join(rates, ["host", "template"])
+    first = grown.groupBy("template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n"))
+    top = first.select("template", ((F.col("b") + F.lit(WEIGHT * prior)) / (F.col("n") + WEIGHT)).alias("rate"))
+    grown = store(_rated(grown.join(top, "template")), "url-templates")
+    done = []
+    while True:
+        done.append(grown.where("NOT open").select("host", "path", "template", "rate"))
+        grown = grown.where("open").drop("open")
+        if grown.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        grown = store(_rated(store(_level(grown), "url-templates")), "url-templates")
 
 
 def judge_urls(df: DataFrame, rules: list[Rule], url: str = "url", row_id: str = "page_id") -> DataFrame:

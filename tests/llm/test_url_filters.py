@@ -98,6 +98,24 @@ def test_weak_siblings_do_not_link_opposite_ones(spark):
     assert (verdicts["clean"], verdicts["dirty"]) == ("allow", "block")
 
 
+def test_templates_that_differ_deep_down(spark):
+    rule = type(URL_RULES[0])
+    rules = [rule("a.org", "/a/b/c/d/bad/x", "block"), rule("a.org", "/a/b/c/d/good/x", "allow")]
+    urls = [f"http://a.org/a/b/c/d/{kind}/{n}{i}" for kind in ("bad", "good") for n in "xy" for i in range(20)]
+    # Here the fork comes behind two others, and one path ends where the rest go on.
+    rules += [rule("b.org", f"/p/{k}/q/{v}/x", v) for k in range(3) for v in ("block", "allow")]
+    urls += [f"http://b.org/p/{k}/q/{v}/{n}{i}" for k in range(3) for v in ("block", "allow") for n in "xy" for i in range(9)]
+    urls += ["http://b.org/p/1/q", "http://b.org/p/1/q", "http://b.org/p/1/q/"]
+    got = judge_urls(pages(spark, urls), rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        if "bad" in r.path or "block" in r.path:
+            assert r.verdict == "block"
+        elif "good" in r.path or "allow" in r.path:
+            assert r.verdict == "allow"
+    assert {r.template for r in got if r.host == "a.org"} == {"/a/b/c/d/bad/*", "/a/b/c/d/good/*"}
+
+
 def test_empty_table(spark):
     assert judged(pages(spark, [])) == {}
 
