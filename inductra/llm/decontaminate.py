@@ -93,7 +93,7 @@ class Windows:
 
 
 HITS = (
-    "struct<n_words: bigint, n_hit: bigint, longest: bigint, items: array<string>,"
+    "struct<n_words: bigint, n_hit: bigint, longest: bigint, items: array<string>, unnamed: boolean,"
     " spans: array<struct<start: bigint, end: bigint>>>"
 )
 
@@ -122,7 +122,8 @@ def judge(windows: Windows, text: str | None) -> dict:
         "n_words": len(document),
         "n_hit": int(hit.sum()),
         "longest": max(map(len, runs), default=0),
-        "items": sorted(map(str, items)),
+        "items": sorted(map(str, items - {None})),
+        "unnamed": None in items,
         "spans": spans_of(text, runs) if runs else [],
     }
 
@@ -135,6 +136,7 @@ def judged_type() -> pa.DataType:
             ("n_hit", pa.int64()),
             ("longest", pa.int64()),
             ("items", pa.list_(pa.string())),
+            ("unnamed", pa.bool_()),
             ("spans", pa.list_(span)),
         ]
     )
@@ -145,7 +147,8 @@ def find_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
     """``df`` with a column ``out``: words, hit words, items found and spans to remove.
 
     ``n_words`` and ``n_hit`` count words, ``longest`` those of the longest hit run; ``items`` are the ids of items found, sorted as
-    strings; ``spans`` are character ranges. Null texts have no words; items without words are
+    strings, without those that have none, and ``unnamed`` says whether one without was found;
+    ``spans`` are character ranges. Null texts have no words; items without words are
     never found; repeated items count once by id. Other columns stay as they are.
     """
     bench = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("words"))
@@ -197,9 +200,10 @@ def _joined(df: DataFrame, bench: DataFrame, text: str, out: str) -> DataFrame:
     sizes = sorted(r["n"] for r in lengths.collect() if r["n"] > 0)  # at most WINDOW numbers
     texts = df.select(F.col(text).alias("t")).where("t IS NOT NULL")
     texts = texts.withColumn("key", F.sha2("t", 256)).dropDuplicates(["key"])
-    wanted = bench.select("id", F.explode(_windows_column(F.col("words"), True, sizes)).alias("w"))
+    bench = bench.withColumn("item", F.sha2("words", 256))  # an id can be missing
+    wanted = bench.select("item", F.explode(_windows_column(F.col("words"), True, sizes)).alias("w"))
     scanned = texts.select("key", F.explode(_windows_column(F.col("t"), False, sizes)).alias("w"))
-    pairs = scanned.join(wanted, "w").select("key", "id").distinct().join(bench, "id")
+    pairs = scanned.join(wanted, "w").select("key", "item").distinct().join(bench, "item")
     found = pairs.groupBy("key").agg(F.collect_set(F.struct("id", "words")).alias("items"))
 
     @F.arrow_udf(HITS)
@@ -213,7 +217,7 @@ def _joined(df: DataFrame, bench: DataFrame, text: str, out: str) -> DataFrame:
     hits = texts.join(found, "key", "left").select("key", verified("t", "items").alias("__hits"))
     keyed = df.withColumn("__key", F.sha2(F.col(text), 256))
     joined = keyed.join(hits.withColumnRenamed("key", "__key"), "__key", "left")
-    nothing = F.expr(f"CAST(named_struct('n_words', 0, 'n_hit', 0, 'longest', 0, 'items', array(), 'spans', array()) AS {HITS})")
+    nothing = F.expr(f"CAST(named_struct('n_words', 0, 'n_hit', 0, 'longest', 0, 'items', array(), 'unnamed', false, 'spans', array()) AS {HITS})")
     return joined.withColumn(out, F.coalesce("__hits", nothing)).drop("__key", "__hits")
 
 

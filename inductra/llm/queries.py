@@ -65,14 +65,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark words in every document, and the items they come from."""
+    """Benchmark words in every document, and the items they come from.
+
+    All items without an id count as one and are not named, as in SQL.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         F.col("hits.n_words").alias("n_words"),
         F.col("hits.n_hit").alias("n_hit"),
-        F.size("hits.items").cast("bigint").alias("n_items"),
+        (F.size("hits.items") + F.col("hits.unnamed").cast("int")).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "hits.items").cast("binary"), 256).alias("items_sha256"),
         (F.col("hits.n_hit") > 0).alias("contaminated"),
     )

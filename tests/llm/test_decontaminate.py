@@ -65,6 +65,19 @@ def test_hits_equal_a_plain_search(spark, texts, clashing, tables, bound):
     assert {r.n_tokens for r in out.collect()} == {"kept"}
 
 
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_items_without_an_id_are_hit_and_not_named(spark, texts, tables, bound):
+    documents, items = tables
+    documents = documents + [(70, "so the Zed, 漢 x1 it is"), (71, "only here are these words said")]
+    items = items + [(None, "only here are these words")]
+    out = find_hits(texts(documents), spark.createDataFrame(items, "item_id bigint, text string"), bound=bound)
+    want = plain(documents, items)
+    assert rows_of(out) == [(i, n, hit, [x for x in found if x != "None"]) for i, n, hit, found in want]
+    unnamed = sorted(((r.doc_id, r.hits.unnamed) for r in out.collect()), key=str)
+    assert unnamed == sorted(((i, "None" in found) for i, _, _, found in want), key=str)
+    assert (71, True) in unnamed
+
+
 @pytest.mark.parametrize("bound", [2_000_000, 0])
 def test_empty_tables(spark, texts, bound):
     bench = spark.createDataFrame([], "item_id bigint, text string")
