@@ -2,9 +2,9 @@
 
 A k-mer is an anchor if the smallest hash among its inner s-mers stands first or last in it.
 Whether it is one depends on its own bytes only, so anchors of an edited text can be put
-together from those of its untouched parts. A fingerprint keeps the anchors with the
-smallest hashes and their positions; two fingerprints are matched by hash, and matches
-count if their shift agrees with the median shift.
+together from those of its untouched parts. A fingerprint has all anchors by rising hash,
+each with its first position; two fingerprints are matched by hash, and a match counts if its
+shift agrees with that of a neighbour, so that blocks may have moved by different lengths.
 
 Everything is built-in expressions. Long texts are worked on in windows of ``WINDOW`` bytes,
 so that arrays of s-mer hashes stay short.
@@ -23,10 +23,10 @@ S = 9
 INNER = 1 << LEVELS
 K = S + INNER - 1
 
-#: Anchors a fingerprint keeps.
-KEPT = 64
+#: Anchors a fingerprint keeps: all.
+KEPT = None
 
-#: Bytes by which the shift of a match may differ from the median shift.
+#: Bytes by which the shift of a match may differ from that of the match before or behind it.
 SLACK = 64
 
 WINDOW = 8192
@@ -65,13 +65,13 @@ def _bind(value: Column, use) -> Column:
 
 
 def _first_of_each(ranked: Column) -> Column:
-    """Of anchors in order, each hash once at its first position, and as many as are kept."""
+    """Of anchors in order, each hash once at its first position."""
     fresh = lambda x, i: (i == 0) | (F.shiftright(x, 31) != F.shiftright(F.get(ranked, i - 1), 31))
-    return F.slice(F.filter(ranked, fresh), 1, KEPT)
+    return F.filter(ranked, fresh)
 
 
-def smallest(found: Column) -> Column:
-    """The anchors with the smallest hashes."""
+def ordered(found: Column) -> Column:
+    """The anchors of a fingerprint."""
     return _bind(F.sort_array(found), _first_of_each)
 
 
@@ -83,7 +83,7 @@ def or_whole(found: Column, raw: Column) -> Column:
 
 def smallest_of(raw: str) -> Column:
     """The fingerprint of a binary column as an array."""
-    return _bind(smallest(anchors(raw)), lambda a: or_whole(a, F.col(raw)))
+    return _bind(ordered(anchors(raw)), lambda a: or_whole(a, F.col(raw)))
 
 
 def written(found: str) -> Column:
@@ -93,24 +93,25 @@ def written(found: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of the smallest anchors of both that match in hash and shift, from 0 to 1.
+    """Share of the anchors of both that match in hash and go on alike, from 0 to 1.
 
-    Two empty fingerprints are alike.
+    Matches are in the order of the first text. One counts if its shift differs by at most
+    ``SLACK`` from that of the match before or behind it; a single match counts. Both lists
+    rise, so sorting them together is one merge. Two empty fingerprints are alike.
     """
-
-    def hashes(c: str) -> str:
-        return f"transform({c}, x -> shiftright(x, 31))"
-
-    shift = f"(x & {PLACE}) - ({b}[CAST(array_position(hb, shiftright(x, 31)) - 1 AS INT)] & {PLACE})"
-    near = f"abs(x - array_sort(d)[CAST(size(d) DIV 2 AS INT)]) <= {SLACK}"
+    side = "(shiftright(x, 31) - 2147483648) * 4294967296 + (x & {0}) + {1}"
+    both = f"""sort_array(concat(transform({a}, x -> {side.format(PLACE, 0)}),
+                                 transform({b}, x -> {side.format(PLACE, PLACE + 1)})))"""
+    pair = f"shiftleft(x & {PLACE}, 31) | (get(s, i + 1) & {PLACE})"
+    again = "shiftright(x, 32) = shiftright(get(s, i + 1), 32)"
+    found = f"sort_array(filter(transform(s, (x, i) -> CASE WHEN {again} THEN {pair} END), x -> x IS NOT NULL))"
+    shifts = f"transform({found}, x -> shiftright(x, 31) - (x & {PLACE}))"
+    near = " OR ".join(f"coalesce(abs(x - get(d, i {step})) <= {SLACK}, false)" for step in ("- 1", "+ 1"))
+    union = f"CAST(size({a}) + size({b}) - size(d) AS DOUBLE)"
     return F.expr(
         f"""CASE WHEN size({a}) = 0 AND size({b}) = 0 THEN 1.0D ELSE
-        element_at(transform(array({hashes(b)}), hb ->
-            element_at(transform(array(slice(array_sort(array_union({hashes(a)}, hb)), 1, {KEPT})), u ->
-                element_at(transform(array(
-                    transform(filter({a}, x -> shiftright(x, 31) <= element_at(u, -1)
-                                              AND array_contains(hb, shiftright(x, 31))), x -> {shift})),
-                    d -> size(filter(d, x -> {near})) / CAST(size(u) AS DOUBLE)), 1)), 1)), 1) END"""
+        element_at(transform(array({both}), s -> element_at(transform(array({shifts}),
+            d -> size(filter(d, (x, i) -> size(d) = 1 OR {near})) / {union}), 1)), 1) END"""
     )
 
 
@@ -193,23 +194,17 @@ def compare_with_edits(df: DataFrame, text: str = "text", row_id: str = "doc_id"
     rows = rows.withColumn("moved", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("kept", F.octet_length(F.expr("left(text, CAST(n_chars AS INT) - moved)")))
     rows = rows.withColumn("raw", F.col("text").cast("binary"))
-    before_cut = lambda a: F.filter(a, lambda x: x.bitwiseAND(PLACE) <= F.col("kept") - K)
-    both = _bind(
-        F.sort_array(anchors("raw")),
-        lambda a: F.struct(
-            or_whole(_first_of_each(a), F.col("raw")).alias("own"),
-            _bind(before_cut(a), _first_of_each).alias("start"),
-        ),
-    )
-    rows = rows.withColumn("found", both).drop("raw")
-    rows = rows.withColumns({"own": F.col("found.own"), "start": F.col("found.start")}).drop("found")
+    rows = rows.withColumn("own", ordered(anchors("raw")))
+    rows = rows.withColumns({"whole": F.size("own") == 0, "own": or_whole(F.col("own"), F.col("raw"))}).drop("raw")
     linked = with_next(rows, ["text", "own"])
     edited = linked.withColumn(
         "edited", F.expr("concat(left(text, CAST(n_chars AS INT) - moved), left(next_text, moved))").cast("binary")
     )
     edited = edited.withColumn("fresh_from", F.greatest(F.lit(0), F.col("kept") - (K - 1)))
     edited = edited.withColumn("fresh", F.expr("substring(edited, fresh_from + 1, length(edited))"))
-    other = smallest(F.concat("start", anchors("fresh", "fresh_from")))
+    # First positions before the cut are those of all anchors there.
+    before_cut = F.filter("own", lambda x: ~F.col("whole") & (x.bitwiseAND(PLACE) <= F.col("kept") - K))
+    other = ordered(F.concat(before_cut, anchors("fresh", "fresh_from")))
     edited = edited.withColumn("other", _bind(other, lambda a: or_whole(a, F.col("edited"))))
     return edited.select(
         F.col("row_id").alias(row_id),

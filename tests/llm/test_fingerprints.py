@@ -97,6 +97,24 @@ def test_shifted_copies_are_alike(spark):
     assert row.shifted > 0.9 and row.other < 0.1
 
 
+def test_blocks_match_with_shifts_of_their_own(spark):
+    rng = random.Random(2)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    body = say(12_000)
+    inserted = body[:6_000] + say(500) + body[6_000:]
+    swapped = body[6_000:] + body[:6_000]
+    passage = say(300)  # about 50 words
+    one, two = (say(60_000) + passage + say(60_000) for _ in "ab")
+    df = spark.createDataFrame([(body, inserted, swapped, one, two, say(120_300))], "a string, b string, c string, d string, e string, f string")
+    for c in "abcdef":
+        df = df.withColumn(f"raw{c}", F.col(c).cast("binary")).withColumn(c, fp.smallest_of(f"raw{c}"))
+    pairs = {"inserted": "ab", "swapped": "ac", "passage": "de", "other": "df"}
+    row = df.select(*[fp.likeness(*p).alias(n) for n, p in pairs.items()], *[F.size(c).alias(f"n{c}") for c in "de"]).first()
+    assert row.inserted > 0.9 and row.swapped > 0.95
+    # A shared passage has about an anchor in 8 bytes, all of them in both fingerprints.
+    assert row.passage * (row.nd + row.ne) > 20 and row.other * (row.nd + row.ne) < 5
+
+
 def test_single_fingerprint_column(spark, texts):
     out = fp.fingerprint(texts([(1, None), (2, ""), (3, "short"), (4, "short")])).collect()
     found = {r.doc_id: r.fingerprint for r in out}
