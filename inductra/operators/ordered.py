@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from inductra.session import cut_lineage
+from inductra.session import cut_lineage, plain_union
 
 SLICE = "_slice"
 
@@ -150,7 +150,7 @@ def lowest_running_sum(
     )
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     low = F.col("_low") + F.coalesce(F.sum("_total").over(before), F.lit(0))
-    return out.unionByName(slices.withColumn("_low", low).groupBy(*keys).agg(F.min("_low").alias(name)))
+    return plain_union(out, slices.withColumn("_low", low).groupBy(*keys).agg(F.min("_low").alias(name)))
 
 
 def number_within(

@@ -27,33 +27,27 @@ def complete_submissions(submissions: DataFrame, required: tuple[str, ...] = REQ
     return accepted, submissions.filter(lacking).withColumn("reason", reason)
 
 
-def module_progress(submissions: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
-    """Net effect of saving every submission, one row per (employee, module).
+def _fold(rows: DataFrame) -> DataFrame:
+    """One row per (employee, module): its last state, first completion and first save."""
+    return rows.groupBy(*KEY).agg(
+        F.max("_last").alias("_last"),
+        F.min("completed_at").alias("completed_at"),
+        F.min("created_at").alias("created_at"),
+    )
 
-    The last submission decides answers and completed; the first completion stays as
-    ``completed_at`` even if a later submission takes the completion back. The fold does
-    not depend on arrival order, and a stored result can be passed back as ``snapshot``.
-    Aggregates are partial before the shuffle, so a busy employee is combined map-side.
-    The last row is one struct maximum, so each row is sorted once.
-    """
-    carried = ["completed", "answers"]
-    rows = submissions.select(
-        *KEY, *carried, "submitted_at", "submission_id",
+
+def _states(submissions: DataFrame) -> DataFrame:
+    """Each submission as the state it would leave."""
+    return submissions.select(
+        *KEY,
+        F.struct("submitted_at", "submission_id", "completed", "answers").alias("_last"),
         F.when(F.col("completed"), F.col("submitted_at")).alias("completed_at"),
         F.col("submitted_at").alias("created_at"),
     )
-    if snapshot is not None:
-        rows = rows.unionByName(
-            snapshot.select(
-                *KEY, *carried, F.col("updated_at").alias("submitted_at"),
-                F.col("last_submission_id").alias("submission_id"), "completed_at", "created_at",
-            )
-        )
-    folded = rows.groupBy(*KEY).agg(
-        F.max(F.struct("submitted_at", "submission_id", *carried)).alias("_last"),
-        F.min("completed_at").alias("completed_at"),
-        F.min("created_at").alias("created_at"),
-    )
+
+
+def _rows(folded: DataFrame) -> DataFrame:
+    """Folded states as rows of the progress table."""
     return folded.select(
         *KEY, "_last.answers", "_last.completed", "completed_at", "created_at",
         F.col("_last.submitted_at").alias("updated_at"),
@@ -61,6 +55,39 @@ def module_progress(submissions: DataFrame, snapshot: DataFrame | None = None) -
     )
 
 
+def _merged(submissions: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Folded states over ``snapshot``; ``_stored`` is the state before, or NULL.
+
+    A full join of two sides that are unique by key. A union folded again would be planned
+    without an exchange where both sides are partitioned by the key already, and Spark does
+    not keep that promise when the sides run with different partition counts.
+    """
+    order = ["submitted_at", "submission_id", "completed", "answers"]
+    stored = snapshot.withColumnsRenamed({"updated_at": "submitted_at", "last_submission_id": "submission_id"})
+    stored = stored.select(*KEY, F.struct(F.struct(*order).alias("_last"), "completed_at", "created_at").alias("_stored"))
+    both = _fold(_states(submissions)).join(stored, list(KEY), "full")
+    return both.select(
+        *KEY,
+        F.greatest("_last", "_stored._last").alias("_last"),
+        F.least("completed_at", "_stored.completed_at").alias("completed_at"),
+        F.least("created_at", "_stored.created_at").alias("created_at"),
+        "_stored",
+    )
+
+
+def module_progress(submissions: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """Net effect of saving every submission, one row per (employee, module).
+
+    The last submission decides answers and completed; the first completion stays as
+    ``completed_at`` even if a later submission takes the completion back. The fold does
+    not depend on arrival order, and a stored result can be passed back as ``snapshot``.
+    Aggregates are partial before the shuffle, so a busy employee is combined map-side.
+    The last row is one struct maximum, so each row is sorted once. Keys are never NULL, as in the
+    table; ``complete_submissions`` refuses such rows. The snapshot has one row per key.
+    """
+    return _rows(_fold(_states(submissions)) if snapshot is None else _merged(submissions, snapshot))
+
+
 def completion_flags(submissions: DataFrame) -> DataFrame:
     """Only whether each (employee, module) is completed, as the last submission says.
 
@@ -199,8 +226,8 @@ def save_progress(
     """
     accepted, lacking = complete_submissions(submissions)
     known, unknown = known_employees_only(accepted, employees)
-    merged = module_progress(known, progress)
-    flags = merged.select(*KEY, "completed")
+    merged = _merged(known, progress)
+    flags = merged.select(*KEY, F.col("_last.completed").alias("completed"))
     touched = known.select("employee_id").distinct()
     pct = progress_pct(flags.join(touched, "employee_id", "left_semi"), employees, total)
     fine, refused = in_range(pct)
@@ -218,8 +245,10 @@ def save_progress(
         for c in employees.columns
     ]
     saved_employees = employees.join(new, "id", "left").select(*columns)
-    kept = merged.join(refused_ids, "employee_id", "left_anti")
-    old = progress.join(refused_ids, "employee_id", "left_semi")
+    # Of refused employees the stored state, of all others the new one: one fold holds both.
+    marked = merged.join(refused_ids.withColumn("_refused", F.lit(True)), "employee_id", "left")
+    state = F.when(F.col("_refused"), F.col("_stored")).otherwise(F.struct("_last", "completed_at", "created_at"))
+    saved = _rows(marked.select(*KEY, state.alias("_state")).where("_state IS NOT NULL").select(*KEY, "_state.*"))
     over = known.join(refused_ids, "employee_id", "left_semi").withColumn("reason", F.lit("progress_pct:range"))
     rejects = lacking.unionByName(unknown).unionByName(over)
-    return kept.unionByName(old.select(*kept.columns)), saved_employees, rejects
+    return saved, saved_employees, rejects

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inductra.schemas import LOCKED_COLUMNS, ROSTER_COLUMNS
+from inductra.session import plain_union
 
 
 def select_where(df: DataFrame, column: str, value, columns: list[str] | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def ensure_rows(keys: DataFrame, existing: DataFrame, column: str, defaults: dic
     """``existing`` plus a default row for every key it lacks."""
     missing = keys.select(column).distinct().join(existing, column, "left_anti")
     fresh = missing.withColumns({n: v for n, v in defaults.items() if n != column})
-    return existing.unionByName(fresh.select(*existing.columns))
+    return plain_union(existing, fresh.select(*existing.columns))
 
 
 def merge_snapshot(
@@ -105,4 +106,4 @@ def merge_snapshot(
     added = added.withColumns({c: F.lit(None).cast(snapshot.schema[c].dataType) for c in absent})
     if stamp in snapshot.columns:
         added = added.withColumn(stamp, run_ts)
-    return out.unionByName(added.select(*snapshot.columns))
+    return plain_union(out, added.select(*snapshot.columns))

@@ -284,7 +284,12 @@ FROM audit
 UNION ALL
 SELECT CASE WHEN a.id NOT IN (SELECT id FROM gone) THEN a.id END, a.full_name, a.role, NULL, 'employee_deleted',
        'Deleted: ' || e.full_name, g.gone_at
-FROM gone g LEFT JOIN fx_employees e ON e.id = g.id JOIN fx_employees a ON a.auth_id = 100000""",
+FROM gone g LEFT JOIN fx_employees e ON e.id = g.id
+JOIN (
+  SELECT d.emp_id, arg_min(m.id, row(d.acted_at, d.action_id)) AS by_id
+  FROM fx_actions d JOIN fx_employees m ON m.auth_id = d.actor_auth_id
+  WHERE d.action = 'delete' AND m.role = 'sysAdmin' GROUP BY d.emp_id) f ON f.emp_id = g.id
+JOIN fx_employees a ON a.id = f.by_id""",
        GONE + "," + EDITS)
 
 # Older portal --------------------------------------------------------------------

@@ -50,3 +50,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def plain_union(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both, partitioned by nothing in particular; ``right`` is the smaller side.
+
+    Where both sides are partitioned by one key, Spark takes the union for partitioned by it
+    and adds no exchange to what follows. Adaptive execution may give the sides different
+    partition counts later on, so the smaller side is dealt anew here.
+    """
+    wanted = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.unionByName(right.repartition(max(2, wanted)))

@@ -50,8 +50,3 @@ def users(spark):
 @pytest.fixture
 def run_dir(tmp_path):
     return str(tmp_path)
-
-
-def by(df, *keys):
-    """Rows keyed by the given columns."""
-    return {tuple(r[k] for k in keys) if len(keys) > 1 else r[keys[0]]: r for r in df.collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inductra.functions import labels, replies, text
 from inductra.operators import checks
 
-from conftest import by
+from rows import by
 
 # Text expressions ----------------------------------------------------------------
 

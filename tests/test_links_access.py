@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from inductra.operators import access, links, onboarding, rules, tables
 from inductra.schemas import MODULES, ROLES, ROSTER_COLUMNS
 
-from conftest import by
+from rows import by
 
 
 def frame(spark, rows, schema):

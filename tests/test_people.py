@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inductra.operators import audit, people, tables
 
-from conftest import by
+from rows import by
 
 EDITS = """edit_id bigint, emp_id bigint, actor_auth_id bigint, edited_at timestamp_ntz,
     full_name string, phone string, age int, position string, department string"""

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from inductra.operators import progress
+from inductra.plans.queries import QUERIES
 from inductra.schemas import MODULES, SUBMISSIONS
 
-from conftest import by
+from rows import by
 
 
 def at(minute):
@@ -225,3 +226,24 @@ def test_the_whole_save_accounts_for_every_submission(spark, employees):
     assert (after[4].progress_pct, after[4].completion_status) == (8, "in_progress")
     assert (after[1].progress_pct, after[1].completion_status) == (100, "completed")
     assert staff.columns == employees.columns
+
+
+@pytest.mark.parametrize("partitions", [4, 8])
+def test_the_whole_save_at_a_size_with_coalesced_shuffles(spark, partitions):
+    """Sides of the merge that run with different partition counts must not be zipped as they are."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        saved = QUERIES["save_progress_rows"](spark, "/root/testdata/sf0.1")
+        saved.write.format("noop").mode("overwrite").save()
+        assert saved.count() == saved.select("employee_id", "module_id").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_the_merge_is_a_join_and_not_a_union_by_key(spark):
+    rows = submissions(spark, [(1, 3, "ppe", "{}", True, at(1)), (2, 3, "ppe", "{}", False, at(2))])
+    merged = progress.module_progress(rows, progress.module_progress(rows))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in plan and "Union" not in plan
+    assert merged.count() == 1
