@@ -38,16 +38,20 @@ class Ends:
         self.low: list[int] = []
         self.high: list[int] = []
         self.count: list[int] = []
-        self._look([(1, total)])
+        self._look([(1, total, total)])
 
-    def _look(self, ranges: list[tuple[int, int]]) -> None:
-        """Replace what is known inside the given ranges by a closer look."""
-        length = sum(b - a + 1 for a, b in ranges)
-        width = max(1, -(-length // BLOCKS))
+    def _look(self, ranges: list[tuple[int, int, int]]) -> None:
+        """Replace what is known inside (first, last, widest block) ranges by a closer look.
+
+        New blocks are at most half as wide as the widest they replace, so every look gets closer.
+        """
+        length = sum(b - a + 1 for a, b, _ in ranges)
+        even = max(1, -(-length // BLOCKS))
         inside, block = F.lit(False), F.lit(None).cast("bigint")
-        for i, (a, b) in enumerate(ranges):
+        for i, (a, b, widest) in enumerate(ranges):
             here = F.col("end").between(a, b)
             inside = inside | here
+            width = max(1, min(even, widest // 2))
             number = F.floor((F.col("end") - a) / F.lit(width)).cast("bigint") * len(ranges) + i
             block = F.when(here, number).otherwise(block)
         found = (
@@ -57,7 +61,7 @@ class Ends:
             .collect()
         )
         rows = [(r["low"], r["high"], r["n"]) for r in found]
-        starts = [a for a, _ in ranges]
+        starts = [a for a, _, _ in ranges]
 
         def outside(value: int) -> bool:
             i = bisect_right(starts, value) - 1
@@ -89,15 +93,16 @@ class Ends:
 
     def closer(self, spans: list[tuple[int, int]]) -> None:
         """Look closer at all ranges that touch the spans."""
-        ranges: list[tuple[int, int]] = []
+        ranges: list[tuple[int, int, int]] = []
         for a, b in sorted(spans):
             first = max(0, bisect_right(self.low, a) - 1)
             last = max(first, bisect_right(self.low, b) - 1)
             a, b = self.low[first], max(self.high[first : last + 1])
+            widest = max(h - l + 1 for l, h in zip(self.low[first : last + 1], self.high[first : last + 1]))
             if ranges and a <= ranges[-1][1]:
-                ranges[-1] = (ranges[-1][0], max(ranges[-1][1], b))
+                ranges[-1] = (ranges[-1][0], max(ranges[-1][1], b), max(ranges[-1][2], widest))
             else:
-                ranges.append((a, b))
+                ranges.append((a, b, widest))
         self._look(ranges)
 
 
@@ -135,7 +140,9 @@ def cut(ends: Ends, capacity: int, shards: int) -> list[int]:
     """Running totals at which the shards end, each up to ``capacity`` and as even as can be.
 
     A shard ends near its share of what is left, but no earlier than the rest allows: going
-    back from the end, ``floor[k]`` is the first end after which the other shards suffice.
+    back from the end, ``floor[k]`` is the first end after which the other shards suffice. It
+    takes one group at least, and ``ceiling[k]`` leaves one for each shard behind it, so a
+    shard is empty only if there are fewer groups than shards.
     """
     while True:
         open_spans: list[tuple[int, int]] = []
@@ -150,6 +157,10 @@ def cut(ends: Ends, capacity: int, shards: int) -> list[int]:
             rest = floor[-1] - capacity
             floor.append(known(ends.first_from(rest), 1) if rest > 0 else 0)
         floor.reverse()
+        ceiling = [ends.total]
+        for _ in range(shards - 1):
+            ceiling.append(known(ends.last_upto(ceiling[-1] - 1), 0) if ceiling[-1] > 0 else 0)
+        ceiling.reverse()
         at, cuts = 0, []
         for k in range(shards - 1):
             limit = known(ends.last_upto(at + capacity), 0)
@@ -158,7 +169,8 @@ def cut(ends: Ends, capacity: int, shards: int) -> list[int]:
             after = known(ends.first_from(min(wanted + 1, ends.total)), 1)
             if after - wanted < wanted - near:
                 near = after
-            at = max(at, floor[k], min(near, limit))
+            one_group = known(ends.first_from(min(at + 1, ends.total)), 1)
+            at = max(one_group, floor[k], min(near, limit, ceiling[k]))
             cuts.append(at)
         if not open_spans:
             return [*cuts, ends.total]

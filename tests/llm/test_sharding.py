@@ -4,8 +4,10 @@ import random
 from collections import defaultdict
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate
 from zlib import crc32
 
+import pandas as pd
 import pytest
 
 from inductra.llm import sharding
@@ -50,16 +52,16 @@ def check(rows, out, shards):
     return sizes
 
 
-@pytest.mark.parametrize("blocks", [1 << 15, 3])
+@pytest.mark.parametrize("blocks", [1 << 15, 3, 2])
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_smallest_capacity(texts, clashing, monkeypatch, blocks, seed):
     monkeypatch.setattr(sharding, "BLOCKS", blocks)
     rng = random.Random(seed)
     base = ["x" * rng.randint(0, 200) + str(k) for k in range(30)] + ["é" * 700]
     rows = [(i, rng.choice(base)) for i in range(70)] + [(70, None), (71, None), (72, ""), (3, base[0]), (None, base[1])]
-    df = clashing(texts(rows)).drop("shard", "slot")
-    out = sharding.shard_by_bytes(df, 5).collect()
-    check(rows, out, 5)
+    out = sharding.shard_by_bytes(clashing(texts(rows)), 5).collect()
+    sizes = check(rows, out, 5)
+    assert len(sizes) == 5
     where = defaultdict(set)
     texts_of = {}
     for r in out:
@@ -69,8 +71,37 @@ def test_smallest_capacity(texts, clashing, monkeypatch, blocks, seed):
 
 
 def test_few_rows(texts):
-    for rows in ([], [(1, None)], [(1, "a"), (2, "b")]):
-        check(rows, sharding.shard_by_bytes(texts(rows), 4).collect(), 4)
+    for rows in ([], [(1, None)], [(1, "a"), (2, "b")], [(i, "x" * i * i) for i in range(4)]):
+        sizes = check(rows, sharding.shard_by_bytes(texts(rows), 4).collect(), 4)
+        assert len(sizes) == len(rows)
+
+
+class ListEnds(sharding.Ends):
+    """The same search over a plain list instead of a table."""
+
+    def _look(self, ranges):
+        known = [k for k in zip(self.low, self.high, self.count) if not any(a <= k[0] <= b for a, b, _ in ranges)]
+        even = max(1, -(-sum(b - a + 1 for a, b, _ in ranges) // sharding.BLOCKS))
+        for a, b, widest in ranges:
+            width = max(1, min(even, widest // 2))
+            found = pd.Series([e for e in self.ends if a <= e <= b])
+            known += [(int(g.min()), int(g.max()), len(g)) for _, g in found.groupby((found - a) // width)]
+        known.sort()
+        self.low, self.high, self.count = ([r[i] for r in known] for i in range(3))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_search_ends_with_more_shards_than_ranges(monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(sharding, "BLOCKS", rng.choice([2, 3, 8]))
+    sizes = [rng.choice([8, rng.randint(9, 60), rng.randint(9, 4000)]) for _ in range(rng.randint(24, 90))]
+    ends = list(accumulate(sizes))
+    known, shards = ListEnds(ends, ends[-1]), rng.choice([3, 24])
+    capacity = sharding.minimax_capacity(known, shards)
+    assert capacity == best(tuple(sizes), shards)
+    cuts = sharding.cut(known, capacity, shards)
+    assert len(cuts) == len(set(cuts)) == shards and set(cuts) <= set(ends)
+    assert max(b - a for a, b in zip([0, *cuts], cuts)) == capacity
 
 
 def test_near_equal_without_large_groups(texts):
