@@ -14,6 +14,7 @@ from inductra.llm import (
     jaccard_join,
     language,
     lm_score,
+    periodic_runs,
     pieces,
     sharding,
     suffix_dedup,
@@ -147,6 +148,50 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which one document in ten repeats a part of itself up to its end.
+
+    With h the checksum of the id (a missing one counts as the empty text) and g its tenth, the
+    words from number g mod n on repeat with period 1 + (n - a) div (3 + g mod 8).
+    """
+    h = crc_of_id(F.col("doc_id"))
+    g = F.floor(h / 10).cast("bigint")
+    parts = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, parts).alias("w"))
+    n = F.size("w").cast("bigint")
+    sized = cut.withColumn("a", F.when(n > 0, F.col("g") % n))
+    sized = sized.withColumn("p", F.when(n > 0, F.expr("1 + (size(w) - a) div (3 + g % 8)")))
+    a, p = F.col("a"), F.col("p")
+
+    def word(i):
+        return F.get("w", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+
+    altered = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), word), " ")
+    return sized.select("doc_id", F.when(n > 0, altered).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every text, the strongest of them, and the text without repetitions."""
+    docs = with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.find_runs(docs, keep=["doc_id"])
+    # Runs come by start, then period, so among equal exponents the first one stays.
+    more = "(acc, r) -> CASE WHEN acc IS NULL OR r.length * acc.period > acc.length * r.period THEN r ELSE acc END"
+    kind = "struct<start: bigint, length: bigint, period: bigint>"
+    best = F.expr(f"aggregate(found.runs, CAST(NULL AS {kind}), {more})")
+    line = F.transform("found.runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    judged = found.withColumn("best", best)
+    return judged.select(
+        "doc_id",
+        F.size("found.runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("found.collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_token_counts": op2_token_counts,
@@ -158,4 +203,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op13_periodic_runs": op13_periodic_runs,
 }
