@@ -73,8 +73,17 @@ least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
 FROM docs d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_of m ON m.a = d.doc_id"""
 
+WARC = """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+tops AS (SELECT page_id, body, max(page_id) OVER (PARTITION BY body) AS top FROM bodies),
+judged AS (SELECT *, strlen(body) >= 1000 AND page_id IS DISTINCT FROM top AS revisit FROM tops)
+SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN top END AS refers_to
+FROM judged"""
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION,
     "op7_suffix_dedup": SUFFIX_DEDUP,
     "op8_jaccard_join": JACCARD_JOIN,
+    "op11_warc": WARC,
 }

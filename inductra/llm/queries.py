@@ -20,9 +20,11 @@ from inductra.llm import (
     suffix_dedup,
     token_counts,
     url_filters,
+    warc,
 )
 from inductra.llm.common import crc_of_id, table
 from inductra.llm.oracles import ORACLES
+from inductra.session import run_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -148,6 +150,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written into archives, payloads that repeat as references, and read back."""
+    pages = warc.with_references(table(spark, sf_dir, "pages"), "page_id", "html")
+    files = warc.write(warc.chunk_rows(pages, "page_id", "url", "html"), run_folder(spark, "warc"))
+    return warc.read(files, data=False).select(
+        F.col("record_id").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
 def with_periodic_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in which one document in ten repeats a part of itself up to its end.
 
@@ -203,5 +218,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op11_warc": op11_warc,
     "op13_periodic_runs": op13_periodic_runs,
 }
