@@ -45,6 +45,28 @@ def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: Up to so many groups are broadcast, at about 100 bytes each.
+BROADCAST_GROUPS = 200_000
+
+#: Parts that the rows of one group are dealt to where groups are joined.
+SALTS = 64
+
+
+def join_groups(df: DataFrame, groups: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Left join of ``df`` with stored ``groups``, unique by ``key``, without ``key``.
+
+    Few groups are broadcast. Else rows meet their group per (key, salt), the salt taken from
+    ``spread``, so a group of very many rows is dealt to ``SALTS`` tasks; rows with a null key
+    have no group and are dealt by ``spread`` alone.
+    """
+    if groups.count() <= BROADCAST_GROUPS:
+        return df.join(F.broadcast(groups), key, "left").drop(key)
+    salt = F.when(F.col(key).isNull(), spread).otherwise(F.pmod(spread, F.lit(SALTS)))
+    salted = df.withColumn("__salt", salt)
+    spots = salted.where(F.col(key).isNotNull()).select(key, "__salt").distinct().join(groups, key)
+    return salted.join(spots, [key, "__salt"], "left").drop(key, "__salt")
+
+
 def tidy() -> None:
     """Give memory that a Python worker no longer uses back; workers live on through later stages."""
     pa.default_memory_pool().release_unused()

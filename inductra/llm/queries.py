@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inductra.llm import (
+    conversations,
     decontaminate,
     fingerprints,
     jaccard_join,
@@ -163,6 +164,43 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults, by the checksum of conversation and turn.
+
+    Of 20 rows about one each is dropped, emptied, left without stops, repeated, or said by the user.
+    """
+    blank = F.lit(" ")
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")])
+    text, role = F.coalesce(F.col("text"), blank), F.coalesce(F.col("role"), blank)
+    fault = F.col("fault")
+    marked = rows.withColumn("fault", F.crc32(place.cast("binary")) % 20).where("fault <> 0")
+    damaged = marked.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(fault == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return damaged.drop("copy")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, and the cheapest repair."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.summarise(conversations.repair(damaged_conversations(rows)))
+    ids = rows.select("conv_id").distinct()
+    joined = ids.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    none = F.lit(0).cast("bigint")
+    counts = [F.coalesce(c, none).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select(
+        "conv_id",
+        *counts,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", empty).alias("repaired_sha256"),
+    )
+
+
 def with_periodic_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in which one document in ten repeats a part of itself up to its end.
 
@@ -219,5 +257,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
     "op11_warc": op11_warc,
+    "op12_conversations": op12_conversations,
     "op13_periodic_runs": op13_periodic_runs,
 }

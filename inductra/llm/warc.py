@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from inductra.llm.common import store, tidy
+from inductra.llm.common import join_groups, store, tidy
 
 #: Payload bytes in one row.
 CHUNK_BYTES = 1 << 18
@@ -37,12 +37,6 @@ FILE_BYTES = 256 << 20
 #: Payloads shorter than this are not worth a reference.
 LEAST_SHARED = 1000
 
-#: Up to so many groups of equal payloads are broadcast, at about 100 bytes each.
-BROADCAST_GROUPS = 200_000
-
-#: Parts that the rows of one payload are dealt to where groups are joined.
-SALTS = 64
-
 #: Longest header line that is read.
 LINE_BYTES = 1 << 20
 
@@ -75,18 +69,11 @@ def with_references(df: DataFrame, row_id: str, payload: str, least: int = LEAST
     """
     body = payload_of(F.col(payload))
     key = F.when(F.octet_length(body) >= least, F.sha2(body, 256))
-    salt = F.xxhash64(row_id)
-    spread = F.when(F.col("__key").isNull(), salt).otherwise(F.pmod(salt, F.lit(SALTS)))
-    keyed = df.withColumn("__key", key).withColumn("__salt", spread)
-    narrow = keyed.where("__key IS NOT NULL").select("__key", "__salt", F.col(row_id).alias("__id"))
-    parts = narrow.groupBy("__key", "__salt").agg(F.max("__id").alias("__top"), F.count(F.lit(1)).alias("__n"))
-    groups = parts.groupBy("__key").agg(F.max("__top").alias("__top"), F.sum("__n").alias("__n")).where("__n > 1")
+    keyed = df.withColumn("__key", key)
+    groups = keyed.where("__key IS NOT NULL").groupBy("__key")
+    groups = groups.agg(F.max(row_id).alias("__top"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     groups = store(groups.select("__key", "__top", F.lit(True).alias("__several")), "warc-groups")
-    if groups.count() <= BROADCAST_GROUPS:
-        joined = keyed.join(F.broadcast(groups), "__key", "left")
-    else:
-        spots = parts.select("__key", "__salt").join(groups, "__key")
-        joined = keyed.join(spots, ["__key", "__salt"], "left")
+    joined = join_groups(keyed, groups, "__key", F.xxhash64(row_id))
     revisit = F.coalesce(F.col("__several"), F.lit(False)) & ~F.col(row_id).eqNullSafe(F.col("__top"))
     made = joined.withColumns(
         {
@@ -96,7 +83,7 @@ def with_references(df: DataFrame, row_id: str, payload: str, least: int = LEAST
             "payload_digest": F.sha1(body),
         }
     )
-    return made.drop("__key", "__salt", "__top", "__several")
+    return made.drop("__top", "__several")
 
 
 def chunk_rows(

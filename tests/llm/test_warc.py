@@ -6,7 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from inductra.llm import warc
+from inductra.llm import common, warc
 from inductra.llm.queries import op11_warc
 
 LONG = "ä€😀 WARC/1.0\r\n\r\nContent-Length: 3\r\n" * 400
@@ -42,7 +42,7 @@ def pages(spark):
 @pytest.mark.parametrize("compress", [True, False])
 @pytest.mark.parametrize("groups", [0, 1000])
 def test_round_trip(spark, pages, monkeypatch, tmp_path, compress, groups):
-    monkeypatch.setattr(warc, "BROADCAST_GROUPS", groups)
+    monkeypatch.setattr(common, "BROADCAST_GROUPS", groups)
     named = pages.withColumns({c: F.lit("kept") for c in ("data", "chunk", "record_type", "payload_bytes", "salt")})
     marked = warc.with_references(named, "page_id", "html")
     files = warc.write(warc.chunk_rows(marked, "page_id", "url", "html", 100), str(tmp_path), compress, file_bytes=10_000)
