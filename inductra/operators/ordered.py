@@ -32,7 +32,7 @@ UTC_NAMES = ("UTC", "ETC/UTC", "Z", "GMT")
 ID_SPAN = 2 * 10**19
 
 
-def _micros(df: DataFrame, at: str) -> Column:
+def micros(df: DataFrame, at: str) -> Column:
     """Microseconds of a time column as a decimal, in the column's own order.
 
     A zone-less time is not cast in a zone with clock changes: that would swap times
@@ -52,7 +52,7 @@ def order_number(df: DataFrame, at: str, row_id: str) -> Column:
     An aggregate over it has a fixed-width buffer and stays a hash aggregate, where a
     maximum over a (time, id) struct would sort all rows first.
     """
-    return (_micros(df, at) * F.expr(f"{ID_SPAN}BD") + F.col(row_id)).cast("decimal(38,0)")
+    return (micros(df, at) * F.expr(f"{ID_SPAN}BD") + F.col(row_id)).cast("decimal(38,0)")
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

@@ -89,6 +89,8 @@ FROM staff e LEFT JOIN (
   GROUP BY employee_id) p ON p.employee_id = e.id
 LEFT JOIN (SELECT employee_id, min(done) AS done FROM runs WHERE submitted_at >= {_LATE} GROUP BY employee_id) w
 ON w.employee_id = e.id""", SAVE + _OF_GOOD)
+for streamed, batch in {"save_stream_rows": "save_progress_rows", "save_stream_employees": "save_progress_employees"}.items():
+    ORACLES[streamed] = ORACLES[batch]
 oracle("save_progress_rejects", "fx_submissions fx_raw_submissions fx_employees", """
 SELECT * FROM (
   SELECT submission_id,

@@ -14,7 +14,7 @@ from inductra.schemas import MODULES, ROLES
 from inductra.session import run_folder
 from inductra.sources import tables as sources
 from inductra.sources.fixtures import fixture
-from inductra.streaming import streams
+from inductra.streaming import saving, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,14 +53,29 @@ def _status(spark: SparkSession, sf: str, rule: str) -> DataFrame:
     return progress.completion_status(fine, rule, progress.lowest_done(accepted, employees))
 
 
-def _save(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Submissions from the 15th on, saved over the progress that the earlier ones made."""
+def _saved_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Submissions from the 15th on, the progress that the earlier ones made, employees."""
     rows = fixture(spark, sf, "fx_raw_submissions")
     early = F.coalesce(F.col("submitted_at") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), F.lit(False))
     stored, _ = progress.complete_submissions(rows.filter(early))
     employees = fixture(spark, sf, "fx_employees").where("id % 7 <> 3")
     before, _ = progress.known_employees_only(progress.module_progress(stored), employees)
-    return progress.save_progress(rows.filter(~early), before, employees)
+    return rows.filter(~early), before, employees
+
+
+def _save(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The late submissions saved over the earlier progress, as one batch."""
+    return progress.save_progress(*_saved_inputs(spark, sf))
+
+
+def _save_stream(spark: SparkSession, sf: str) -> tuple[str, DataFrame, DataFrame]:
+    """The same save as a stream of files in the wrong order, two a batch, with a compaction; (folder, ...)."""
+    rows, before, employees = _saved_inputs(spark, sf)
+    root = run_folder(spark, "save-stream")
+    rows.repartitionByRange(6, F.desc("submitted_at")).write.parquet(f"{root}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    saving.save_stream(arriving, before, employees, root, f"{root}/checkpoint", compact_every=1).awaitTermination()
+    return root, before, employees
 
 
 @query
@@ -105,6 +120,20 @@ def save_progress_rejects(spark, sf):
     return _save(spark, sf)[2].select("submission_id", "reason")
 
 
+@query
+def save_stream_employees(spark, sf):
+    """The employees after the save as a stream."""
+    root, _, employees = _save_stream(spark, sf)
+    return saving.saved_employees(spark, root, employees).select("id", "progress_pct", "completion_status")
+
+
+@query
+def save_stream_rows(spark, sf):
+    """The progress table after the save as a stream."""
+    root, before, _ = _save_stream(spark, sf)
+    return streams.current_progress(spark, f"{root}/progress", before)
+
+
 @query
 def progress_rejects(spark, sf):
     """Progress rows of unknown employees, after the fold."""

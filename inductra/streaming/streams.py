@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inductra.operators.progress import KEY, module_progress
 from inductra.schemas import MODULES
+from inductra.streaming.folders import ChangeFolders
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -33,36 +34,42 @@ def submissions_of(events: DataFrame) -> DataFrame:
     )
 
 
-def progress_stream(submissions: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def progress_stream(
+    submissions: DataFrame, path: str, checkpoint: str, compact_every: int | None = None, **trigger
+) -> StreamingQuery:
     """Keep module progress up to date from a stream of submissions.
 
     Same fold as the batch operator, so the result does not depend on arrival order.
     State is one row per (employee, module), kept without a watermark as any of them may
     change again; a cluster with much staff sets the RocksDB state store. Each micro-batch
     writes only the rows it changed, into a folder named by its id: a replayed batch
-    replaces its own folder.
+    replaces its own folder. Every ``compact_every`` batches the folders are folded into one
+    base, so that readers never meet more than so many.
     """
+    folders = ChangeFolders(path, KEY)
+
     def write_changes(changes: DataFrame, batch_id: int) -> None:
-        changes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        folders.write(changes, batch_id)
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            folders.compact(changes.sparkSession)
 
     query = module_progress(submissions).writeStream.outputMode("update").foreachBatch(write_changes)
     return query.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def current_progress(
-    spark: SparkSession, path: str, snapshot: DataFrame | None = None, after: int = -1
-) -> DataFrame:
-    """The progress table from the change folders: per key, the row of the last batch.
+def current_progress(spark: SparkSession, path: str, stored: DataFrame | None = None) -> DataFrame:
+    """The progress table from the newest base and the change folders after it.
 
-    Change rows are complete, so a stored result of all batches up to ``after`` can stand
-    in for their folders; only later folders are read then.
+    ``stored`` is a progress table from before the stream; its rows stay where the stream has
+    none for a key.
     """
-    changes = spark.read.parquet(path).filter(F.col("batch") > after)
-    kept = [c for c in changes.columns if c not in (*KEY, "batch")]
-    if snapshot is not None:
-        changes = changes.unionByName(snapshot.withColumn("batch", F.lit(after)))
-    last = changes.groupBy(*KEY).agg(F.max(F.struct("batch", *kept)).alias("_row"))
-    return last.select(*KEY, *[F.col(f"_row.{c}") for c in kept])
+    changes = ChangeFolders(path, KEY).read(spark)
+    if stored is None or changes is None:
+        return stored if changes is None else changes
+    columns = [c for c in changes.columns if c not in KEY]
+    old = stored.select(*KEY, F.struct(*columns).alias("_old"))
+    both = changes.select(*KEY, F.struct(*columns).alias("_new")).join(old, list(KEY), "full")
+    return both.select(*KEY, F.coalesce("_new", "_old").alias("_row")).select(*KEY, "_row.*")
 
 
 def audit_stream(entries: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

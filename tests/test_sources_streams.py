@@ -1,4 +1,5 @@
 import json
+import os
 import random
 from datetime import datetime, timedelta
 from types import SimpleNamespace
@@ -7,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from inductra.operators import progress, tables
+from inductra.operators.progress import KEY
 from inductra.schemas import MODULES, ROSTER_COLUMNS
 from inductra.session import run_folder, shared_folder
 from inductra.sources import tables as sources
 from inductra.sources.fixtures import fixture
 from inductra.streaming import streams
+from inductra.streaming.folders import ChangeFolders
 
 SF = "/root/testdata/sf0.001"
 
@@ -152,14 +155,47 @@ def test_progress_stream_goes_on_after_a_stop(spark, run_dir):
     write_events(spark, rows[30:], run_dir, 2)
     run()
     early = streams.current_progress(spark, run_dir + "/out")
-    sources.write_snapshot(early, run_dir + "/snap", "one", F.lit("2024-01-01").cast("timestamp_ntz"))
-    last = spark.read.parquet(run_dir + "/out").agg(F.max("batch")).first()[0]
+    before = rows_of(early)
+    assert ChangeFolders(run_dir + "/out", KEY).compact(spark) is not None
+    assert rows_of(streams.current_progress(spark, run_dir + "/out")) == before
     write_events(spark, rows[:30], run_dir, 2)
     run()
     batch = progress.module_progress(streams.submissions_of(spark.read.parquet(run_dir + "/events.parquet")))
     assert rows_of(streams.current_progress(spark, run_dir + "/out").select(batch.columns)) == rows_of(batch)
-    rolled = streams.current_progress(spark, run_dir + "/out", sources.read_snapshot(spark, run_dir + "/snap"), last)
-    assert rows_of(rolled.select(batch.columns)) == rows_of(batch)
+
+
+def test_files_read_do_not_grow_with_batches(spark, run_dir):
+    """Twelve batches, folded every two: a base and two change folders at most, whatever was written."""
+    start = datetime(2024, 3, 1)
+    rows = [(i, start + timedelta(minutes=11 * i), i % 4, "purchase" if i % 3 else "view", 1.0, f"a{i}") for i in range(96)]
+    random.Random(1).shuffle(rows)
+    write_events(spark, rows, run_dir, 12)
+    stream = streams.submissions_of(streams.event_stream(spark, run_dir, files_per_batch=1))
+    streams.progress_stream(stream, run_dir + "/out", run_dir + "/ck", compact_every=2).awaitTermination()
+    folders = ChangeFolders(run_dir + "/out", KEY)
+    base, batches = folders.live(spark)
+    assert base == 10 and batches == [11]
+    found = folders.listed(spark)
+    assert len(found["base"]) <= 2 and len(found["batch"]) <= 4
+    batch = progress.module_progress(streams.submissions_of(spark.read.parquet(run_dir + "/events.parquet")))
+    got = folders.read(spark)
+    assert len(got.inputFiles()) <= 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows_of(got.select(batch.columns)) == rows_of(batch)
+
+
+def test_a_base_without_its_marker_does_not_count(spark, run_dir):
+    folders = ChangeFolders(run_dir + "/t", ("k",))
+    assert folders.read(spark) is None and folders.compact(spark) is None
+    for n, values in enumerate(([(1, "a"), (2, "a")], [(2, "b")], [(3, "c")])):
+        folders.write(spark.createDataFrame(values, "k bigint, v string"), n)
+    assert folders.compact(spark) == 2
+    os.remove(run_dir + "/t/base=2/_SUCCESS")
+    assert folders.live(spark) == (None, [0, 1, 2])
+    assert folders.compact(spark) == 2
+    folders.write(spark.createDataFrame([(1, "d")], "k bigint, v string"), 3)
+    assert rows_of(folders.read(spark)) == [(1, "d"), (2, "b"), (3, "c")]
+    assert folders.compact(spark) == 3 and folders.listed(spark)["batch"] == [3]
+    assert rows_of(folders.read(spark)) == [(1, "d"), (2, "b"), (3, "c")]
 
 
 def test_audit_stream_writes_each_id_once(spark, run_dir):
