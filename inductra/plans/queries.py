@@ -764,13 +764,16 @@ def progress_stream(spark, sf):
 
 @query
 def audit_stream(spark, sf):
-    """The events in files by falling time, and a seventh of them delivered again, two files a batch."""
+    """The events in files by falling time, a seventh of them again a day later, two files a batch."""
     root = run_folder(spark, "audit-stream")
     events = spark.read.schema(streams.EVENTS).parquet(f"{sf}/events.parquet")
-    again = events.where("event_id % 7 = 0").repartition(2)
-    delivered = events.repartitionByRange(6, F.desc("ts")).unionByName(again)
-    delivered.write.parquet(f"{root}/in/events.parquet")
+    again = events.where("event_id % 7 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")).repartition(2)
+    # Repeats are delivered after the first six files.
+    events.repartitionByRange(6, F.desc("ts")).write.parquet(f"{root}/in/events.parquet")
     entries = streams.audit_entries_of(streams.event_stream(spark, f"{root}/in", files_per_batch=2))
-    streams.audit_stream(entries, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    streams.audit_stream(entries, f"{root}/log", f"{root}/checkpoint", compact_every=2).awaitTermination()
+    again.write.mode("append").parquet(f"{root}/in/events.parquet")
+    entries = streams.audit_entries_of(streams.event_stream(spark, f"{root}/in", files_per_batch=2))
+    streams.audit_stream(entries, f"{root}/log", f"{root}/checkpoint", compact_every=2).awaitTermination()
     log = spark.read.parquet(f"{root}/log")
     return log.select("id", "target_id", "action", "detail", F.col("audit_date").cast("date").alias("audit_date"))

@@ -194,6 +194,7 @@ def save_stream(
         Saving(rule, total, lateness), CHANGES, "Update", "None", seed.groupBy("employee_id")
     )
     folders = {kind: ChangeFolders(f"{path}/{name}", keys) for kind, name, keys in _KINDS}
+    first = {kind: folder.first_batch(spark, checkpoint) for kind, folder in folders.items()}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Three sinks read one result.
@@ -201,7 +202,7 @@ def save_stream(
         for kind, columns in _COLUMNS.items():
             part = batch.where(F.col("kind") == kind)
             timed = part.withColumns({t: _time(t) for t in TIMES}) if kind == "module" else part
-            folders[kind].write(timed.select(*columns), batch_id)
+            folders[kind].write(timed.select(*columns), first[kind] + batch_id)
         batch.unpersist()
         if compact_every and batch_id and batch_id % compact_every == 0:
             for kind in ("employee", "module"):
@@ -228,7 +229,8 @@ def lacking_stream(submissions: DataFrame, path: str, checkpoint: str, **trigger
     _, rejected = complete_submissions(submissions)
     folder = ChangeFolders(f"{path}/lacking", ("submission_id",))
     wanted = rejected.select("employee_id", "submission_id", "reason")
-    query = wanted.writeStream.foreachBatch(lambda batch, batch_id: folder.write(batch, batch_id))
+    first = folder.first_batch(submissions.sparkSession, checkpoint)
+    query = wanted.writeStream.foreachBatch(lambda batch, batch_id: folder.write(batch, first + batch_id))
     return query.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inductra.operators.progress import KEY, module_progress
 from inductra.schemas import MODULES
-from inductra.streaming.folders import ChangeFolders
+from inductra.streaming.folders import ChangeFolders, IdIndex
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -47,9 +47,10 @@ def progress_stream(
     base, so that readers never meet more than so many.
     """
     folders = ChangeFolders(path, KEY)
+    first = folders.first_batch(submissions.sparkSession, checkpoint)
 
     def write_changes(changes: DataFrame, batch_id: int) -> None:
-        folders.write(changes, batch_id)
+        folders.write(changes, first + batch_id)
         if compact_every and batch_id and batch_id % compact_every == 0:
             folders.compact(changes.sparkSession)
 
@@ -72,29 +73,35 @@ def current_progress(spark: SparkSession, path: str, stored: DataFrame | None =
     return both.select(*KEY, F.coalesce("_new", "_old").alias("_row")).select(*KEY, "_row.*")
 
 
-def audit_stream(entries: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append audit entries to a log with one folder per day, each entry id once.
+def audit_stream(
+    entries: DataFrame, path: str, checkpoint: str, buckets: int = 256, compact_every: int = 20, **trigger
+) -> StreamingQuery:
+    """Append audit entries to a log, each entry id once, whatever day a repeat carries.
 
-    Every entry is written, however late it arrives. A repeat carries the day of the first
-    delivery; it is recognised by an anti-join of the batch with the days of the log that the
-    batch touches, so a batch that is replayed after its write adds nothing.
+    The log has a folder per batch and in it one per day. Ids it has are kept beside it, in an
+    index by hash bucket, of which a batch reads the buckets of its own ids. Of repeats within a
+    batch the earliest entry is written, of later ones none; entries without an id are all
+    written. A batch that is repeated compares itself with earlier batches only and replaces its
+    own folders, log and index alike. Index folders are folded every ``compact_every`` batches.
     """
     spark = entries.sparkSession
-    dated = entries.withColumn("audit_date", F.to_date("created_at"))
-    spark.createDataFrame([], dated.schema).write.mode("append").partitionBy("audit_date").parquet(path)
+    index = IdIndex(f"{path.rstrip('/')}_ids", entries.schema["id"].dataType.simpleString(), buckets)
+    first = index.first_batch(spark, checkpoint)
+    columns = [c for c in entries.columns if c not in ("id", "created_at")]
 
     def write_new(batch: DataFrame, batch_id: int) -> None:
-        first, last = batch.agg(F.min("audit_date"), F.max("audit_date")).first()
-        log = batch.sparkSession.read.schema(dated.schema).parquet(path)
-        known = log.where(F.col("audit_date").between(F.lit(first), F.lit(last))).select("id", "audit_date")
-        # A missing day has a folder of its own, outside any range.
-        undated = log.where("audit_date IS NULL").select("id", "audit_date")
-        known = known.unionByName(undated).withColumnsRenamed({"id": "_id", "audit_date": "_day"})
-        same = (F.col("id") == F.col("_id")) & F.col("audit_date").eqNullSafe(F.col("_day"))
-        fresh = batch.dropDuplicates(["id", "audit_date"]).join(known, same, "left_anti")
-        fresh.write.mode("append").partitionBy("audit_date").parquet(path)
-
-    query = dated.writeStream.foreachBatch(write_new).option("checkpointLocation", checkpoint)
+        number = first + batch_id
+        if batch_id and batch_id % compact_every == 0:
+            index.compact(batch.sparkSession, number - 1)
+        earliest = F.min(F.struct("created_at", *columns)).alias("_row")
+        once = batch.where("id IS NOT NULL").groupBy("id").agg(earliest).select("id", "_row.*")
+        fresh = index.unknown(once, number).unionByName(batch.where("id IS NULL").select("id", "created_at", *columns))
+        fresh = fresh.withColumn("audit_date", F.to_date("created_at")).persist()
+        fresh.write.mode("overwrite").partitionBy("audit_date").parquet(f"{path}/batch={number}")
+        index.write(fresh.where("id IS NOT NULL"), number)
+        fresh.unpersist()
+
+    query = entries.writeStream.foreachBatch(write_new).option("checkpointLocation", checkpoint)
     return query.trigger(**(trigger or {"availableNow": True})).start()
 
 
