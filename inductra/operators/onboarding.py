@@ -80,25 +80,50 @@ def _judge_by_email(judged: DataFrame, users: DataFrame, employees: DataFrame, m
     return joined.withColumn("reason", F.coalesce("_early", late))
 
 
-def assign_codes(requests: DataFrame, employees: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Give each request an unused employee code; (with code, rejected).
+def free_codes(employees: DataFrame, wanted: int, seed: int = 0) -> DataFrame:
+    """(_place, employee_code) of the first ``wanted`` free codes of the walk, and at most 63 more.
 
-    The code space is walked in steps that visit every code once and look random; the
-    n-th request gets the n-th free code of the walk. No code is tried twice, and a run
-    can be repeated. Requests beyond the last free code are rejected. The window over all
-    free codes is bounded by the code space, 900,000 numbers whatever the tables' size.
+    The walk visits every code once in steps that look random. Used codes are bits at their step
+    in 64-bit words, set by a partial aggregate; the free bits before each word are one running
+    sum over at most 14,063 words, and only words that hold a wanted place are written out.
     """
     size = LAST_CODE - FIRST_CODE + 1
-    walk = employees.sparkSession.range(size).select(
-        F.col("id").alias("_step"),
-        F.concat(
-            F.lit(CODE_PREFIX), (F.lit(FIRST_CODE) + (F.col("id") * CODE_STRIDE + seed) % size).cast("string")
-        ).alias("employee_code"),
+    number = F.try_to_number(F.substring("employee_code", len(CODE_PREFIX) + 1, 20), F.lit("999999")).cast("bigint")
+    is_code = F.col("employee_code") == F.concat(F.lit(CODE_PREFIX), F.col("_n").cast("string"))
+    used = employees.select("employee_code", number.alias("_n")).where(is_code & F.col("_n").between(FIRST_CODE, LAST_CODE))
+    step = F.pmod((F.col("_n") - FIRST_CODE - seed) * F.lit(pow(CODE_STRIDE, -1, size)), F.lit(size))
+    one = F.lit(1).cast("bigint")
+    taken = used.groupBy(F.floor(step / 64).alias("_word")).agg(
+        F.bit_or(F.call_function("shiftleft", one, (step % 64).cast("int"))).alias("_bits")
+    )
+    words = employees.sparkSession.range(-(-size // 64)).withColumnRenamed("id", "_word")
+    # One row per word, so this window is bounded by the code space.
+    marked = words.join(F.broadcast(taken), "_word", "left").withColumn("_bits", F.coalesce("_bits", F.lit(0).cast("bigint")))
+    length = F.least(F.lit(64), F.lit(size) - F.col("_word") * 64).cast("int")
+    free = length - F.bit_count("_bits")
+    before = F.sum(free).over(Window.orderBy("_word")) - free
+    counted = marked.select("_word", "_bits", length.alias("_length"), before.alias("_before")).where(F.col("_before") < wanted)
+    bits = F.filter(
+        F.sequence(F.lit(0), F.col("_length") - 1),
+        lambda b: F.call_function("shiftright", F.col("_bits"), b).bitwiseAND(one) == 0,
     )
-    free = walk.join(employees.select("employee_code").distinct(), "employee_code", "left_anti")
-    place = F.row_number().over(Window.orderBy("_step")).cast("bigint")
-    free = free.select(place.alias("_place"), "employee_code")
-    placed = number_all(requests, ["request_id"], "_place").join(free, "_place", "left").drop("_place")
+    open_bits = counted.where("bit_count(_bits) < _length").select("_word", "_before", F.posexplode(bits).alias("_rank", "_bit"))
+    code = (F.lit(FIRST_CODE) + ((F.col("_word") * 64 + F.col("_bit")) * CODE_STRIDE + seed) % size).cast("string")
+    return open_bits.select(
+        (F.col("_before") + F.col("_rank") + 1).cast("bigint").alias("_place"), F.concat(F.lit(CODE_PREFIX), code).alias("employee_code")
+    )
+
+
+def assign_codes(requests: DataFrame, employees: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Give each request an unused employee code; (with code, rejected).
+
+    The n-th request gets the n-th free code of the walk. No code is tried twice, and a run can
+    be repeated. Requests beyond the last free code are rejected. What is shuffled grows with the
+    requests, not with the code space.
+    """
+    numbered = number_all(requests, ["request_id"], "_place")
+    wanted = numbered.agg(F.max("_place")).first()[0] or 0
+    placed = numbered.join(free_codes(employees, wanted, seed), "_place", "left").drop("_place")
     rejected = placed.filter(F.col("employee_code").isNull()).withColumn("reason", F.lit(NO_CODE))
     return placed.filter(F.col("employee_code").isNotNull()), rejected
 

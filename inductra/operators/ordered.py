@@ -55,6 +55,30 @@ def order_number(df: DataFrame, at: str, row_id: str) -> Column:
     return (micros(df, at) * F.expr(f"{ID_SPAN}BD") + F.col(row_id)).cast("decimal(38,0)")
 
 
+UUID_PATTERN = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+# Hex digits of a uuid in the first number; 60 bits beside the 64 of the time fit a decimal.
+HEAD_DIGITS = 15
+
+
+def uuid_order(df: DataFrame, at: str, row_id: str) -> tuple[Column, Column]:
+    """Two decimals that together order rows by time, then by a uuid in lower-case text.
+
+    The first one has the time and the head of the uuid, the second one the rest. An aggregate
+    over the second per first, then over the first, has fixed-width buffers all the way. A
+    text that is no uuid gives NULL.
+    """
+    digits = F.when(F.col(row_id).rlike(UUID_PATTERN), F.translate(F.col(row_id), "-", ""))
+
+    def number(start: int, length: int) -> Column:
+        return F.conv(F.substring(digits, start, length), 16, 10).cast("decimal(38,0)")
+
+    rest = 32 - HEAD_DIGITS
+    head = micros(df, at) * F.expr(f"{16**HEAD_DIGITS}BD") + number(1, HEAD_DIGITS)
+    tail = number(HEAD_DIGITS + 1, rest - 2) * F.lit(256).cast("decimal(3,0)") + number(31, 2)
+    return head.cast("decimal(38,0)"), tail.cast("decimal(38,0)")
+
+
 def _same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Key equality in which NULL matches NULL."""
     condition = F.lit(True)
@@ -78,7 +102,7 @@ def _range_slices(df: DataFrame, keys: list[str], order: list[str], at_least: in
     return cut_lineage(sliced)
 
 
-def _split_hot(
+def split_hot(
     df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None
 ) -> tuple[DataFrame, DataFrame | None, bool]:
     """(rows of ordinary keys, sliced rows of hot keys or None, whether slices are few).
@@ -112,7 +136,7 @@ def previous_value(
         window = Window.partitionBy(*by).orderBy(*order)
         return rows.withColumn(name, F.lag(F.struct(*columns)).over(window))
 
-    ordinary, busy, few = _split_hot(df, keys, order, hot_rows)
+    ordinary, busy, few = split_hot(df, keys, order, hot_rows)
     out = lagged(ordinary, keys)
     if busy is None:
         return out
@@ -135,7 +159,7 @@ def lowest_running_sum(
     df: DataFrame, keys: list[str], order: list[str], value: str, name: str, hot_rows: int | None = None
 ) -> DataFrame:
     """(keys, ``name``): the smallest running sum of ``value`` after any row, per key."""
-    ordinary, busy, few = _split_hot(df, keys, order, hot_rows)
+    ordinary, busy, few = split_hot(df, keys, order, hot_rows)
 
     def running(rows: DataFrame, by: list[str]) -> DataFrame:
         window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -160,7 +184,7 @@ def number_within(
 
     ``several``, if named, tells whether the key has more than one row.
     """
-    ordinary, busy, few = _split_hot(df, keys, order, hot_rows)
+    ordinary, busy, few = split_hot(df, keys, order, hot_rows)
     window = Window.partitionBy(*keys).orderBy(*order)
     out = ordinary.withColumn(name, F.row_number().over(window).cast("bigint"))
     if several:

@@ -22,6 +22,9 @@ DELETE_ACTION = "employee_deleted"
 DELETE_DETAIL = "Deleted: "
 DENIED = "Permission denied"
 
+# Up to so many deleted ids, of 8 bytes each, are broadcast.
+BROADCAST_IDS = 1_000_000
+
 # What the older portal writes when an induction starts or completes.
 START_MODULE = "Warehouse safety induction"
 DONE_MODULE = "Completed"
@@ -114,11 +117,16 @@ class Deletion:
         return users.join(accounts.filter("id IS NOT NULL"), "id", "left_anti")
 
     def without_references(self, audit: DataFrame) -> DataFrame:
-        """Existing log entries, with deleted actors and targets set to NULL."""
+        """Existing log entries, with deleted actors and targets set to NULL.
+
+        The log is not shuffled where the deleted ids are few enough to be broadcast, which is
+        counted; more of them are joined, once for each reference.
+        """
+        few = self.gone.count() <= BROADCAST_IDS
         out = audit
         for column in ("actor_id", "target_id"):
             ids = self.gone.select(F.col("id").alias("_gone"))
-            out = out.join(ids, F.col(column) == F.col("_gone"), "left")
+            out = out.join(F.broadcast(ids) if few else ids, F.col(column) == F.col("_gone"), "left")
             out = out.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone")
         return out.select(*audit.columns)
 

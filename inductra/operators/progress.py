@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from inductra.operators.ordered import lowest_running_sum, order_number, previous_value
+from inductra.operators.ordered import SLICE, lowest_running_sum, order_number, previous_value, split_hot, uuid_order
 from inductra.schemas import MODULES
+from inductra.session import plain_union
 
 KEY = ("employee_id", "module_id")
 
@@ -91,14 +93,25 @@ def module_progress(submissions: DataFrame, snapshot: DataFrame | None = None) -
 def completion_flags(submissions: DataFrame) -> DataFrame:
     """Only whether each (employee, module) is completed, as the last submission says.
 
-    Answers are not read, and the buffers have fixed width, so this is a hash aggregate.
+    Answers are not read, and the buffers have fixed width, so this is a hash aggregate. Ids are
+    64-bit numbers or uuids in text; rows whose text is no uuid are never the last.
     """
-    order = order_number(submissions, "submitted_at", "submission_id")
-    rows = submissions.select(*KEY, "completed", order.alias("_order"))
-    folded = rows.groupBy(*KEY).agg(
-        F.max("_order").alias("_last"), F.max(F.when(F.col("completed"), F.col("_order"))).alias("_last_done")
+    if isinstance(submissions.schema["submission_id"].dataType, StringType):
+        head, tail = uuid_order(submissions, "submitted_at", "submission_id")
+        rows = submissions.select(*KEY, "completed", head.alias("_order"), tail.alias("_tail"))
+        rows = _last_flag(rows, [*KEY, "_order"], "_tail")
+    else:
+        order = order_number(submissions, "submitted_at", "submission_id")
+        rows = submissions.select(*KEY, "completed", order.alias("_order"))
+    return _last_flag(rows, list(KEY), "_order")
+
+
+def _last_flag(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, completed): the flag of the row with the largest ``order``."""
+    folded = rows.groupBy(*keys).agg(
+        F.max(order).alias("_last"), F.max(F.when(F.col("completed"), F.col(order))).alias("_last_done")
     )
-    return folded.select(*KEY, F.coalesce(F.col("_last") == F.col("_last_done"), F.lit(False)).alias("completed"))
+    return folded.select(*keys, F.coalesce(F.col("_last") == F.col("_last_done"), F.lit(False)).alias("completed"))
 
 
 def known_employees_only(progress: DataFrame, employees: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,22 +161,35 @@ def lowest_done(
         done_before, "employee_id", "left_semi"
     )
     order = ["submitted_at", "submission_id"]
-    steps = previous_value(rows, list(KEY), order, ["completed"], "_before", hot_rows)
-    before = F.col("_before.completed")
-    start = F.lit(0)
-    if stored is not None:
-        first = stored.select(*KEY, F.col("completed").alias("_stored"))
-        steps = steps.join(first, list(KEY), "left")
-        before = F.coalesce(before, F.col("_stored"))
-        counts = stored.groupBy("employee_id").agg(F.count_if("completed").alias("_start"))
-        start = F.coalesce("_start", F.lit(0))
-    change = F.col("completed").cast("int") - F.coalesce(before, F.lit(False)).cast("int")
-    lowest = lowest_running_sum(
-        steps.select("employee_id", *order, change.alias("_change")), ["employee_id"], order, "_change", "_low", hot_rows
+    ordinary, busy, _ = split_hot(rows, ["employee_id"], order, hot_rows)
+    # Dealt by employee once: both windows of ordinary employees run on that exchange.
+    dealt = ordinary.repartition("employee_id")
+    before = F.lag("completed").over(Window.partitionBy(*KEY).orderBy(*order))
+    changes = _changes(dealt.withColumn("_before", before), "_before", stored)
+    running = F.sum("_change").over(
+        Window.partitionBy("employee_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
+    lowest = changes.withColumn("_sum", running).groupBy("employee_id").agg(F.min("_sum").alias("_low"))
+    if busy is not None:
+        steps = previous_value(busy.drop(SLICE), list(KEY), order, ["completed"], "_before", hot_rows)
+        changes = _changes(steps, "_before.completed", stored)
+        low = lowest_running_sum(changes, ["employee_id"], order, "_change", "_low", hot_rows)
+        lowest = plain_union(lowest, low)
+    if stored is None:
+        return lowest.withColumnRenamed("_low", "lowest")
+    counts = stored.groupBy("employee_id").agg(F.count_if("completed").alias("_start"))
+    joined = lowest.join(counts, "employee_id", "left")
+    return joined.select("employee_id", (F.col("_low") + F.coalesce("_start", F.lit(0))).alias("lowest"))
+
+
+def _changes(steps: DataFrame, before: str, stored: DataFrame | None) -> DataFrame:
+    """By how much each save changes the number of done modules."""
+    was = F.col(before)
     if stored is not None:
-        lowest = lowest.join(counts, "employee_id", "left")
-    return lowest.select("employee_id", (F.col("_low") + start).alias("lowest"))
+        steps = steps.join(stored.select(*KEY, F.col("completed").alias("_stored")), list(KEY), "left")
+        was = F.coalesce(was, F.col("_stored"))
+    change = F.col("completed").cast("int") - F.coalesce(was, F.lit(False)).cast("int")
+    return steps.select("employee_id", "submitted_at", "submission_id", change.alias("_change"))
 
 
 def percentage(done: Column, total: int) -> Column:

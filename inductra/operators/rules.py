@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Up to so many distinct keys of a batch, of some 50 bytes each, are broadcast.
+BROADCAST_BATCH_KEYS = 500_000
+
+
 def not_null(column: str) -> tuple[str, Column]:
     return f"{column}:not_null", F.col(column).isNull()
 
@@ -60,6 +64,38 @@ def in_catalogue(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFra
     return counts.select(F.lit(f"{column}:catalogue").alias("rule"), F.col(column).alias("row_key"), "n_rows")
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys of a batch, marked for broadcast if they are counted to be few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_BATCH_KEYS else keys
+
+
+def unique_in_batch(batch: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
+    """Key values of ``batch`` that several rows of batch and ``stored`` together hold.
+
+    Only keys of the batch are looked up: few of them are broadcast and the stored table is
+    filtered where it lies; of more, Spark's runtime filter thins the scan, and a table saved in
+    buckets of the key stays where it is. Violations that the stored table has by itself are not
+    the batch's and are not listed.
+    """
+    present = batch
+    for key in keys:
+        present = present.filter(F.col(key).isNotNull())
+    new = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_new"))
+    found = stored.join(_few(new.select(*keys)), list(keys), "left_semi")
+    old = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_old"))
+    counts = new.join(old, list(keys), "left").withColumn("n_rows", F.col("_new") + F.coalesce("_old", F.lit(0)))
+    rule = F.lit("+".join(keys) + ":unique").alias("rule")
+    return counts.where("n_rows > 1").select(rule, _key_text(list(keys)).alias("row_key"), "n_rows")
+
+
+def foreign_key_in_batch(batch: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """References of ``batch`` that the stored parent lacks, by looking up only these."""
+    counts = batch.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n_rows"))
+    known = parent.select(F.col(parent_key).alias(column)).join(_few(counts.select(column)), column, "left_semi").distinct()
+    missing = counts.join(known, column, "left_anti")
+    return missing.select(F.lit(f"{column}:foreign_key").alias("rule"), F.col(column).cast("string").alias("row_key"), "n_rows")
+
+
 def all_violations(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -68,6 +68,22 @@ FROM fx_employees e LEFT JOIN (
   FROM progress GROUP BY employee_id) p ON p.employee_id = e.id
 LEFT JOIN low w ON w.employee_id = e.id""", PROGRESS + "," + REPLAY)
 
+_UUID = ORACLES["progress_status"].replace("fx_submissions AS (", "fx_plain AS (", 1)
+ORACLES["progress_status_uuid"] = _UUID.replace("saved AS (", """fx_submissions AS (
+  SELECT * REPLACE (date_trunc('day', submitted_at) AS submitted_at,
+    concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS submission_id)
+  FROM (SELECT *, md5(CAST(submission_id AS VARCHAR)) AS h FROM fx_plain)),
+saved AS (""", 1)
+oracle("batch_violations", "fx_dirty_employees fx_employees fx_users", """
+SELECT 'employee_code:unique' AS rule, employee_code AS row_key, count(*) AS n_rows FROM fx_dirty_employees
+GROUP BY employee_code HAVING count(*) > 1 AND bool_or(id % 5 = 0)
+UNION ALL
+SELECT 'auth_id:unique', CAST(auth_id AS VARCHAR), count(*) FROM fx_dirty_employees WHERE auth_id IS NOT NULL
+GROUP BY auth_id HAVING count(*) > 1 AND bool_or(id % 5 = 0)
+UNION ALL
+SELECT 'auth_id:foreign_key', CAST(auth_id AS VARCHAR), count(*) FROM fx_dirty_employees
+WHERE id % 5 = 0 AND auth_id IS NOT NULL AND auth_id NOT IN (SELECT id FROM fx_users) GROUP BY auth_id""")
+
 _LATE = "TIMESTAMP '2024-01-15 00:00:00'"
 SAVE = f"""
 staff AS (SELECT * FROM fx_employees WHERE id % 7 <> 3),

@@ -102,6 +102,20 @@ def progress_status_regressing(spark, sf):
     return _status(spark, sf, "regressing")
 
 
+@query
+def progress_status_uuid(spark, sf):
+    """The current rule over submissions whose ids are uuids in text, which decide among equal times."""
+    digest = F.md5(F.col("submission_id").cast("string"))
+    parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    accepted, _ = progress.complete_submissions(fixture(spark, sf, "fx_submissions"))
+    named = accepted.withColumn("submission_id", F.concat_ws("-", *parts))
+    # Whole days, so that many submissions of a module share their time.
+    rows = named.withColumn("submitted_at", F.date_trunc("day", "submitted_at").cast("timestamp_ntz"))
+    employees = fixture(spark, sf, "fx_employees")
+    fine, _ = progress.in_range(progress.progress_pct(progress.completion_flags(rows), employees))
+    return progress.completion_status(fine, "sticky", progress.lowest_done(rows, employees))
+
+
 @query
 def save_progress_rows(spark, sf):
     """The progress table after the whole save."""
@@ -596,6 +610,18 @@ def onboarding_rejects(spark, sf):
     return _created(spark, sf)[2].select("request_id", "reason")
 
 
+@query
+def batch_violations(spark, sf):
+    """A fifth of the dirty employees as a batch over the others: codes and accounts taken, unknown accounts."""
+    rows = fixture(spark, sf, "fx_dirty_employees")
+    batch, stored = rows.where("id % 5 = 0"), rows.where("id % 5 <> 0")
+    return rules.all_violations(
+        rules.unique_in_batch(batch, stored, "employee_code"),
+        rules.unique_in_batch(batch, stored, "auth_id"),
+        rules.foreign_key_in_batch(batch, "auth_id", fixture(spark, sf, "fx_users"), "id"),
+    )
+
+
 @query
 def new_codes(spark, sf):
     accepted, _ = _onboard(spark, sf, "find_or_create")

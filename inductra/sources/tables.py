@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,25 +88,67 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 POINTER = "version bigint, run_id string, written_at timestamp_ntz"
 
 
-def write_snapshot(df: DataFrame, root: str, run_id: str, run_ts: Column) -> None:
-    """Write a new version of a table, then point at it.
-
-    Files are never changed in place, so ``df`` may read the version it replaces. The
-    pointer row is appended only after all data is written; its version number is one above
-    the last, so versions of one clock keep their order.
+class VersionConflict(Exception):
+    """Another writer has published a version since the one that was expected."""
+
+
+def _claim(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a file that must not exist yet; whether this call was the one that did."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file":
+        # The local file system of that library looks first and creates then.
+        try:
+            handle = os.open(system.makeQualified(place).toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        except FileExistsError:
+            return False
+        with os.fdopen(handle, "w", encoding="utf-8") as out:
+            out.write(content)
+        return True
+    try:
+        out = system.create(place, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(content, "utf-8"))
+    out.close()
+    return True
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(POINTER).json(f"{root}/pointer")
+
+
+def write_snapshot(df: DataFrame, root: str, run_id: str, run_ts: Column, expected: int | None = None) -> int:
+    """Write a new version of a table, then point at it; its version number.
+
+    Files are never changed in place, so ``df`` may read the version it replaces. Once all data
+    is written, the version takes the next number by creating that number's own pointer file,
+    which only one writer can do: of two at once the other takes the number behind, and both
+    versions stay readable. With ``expected``, the number of the version ``df`` was made from, a
+    version that came in between raises ``VersionConflict`` instead, and the caller starts over.
+    A writer that dies on the way leaves data or a number that nobody refers to.
     """
     spark = df.sparkSession
-    spark.createDataFrame([], POINTER).coalesce(1).write.mode("append").json(f"{root}/pointer")
-    last = spark.read.schema(POINTER).json(f"{root}/pointer").agg(F.max("version")).first()[0]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
     df.write.mode("errorifexists").parquet(f"{root}/version={run_id}")
-    pointer = spark.range(1).select(
-        F.lit((last or 0) + 1).cast("bigint").alias("version"), F.lit(run_id).alias("run_id"), run_ts.alias("written_at")
-    )
-    pointer.coalesce(1).write.mode("append").json(f"{root}/pointer")
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The version named by the newest pointer row."""
-    pointers = spark.read.schema(POINTER).json(f"{root}/pointer")
+    row = spark.range(1).select(F.lit(run_id).alias("run_id"), run_ts.cast("timestamp_ntz").alias("written_at"))
+    number = (_pointers(spark, root).agg(F.max("version")).first()[0] or 0) + 1 if expected is None else expected + 1
+    while True:
+        numbered = row.select(F.to_json(F.struct(F.lit(number).cast("bigint").alias("version"), "run_id", "written_at")))
+        if _claim(spark, f"{root}/pointer/version-{number:012d}.json", numbered.first()[0] + "\n"):
+            return number
+        if expected is not None:
+            raise VersionConflict(f"{root}: version {number} is taken")
+        number += 1
+
+
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A version by its number, or the newest one."""
+    pointers = _pointers(spark, root)
+    if version is not None:
+        pointers = pointers.where(F.col("version") == version)
     newest = pointers.agg(F.max_by("run_id", F.struct("version", "written_at", "run_id")).alias("run_id")).first()
     return spark.read.parquet(f"{root}/version={newest['run_id']}")

@@ -61,7 +61,7 @@ def test_single_rows_are_not_several(spark):
 
 def test_hot_key_is_spread_over_slices(spark):
     _, df = skewed(spark, 5)
-    _, busy, _ = ordered._split_hot(df, ["key"], ["at", "id"], 60)
+    _, busy, _ = ordered.split_hot(df, ["key"], ["at", "id"], 60)
     slices = busy.filter("key = 7").groupBy(ordered.SLICE).count().collect()
     assert len(slices) >= 4
     assert max(r["count"] for r in slices) < 0.6 * sum(r["count"] for r in slices)
