@@ -117,7 +117,7 @@ class IdIndex(ChangeFolders):
     #: Up to so many ids of a batch are pushed into the scan.
     PUSHED_IDS = 1000
 
-    def __init__(self, path: str, id_type: str, buckets: int = 256):
+    def __init__(self, path: str, id_type: str, buckets: int = 64):
         super().__init__(path, ("id",))
         self.schema, self.buckets = f"id {id_type}, bucket int", buckets
 

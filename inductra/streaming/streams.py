@@ -74,7 +74,7 @@ def current_progress(spark: SparkSession, path: str, stored: DataFrame | None =
 
 
 def audit_stream(
-    entries: DataFrame, path: str, checkpoint: str, buckets: int = 256, compact_every: int = 20, **trigger
+    entries: DataFrame, path: str, checkpoint: str, buckets: int = 64, compact_every: int = 20, **trigger
 ) -> StreamingQuery:
     """Append audit entries to a log, each entry id once, whatever day a repeat carries.
 
