@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -42,7 +43,23 @@ def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     folder = run_folder(spark, label)
     df.write.parquet(folder, compression=compression)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.stored_in = folder
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``store`` wrote and no later step reads, and shuffle files of finished jobs.
+
+    Whatever was made from them must be stored by now. The driver's collector tells executors which
+    shuffles nobody refers to any more; a large step would else keep its files until the next one.
+    """
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_in)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()
 
 
 #: Up to so many groups are broadcast, at about 100 bytes each.

@@ -1,11 +1,16 @@
 """Exact Jaccard join of word shingles, by vertical partitioning.
 
 The global order of shingles puts those that few classes hold first, by hash, then the
-frequent ones by how frequent they are. It is cut into fragments, ``FRAGMENTS`` ranges of hashes
-and the frequent ones; for each candidate pair the overlap is counted in every fragment by
-itself and summed per pair. Equal sets are one class. Only documents most of whose shingles occur elsewhere can
-have a link; they are found first, by bits that shards of the hash space send back to chunks
-of documents. Candidates share one of the first shingles that a link cannot do without.
+frequent ones by how frequent they are. It is cut into fragments: ``FRAGMENTS`` ranges of hashes
+and the frequent ones. A set lies in as many rows as it has fragments, each row with the part of
+the set in one; fragments are partitioned apart from each other, the overlap of a candidate pair
+is counted in every fragment where both have a part, and the partial counts are summed per pair.
+No row and no task sees a whole set.
+
+Equal sets are one class. Only documents most of whose shingles occur elsewhere can have a link;
+they are found first, by bits that shards of the hash space send back to chunks of documents.
+Candidates share one of the first shingles that a link cannot do without; how many of these they
+share is counted the same way, and bounds the rest.
 
 Components are wanted, not all pairs. So candidates go from few to all: in quick rounds each
 class is compared with the neighbour, in the order by size, that it shares most first shingles
@@ -19,7 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inductra.llm.chunks import (
@@ -32,7 +37,7 @@ from inductra.llm.chunks import (
     shared_flags,
     shared_hashes,
 )
-from inductra.llm.common import GOLDEN, list_array, lower_ascii, mix, store, word_hashes, words
+from inductra.llm.common import GOLDEN, forget, list_array, lower_ascii, mix, store, word_hashes, words
 from inductra.llm.components import components, joined_roots
 from inductra.operators.ordered import previous_value
 
@@ -135,17 +140,21 @@ def sets_of(df: DataFrame, text: str, row_id: str) -> DataFrame:
             ["row_id", "chunk", "n_shingles", "class", "shared"],
         )
 
-    return store(each_answered(chunks, flags, keep, ROWS), "shingle-sets")
+    rows = store(each_answered(chunks, flags, keep, ROWS), "shingle-sets")
+    forget(chunks)
+    return rows
+
 
+def links_among(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar enough, by overlaps counted per fragment and summed.
 
-def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar enough, by overlaps summed over fragments."""
-    of_a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
-    of_b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
-    joined = pairs.select("a", "b").join(of_a, "a").join(of_b, "b")
-    partial = F.zip_with("shared_a", "shared_b", lambda x, y: F.size(F.array_intersect(x, y)))
-    both = F.aggregate(partial, F.lit(0), lambda total, x: total + x)
-    counted = joined.select("a", "b", "n_a", "n_b", both.alias("both"))
+    ``parts`` has a row (node, n, fragment, tokens) per fragment of a node.
+    """
+    of_a = parts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("tokens").alias("tokens_a"))
+    of_b = parts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("tokens").alias("tokens_b"))
+    met = pairs.select("a", "b").join(of_a, "a").join(of_b, ["b", "fragment"])
+    partial = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"))
+    counted = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
     return counted.where(100 * F.col("both") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
@@ -168,24 +177,23 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], levels[order]
 
 
-ORDERED = "node bigint, n bigint, shared array<array<bigint>>, first array<bigint>, last struct<level: bigint, token: bigint>, rest bigint"
+PARTS = "node bigint, n bigint, m bigint, fragment int, tokens array<bigint>, first int, last struct<level: bigint, token: bigint>"
 
 
-def in_global_order(sets: DataFrame) -> DataFrame:
-    """Stored rows (node, n, shared, first, last, rest): shingles by fragment, and the first ones.
+def in_fragments(sets: DataFrame) -> DataFrame:
+    """Stored rows (node, n, m, fragment, tokens, first, last): each set cut by the global order.
 
     A link of a node with n shingles shares at least THRESHOLD % of n; so it shares one of the
-    ``first`` m - that + 1 of its m shared ones. ``last`` is the place of the last of these in
-    the order, ``rest`` counts the shingles behind it.
+    first m - that + 1 of its m shared ones. ``first`` of the part's tokens are among these;
+    ``last`` is the place of the last of them in the order.
     """
     frequent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
 
-    def order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, levels = frequent.value
         for batch in batches:
-            nodes, sizes, lists = (batch.column(c) for c in ("node", "n", "shared"))
-            values, lengths, firsts, lasts, rests = [], [], [], [], []
-            for n, found in zip(sizes.to_pylist(), lists):
+            rows = []
+            for node, n, found in zip(*(batch.column(c) for c in ("node", "n", "shared"))):
                 run = found.values.to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(tokens, run), max(len(tokens) - 1, 0))
                 often = tokens[at] == run if len(tokens) else np.zeros(len(run), bool)
@@ -193,31 +201,30 @@ def in_global_order(sets: DataFrame) -> DataFrame:
                 ranked = np.lexsort((run, level))
                 run, level = run[ranked], level[ranked]
                 rare = int((~often).sum())
-                cuts = np.concatenate([[0], np.searchsorted(run[:rare], CUTS), [rare, len(run)]])
-                needed = -(-THRESHOLD * n // 100)
-                upto = len(run) - needed + 1
-                values.append(run)
-                lengths.extend(np.diff(cuts).tolist())
-                firsts.append(run[:upto])
-                lasts.append({"level": int(level[upto - 1]), "token": int(run[upto - 1])})
-                rests.append(needed - 1)
-            flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64())
-            parts = list_array(flat, np.array(lengths, np.int64))
-            prefix = pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64), pa.int64())
+                edges = np.concatenate([[0], np.searchsorted(run[:rare], CUTS), [rare, len(run)]]).tolist()
+                upto = len(run) + 1 - -(-THRESHOLD * n.as_py() // 100)
+                last = {"level": int(level[upto - 1]), "token": int(run[upto - 1])}
+                for fragment, (a, b) in enumerate(zip(edges, edges[1:])):
+                    if a < b:
+                        first = min(max(upto - a, 0), b - a)
+                        rows.append((node.as_py(), n.as_py(), len(run), fragment, run[a:b], first, last))
+            columns = list(zip(*rows)) or [()] * 7
             place = pa.struct([("level", pa.int64()), ("token", pa.int64())])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    nodes,
-                    sizes,
-                    list_array(parts, np.full(len(batch), FRAGMENTS + 1)),
-                    list_array(prefix, np.array(list(map(len, firsts)), np.int64)),
-                    pa.array(lasts, place),
-                    pa.array(rests, pa.int64()),
-                ],
-                ["node", "n", "shared", "first", "last", "rest"],
-            )
+            flat = pa.array(np.concatenate(columns[4]) if rows else np.zeros(0, np.int64), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), None, pa.int32(), place)
+            arrays = [pa.array(c, k) if k else None for c, k in zip(columns, kinds)]
+            arrays[4] = list_array(flat, np.array(list(map(len, columns[4])), np.int64))
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "m", "fragment", "tokens", "first", "last"])
+
+    return store(sets.select("node", "n", "shared").mapInArrow(cut, PARTS), "shingle-fragments")
+
 
-    return store(sets.select("node", "n", "shared").mapInArrow(order, ORDERED), "ordered-classes")
+def first_tokens(parts: DataFrame) -> DataFrame:
+    """Stored rows (token, node, n, at): each first shingle of a node, with its place in the set."""
+    earlier = F.sum(F.size("tokens")).over(Window.partitionBy("node").orderBy("fragment")) - F.size("tokens")
+    some = parts.where("first > 0").withColumn("before", earlier)
+    exploded = some.select("node", "n", "before", F.posexplode(F.slice("tokens", F.lit(1), F.col("first"))).alias("i", "token"))
+    return store(exploded.select("token", "node", "n", (F.col("before") + F.col("i")).alias("at")), "first-shingles")
 
 
 def _long_enough(smaller: str, larger: str):
@@ -230,17 +237,18 @@ def node_of(column: str = "class"):
 
 
 def node_roots(rows: DataFrame) -> DataFrame:
-    """(node, root) of the classes with a link to another class."""
+    """(node, root) of the classes with a link to another class; removes ``rows``, which are stored."""
     some = rows.where("shared IS NOT NULL").select(
         node_of().alias("node"), "chunk", F.col("n_shingles").alias("n"), "shared"
     )
     # A class has its shingles once per chunk at most.
     least = some.groupBy("node").agg(F.min("chunk").alias("chunk"))
-    sets = in_global_order(store(some.join(least, ["node", "chunk"]).drop("chunk"), "shingle-classes"))
-    size = (F.col("rest") + F.size("first")).alias("m")
-    tokens = sets.select("node", "n", "last", "rest", size, F.posexplode("first").alias("at", "token"))
-    tokens = store(tokens, "first-shingles")
-    neighbours = previous_value(tokens.select("token", "node", "n"), ["token"], ["n", "node"], ["node", "n"], "before")
+    sets = store(some.join(least, ["node", "chunk"]).drop("chunk"), "shingle-classes")
+    forget(rows)
+    parts = in_fragments(sets)
+    forget(sets)
+    tokens = first_tokens(parts)
+    neighbours = previous_value(tokens.drop("at"), ["token"], ["n", "node"], ["node", "n"], "before")
     chain = neighbours.where("before IS NOT NULL").select(
         F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("before.node").alias("a"), F.col("before.n").alias("n_a")
     )
@@ -252,41 +260,48 @@ def node_roots(rows: DataFrame) -> DataFrame:
         some = chain if roots is None else _apart(chain, roots).join(tried, ["a", "b"], "left_anti")
         best = some.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select("best.a", "b")
         best = store(best, "candidates")
-        found = store(links_among(best, sets), "links")
+        found = store(links_among(best, parts), "links")
         tried = best if tried is None else tried.union(best)
         roots = store(components(found) if roots is None else joined_roots(roots, found), "roots")
 
-    rest = _open_pairs(tokens, sets, roots).join(tried, ["a", "b"], "left_anti")
-    found = store(links_among(store(rest, "candidates"), sets), "links")
+    rest = _open_pairs(tokens, parts, roots).join(tried, ["a", "b"], "left_anti")
+    found = store(links_among(store(rest, "candidates"), parts), "links")
     return store(joined_roots(roots, found), "roots")
 
 
-def _open_pairs(tokens: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def _open_pairs(tokens: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFrame:
     """All pairs (a, b) of nodes not connected yet that share enough first shingles, each once.
 
-    A shingle they share bounds the overlap: what both have before it, and from it on. Of two
-    nodes take the one whose first shingles end first: all it shares up to there is counted
-    here, and it cannot share more than its rest behind that.
+    A shingle they share bounds the overlap: what both have before it, and from it on. How many
+    they share is counted and bounds it again: of two nodes take the one whose first shingles end
+    first; all it shares up to there is counted, and it cannot share more than its rest behind.
     """
-    placed = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = parts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "m", "last")])
+    nodes = store(nodes, "fragment-nodes")
+    placed = tokens.join(nodes.select("node", "m"), "node").join(roots, "node", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     placed = placed.join(mixed.where("low <> high").select("token"), "token", "left_semi")
-    placed = store(placed.join(sets.select("node", "first"), "node"), "open-shingles")
-    columns = ("node", "n", "last", "rest", "m", "at", "root", "first")
+    placed = store(placed, "open-shingles")
+    columns = ("node", "n", "m", "at", "root")
     one = placed.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
     two = placed.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
     order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     apart = F.col("root_a") != F.col("root_b")
-    most = F.least("at_a", "at_b") + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
-    possible = (100 + THRESHOLD) * most >= THRESHOLD * (F.col("n_a") + F.col("n_b"))
-    rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
-    shared = F.array_intersect("first_a", "first_b")
-    enough = (100 + THRESHOLD) * (F.size(shared) + rest) >= THRESHOLD * (F.col("n_a") + F.col("n_b"))
-    # A pair meets at every first shingle it shares; it is taken at the smallest only.
-    once = F.array_min(shared) == F.col("token")
     same = F.col("token") == F.col("token_b")
-    met = one.join(two, same & order & apart & possible & _long_enough("n_a", "n_b") & enough & once)
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    most = F.least("at_a", "at_b") + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
+    # Every shared first shingle of a pair counts, so what bounds the pair is tested on the sums.
+    met = one.join(two, same & order & apart & _long_enough("n_a", "n_b"))
+    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("votes"), F.min(most).alias("most")
+    )
+    of_a = nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "last")])
+    of_b = nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "last")])
+    counted = met.join(of_a, "a").join(of_b, "b")
+    behind = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
+    rest = F.ceil(THRESHOLD * behind / 100) - 1
+    bound = F.least(F.col("votes") + rest, "most")
+    return counted.where((100 + THRESHOLD) * bound >= THRESHOLD * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -308,8 +323,8 @@ def near_duplicates(df: DataFrame, text: str = "text", row_id: str = "doc_id") -
     are told by 128-bit digests, and in links by 64 bits of these. An empty table gives no rows.
     """
     rows = sets_of(df, text, row_id)
+    known = store(rows.select("row_id", "n_shingles", "class"), "row-classes")
     roots = node_roots(rows)
-    known = rows.select("row_id", "n_shingles", "class")
     least = known.where("class IS NOT NULL").groupBy("class").agg(F.min("row_id").alias("least"))
     placed = least.withColumn("node", node_of()).join(roots, "node", "left")
     placed = placed.withColumn("root", F.coalesce("root", "node"))
