@@ -14,7 +14,7 @@ share is counted the same way, and bounds the rest.
 
 Components are wanted, not all pairs. So candidates go from few to all: in quick rounds each
 class is compared with the neighbour, in the order by size, that it shares most first shingles
-with; then every remaining pair is. Each round leaves out pairs that are already connected.
+with, then with neighbours in shuffled orders; then every remaining pair is. Each round leaves out pairs that are already connected.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inductra.llm.chunks import (
@@ -55,8 +55,12 @@ CUTS = np.arange(1 - FRAGMENTS // 2, FRAGMENTS // 2, dtype=np.int64) << np.int64
 FREQUENT = 32
 MOST_FREQUENT = 1 << 18
 
-#: Rounds in which each class is compared with its best neighbour only.
-QUICK_ROUNDS = 2
+#: Rounds in which each class is compared with its best neighbour in the order by size only.
+#: After them come rounds of neighbours in shuffled orders, as long as one class in
+#: ``WORTHWHILE`` of those that still share a first shingle with another component gets a link.
+#: Rounds only save work: what they leave is compared in full.
+ORDERED_ROUNDS = 2
+WORTHWHILE = 50
 
 
 def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,27 +252,53 @@ def node_roots(rows: DataFrame) -> DataFrame:
     parts = in_fragments(sets)
     forget(sets)
     tokens = first_tokens(parts)
-    neighbours = previous_value(tokens.drop("at"), ["token"], ["n", "node"], ["node", "n"], "before")
-    chain = neighbours.where("before IS NOT NULL").select(
-        F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("before.node").alias("a"), F.col("before.n").alias("n_a")
-    )
-    chain = chain.where(_long_enough("n_a", "n_b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
-    chain = store(chain, "neighbours")
-
-    tried, roots = None, None
-    for _ in range(QUICK_ROUNDS):
-        some = chain if roots is None else _apart(chain, roots).join(tried, ["a", "b"], "left_anti")
+    chain = store(_neighbours(tokens, [F.col("n"), F.col("node")]), "neighbours")
+    tried, roots, number = None, None, 0
+    while True:
+        if number < ORDERED_ROUNDS:
+            some = chain if roots is None else _apart(chain, roots)
+        else:
+            mixed, n_open = _mixed(tokens, roots)
+            some = _neighbours(mixed, [F.xxhash64("node", F.lit(number)), F.col("node")])
+        some = some if tried is None else some.join(tried, ["a", "b"], "left_anti")
         best = some.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select("best.a", "b")
         best = store(best, "candidates")
         found = store(links_among(best, parts), "links")
         tried = best if tried is None else tried.union(best)
         roots = store(components(found) if roots is None else joined_roots(roots, found), "roots")
+        number += 1
+        if number > ORDERED_ROUNDS and found.count() * WORTHWHILE < n_open:
+            break
 
     rest = _open_pairs(tokens, parts, roots).join(tried, ["a", "b"], "left_anti")
     found = store(links_among(store(rest, "candidates"), parts), "links")
     return store(joined_roots(roots, found), "roots")
 
 
+def _neighbours(tokens: DataFrame, order: list[Column]) -> DataFrame:
+    """(a, b, votes): nodes that follow each other in the lists of ``votes`` shingles; a is not larger."""
+    ranked = tokens.select("token", "node", "n", *([] if "root" not in tokens.columns else ["root"]))
+    ranked = ranked.withColumns({f"rank_{i}": c for i, c in enumerate(order)})
+    names = [c for c in ranked.columns if c in ("node", "n", "root")]
+    met = previous_value(ranked, ["token"], [f"rank_{i}" for i in range(len(order))], names, "before")
+    met = met.where("before IS NOT NULL")
+    if "root" in names:
+        met = met.where("before.root <> root")
+    one, two = F.struct("n", "node"), F.struct("before.n", "before.node")
+    small, large = F.least(one, two), F.greatest(one, two)
+    pairs = met.select(small.alias("s"), large.alias("l")).where(100 * F.col("s.n") >= THRESHOLD * F.col("l.n"))
+    return pairs.groupBy(F.col("s.node").alias("a"), F.col("l.node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+
+
+def _mixed(tokens: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """``tokens`` with their node's root, of shingles that several components have; and how many nodes."""
+    placed = tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = placed.join(several.where("low <> high").select("token"), "token", "left_semi")
+    mixed = store(mixed, "open-shingles")
+    return mixed, mixed.agg(F.countDistinct("node")).first()[0]
+
+
 def _open_pairs(tokens: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFrame:
     """All pairs (a, b) of nodes not connected yet that share enough first shingles, each once.
 
@@ -278,11 +308,8 @@ def _open_pairs(tokens: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFr
     """
     nodes = parts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "m", "last")])
     nodes = store(nodes, "fragment-nodes")
-    placed = tokens.join(nodes.select("node", "m"), "node").join(roots, "node", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    placed = placed.join(mixed.where("low <> high").select("token"), "token", "left_semi")
-    placed = store(placed, "open-shingles")
+    mixed, _ = _mixed(tokens, roots)
+    placed = mixed.join(nodes.select("node", "m"), "node")
     columns = ("node", "n", "m", "at", "root")
     one = placed.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
     two = placed.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
