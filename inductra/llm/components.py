@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inductra.llm.common import store
+from inductra.llm.common import forget, store
 
 
 def _hang(pairs: DataFrame, larger_only: bool) -> DataFrame:
@@ -31,7 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _hang(both, True).distinct()
         # Every pair now points from the larger to the smaller end.
-        pairs = store(_hang(large, False).distinct(), "component-links")
+        before, pairs = pairs, store(_hang(large, False).distinct(), "component-links")
+        if seen is not None:
+            forget(before)
         sums = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

@@ -13,6 +13,7 @@ so that arrays of s-mer hashes stay short.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,9 +150,11 @@ def _slice_of(bounds: list[int]) -> Column:
     )
 
 
-def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(df: DataFrame, columns: list[str], made: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Rows by falling ``id`` with ``columns`` of the next row, the first row following the last.
 
+    ``made`` adds columns once the rows are in their slices, so that these are not shuffled.
+
     Needs columns id, tie and n_bytes. Ids are cut into slices at ids that start one; such a row
     is also sent to the slice before as a guest, so that no slice has to look into another.
     """
@@ -166,6 +169,7 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     stops = F.when(guest_of.isNull(), F.array(here)).otherwise(F.array(here, there))
     sent = home.withColumn("stop", F.explode(stops)).select("*", "stop.guest", "stop.at").drop("stop", "slice")
     order = Window.partitionBy("at").orderBy("guest", F.desc("id"), "tie")
+    sent = made(sent.repartition("at"))
     following = sent.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
     return following.where("guest = 0").drop("guest", "at")
 
@@ -192,11 +196,14 @@ def compare_with_edits(df: DataFrame, text: str = "text", row_id: str = "doc_id"
         }
     )
     rows = rows.withColumn("moved", F.floor(F.col("n_chars") / 3).cast("int"))
-    rows = rows.withColumn("kept", F.octet_length(F.expr("left(text, CAST(n_chars AS INT) - moved)")))
-    rows = rows.withColumn("raw", F.col("text").cast("binary"))
-    rows = rows.withColumn("own", ordered(anchors("raw")))
-    rows = rows.withColumns({"whole": F.size("own") == 0, "own": or_whole(F.col("own"), F.col("raw"))}).drop("raw")
-    linked = with_next(rows, ["text", "own"])
+
+    def with_anchors(sent: DataFrame) -> DataFrame:
+        sent = sent.withColumn("kept", F.octet_length(F.expr("left(text, CAST(n_chars AS INT) - moved)")))
+        sent = sent.withColumn("raw", F.col("text").cast("binary"))
+        sent = sent.withColumn("own", ordered(anchors("raw")))
+        return sent.withColumns({"whole": F.size("own") == 0, "own": or_whole(F.col("own"), F.col("raw"))}).drop("raw")
+
+    linked = with_next(rows, ["text", "own"], with_anchors)
     edited = linked.withColumn(
         "edited", F.expr("concat(left(text, CAST(n_chars AS INT) - moved), left(next_text, moved))").cast("binary")
     )

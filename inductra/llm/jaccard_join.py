@@ -265,9 +265,11 @@ def node_roots(rows: DataFrame) -> DataFrame:
         best = store(best, "candidates")
         found = store(links_among(best, parts), "links")
         tried = best if tried is None else tried.union(best)
-        roots = store(components(found) if roots is None else joined_roots(roots, found), "roots")
+        last, roots = roots, store(components(found) if roots is None else joined_roots(roots, found), "roots")
         number += 1
-        if number > ORDERED_ROUNDS and found.count() * WORTHWHILE < n_open:
+        done = number > ORDERED_ROUNDS and found.count() * WORTHWHILE <= n_open
+        forget(found, *([] if last is None else [last]), *([mixed] if number > ORDERED_ROUNDS else []))
+        if done:
             break
 
     rest = _open_pairs(tokens, parts, roots).join(tried, ["a", "b"], "left_anti")

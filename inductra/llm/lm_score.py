@@ -40,12 +40,13 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # hashes of the marks
 #: Leading bits of an n-gram's hash that are its context's, so that both are in one shard.
 SHARED = np.uint64(MAX_SHARD_BITS)
 
-BLOB = "shard int, level int, size int, words array<binary>, seen binary, raw binary, sums array<double>"
+BLOB = "shard int, level int, size int, distinct int, words array<binary>, seen binary, raw binary, sums array<double>"
 BLOB_TYPE = pa.schema(
     [
         ("shard", pa.int32()),
         ("level", pa.int32()),
         ("size", pa.int32()),
+        ("distinct", pa.int32()),
         ("words", pa.list_(pa.binary())),
         ("seen", pa.binary()),
         ("raw", pa.binary()),
@@ -71,6 +72,7 @@ class Model:
     order: int
     bits: int
     levels: dict[int, Level]
+    files: frozenset[tuple[int, int]] = frozenset()  # (level, shard) that were written
 
     @property
     def train_tokens(self) -> int:
@@ -147,6 +149,22 @@ def merged(ws: list[np.ndarray], *counts: np.ndarray) -> tuple[list[np.ndarray],
     return [w[head] for w in ws], [np.add.reduceat(c[order], head) for c in counts]
 
 
+def place_type(distinct: int):
+    return np.uint16 if distinct <= 1 << 16 else np.uint32
+
+
+def word_columns(ws: list[np.ndarray]) -> dict:
+    """The words of n-grams as a list of the distinct ones and places in it, each column compressed."""
+    known, places = np.unique(np.concatenate(ws), return_inverse=True)
+    places = places.astype(place_type(len(known))).reshape(len(ws), -1)
+    return {"distinct": len(known), "words": [packed(known), *map(packed, places)]}
+
+
+def words_of(columns: list[bytes], distinct: int, size: int) -> list[np.ndarray]:
+    known = unpacked(columns[0], distinct, np.uint64)
+    return [known[unpacked(c, size, place_type(distinct))] for c in columns[1:]]
+
+
 def blobs(level: int, bits: int, ws: list[np.ndarray], seen: np.ndarray, raw: np.ndarray | None = None) -> list[dict]:
     """Rows for the shards of n-grams; without ``raw``, raw counts are those seen."""
     context = context_hash(ws)
@@ -157,7 +175,7 @@ def blobs(level: int, bits: int, ws: list[np.ndarray], seen: np.ndarray, raw: np
             "shard": shard,
             "level": level,
             "size": at.stop - at.start,
-            "words": [packed(w[at]) for w in ws],
+            **word_columns([w[at] for w in ws]),
             "seen": packed(seen[at].astype(np.int64)),
             "raw": None if raw is None else packed(raw[at].astype(np.int64)),
             "sums": None,
@@ -234,8 +252,9 @@ def build_shard(level: int, shard: int, folder: str, bits: int, order: int, rows
     def column(values: list[bytes], kind) -> np.ndarray:
         return np.concatenate([unpacked(v, n, kind) for v, n in zip(values, sizes)])
 
-    listed = rows.column("words").to_pylist()
-    ws = [column([row[i] for row in listed], np.uint64) for i in range(level)]
+    listed = zip(rows.column("words").to_pylist(), rows.column("distinct").to_pylist(), sizes)
+    parts = [words_of(*row) for row in listed]
+    ws = [np.concatenate([part[i] for part in parts]) for i in range(level)]
     seen = column(rows.column("seen").to_pylist(), np.int64)
     listed = rows.column("raw").to_pylist()
     raw = seen if listed[0] is None else column(listed, np.int64)
@@ -255,7 +274,8 @@ def build_shard(level: int, shard: int, folder: str, bits: int, order: int, rows
         counts.extend(np.add.reduceat(k.astype(np.int64), head) for k in (c, c == 1, c == 2, c > 2))
     write_file(file_of(folder, level, shard), hashes[order_], contexts, counts)
     sums = [float((seen == i).sum()) for i in range(1, 5)] + [float(seen.sum()), float(len(seen)), float(raw.sum())]
-    out = [{"shard": -1, "level": level, "size": 0, "words": None, "seen": None, "raw": None, "sums": sums}]
+    sums.append(float(shard))
+    out = [{"shard": -1, "level": level, "size": 0, "distinct": 0, "words": None, "seen": None, "raw": None, "sums": sums}]
     if level > 1:
         lower, (ones, raw) = merged(ws[1:], np.ones(len(seen), np.int64), raw)
         out.extend(blobs(level - 1, bits, lower, ones, raw))
@@ -296,11 +316,14 @@ def fit(df: DataFrame, text: str = "text", order: int = ORDER) -> Model:
 
         rows = by_shard(rows, build, BLOB)
     parts = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(7)]
-    levels = {}
+    # One entry per file, a few bytes each: (level, shard).
+    parts.append(F.collect_list(F.col("sums")[7].cast("int")).alias("shards"))
+    levels, files = {}, set()
     for r in rows.where("shard < 0").groupBy("level").agg(*parts).collect():
+        files.update((r["level"], shard) for shard in r["shards"])
         n1, n2, n3, n4, total, distinct, raw = (r[f"s{i}"] for i in range(7))
         levels[r["level"]] = Level(total, distinct, raw, discounts(n1, n2, n3, n4), (n1, n2, distinct - n1 - n2))
-    return Model(folder, order, bits, levels)
+    return Model(folder, order, bits, levels, frozenset(files))
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -327,10 +350,10 @@ def find(model: Model, level: int, hashes: np.ndarray, kind: str) -> list[np.nda
     """Values of sorted distinct hashes of n-grams (seen, raw) or contexts (total, kinds); 0 if unknown."""
     out = [np.zeros(len(hashes), np.int64) for _ in range(2 if kind == "gram" else 4)]
     for shard, at in split_by_shard(hashes, model.bits):
-        path = file_of(model.folder, level, shard)
-        if not os.path.exists(path):
+        if (level, shard) not in model.files:
             continue
-        part = Part(path, level)
+        # A file that was written and cannot be seen here is an error, not an unknown n-gram.
+        part = Part(file_of(model.folder, level, shard), level)
         known = part.hashes if kind == "gram" else part.contexts
         if len(known) == 0:
             continue
