@@ -14,7 +14,7 @@ from check_oracle import canonical, duckdb_rows, open_duckdb, spark_rows  # noqa
 SF = "/root/testdata/sf0.001"
 
 # These write to disk while they are built and return a plain read of it.
-WRITERS = {"progress_stream", "audit_stream", "audit_append", "snapshot_swap"}
+WRITERS = {"progress_stream", "save_stream_employees", "save_stream_rows", "audit_stream", "audit_append", "snapshot_swap"}
 
 
 @pytest.fixture(scope="module")
