@@ -51,15 +51,23 @@ def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Remove tables that ``store`` wrote and no later step reads, and shuffle files of finished jobs.
 
-    Whatever was made from them must be stored by now. The driver's collector tells executors which
-    shuffles nobody refers to any more; a large step would else keep its files until the next one.
+    Whatever was made from them must be stored by now.
     """
     for table in tables:
         context = table.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(table.stored_in)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    settle(tables[0].sparkSession)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let executors remove the shuffle files of finished jobs.
+
+    The driver's collector finds which shuffles nobody refers to any more; a large step would
+    else keep its files until the collector runs by itself.
+    """
     gc.collect()
-    context._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 #: Up to so many groups are broadcast, at about 100 bytes each.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inductra.llm.chunks import MAX_SHARD_BITS, by_shard, packed, split_by_shard, unpacked
-from inductra.llm.common import GOLDEN, lower_ascii, mix, utf8, word_hashes, words
+from inductra.llm.common import GOLDEN, forget, lower_ascii, mix, settle, store, utf8, word_hashes, words
 from inductra.session import run_folder
 
 #: Words of the longest n-gram.
@@ -314,7 +314,12 @@ def fit(df: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             else:
                 yield batch_of(build_shard(level, shard, folder, bits, order, rows))
 
-        rows = by_shard(rows, build, BLOB)
+        # Stored per level, so that a level's shuffle can go once its files are written.
+        above, rows = rows, store(by_shard(rows, build, BLOB), f"lm-level-{level}", "zstd")
+        if level < order:
+            forget(above)
+        else:
+            settle(spark)
     parts = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(7)]
     # One entry per file, a few bytes each: (level, shard).
     parts.append(F.collect_list(F.col("sums")[7].cast("int")).alias("shards"))
