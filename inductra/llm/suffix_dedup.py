@@ -11,7 +11,7 @@ removed where its document is not the first.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,9 @@ PLACES = np.uint64((1 << 18) - 1)
 
 MIXER = np.uint64(0xD6E8FEB86659FD93)
 
+#: The bits beside a window's hash that hold the number of its string.
+NUMBERS = 24
+
 
 def words_at(raw: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
     """The 8 bytes from each place on, as numbers; ``raw`` has 8 spare bytes at its end."""
@@ -166,15 +169,61 @@ def first_owners(raw: np.ndarray, lengths: np.ndarray, anchors: np.ndarray, owne
 
 
 def _owners_of_runs(raw, first, count, anchors, owners, seed) -> np.ndarray:
-    """Smallest owners by window for runs that may repeat: equal strings are put together first."""
+    """Smallest owners by window for runs that may repeat: equal strings are put together first.
+
+    Strings that share no window with another owner's keep their own and are not ordered.
+    """
     lengths = count + WINDOW - 1
     number, distinct, smallest = distinct_strings(raw, first, lengths, owners)
     flat = raw[ragged(first[distinct], lengths[distinct])]
-    found = first_owners(flat, lengths[distinct], anchors[distinct], smallest, seed)
+    found = np.repeat(smallest, count[distinct])
+    mixed = meets_others(flat, lengths[distinct], smallest)
+    part = flat[np.repeat(mixed, lengths[distinct])]
+    left = distinct[mixed]
+    found[np.repeat(mixed, count[distinct])] = first_owners(part, lengths[left], anchors[left], smallest[mixed], seed)
     begins = np.cumsum(count[distinct]) - count[distinct]
     return found[ragged(begins[number], count)]
 
 
+def meets_others(raw: np.ndarray, lengths: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Which strings have a window that a string of another owner has too, by hashes of windows.
+
+    Equal windows have equal hashes, so none is missed; a few may be named without need.
+    """
+    if len(lengths) < 2 or len(lengths) >> NUMBERS:
+        return np.ones(len(lengths), bool)
+    windows = lengths - WINDOW + 1
+    string = np.repeat(np.arange(len(lengths), dtype=np.uint64), windows)
+    low = np.uint64((1 << NUMBERS) - 1)
+    keys = window_hashes(raw)[ragged(np.cumsum(lengths) - lengths, windows)]
+    keys &= ~low
+    keys |= string
+    keys.sort()
+    hashes = keys >> np.uint64(NUMBERS)
+    head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    string = (keys & low).astype(np.int64)
+    owner = owners[string]
+    several = np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head)
+    out = np.zeros(len(lengths), bool)
+    out[string[np.repeat(several, np.diff(np.append(head, len(keys))))]] = True
+    return out
+
+
+def window_hashes(raw: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``WINDOW`` bytes from each place on."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    out = np.empty(len(raw) - WINDOW + 1, np.uint64)
+    for start in range(0, len(out), PIECE):
+        end = min(len(out), start + PIECE)
+        h = np.zeros(end - start, np.uint64)
+        for step in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
+            h ^= words_at(padded, slice(start + step, end + step))
+            h *= GOLDEN
+            h ^= h >> np.uint64(29)
+        out[start:end] = h * MIXER
+    return out
+
+
 def distinct_strings(raw: np.ndarray, first: np.ndarray, lengths: np.ndarray, owners: np.ndarray):
     """(number of each string, one place of each distinct string, its smallest owner)."""
     data = raw.tobytes()
@@ -319,15 +368,16 @@ def unpack_runs(data: bytes) -> np.ndarray:
     return np.repeat(pairs[1], pairs[0])
 
 
-REMOVED = "row_id bigint, text_crc32 bigint, kept binary, n_bytes bigint, n_spans bigint"
+REMOVED = "row_id bigint, text_sha256 binary, kept binary, n_bytes bigint, n_spans bigint"
 
 
 def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """(row id, text_crc32, kept, n_bytes, n_spans): the bytes of every text that stay.
+    """(row id, text_sha256, kept, n_bytes, n_spans): the bytes of every text that stay.
 
     Goes byte by byte: removed is each byte covered by ``WINDOW`` bytes that also start in a
     document with a smaller id, as the input stands. ``kept`` are the other bytes, which may
-    break a character; ``n_spans`` counts the removed stretches. Missing texts are empty. Rows
+    break a character; ``n_spans`` counts the removed stretches, ``text_sha256`` is the digest
+    of the text as it was, which tells rows of one id apart. Missing texts are empty. Rows
     of one id never remove each other's passages; a missing id is larger than all. An empty
     table gives no rows.
     """
@@ -363,12 +413,12 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id") ->
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64(), mask=ids == NO_ID),
-                pa.array([crc32(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.int64()),
+                pa.array([sha256(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary()),
                 pa.array([kept[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary()),
                 pa.array(np.diff(offsets), pa.int64()),
                 pa.array(np.diff(spans[offsets]), pa.int64()),
             ],
-            ["row_id", "text_crc32", "kept", "n_bytes", "n_spans"],
+            ["row_id", "text_sha256", "kept", "n_bytes", "n_spans"],
         )
 
     out = each_answered(chunks, answers, cut, REMOVED)
