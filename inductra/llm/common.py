@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 from collections.abc import Iterator
@@ -92,10 +93,16 @@ def join_groups(df: DataFrame, groups: DataFrame, key: str, spread: Column) -> D
     return salted.join(spots, [key, "__salt"], "left").drop(key, "__salt")
 
 
+#: The C library's way to return freed memory, where it has one.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def tidy() -> None:
     """Give memory that a Python worker no longer uses back; workers live on through later stages."""
     pa.default_memory_pool().release_unused()
     pa.system_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
 
 
 def crc_of_id(id_col: Column) -> Column:

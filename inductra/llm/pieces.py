@@ -106,7 +106,7 @@ class Model:
         self.chunks = self._splitter()
         self.piece_chars = np.array([len(p) for p in self.texts], np.int64)
         self.rules = self._rules()
-        self._forget()
+        self.forget()
 
     def _splitter(self):
         """Cuts a normalised text where no piece can cross.
@@ -151,8 +151,8 @@ class Model:
                     pairs[left, right] = (rank[-self.scores[i]], i)
         return Rules(pairs)
 
-    def _forget(self) -> None:
-        """Chunk table: number of each chunk, and its pieces in flat arrays.
+    def forget(self) -> None:
+        """Start an empty chunk table: number of each chunk, and its pieces in flat arrays.
 
         ``odd`` has the decoded text of chunks that do not decode to themselves.
         """
@@ -358,7 +358,7 @@ class Model:
     def encode(self, texts: list[str]) -> pa.StructArray:
         """Ids, original byte spans and decoded text of each text."""
         if len(self.number) > REMEMBERED:
-            self._forget()
+            self.forget()
         coded, decoded, counts, froms, tos = [], [], [], [], []
         normal = [self.normalise(text) for text in texts]
         cut = [self.chunks(out) for out, _, _ in normal]
@@ -434,6 +434,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "encoded", k
                 found = model(path).encode([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], found], [*kept, out])
             tidy()
+        model(path).forget()
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
