@@ -2,13 +2,13 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written and read again as the next one's ``docs``. All but the last
-return the columns of ``docs``. Rows are told apart by ``doc_id``; rows without one are kept
-where a stage cannot compare them. Empty tables pass through all stages.
+return the columns of ``docs``. Rows without ``doc_id`` are compared like all others and come
+last among them. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inductra.llm import decontaminate, jaccard_join, language, pieces, suffix_dedup
@@ -31,31 +31,34 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of near-duplicates, once.
+    """Keep one document of each component of near-duplicates: the one with the smallest id.
 
-    Documents without an id stay.
+    Documents without an id come after all others. Rows are compared by their number in the
+    stored table, so neither a missing id nor one that is there twice matters; of equal ids in
+    a component the first row stays.
     """
-    found = jaccard_join.near_duplicates(docs)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
-    copies = Window.partitionBy("doc_id", "__text").orderBy(F.lit(0))
-    once = kept.withColumn("__text", F.xxhash64("text")).withColumn("__copy", F.row_number().over(copies))
-    return once.where("__copy = 1").drop("__text", "__copy").unionByName(docs.where("doc_id IS NULL"))
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = jaccard_join.near_duplicates(rows.select("__row", "text"), row_id="__row")
+    ids = rows.select("__row", F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"))
+    placed = found.select("__row", "component_id").join(ids, "__row")
+    chosen = placed.groupBy("component_id").agg(F.min(F.struct("missing", "id", "__row")).alias("least"))
+    return rows.join(chosen.select("least.__row"), "__row", "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier document holds; documents with nothing else go.
 
-    A character of which only a part was cut is cut whole. ``n_chars`` follows the text.
+    A character of which only a part was cut is cut whole. ``n_chars`` follows the text. Rows of
+    one id, or of none, are told apart by their text's digest.
     """
     found = suffix_dedup.remove_repeats(docs)
     cut = found.select(
         F.col("doc_id").alias("__id"),
-        F.col("text_crc32").alias("__crc"),
+        F.col("text_sha256").alias("__digest"),
         suffix_dedup.whole_characters(F.col("kept")).alias("__kept"),
-    ).dropDuplicates(["__id", "__crc"])
-    marked = docs.withColumn("__of", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).drop("text")
-    joined = marked.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__crc")))
+    ).dropDuplicates(["__id", "__digest"])
+    marked = docs.withColumn("__of", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))).drop("text")
+    joined = marked.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__digest")))
     shorter = joined.withColumns({"text": F.col("__kept"), "n_chars": F.char_length("__kept").cast("bigint")})
     return shorter.where(F.trim("text") != "").select(*docs.columns)
 
