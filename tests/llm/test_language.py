@@ -1,5 +1,9 @@
 """Predictions on held-out documents, and texts that have no language."""
 
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from inductra.llm import language
@@ -56,3 +60,39 @@ def test_many_languages_have_fewer_buckets(spark, monkeypatch):
     monkeypatch.setattr(language, "MAX_CELLS", 1 << 13)
     model = language.fit(labelled(spark, [(i, f"wort{i} " * 3, f"l{i}") for i in range(6)]))
     assert model.log_probs.size <= 1 << 13 and len(model.languages) == 6
+
+
+def plain_grams(text):
+    """Counts of the buckets of all 1- to 3-grams, one character at a time."""
+    full, found = (1 << 64) - 1, Counter()
+    points = [ord(c) + 1 for c in text.lower()]
+    for order in (1, 2, 3):
+        for i in range(len(points) - order + 1):
+            h = order
+            for p in points[i : i + order]:
+                h = (h * 0x9E3779B97F4A7C15 + p) & full
+            h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & full
+            h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & full
+            found[(h ^ (h >> 31)) % language.BUCKETS] += 1
+    return found
+
+
+def test_naive_bayes_by_plain_counts(spark):
+    rng = random.Random(12)
+    words = {"de": ["der", "größe", "nicht", "und", "die"], "en": ["the", "and", "size", "not", "die"], "zz": ["漢字", "x", "nd"]}
+    say = lambda name, n: " ".join(rng.choice(words[name]) for _ in range(n))
+    rows = [(i, say(name, rng.randint(1, 9)), name) for i, name in enumerate(["de", "en", "zz"] * 8)]
+    model = language.fit(labelled(spark, rows))
+    sums = {name: Counter() for name in words}
+    for _, text, name in rows:
+        sums[name].update(plain_grams(text))
+    asked = [(i, say(rng.choice(list(words)), 3) + " " + say("en", i % 3), None) for i in range(20)]
+    found = judged(model, labelled(spark, asked))
+    for i, text, _ in asked:
+        scores = {}
+        for name, counts in sorted(sums.items()):
+            total = sum(counts.values()) + language.SMOOTHING * language.BUCKETS
+            scores[name] = sum(n * math.log((counts[b] + language.SMOOTHING) / total) for b, n in plain_grams(text).items())
+        best = max(scores, key=scores.get)
+        share = 1 / sum(math.exp(s - scores[best]) for s in scores.values())
+        assert found[i][0] == best and abs(found[i][1] - share) < 1e-3

@@ -55,6 +55,26 @@ def test_first_owners_of_windows(monkeypatch, long):
         assert got.tolist() == [known[t[p : p + 50]] for t in texts for p in range(len(t) - 49)]
 
 
+def test_only_strings_that_meet_another_owner_are_ordered():
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(60)
+    strings = [say(80), say(30) + passage, passage + say(9), say(50), passage[5:] + say(20), "r" * 70, "r" * 90, say(55)]
+    owners = np.array([1, 2, 3, 4, 3, 5, 5, 6])
+    raw = np.frombuffer("".join(strings).encode(), np.uint8)
+    lengths = np.array([len(s) for s in strings])
+    named = suffix_dedup.meets_others(raw, lengths, owners)
+    assert named.tolist() == [False, True, True, False, True, False, False, False]
+    assert suffix_dedup.meets_others(raw[:80], lengths[:1], owners[:1]).tolist() == [True]
+
+
+def test_digests_tell_rows_of_one_id_apart(texts):
+    rows = [(None, "a" * 60), (None, "b" * 60), (1, ""), (1, None)]
+    out = suffix_dedup.remove_repeats(texts(rows)).collect()
+    want = sorted((str(i), sha256((t or "").encode()).digest()) for i, t in rows)
+    assert sorted((str(r.doc_id), bytes(r.text_sha256)) for r in out) == want
+
+
 def test_odd_tables(texts, clashing, small_chunks):
     rng = random.Random(3)
     say = lambda n: "".join(rng.choice("abcdé 漢") for _ in range(n))
