@@ -102,3 +102,13 @@ def test_extra_columns_pass(spark, corpus):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = store(stage(spark, docs, folder), "test-stage")
         assert docs.columns == [*COLUMNS, "ids", "chunk", "kept"]
+
+
+def test_rows_without_id_and_ids_that_are_there_twice(spark):
+    say = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(200)], k=30))
+    rows = [(None, say(1)), (5, say(1)), (5, say(1)), (None, say(2)), (None, say(2) + " more"), (6, say(3)), (6, say(4)), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(2)
+    docs = store(docs, "test-rows")
+    kept = sorted((str(r.doc_id), r.text[:8]) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    want = [(5, say(1)), (None, say(2)), (6, say(3)), (6, say(4)), (7, "")]
+    assert kept == sorted((str(i), t[:8]) for i, t in want)
