@@ -10,7 +10,7 @@ No row and no task sees a whole set.
 Equal sets are one class. Only documents most of whose shingles occur elsewhere can have a link;
 they are found first, by bits that shards of the hash space send back to chunks of documents.
 Candidates share one of the first shingles that a link cannot do without; how many of these they
-share is counted the same way, and bounds the rest.
+share is counted, and bounds the rest; so do sketches of the sets, of a fixed size.
 
 Components are wanted, not all pairs. So candidates go from few to all: in quick rounds each
 class is compared with the neighbour, in the order by size, that it shares most first shingles
@@ -20,7 +20,9 @@ with, then with neighbours in shuffled orders; then every remaining pair is. Eac
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from hashlib import blake2b
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,10 @@ CUTS = np.arange(1 - FRAGMENTS // 2, FRAGMENTS // 2, dtype=np.int64) << np.int64
 FREQUENT = 32
 MOST_FREQUENT = 1 << 18
 
+#: Bits of a set's sketch: whether the number of its shingles that fall on a bit is odd. Two sets
+#: differ in as many shingles at least as their sketches differ in bits.
+SKETCH = 256
+
 #: Rounds in which each class is compared with its best neighbour in the order by size only.
 #: After them come rounds of neighbours in shuffled orders, as long as one class in
 #: ``WORTHWHILE`` of those that still share a first shingle with another component gets a link.
@@ -181,11 +187,20 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], levels[order]
 
 
-PARTS = "node bigint, n bigint, m bigint, fragment int, tokens array<bigint>, first int, last struct<level: bigint, token: bigint>"
+PARTS = (
+    "node bigint, n bigint, m bigint, fragment int, tokens array<bigint>, first int, "
+    "last struct<level: bigint, token: bigint>, sketch array<bigint>"
+)
+
+
+def sketch(run: np.ndarray) -> np.ndarray:
+    """The parities of a set's shingles by their lowest bits, in 64-bit numbers."""
+    odd = np.bincount(run & np.int64(SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def in_fragments(sets: DataFrame) -> DataFrame:
-    """Stored rows (node, n, m, fragment, tokens, first, last): each set cut by the global order.
+    """Stored rows (node, n, m, fragment, tokens, first, last, sketch): each set cut by the global order.
 
     A link of a node with n shingles shares at least THRESHOLD % of n; so it shares one of the
     first m - that + 1 of its m shared ones. ``first`` of the part's tokens are among these;
@@ -208,17 +223,18 @@ def in_fragments(sets: DataFrame) -> DataFrame:
                 edges = np.concatenate([[0], np.searchsorted(run[:rare], CUTS), [rare, len(run)]]).tolist()
                 upto = len(run) + 1 - -(-THRESHOLD * n.as_py() // 100)
                 last = {"level": int(level[upto - 1]), "token": int(run[upto - 1])}
+                bits = sketch(run)
                 for fragment, (a, b) in enumerate(zip(edges, edges[1:])):
                     if a < b:
                         first = min(max(upto - a, 0), b - a)
-                        rows.append((node.as_py(), n.as_py(), len(run), fragment, run[a:b], first, last))
-            columns = list(zip(*rows)) or [()] * 7
+                        rows.append((node.as_py(), n.as_py(), len(run), fragment, run[a:b], first, last, bits))
+            columns = list(zip(*rows)) or [()] * 8
             place = pa.struct([("level", pa.int64()), ("token", pa.int64())])
             flat = pa.array(np.concatenate(columns[4]) if rows else np.zeros(0, np.int64), pa.int64())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), None, pa.int32(), place)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), None, pa.int32(), place, pa.list_(pa.int64()))
             arrays = [pa.array(c, k) if k else None for c, k in zip(columns, kinds)]
             arrays[4] = list_array(flat, np.array(list(map(len, columns[4])), np.int64))
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "m", "fragment", "tokens", "first", "last"])
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "m", "fragment", "tokens", "first", "last", "sketch"])
 
     return store(sets.select("node", "n", "shared").mapInArrow(cut, PARTS), "shingle-fragments")
 
@@ -235,6 +251,17 @@ def _long_enough(smaller: str, larger: str):
     return 100 * F.col(smaller) >= THRESHOLD * F.col(larger)
 
 
+def _may_link(shared: Column) -> Column:
+    """Whether nodes a and b would link if ``shared`` of their shingles were the same."""
+    return (100 + THRESHOLD) * shared >= THRESHOLD * (F.col("n_a") + F.col("n_b"))
+
+
+def most_by_sketch() -> Column:
+    """The most shingles that nodes a and b can share, by how their sketches differ."""
+    words = [F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64)]
+    return F.floor((F.col("m_a") + F.col("m_b") - reduce(add, words)) / 2)
+
+
 def node_of(column: str = "class"):
     """A class as a number."""
     return F.xxhash64(column)
@@ -304,33 +331,32 @@ def _mixed(tokens: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
 def _open_pairs(tokens: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFrame:
     """All pairs (a, b) of nodes not connected yet that share enough first shingles, each once.
 
-    A shingle they share bounds the overlap: what both have before it, and from it on. How many
-    they share is counted and bounds it again: of two nodes take the one whose first shingles end
+    A shingle they share bounds the overlap: what both have before it, and from it on. So do their
+    sketches. A pair that misses either bound is left out where it meets, before anything is
+    shuffled; a link misses none, so all its shared first shingles are still counted. Their
+    number bounds the overlap again: of two nodes take the one whose first shingles end
     first; all it shares up to there is counted, and it cannot share more than its rest behind.
     """
-    nodes = parts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "m", "last")])
+    nodes = parts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "m", "last", "sketch")])
     nodes = store(nodes, "fragment-nodes")
     mixed, _ = _mixed(tokens, roots)
-    placed = mixed.join(nodes.select("node", "m"), "node")
-    columns = ("node", "n", "m", "at", "root")
+    placed = mixed.join(nodes.select("node", "m", "sketch"), "node")
+    columns = ("node", "n", "m", "at", "root", "sketch")
     one = placed.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
     two = placed.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
     order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     apart = F.col("root_a") != F.col("root_b")
     same = F.col("token") == F.col("token_b")
     most = F.least("at_a", "at_b") + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
-    # Every shared first shingle of a pair counts, so what bounds the pair is tested on the sums.
-    met = one.join(two, same & order & apart & _long_enough("n_a", "n_b"))
-    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("votes"), F.min(most).alias("most")
-    )
+    bounds = _may_link(most_by_sketch()) & _may_link(most)
+    met = one.join(two, same & order & apart & _long_enough("n_a", "n_b") & bounds)
+    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
     of_a = nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "last")])
     of_b = nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "last")])
     counted = met.join(of_a, "a").join(of_b, "b")
     behind = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
     rest = F.ceil(THRESHOLD * behind / 100) - 1
-    bound = F.least(F.col("votes") + rest, "most")
-    return counted.where((100 + THRESHOLD) * bound >= THRESHOLD * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return counted.where(_may_link(F.col("votes") + rest)).select("a", "b")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from inductra.llm import jaccard_join
 from inductra.llm.components import components, joined_roots
@@ -92,6 +93,18 @@ def test_frequent_shingles_are_bounded(spark, monkeypatch):
     assert jaccard_join.frequent_shingles(sets)[0].tolist() == list(range(100))
 
 
+def test_sketches_bound_the_overlap(spark):
+    rng = random.Random(9)
+    sets = [rng.sample(range(-500, 500), rng.randint(0, 300)) for _ in range(20)]
+    sets += [s[:-3] + [2000 + i] for i, s in enumerate(sets)]
+    bits = [jaccard_join.sketch(np.array(s, np.int64)).tolist() for s in sets]
+    pairs = [(len(a), len(b), x, y, len(set(a) & set(b))) for a, x in zip(sets, bits) for b, y in zip(sets, bits)]
+    df = spark.createDataFrame(pairs, "m_a int, m_b int, sketch_a array<bigint>, sketch_b array<bigint>, both int")
+    rows = df.select("m_a", "m_b", "both", jaccard_join.most_by_sketch().alias("most")).collect()
+    assert all(r.both <= r.most <= (r.m_a + r.m_b) / 2 for r in rows)
+    assert sum(r.most < min(r.m_a, r.m_b) for r in rows) > len(rows) / 4
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(f"{a:03}", f"{a + 1:03}") for a in range(100)] + [("900", f"9{k:02}") for k in range(1, 40)]
