@@ -91,7 +91,7 @@ STAGES = [
     ("encoding", encoded),
 ]
 
-#: Models and encoders are not SQL; tests compare with a brute-force version.
+#: Models and encoders are not SQL; tests check planted cases stage by stage.
 ORACLE_SQL = None
 
 
