@@ -192,8 +192,8 @@ def _digest(window: list[bytes]) -> int:
 def _joined(df: DataFrame, bench: DataFrame, text: str, out: str) -> DataFrame:
     """The same for a benchmark of any size: texts meet items by window hash, then verify.
 
-    Works on distinct texts. A window that many items share is linked to its texts once, by
-    its hash; items are looked up per (text, item) pair after duplicates have gone.
+    Works on distinct texts. A window that many texts and many items share makes a pair of each
+    of them, and all items of a text come together in one row, with their words.
     """
     lengths = bench.select(F.least(F.lit(WINDOW), F.size(F.array_remove(F.split(_spaced("words"), " +"), "")))
                            .alias("n")).distinct()
