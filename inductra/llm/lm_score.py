@@ -153,15 +153,27 @@ def place_type(distinct: int):
     return np.uint16 if distinct <= 1 << 16 else np.uint32
 
 
+def planes(values: np.ndarray) -> bytes:
+    """64-bit numbers compressed byte by byte, so that their equal leading bytes stand together."""
+    return packed(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def from_planes(data: bytes, size: int) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(data, size * 8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def word_columns(ws: list[np.ndarray]) -> dict:
-    """The words of n-grams as a list of the distinct ones and places in it, each column compressed."""
+    """The words of n-grams as a list of the distinct ones and places in it, each column compressed.
+
+    Rare words make most of a blob; of the sorted list only the steps are sent.
+    """
     known, places = np.unique(np.concatenate(ws), return_inverse=True)
     places = places.astype(place_type(len(known))).reshape(len(ws), -1)
-    return {"distinct": len(known), "words": [packed(known), *map(packed, places)]}
+    return {"distinct": len(known), "words": [planes(np.diff(known, prepend=np.uint64(0))), *map(packed, places)]}
 
 
 def words_of(columns: list[bytes], distinct: int, size: int) -> list[np.ndarray]:
-    known = unpacked(columns[0], distinct, np.uint64)
+    known = np.cumsum(from_planes(columns[0], distinct), dtype=np.uint64)
     return [known[unpacked(c, size, place_type(distinct))] for c in columns[1:]]
 
 
@@ -176,8 +188,8 @@ def blobs(level: int, bits: int, ws: list[np.ndarray], seen: np.ndarray, raw: np
             "level": level,
             "size": at.stop - at.start,
             **word_columns([w[at] for w in ws]),
-            "seen": packed(seen[at].astype(np.int64)),
-            "raw": None if raw is None else packed(raw[at].astype(np.int64)),
+            "seen": planes(seen[at]),
+            "raw": None if raw is None else planes(raw[at]),
             "sums": None,
         }
         for shard, at in split_by_shard(context[order], bits)
@@ -249,15 +261,15 @@ def build_shard(level: int, shard: int, folder: str, bits: int, order: int, rows
     """Merge the n-grams of a shard, write its file, and return rows for the next lower order."""
     sizes = rows.column("size").to_pylist()
 
-    def column(values: list[bytes], kind) -> np.ndarray:
-        return np.concatenate([unpacked(v, n, kind) for v, n in zip(values, sizes)])
+    def column(values: list[bytes]) -> np.ndarray:
+        return np.concatenate([from_planes(v, n) for v, n in zip(values, sizes)]).astype(np.int64)
 
     listed = zip(rows.column("words").to_pylist(), rows.column("distinct").to_pylist(), sizes)
     parts = [words_of(*row) for row in listed]
     ws = [np.concatenate([part[i] for part in parts]) for i in range(level)]
-    seen = column(rows.column("seen").to_pylist(), np.int64)
+    seen = column(rows.column("seen").to_pylist())
     listed = rows.column("raw").to_pylist()
-    raw = seen if listed[0] is None else column(listed, np.int64)
+    raw = seen if listed[0] is None else column(listed)
     ws, (seen, raw) = merged(ws, seen, raw)
     context = context_hash(ws)
     hashes = gram_hash(context, ws[-1]) if level > 1 else ws[0]
