@@ -28,6 +28,13 @@ CHANGES = """kind string, employee_id bigint, done int, progress_pct int, comple
     module_id string, answers string, completed boolean, completed_at bigint, created_at bigint, updated_at bigint,
     last_submission_id bigint, submission_id bigint, reason string"""
 TIMES = ("completed_at", "created_at", "updated_at")
+_NAMES = [part.split()[0] for part in CHANGES.split(",")]
+_CHANGE = Row(*_NAMES)
+_WANTED = {
+    "employee": ("done", "progress_pct", "completion_status"),
+    "module": ("module_id", "answers", "completed", *TIMES, "last_submission_id"),
+    "reject": ("submission_id",),
+}
 
 
 def rounded(done: int, total: int) -> int:
@@ -136,15 +143,12 @@ class Saving(StatefulProcessor):
 
     @staticmethod
     def _row(kind: str, key, values, reason: str | None = None) -> Row:
-        values = values.asDict() if isinstance(values, Row) else values
-        wanted = {
-            "employee": ("done", "progress_pct", "completion_status"),
-            "module": ("module_id", "answers", "completed", *TIMES, "last_submission_id"),
-            "reject": ("submission_id",),
-        }[kind]
-        names = [part.split()[0] for part in CHANGES.split(",")]
-        row = dict.fromkeys(names) | {n: values[n] for n in wanted}
-        return Row(**(row | {"kind": kind, "employee_id": key[0], "reason": reason}))
+        # One per saved module, so field names are worked out beforehand.
+        listed = dict.fromkeys(_NAMES)
+        for name in _WANTED[kind]:
+            listed[name] = values[name]
+        listed["kind"], listed["employee_id"], listed["reason"] = kind, key[0], reason
+        return _CHANGE(*listed.values())
 
 
 def _time(column: str):
