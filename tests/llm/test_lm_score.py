@@ -131,3 +131,14 @@ def test_counts_of_any_size_are_read_back(tmp_path):
     lm_score.write_file(path, np.arange(5, dtype=np.uint64), np.zeros(0, np.uint64), [np.array(seen), np.array(raw)])
     part = lm_score.Part(path, 1)
     assert part.count(np.array([4, 0, 1, 2, 3, 9, 8, 7, 6, 5])).tolist() == [seen[4], *seen[:4], *raw[::-1]]
+
+
+def test_word_lists_are_sent_as_steps():
+    known = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 40_000, np.uint64))
+    ws = [known, known[::-1].copy()]
+    columns = lm_score.word_columns(ws)
+    assert len(columns["words"][0]) < 7.2 * len(known)
+    back = lm_score.words_of(columns["words"], columns["distinct"], len(known))
+    assert all((a == b).all() for a, b in zip(ws, back))
+    counts = np.array([1, 1, 300, 1 << 40])
+    assert (lm_score.from_planes(lm_score.planes(counts), 4) == counts).all()
