@@ -58,8 +58,13 @@ FREQUENT = 32
 MOST_FREQUENT = 1 << 18
 
 #: Bits of a set's sketch: whether the number of its shingles that fall on a bit is odd. Two sets
-#: differ in as many shingles at least as their sketches differ in bits.
-SKETCH = 256
+#: differ in as many shingles at least as their sketches differ in bits. Where pairs meet, the
+#: sketch is folded to ``FOLDED`` bits.
+SKETCH = 2048
+FOLDED = 256
+
+#: Shingles before a shared one by which a pair tells that it has met already.
+LOOK_BACK = 8
 
 #: Rounds in which each class is compared with its best neighbour in the order by size only.
 #: After them come rounds of neighbours in shuffled orders, as long as one class in
@@ -187,10 +192,7 @@ def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], levels[order]
 
 
-PARTS = (
-    "node bigint, n bigint, m bigint, fragment int, tokens array<bigint>, first int, "
-    "last struct<level: bigint, token: bigint>, sketch array<bigint>"
-)
+PARTS = "node bigint, n bigint, m bigint, fragment int, tokens array<bigint>, first int, sketch array<bigint>"
 
 
 def sketch(run: np.ndarray) -> np.ndarray:
@@ -200,11 +202,11 @@ def sketch(run: np.ndarray) -> np.ndarray:
 
 
 def in_fragments(sets: DataFrame) -> DataFrame:
-    """Stored rows (node, n, m, fragment, tokens, first, last, sketch): each set cut by the global order.
+    """Stored rows (node, n, m, fragment, tokens, first, sketch): each set cut by the global order.
 
     A link of a node with n shingles shares at least THRESHOLD % of n; so it shares one of the
-    first m - that + 1 of its m shared ones. ``first`` of the part's tokens are among these;
-    ``last`` is the place of the last of them in the order.
+    first m - that + 1 of its m shared ones. ``first`` of the part's tokens are among these.
+    One row of a node has its sketch.
     """
     frequent = sets.sparkSession.sparkContext.broadcast(frequent_shingles(sets))
 
@@ -218,23 +220,22 @@ def in_fragments(sets: DataFrame) -> DataFrame:
                 often = tokens[at] == run if len(tokens) else np.zeros(len(run), bool)
                 level = levels[at] * often if len(tokens) else np.zeros(len(run), np.int64)
                 ranked = np.lexsort((run, level))
-                run, level = run[ranked], level[ranked]
+                run = run[ranked]
                 rare = int((~often).sum())
                 edges = np.concatenate([[0], np.searchsorted(run[:rare], CUTS), [rare, len(run)]]).tolist()
                 upto = len(run) + 1 - -(-THRESHOLD * n.as_py() // 100)
-                last = {"level": int(level[upto - 1]), "token": int(run[upto - 1])}
                 bits = sketch(run)
                 for fragment, (a, b) in enumerate(zip(edges, edges[1:])):
                     if a < b:
                         first = min(max(upto - a, 0), b - a)
-                        rows.append((node.as_py(), n.as_py(), len(run), fragment, run[a:b], first, last, bits))
-            columns = list(zip(*rows)) or [()] * 8
-            place = pa.struct([("level", pa.int64()), ("token", pa.int64())])
+                        rows.append((node.as_py(), n.as_py(), len(run), fragment, run[a:b], first, bits))
+                        bits = None
+            columns = list(zip(*rows)) or [()] * 7
             flat = pa.array(np.concatenate(columns[4]) if rows else np.zeros(0, np.int64), pa.int64())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), None, pa.int32(), place, pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), None, pa.int32(), pa.list_(pa.int64()))
             arrays = [pa.array(c, k) if k else None for c, k in zip(columns, kinds)]
             arrays[4] = list_array(flat, np.array(list(map(len, columns[4])), np.int64))
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "m", "fragment", "tokens", "first", "last", "sketch"])
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "m", "fragment", "tokens", "first", "sketch"])
 
     return store(sets.select("node", "n", "shared").mapInArrow(cut, PARTS), "shingle-fragments")
 
@@ -256,9 +257,15 @@ def _may_link(shared: Column) -> Column:
     return (100 + THRESHOLD) * shared >= THRESHOLD * (F.col("n_a") + F.col("n_b"))
 
 
-def most_by_sketch() -> Column:
-    """The most shingles that nodes a and b can share, by how their sketches differ."""
-    words = [F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH // 64)]
+def folded(column: str) -> Column:
+    """A sketch of ``FOLDED`` bits from one of ``SKETCH``."""
+    size = FOLDED // 64
+    return F.array(*[reduce(Column.bitwiseXOR, [F.col(column)[i] for i in range(w, SKETCH // 64, size)]) for w in range(size)])
+
+
+def most_by_sketch(bits: int = SKETCH) -> Column:
+    """The most shingles that nodes a and b can share, by how their sketches of ``bits`` bits differ."""
+    words = [F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(bits // 64)]
     return F.floor((F.col("m_a") + F.col("m_b") - reduce(add, words)) / 2)
 
 
@@ -329,34 +336,38 @@ def _mixed(tokens: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _open_pairs(tokens: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes not connected yet that share enough first shingles, each once.
-
-    A shingle they share bounds the overlap: what both have before it, and from it on. So do their
-    sketches. A pair that misses either bound is left out where it meets, before anything is
-    shuffled; a link misses none, so all its shared first shingles are still counted. Their
-    number bounds the overlap again: of two nodes take the one whose first shingles end
-    first; all it shares up to there is counted, and it cannot share more than its rest behind.
-    """
-    nodes = parts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "m", "last", "sketch")])
+    """All pairs (a, b) of nodes not connected yet that may link, each once."""
+    nodes = parts.groupBy("node").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("sketch", True).alias("sketch"))
     nodes = store(nodes, "fragment-nodes")
     mixed, _ = _mixed(tokens, roots)
-    placed = mixed.join(nodes.select("node", "m", "sketch"), "node")
-    columns = ("node", "n", "m", "at", "root", "sketch")
+    met = _meetings(mixed, nodes).distinct()
+    of_a = nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "m", "sketch")])
+    of_b = nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "m", "sketch")])
+    return met.join(of_a, "a").join(of_b, "b").where(_may_link(most_by_sketch(SKETCH))).select("a", "b")
+
+
+def _meetings(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes that meet at a first shingle and may link; each about once.
+
+    A link meets at the first shingle, in the global order, that both have. From there on it can
+    share no more than the shorter rest of the two, and its sketches bound the overlap too. A
+    pair that misses a bound is left out where it meets, before anything is shuffled. So is one
+    that shares one of the few shingles before: it has met there. The first meeting has none, so
+    each link is found; by chance a pair may meet again.
+    """
+    placed = mixed.join(nodes.select("node", "m", folded("sketch").alias("sketch")), "node")
+    earlier = Window.partitionBy("node").orderBy("at").rowsBetween(-LOOK_BACK, -1)
+    placed = placed.withColumn("before", F.collect_list("token").over(earlier))
+    columns = ("node", "n", "m", "at", "root", "sketch", "before")
     one = placed.select("token", *[F.col(c).alias(f"{c}_a") for c in columns])
     two = placed.select(F.col("token").alias("token_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
     order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     apart = F.col("root_a") != F.col("root_b")
     same = F.col("token") == F.col("token_b")
-    most = F.least("at_a", "at_b") + F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
-    bounds = _may_link(most_by_sketch()) & _may_link(most)
+    most = F.least(F.col("m_a") - F.col("at_a"), F.col("m_b") - F.col("at_b"))
+    bounds = _may_link(most) & _may_link(most_by_sketch(FOLDED)) & ~F.arrays_overlap("before_a", "before_b")
     met = one.join(two, same & order & apart & _long_enough("n_a", "n_b") & bounds)
-    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    of_a = nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "last")])
-    of_b = nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "last")])
-    counted = met.join(of_a, "a").join(of_b, "b")
-    behind = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a")).otherwise(F.col("n_b"))
-    rest = F.ceil(THRESHOLD * behind / 100) - 1
-    return counted.where(_may_link(F.col("votes") + rest)).select("a", "b")
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -105,6 +105,23 @@ def test_sketches_bound_the_overlap(spark):
     assert sum(r.most < min(r.m_a, r.m_b) for r in rows) > len(rows) / 4
 
 
+def test_a_pair_meets_about_once(spark):
+    rng = random.Random(11)
+    base = rng.sample(range(1 << 40), 100)
+    sets = [sorted(rng.sample(base, 95) + rng.sample(range(1 << 40), 5)) for _ in range(30)]
+    sets += [sorted(rng.sample(range(1 << 40), 100)) for _ in range(10)]
+    rows = [(t, i, 100, at, i) for i, s in enumerate(sets) for at, t in enumerate(s[:26])]
+    mixed = spark.createDataFrame(rows, "token bigint, node bigint, n bigint, at bigint, root bigint")
+    rows = [(i, 100, 100, jaccard_join.sketch(np.array(s, np.int64)).tolist()) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node bigint, n bigint, m bigint, sketch array<bigint>")
+    met = [(r.a, r.b) for r in jaccard_join._meetings(mixed, nodes).collect()]
+    pairs = {(i, j) for j in range(40) for i in range(j)}
+    links = {(i, j) for i, j in pairs if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))}
+    assert len(links) > 100 and links <= set(met)
+    # Linked pairs share some 20 of their first shingles, each of which was a row before.
+    assert len(met) < 1.2 * len(set(met))
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(f"{a:03}", f"{a + 1:03}") for a in range(100)] + [("900", f"9{k:02}") for k in range(1, 40)]
