@@ -149,12 +149,19 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions starts[i] .. starts[i] + lengths[i] - 1, one run after the other."""
-    total = int(lengths.sum())
-    if total == 0:
-        return np.zeros(0, np.int64)
+    """The positions starts[i] .. starts[i] + lengths[i] - 1, one run after the other.
+
+    They are summed up from steps in place, so that no second array of that length is made.
+    """
+    some = lengths > 0
+    starts, lengths = starts[some].astype(np.int64), lengths[some].astype(np.int64)
     ends = np.cumsum(lengths)
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+    if len(ends) == 0:
+        return np.zeros(0, np.int64)
+    out = np.ones(ends[-1], np.int64)
+    out[0] = starts[0]
+    out[ends[:-1]] = starts[1:] - starts[:-1] - lengths[:-1] + 1
+    return np.cumsum(out, out=out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -56,6 +56,8 @@ MIXER = np.uint64(0xD6E8FEB86659FD93)
 
 #: The bits beside a window's hash that hold the number of its string.
 NUMBERS = 24
+#: Keys of windows looked at in one go, about.
+KEYS = 1 << 19
 
 
 def words_at(raw: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
@@ -192,20 +194,29 @@ def meets_others(raw: np.ndarray, lengths: np.ndarray, owners: np.ndarray) -> np
     """
     if len(lengths) < 2 or len(lengths) >> NUMBERS:
         return np.ones(len(lengths), bool)
-    windows = lengths - WINDOW + 1
-    string = np.repeat(np.arange(len(lengths), dtype=np.uint64), windows)
     low = np.uint64((1 << NUMBERS) - 1)
-    keys = window_hashes(raw)[ragged(np.cumsum(lengths) - lengths, windows)]
+    inside = np.zeros(len(raw) + 1, np.int8)
+    starts = np.cumsum(lengths) - lengths
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, starts + lengths - WINDOW + 1, -1)
+    keys = window_hashes(raw)[np.cumsum(inside[: len(raw) - WINDOW + 1], dtype=np.int8).view(bool)]
     keys &= ~low
-    keys |= string
+    keys |= np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths - WINDOW + 1)
     keys.sort()
-    hashes = keys >> np.uint64(NUMBERS)
-    head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    string = (keys & low).astype(np.int64)
-    owner = owners[string]
-    several = np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head)
     out = np.zeros(len(lengths), bool)
-    out[string[np.repeat(several, np.diff(np.append(head, len(keys))))]] = True
+    start = 0
+    # In pieces, each up to the end of a hash, so that what is made from the keys stays small.
+    while start < len(keys):
+        end = min(len(keys), start + KEYS)
+        end = int(np.searchsorted(keys, keys[end - 1] | low, side="right"))
+        part = keys[start:end]
+        hashes = part >> np.uint64(NUMBERS)
+        head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        string = (part & low).view(np.int64)
+        owner = owners[string]
+        several = np.minimum.reduceat(owner, head) < np.maximum.reduceat(owner, head)
+        out[string[np.repeat(several, np.diff(np.append(head, len(part))))]] = True
+        start = end
     return out
 
 
@@ -389,6 +400,7 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id") ->
         _, ids, raw, offsets = chunk
         first, count, _, owners, number, distinct, _ = shared_runs(chunk, bits, found)
         counts = count[distinct]
+        # Arrays with an entry for each window or byte are dropped as soon as they are used.
         least = np.full(int(counts.sum()), NO_ID, np.int64)
         begins = np.cumsum(counts) - counts
         for _, numbers, values in found.values():
@@ -396,27 +408,33 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id") ->
                 numbers = np.frombuffer(numbers, np.int32)
                 least[ragged(begins[numbers], counts[numbers])] = unpack_runs(values)
         repeated = least[ragged(begins[number], count)] < np.repeat(owners, count)
+        del least
         places = ragged(first, count)[repeated]
         edges = np.zeros(len(raw) + 1, np.int32)
         np.add.at(edges, places, 1)
-        np.add.at(edges, places + WINDOW, -1)
-        gone = np.cumsum(edges[:-1]) > 0
+        places += WINDOW
+        np.add.at(edges, places, -1)
+        del places, repeated
+        gone = np.cumsum(edges[:-1], dtype=np.int32) > 0
+        del edges
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
         inner = offsets[:-1][offsets[:-1] < len(raw)]
         starts[inner] = gone[inner]
-        left, spans = np.zeros(len(raw) + 1, np.int64), np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(~gone, out=left[1:])
-        np.cumsum(starts, out=spans[1:])
+        sums = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(starts, out=sums[1:])
+        spans = sums[offsets]
+        np.cumsum(~gone, out=sums[1:])
+        at = sums[offsets].tolist()
+        del sums, starts
         kept = raw[~gone].tobytes()
-        at = left[offsets].tolist()
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64(), mask=ids == NO_ID),
                 pa.array([sha256(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary()),
                 pa.array([kept[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary()),
                 pa.array(np.diff(offsets), pa.int64()),
-                pa.array(np.diff(spans[offsets]), pa.int64()),
+                pa.array(np.diff(spans), pa.int64()),
             ],
             ["row_id", "text_sha256", "kept", "n_bytes", "n_spans"],
         )

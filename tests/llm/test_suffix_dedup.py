@@ -1,6 +1,7 @@
 """Removed passages against a table of all windows."""
 
 import random
+import tracemalloc
 from hashlib import sha256
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inductra.llm import suffix_dedup
+from inductra.llm.common import ragged
 from inductra.llm.queries import op7_suffix_dedup
 
 LAST = 1 << 62
@@ -106,3 +108,29 @@ def test_query(spark, documents, sf_dir):
     )
     assert got == sorted((i, sha256(k).hexdigest(), n, n - len(k), s) for i, k, n, s in want)
     assert any(n for *_, n in want)
+
+
+def test_positions_of_runs_need_one_array():
+    rng = np.random.default_rng(3)
+    starts, lengths = rng.integers(0, 1 << 40, 5000), rng.integers(0, 400, 5000)
+    want = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, lengths)])
+    tracemalloc.start()
+    got = ragged(starts, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == want.tolist() and ragged(starts[:0], lengths[:0]).tolist() == []
+    assert ragged(starts[:3], np.array([0, 2, 0])).tolist() == [starts[1], starts[1] + 1]
+    assert peak < 2.3 * want.nbytes
+
+
+def test_strings_that_meet_others_are_found_piece_by_piece(monkeypatch):
+    rng = random.Random(4)
+    parts = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(12)]
+    strings = [b"".join(rng.sample(parts, 2))[: rng.randint(50, 120)] for _ in range(60)]
+    owners = np.array([rng.randrange(20) for _ in strings])
+    windows = [{s[i : i + 50] for i in range(len(s) - 49)} for s in strings]
+    want = [any(w & v and o != p for v, p in zip(windows, owners)) for w, o in zip(windows, owners)]
+    raw, lengths = np.frombuffer(b"".join(strings), np.uint8), np.array(list(map(len, strings)))
+    assert suffix_dedup.meets_others(raw, lengths, owners).tolist() == want
+    monkeypatch.setattr(suffix_dedup, "KEYS", 7)
+    assert suffix_dedup.meets_others(raw, lengths, owners).tolist() == want
