@@ -24,6 +24,9 @@ S = 9
 INNER = 1 << LEVELS
 K = S + INNER - 1
 
+#: Inner strings side by side whose minimum is taken first, a power of two.
+GROUP = 4
+
 #: Anchors a fingerprint keeps: all.
 KEPT = None
 
@@ -43,18 +46,25 @@ PLACE = (1 << 31) - 1
 def anchors(raw: str, offset: str = "0") -> Column:
     """All anchors of a binary column, in order of position.
 
-    The minima over the inner strings come from pairwise minima over 2, 4, 8, ... of them.
+    An inner string that is the smallest of the whole k-mer is so of its own group of ``GROUP``
+    neighbours; one in four is, and only these are compared with the other groups. The minima of
+    groups come from pairwise minima over 2, 4, ...; each level is as long as the one below, and
+    the last places, where fewer are left, are cut off once, as every cut copies all of it.
     """
     starts = f"CASE WHEN length({raw}) < {K} THEN array() ELSE sequence(0, length({raw}) - {K}, {WINDOW}) END"
     piece = f"substring({raw}, o + 1, {WINDOW + K - 1})"
     hashes = f"transform(sequence(1, length(b) - {S - 1}), i -> xxhash64(substring(b, i, {S})))"
     packed = f"shiftleft(xxhash64(substring(b, i + 1, {K})) & 4294967295, 31) | (o + i + {offset})"
-    edge = f"v = m0[i] OR v = m0[i + {INNER - 1}]"
-    found = f"filter(transform(m{LEVELS}, (v, i) -> CASE WHEN {edge} THEN {packed} END), x -> x IS NOT NULL)"
-    for level in range(LEVELS, 0, -1):
+    minima = f"m{GROUP.bit_length() - 1}"
+    last = f"{minima}[i + {INNER - GROUP}]"
+    left = [f"v <= {minima}[i + {j}]" for j in range(GROUP, INNER, GROUP)]
+    right = [f"{last} <= v", *[f"{last} <= {minima}[i + {j}]" for j in range(GROUP, INNER - GROUP, GROUP)]]
+    edge = f"(v = m0[i] AND {' AND '.join(left)}) OR ({last} = m0[i + {INNER - 1}] AND {' AND '.join(right)})"
+    places = f"slice({minima}, 1, size(m0) - {INNER - 1})"
+    found = f"filter(transform({places}, (v, i) -> CASE WHEN {edge} THEN {packed} END), x -> x IS NOT NULL)"
+    for level in range(GROUP.bit_length() - 1, 0, -1):
         below, step = f"m{level - 1}", 1 << (level - 1)
-        size = f"size({below}) - {step}"
-        pairs = f"zip_with(slice({below}, 1, {size}), slice({below}, {step + 1}, {size}), (x, y) -> least(x, y))"
+        pairs = f"zip_with({below}, slice({below}, {step + 1}, size({below})), (x, y) -> least(x, y))"
         found = f"flatten(transform(array({pairs}), m{level} -> {found}))"
     in_piece = f"flatten(transform(array({hashes}), m0 -> {found}))"
     return F.expr(f"flatten(transform({starts}, o -> flatten(transform(array({piece}), b -> {in_piece}))))")

@@ -126,3 +126,16 @@ def test_query(spark, documents, sf_dir):
     edits = {i: e for i, _, e in plain_edits([(r.doc_id, r.text) for r in documents.collect()])}
     assert {r.doc_id: r.edited_sha256 for r in out} == {i: sha256(e.encode()).hexdigest() for i, e in edits.items()}
     assert sum(r.near_edited > r.near_next for r in out) > 0.95 * len(out)
+
+
+def test_levels_are_not_cut_one_by_one(spark):
+    # Periodic texts have equal inner strings, so that anchors tie; short ones end within a group.
+    raws = [(b"ab" * 40)[:n] for n in (0, fp.K - 1, fp.K, fp.K + 1, fp.K + 2, fp.K + 17, 80)] + [b"abcdefghijk" * 9, b"x" * 60]
+    h = hashes(spark, [s for raw in raws for s in substrings(raw)])
+    df = spark.createDataFrame([(i, bytearray(raw)) for i, raw in enumerate(raws)], "i int, raw binary")
+    found = df.select("i", fp.anchors("raw").alias("a"))
+    for r in found.collect():
+        assert [(x >> 31, x & fp.PLACE) for x in r.a] == plain_anchors(raws[r.i], h)
+    # Two levels of pairwise minima, with one copy each, and one cut at the end.
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("zip_with(") == 2 and plan.count("slice(") <= 3
