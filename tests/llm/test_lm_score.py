@@ -142,3 +142,52 @@ def test_word_lists_are_sent_as_steps():
     assert all((a == b).all() for a, b in zip(ws, back))
     counts = np.array([1, 1, 300, 1 << 40])
     assert (lm_score.from_planes(lm_score.planes(counts), 4) == counts).all()
+
+
+def test_a_model_takes_few_bytes_for_each_phrase(texts, monkeypatch, tmp_path):
+    """Files and what is sent stay below what 64-bit hashes took, and steps in between are gone."""
+    monkeypatch.setattr(lm_score, "run_folder", lambda spark, label: str(tmp_path / label))
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 20_000}" for _ in range(400))) for i in range(150)]
+    model = lm_score.fit(texts(rows, 2))
+    phrases = model.levels[3].distinct
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.grams")) < 20 * phrases
+    distinct = np.unique(np.random.default_rng(1).zipf(1.3, (50_000, 3)) % (1 << 20), axis=0).astype(np.uint64)
+    part = lm_score.Model("", 3, 4, 21)
+    sent = lm_score.blobs(part, *lm_score.merged(list(distinct.T), None, 21))
+    assert sum(len(c) for row in sent for c in [*row["words"], row["seen"]]) < 7 * len(distinct)
+
+
+@pytest.mark.parametrize("n,width,bits", [(0, 9, 3), (1, 9, 8), (60, 9, 1), (5000, 42, 4), (5000, 64, 6), (3, 64, 0)])
+def test_keys_are_found_and_no_others(tmp_path, n, width, bits):
+    rng = np.random.default_rng(n)
+    below = np.unique(rng.integers(0, 1 << (width - bits), 2 * n + 4, np.uint64))
+    keys = below << np.uint64(64 - width)
+    keys = keys >> np.uint64(bits) if bits == 0 else keys | (np.uint64(1) << np.uint64(64 - bits))
+    known = np.sort(rng.permutation(keys)[:n])
+    path = str(tmp_path / "3-00001.grams")
+    lm_score.write_file(path, known, known[::2], [np.ones(n), np.full(len(known[::2]), 20)], bits, (width, width))
+    part = lm_score.Part(path, 3)
+    for held, have in ((part.grams, known), (part.contexts, known[::2])):
+        place, hit = held.find(keys)
+        assert (hit == np.isin(keys, have)).all()
+        assert (have[place[hit]] == keys[hit]).all()
+
+
+def test_numbers_are_mixed_one_to_one():
+    for width in (1, 2, 7, 12):
+        mixed = lm_score.spread(np.arange(1 << width, dtype=np.uint64), width) >> np.uint64(64 - width)
+        assert sorted(mixed.tolist()) == list(range(1 << width))
+
+
+def test_phrases_too_long_for_a_key_are_hashed(texts, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 100)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randint(0, 3000) if rng.random() < 0.3 else 5}" for _ in range(60))) for i in range(200)]
+    model = lm_score.fit(texts(rows[:150], 3), order=5)
+    assert 5 * model.id_bits > 64
+    levels = counts([t for _, t in rows[:150]], 5)
+    for r in texts(rows).withColumn("s", lm_score.score(F.col("text"), model)).collect():
+        full = ["start"] * 4 + tokens(r.text)
+        want = sum(math.log10(probability(levels, tuple(full[k : k + 5]))) for k in range(len(full) - 4))
+        assert abs(r.s.score - want) < 1e-6
