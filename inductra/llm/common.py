@@ -25,15 +25,21 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; from here on Python workers look for this package where the driver has it.
+    """A base table; from here on Python workers look for this package where the driver has it."""
+    on_workers(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
-    On a cluster the package is installed on the executors, and the path is of no effect.
+def on_workers(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it.
+
+    On a cluster the package is installed on the executors, and the path is of no effect. Spark
+    starts other workers beside the idle ones when their environment changes, so this comes first.
     """
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def store(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:

@@ -164,7 +164,8 @@ def find_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
             tidy()
             return found
 
-        return df.withColumn(out, scanned(F.col(text)))
+        # Else a filter on what is found would have every text scanned a second time, below the filter.
+        return df.withColumn(out, scanned.asNondeterministic()(F.col(text)))
     return _joined(df, bench, text, out)
 
 

@@ -91,9 +91,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     buckets = BUCKETS
     while buckets * len(languages) > MAX_CELLS:
         buckets //= 2
-    shares = spark.createDataFrame(
-        [(r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["count"])) for r in sizes], "lang string, share double"
-    )
+    # From an Arrow table: a list would start Python workers of a second kind, which stay for a while.
+    names, parts = [r["lang"] for r in sizes], [min(1.0, SAMPLE_PER_LANGUAGE / r["count"]) for r in sizes]
+    shares = spark.createDataFrame(pa.table({"lang": pa.array(names, pa.string()), "share": pa.array(parts, pa.float64())}))
     place = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", "text")
 

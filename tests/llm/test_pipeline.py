@@ -112,3 +112,23 @@ def test_rows_without_id_and_ids_that_are_there_twice(spark):
     kept = sorted((str(r.doc_id), r.text[:8]) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
     want = [(5, say(1)), (None, say(2)), (6, say(3)), (6, say(4)), (7, "")]
     assert kept == sorted((str(i), t[:8]) for i, t in want)
+
+
+def test_texts_are_scanned_once_for_the_benchmark(spark, corpus, capsys):
+    """A filter on the hits does not scan again, in further workers."""
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    corpus_pipeline.without_benchmark(spark, docs, corpus[0]).explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[0]
+    assert plan.count("ArrowEvalPython [scanned") == 1
+
+
+def test_language_starts_one_kind_of_worker(spark, corpus, monkeypatch):
+    """A list of rows, or another environment later on, would start Python workers beside the idle ones."""
+    context = spark.sparkContext
+    monkeypatch.delitem(context.environment, "PYTHONPATH", raising=False)
+    monkeypatch.setattr(context, "parallelize", lambda *_, **__: pytest.fail("a list of rows"))
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    assert corpus_pipeline.known_language(spark, docs, corpus[0]).count()
+    held = context.environment["PYTHONPATH"]
+    corpus_pipeline.table(spark, corpus[0], "benchmark")
+    assert context.environment["PYTHONPATH"] == held
