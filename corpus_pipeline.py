@@ -52,11 +52,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A character of which only a part was cut is cut whole. ``n_chars`` follows the text. Rows of
     one id, or of none, are told apart by their text's digest.
     """
-    found = suffix_dedup.remove_repeats(docs)
+    found = suffix_dedup.remove_repeats(docs, whole=True)
     cut = found.select(
         F.col("doc_id").alias("__id"),
         F.col("text_sha256").alias("__digest"),
-        suffix_dedup.whole_characters(F.col("kept")).alias("__kept"),
+        F.col("kept").alias("__kept"),
     ).dropDuplicates(["__id", "__digest"])
     marked = docs.withColumn("__of", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))).drop("text")
     joined = marked.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__digest")))

@@ -382,12 +382,13 @@ def unpack_runs(data: bytes) -> np.ndarray:
 REMOVED = "row_id bigint, text_sha256 binary, kept binary, n_bytes bigint, n_spans bigint"
 
 
-def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", whole: bool = False) -> DataFrame:
     """(row id, text_sha256, kept, n_bytes, n_spans): the bytes of every text that stay.
 
     Goes byte by byte: removed is each byte covered by ``WINDOW`` bytes that also start in a
     document with a smaller id, as the input stands. ``kept`` are the other bytes, which may
-    break a character; ``n_spans`` counts the removed stretches, ``text_sha256`` is the digest
+    break a character; with ``whole`` they are text, as ``whole_characters`` makes it, but read
+    where they are cut, chunk by chunk. ``n_spans`` counts the removed stretches, ``text_sha256`` is the digest
     of the text as it was, which tells rows of one id apart. Missing texts are empty. Rows
     of one id never remove each other's passages; a missing id is larger than all. An empty
     table gives no rows.
@@ -395,6 +396,7 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id") ->
     chunks = chunk_table(df, text, row_id)
     bits = shard_bits(chunks)
     answers = find_repeats(chunks, bits)
+    read = readable if whole else bytes
 
     def cut(chunk: Chunk, found: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
         _, ids, raw, offsets = chunk
@@ -432,22 +434,26 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id") ->
             [
                 pa.array(ids, pa.int64(), mask=ids == NO_ID),
                 pa.array([sha256(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary()),
-                pa.array([kept[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                pa.array([read(kept[a:b]) for a, b in zip(at[:-1], at[1:])], pa.string() if whole else pa.binary()),
                 pa.array(np.diff(offsets), pa.int64()),
                 pa.array(np.diff(spans), pa.int64()),
             ],
             ["row_id", "text_sha256", "kept", "n_bytes", "n_spans"],
         )
 
-    out = each_answered(chunks, answers, cut, REMOVED)
+    out = each_answered(chunks, answers, cut, REMOVED.replace("kept binary", "kept string") if whole else REMOVED)
     return out.withColumnRenamed("row_id", row_id)
 
 
+def readable(kept: bytes) -> str:
+    return kept.decode("utf-8", "ignore")
+
+
 def whole_characters(kept: Column) -> Column:
     """Kept bytes as text, without the bytes of characters that were cut in two."""
 
     @F.arrow_udf("string")
     def read(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else v.decode("utf-8", "ignore") for v in values.to_pylist()], pa.string())
+        return pa.array([None if v is None else readable(v) for v in values.to_pylist()], pa.string())
 
     return read(kept)

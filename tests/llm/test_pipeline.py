@@ -132,3 +132,16 @@ def test_language_starts_one_kind_of_worker(spark, corpus, monkeypatch):
     held = context.environment["PYTHONPATH"]
     corpus_pipeline.table(spark, corpus[0], "benchmark")
     assert context.environment["PYTHONPATH"] == held
+
+
+def test_passages_are_cut_and_read_in_one_step(spark, corpus, capsys):
+    """Texts that were cut do not pass through a further Python step; characters cut in two go whole."""
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    corpus_pipeline.without_repeats(spark, docs, corpus[0]).explain()
+    assert "ArrowEvalPython" not in capsys.readouterr().out
+    shared = "".join(chr(0x4E00 + i) for i in range(40))
+    rows = [(1, "ab" + shared), (2, "cd丁" + shared + "é"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = corpus_pipeline.suffix_dedup.remove_repeats(df).withColumn("t", corpus_pipeline.suffix_dedup.whole_characters("kept"))
+    whole = corpus_pipeline.suffix_dedup.remove_repeats(df, whole=True)
+    assert {r.doc_id: r.t for r in cut.collect()} == {r.doc_id: r.kept for r in whole.collect()} == {1: rows[0][1], 2: "cd丁é", 3: ""}
