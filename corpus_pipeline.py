@@ -49,19 +49,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier document holds; documents with nothing else go.
 
-    A character of which only a part was cut is cut whole. ``n_chars`` follows the text. Rows of
-    one id, or of none, are told apart by their text's digest.
+    A character of which only a part was cut is cut whole. ``n_chars`` follows the text. The other
+    columns go along with it, so texts are not joined to them.
     """
-    found = suffix_dedup.remove_repeats(docs, whole=True)
-    cut = found.select(
-        F.col("doc_id").alias("__id"),
-        F.col("text_sha256").alias("__digest"),
-        F.col("kept").alias("__kept"),
-    ).dropDuplicates(["__id", "__digest"])
-    marked = docs.withColumn("__of", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))).drop("text")
-    joined = marked.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__digest")))
-    shorter = joined.withColumns({"text": F.col("__kept"), "n_chars": F.char_length("__kept").cast("bigint")})
-    return shorter.where(F.trim("text") != "").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = suffix_dedup.remove_repeats(docs, whole=True, rest=others).where(F.trim("kept") != "")
+    shorter = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("bigint")}
+    return found.select(*[shorter.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from inductra.llm.common import store, tidy, utf8
 
@@ -33,10 +34,11 @@ NO_ID = np.iinfo(np.int64).max
 Chunk = tuple[int, np.ndarray, np.ndarray, np.ndarray]  # number, ids, bytes, offsets
 
 
-def chunk_table(df: DataFrame, text: str, row_id: str) -> DataFrame:
+def chunk_table(df: DataFrame, text: str, row_id: str, rest: list[str] | None = None) -> DataFrame:
     """Store (chunk, n_bytes, ids, lengths, data): ``data`` are the compressed texts in a row.
 
-    A missing text is empty, a missing id stays missing.
+    A missing text is empty, a missing id stays missing. With ``rest``, a column of that name
+    has a list of structs, the rows' values of these columns.
     """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,6 +52,7 @@ def chunk_table(df: DataFrame, text: str, row_id: str) -> DataFrame:
                 data = raw[offsets[start] : offsets[end]]
                 size = pa.array([0, end - start], pa.int32())
                 lengths = pa.array(np.diff(offsets[start : end + 1]), pa.int64())
+                others = [c.slice(start, end - start) for c in batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number], pa.int64()),
@@ -57,15 +60,19 @@ def chunk_table(df: DataFrame, text: str, row_id: str) -> DataFrame:
                         pa.ListArray.from_arrays(size, ids.slice(start, end - start)),
                         pa.ListArray.from_arrays(size, lengths),
                         pa.array([packed(data)], pa.binary()),
+                        *(pa.ListArray.from_arrays(size, c) for c in others),
                     ],
-                    ["chunk", "n_bytes", "ids", "lengths", "data"],
+                    schema.names,
                 )
                 number += 1
                 start = end
             tidy()
 
-    rows = df.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    schema = "chunk bigint, n_bytes bigint, ids array<bigint>, lengths array<bigint>, data binary"
+    more = [F.struct(*rest).alias("rest")] if rest else []
+    rows = df.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text"), *more)
+    schema = StructType.fromDDL("chunk bigint, n_bytes bigint, ids array<bigint>, lengths array<bigint>, data binary")
+    if rest:
+        schema = schema.add("rest", ArrayType(rows.schema["rest"].dataType))
     return store(rows.mapInArrow(pack, schema), "chunks")
 
 
@@ -99,7 +106,7 @@ def each_chunk(chunks: DataFrame, work: Callable[[Chunk], Iterable[pa.RecordBatc
                 yield from work(open_chunk(batch, row))
                 tidy()
 
-    return chunks.mapInArrow(run, schema)
+    return chunks.drop("rest").mapInArrow(run, schema)
 
 
 def each_answered(
@@ -107,8 +114,14 @@ def each_answered(
     answers: DataFrame,
     work: Callable[[Chunk, dict[int, tuple]], Iterable[pa.RecordBatch]],
     schema: str,
+    rest: bool = False,
 ) -> DataFrame:
-    """The same with the answers of the shards: shard -> values of the answer's other columns."""
+    """The same with the answers of the shards: shard -> values of the answer's other columns.
+
+    With ``rest``, ``work`` makes one row of each text of a chunk, and they get the struct that
+    ``chunk_table`` put aside for them. Else that column is not read.
+    """
+    chunks = chunks if rest else chunks.drop("rest")
     columns = [c for c in answers.columns if c not in ("chunk", "shard")]
     listed = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", *columns)).alias("answers"))
     joined = chunks.join(listed, "chunk", "left")
@@ -117,10 +130,12 @@ def each_answered(
         for batch in batches:
             for row in range(len(batch)):
                 found = batch.column("answers")[row].as_py() or []
-                yield from work(open_chunk(batch, row), {a["shard"]: tuple(a[c] for c in columns) for a in found})
+                for out in work(open_chunk(batch, row), {a["shard"]: tuple(a[c] for c in columns) for a in found}):
+                    yield out.append_column("rest", batch.column("rest")[row].values) if rest else out
                 tidy()
 
-    return joined.mapInArrow(run, schema)
+    made = StructType.fromDDL(schema)
+    return joined.mapInArrow(run, made.add("rest", chunks.schema["rest"].dataType.elementType) if rest else made)
 
 
 def by_shard(

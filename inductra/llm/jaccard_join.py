@@ -275,7 +275,10 @@ def node_of(column: str = "class"):
 
 
 def node_roots(rows: DataFrame) -> DataFrame:
-    """(node, root) of the classes with a link to another class; removes ``rows``, which are stored."""
+    """(node, root) of the classes with a link to another class; removes ``rows``, which are stored.
+
+    What is stored on the way is removed at the end.
+    """
     some = rows.where("shared IS NOT NULL").select(
         node_of().alias("node"), "chunk", F.col("n_shingles").alias("n"), "shared"
     )
@@ -287,7 +290,7 @@ def node_roots(rows: DataFrame) -> DataFrame:
     forget(sets)
     tokens = first_tokens(parts)
     chain = store(_neighbours(tokens, [F.col("n"), F.col("node")]), "neighbours")
-    tried, roots, number = None, None, 0
+    tried, roots, number, read = None, None, 0, [tokens, parts, chain]
     while True:
         if number < ORDERED_ROUNDS:
             some = chain if roots is None else _apart(chain, roots)
@@ -297,6 +300,7 @@ def node_roots(rows: DataFrame) -> DataFrame:
         some = some if tried is None else some.join(tried, ["a", "b"], "left_anti")
         best = some.groupBy("b").agg(F.max(F.struct("votes", "a")).alias("best")).select("best.a", "b")
         best = store(best, "candidates")
+        read.append(best)
         found = store(links_among(best, parts), "links")
         tried = best if tried is None else tried.union(best)
         last, roots = roots, store(components(found) if roots is None else joined_roots(roots, found), "roots")
@@ -306,9 +310,13 @@ def node_roots(rows: DataFrame) -> DataFrame:
         if done:
             break
 
-    rest = _open_pairs(tokens, parts, roots).join(tried, ["a", "b"], "left_anti")
-    found = store(links_among(store(rest, "candidates"), parts), "links")
-    return store(joined_roots(roots, found), "roots")
+    pairs, made = _open_pairs(tokens, parts, roots)
+    rest = store(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+    forget(*made)
+    found = store(links_among(rest, parts), "links")
+    final = store(joined_roots(roots, found), "roots")
+    forget(*read, rest, found, roots)
+    return final
 
 
 def _neighbours(tokens: DataFrame, order: list[Column]) -> DataFrame:
@@ -335,15 +343,16 @@ def _mixed(tokens: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     return mixed, mixed.agg(F.countDistinct("node")).first()[0]
 
 
-def _open_pairs(tokens: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes not connected yet that may link, each once."""
+def _open_pairs(tokens: DataFrame, parts: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """All pairs (a, b) of nodes not connected yet that may link, each once; and the tables stored for them."""
     nodes = parts.groupBy("node").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("sketch", True).alias("sketch"))
     nodes = store(nodes, "fragment-nodes")
     mixed, _ = _mixed(tokens, roots)
     met = _meetings(mixed, nodes).distinct()
     of_a = nodes.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "m", "sketch")])
     of_b = nodes.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "m", "sketch")])
-    return met.join(of_a, "a").join(of_b, "b").where(_may_link(most_by_sketch(SKETCH))).select("a", "b")
+    pairs = met.join(of_a, "a").join(of_b, "b").where(_may_link(most_by_sketch(SKETCH))).select("a", "b")
+    return pairs, [nodes, mixed]
 
 
 def _meetings(mixed: DataFrame, nodes: DataFrame) -> DataFrame:

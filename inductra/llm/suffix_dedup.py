@@ -32,7 +32,7 @@ from inductra.llm.chunks import (
     split_by_shard,
     unpacked,
 )
-from inductra.llm.common import GOLDEN, mix, ragged, store
+from inductra.llm.common import GOLDEN, forget, mix, ragged, settle, store
 from inductra.llm.lyndon import suffix_order
 
 #: Bytes of a passage, and of an anchor inside it.
@@ -298,12 +298,13 @@ def shared_runs(chunk: Chunk, bits: int, answers: dict[int, tuple]):
 
 
 def find_repeats(chunks: DataFrame, bits: int) -> DataFrame:
-    """(chunk, shard, shared, number, owners): first owners of the windows of shared runs.
+    """Stored rows (chunk, shard, shared, number, owners): first owners of the windows of shared runs.
 
     ``number`` lists the distinct strings of the chunk that a shard answers for, ``owners``
-    the first owner of each of their windows.
+    the first owner of each of their windows. No shuffle file is left behind.
     """
     flags = store(shared_flags(chunks, bits, anchor_hashes), "shared-anchors")
+    settle(chunks.sparkSession)
 
     def ask(chunk: Chunk, answers: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
         _, _, raw, _ = chunk
@@ -363,7 +364,9 @@ def find_repeats(chunks: DataFrame, bits: int) -> DataFrame:
         "chunk bigint, shard int, size int, n_bytes int, number binary, owners binary, lengths binary, strings binary",
     )
     found = by_shard(asked, answer, "chunk bigint, shard int, number binary, owners binary")
-    return flags.join(found, ["chunk", "shard"], "left")
+    answers = store(flags.join(found, ["chunk", "shard"], "left"), "first-owners", "zstd")
+    forget(flags)
+    return answers
 
 
 def pack_runs(values: np.ndarray) -> bytes:
@@ -382,7 +385,9 @@ def unpack_runs(data: bytes) -> np.ndarray:
 REMOVED = "row_id bigint, text_sha256 binary, kept binary, n_bytes bigint, n_spans bigint"
 
 
-def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", whole: bool = False) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, text: str = "text", row_id: str = "doc_id", whole: bool = False, rest: list[str] | None = None
+) -> DataFrame:
     """(row id, text_sha256, kept, n_bytes, n_spans): the bytes of every text that stay.
 
     Goes byte by byte: removed is each byte covered by ``WINDOW`` bytes that also start in a
@@ -390,10 +395,11 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", wh
     break a character; with ``whole`` they are text, as ``whole_characters`` makes it, but read
     where they are cut, chunk by chunk. ``n_spans`` counts the removed stretches, ``text_sha256`` is the digest
     of the text as it was, which tells rows of one id apart. Missing texts are empty. Rows
-    of one id never remove each other's passages; a missing id is larger than all. An empty
-    table gives no rows.
+    of one id never remove each other's passages; a missing id is larger than all. With ``rest``,
+    a further column of that name is a struct of the row's values of these columns, which go
+    along with the text, so that nothing has to be joined. An empty table gives no rows.
     """
-    chunks = chunk_table(df, text, row_id)
+    chunks = chunk_table(df, text, row_id, rest)
     bits = shard_bits(chunks)
     answers = find_repeats(chunks, bits)
     read = readable if whole else bytes
@@ -441,7 +447,8 @@ def remove_repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", wh
             ["row_id", "text_sha256", "kept", "n_bytes", "n_spans"],
         )
 
-    out = each_answered(chunks, answers, cut, REMOVED.replace("kept binary", "kept string") if whole else REMOVED)
+    schema = REMOVED.replace("kept binary", "kept string") if whole else REMOVED
+    out = each_answered(chunks, answers, cut, schema, rest=bool(rest))
     return out.withColumnRenamed("row_id", row_id)
 
 

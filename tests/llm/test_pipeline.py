@@ -2,10 +2,12 @@
 
 import random
 import re
+from itertools import count
 
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inductra.llm.common import store
@@ -145,3 +147,35 @@ def test_passages_are_cut_and_read_in_one_step(spark, corpus, capsys):
     cut = corpus_pipeline.suffix_dedup.remove_repeats(df).withColumn("t", corpus_pipeline.suffix_dedup.whole_characters("kept"))
     whole = corpus_pipeline.suffix_dedup.remove_repeats(df, whole=True)
     assert {r.doc_id: r.t for r in cut.collect()} == {r.doc_id: r.kept for r in whole.collect()} == {1: rows[0][1], 2: "cd丁é", 3: ""}
+
+
+def test_other_columns_go_along_with_cut_texts(spark, corpus, capsys):
+    """Cut texts are neither grouped nor joined to their rows; only chunks meet their answers."""
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    corpus_pipeline.without_repeats(spark, docs, corpus[0]).explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[-1]
+    assert plan.count("Join") == 1 and "MapInArrow" not in plan[plan.index("Join") :]
+    rows = [(2, "b" * 60 + "x", 4, ["q", None]), (1, "b" * 60, 3, []), (2, "b" * 60 + "x", 5, None), (None, "c", 6, ["r"])]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n_chars bigint, `odd name` array<string>").repartition(2)
+    df = df.withColumns({"kept": F.struct(F.col("odd name").alias("a")), "at": F.lit("2024-02-03 04:05:06").cast("timestamp")})
+    out = corpus_pipeline.without_repeats(spark, df, "")
+    assert out.columns == df.columns and [t for _, t in out.dtypes] == [t for _, t in df.dtypes]
+    want = [(2, "x", 1, ["q", None]), (1, "b" * 60, 60, []), (2, "x", 1, None), (None, "c", 1, ["r"])]
+    assert sorted(map(repr, out.select(*df.columns[:4]).collect())) == sorted(
+        repr(r) for r in spark.createDataFrame(want, df.select(*df.columns[:4]).schema).collect()
+    )
+    assert all(r.kept.a == r["odd name"] and r.at.isoformat() == "2024-02-03T04:05:06" for r in out.collect())
+
+
+def test_stored_steps_are_removed(spark, corpus, monkeypatch, tmp_path):
+    """Of near-duplicates only what the result reads is left, of passages only chunks and answers."""
+    number = count()
+    monkeypatch.setattr("inductra.llm.common.run_folder", lambda _, label: f"{tmp_path}/{label}-{next(number)}")
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    label = lambda folder: folder.name.rsplit("-", 1)[0]
+    assert corpus_pipeline.one_of_each(spark, docs, "").count()
+    assert {"row-classes", "roots"} <= set(map(label, tmp_path.iterdir()))
+    assert set(map(label, tmp_path.iterdir())) <= {"row-classes", "roots", "frequent-shingles", "component-links"}
+    before = set(tmp_path.iterdir())
+    assert corpus_pipeline.without_repeats(spark, docs, "").count()
+    assert set(map(label, set(tmp_path.iterdir()) - before)) == {"chunks", "first-owners"}
