@@ -213,15 +213,19 @@ def compare_with_edits(df: DataFrame, text: str = "text", row_id: str = "doc_id"
         sent = sent.withColumn("own", ordered(anchors("raw")))
         return sent.withColumns({"whole": F.size("own") == 0, "own": or_whole(F.col("own"), F.col("raw"))}).drop("raw")
 
-    linked = with_next(rows, ["text", "own"], with_anchors)
+    linked = with_next(rows, ["text", "own", "whole"], with_anchors)
     edited = linked.withColumn(
         "edited", F.expr("concat(left(text, CAST(n_chars AS INT) - moved), left(next_text, moved))").cast("binary")
     )
     edited = edited.withColumn("fresh_from", F.greatest(F.lit(0), F.col("kept") - (K - 1)))
-    edited = edited.withColumn("fresh", F.expr("substring(edited, fresh_from + 1, length(edited))"))
-    # First positions before the cut are those of all anchors there.
+    edited = edited.withColumn("fresh", F.expr(f"substring(edited, fresh_from + 1, kept + {K - 1} - fresh_from)"))
+    # Anchors depend on their own bytes only: those before the cut are the text's, those behind it the
+    # next text's, and only those that go across are looked for. First positions are first in a part too.
     before_cut = F.filter("own", lambda x: ~F.col("whole") & (x.bitwiseAND(PLACE) <= F.col("kept") - K))
-    other = ordered(F.concat(before_cut, anchors("fresh", "fresh_from")))
+    in_next = F.length("edited") - F.col("kept") - K
+    behind_cut = F.filter("next_own", lambda x: ~F.col("next_whole") & (x.bitwiseAND(PLACE) <= in_next))
+    behind_cut = F.transform(behind_cut, lambda x: x + F.col("kept"))
+    other = ordered(F.concat(before_cut, anchors("fresh", "fresh_from"), behind_cut))
     edited = edited.withColumn("other", _bind(other, lambda a: or_whole(a, F.col("edited"))))
     return edited.select(
         F.col("row_id").alias(row_id),

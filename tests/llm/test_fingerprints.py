@@ -139,3 +139,16 @@ def test_levels_are_not_cut_one_by_one(spark):
     # Two levels of pairwise minima, with one copy each, and one cut at the end.
     plan = found._jdf.queryExecution().analyzed().toString()
     assert plan.count("zip_with(") == 2 and plan.count("slice(") <= 3
+
+
+def test_only_anchors_across_the_cut_are_looked_for(texts, monkeypatch):
+    """The rest of an edited text's anchors are its parts' own."""
+    made, rows = fp.anchors, some_rows()
+    want = {r.doc_id: r.edited_fingerprint for r in fp.compare_with_edits(texts(rows)).collect()}
+
+    def of_few(raw, offset="0"):
+        short = (F.length(raw) <= 2 * fp.K - 2) | F.lit(raw != "fresh")
+        return F.when(short, made(raw, offset)).otherwise(F.raise_error(F.lit("hashed again")))
+
+    monkeypatch.setattr(fp, "anchors", of_few)
+    assert {r.doc_id: r.edited_fingerprint for r in fp.compare_with_edits(texts(rows)).collect()} == want
